@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlab.llm import exact_dedup
+from strandlab.llm import exact_dedup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_nearest_toxic": toxicity.op8_nearest_toxic,
+    "op10_compression_quality": quality.op10_compression_quality,
     "op5_tree_merge_dedup": exact_dedup.op5_tree_merge_dedup,
 }
 
