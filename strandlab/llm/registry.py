@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlab.llm import exact_dedup, quality, toxicity
+from strandlab.llm import decontam, exact_dedup, packing, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_length_histogram": tokens.op3_length_histogram,
+    "op4_length_buckets": packing.op4_length_buckets,
+    "op6_bm25_decontamination": decontam.op6_bm25_decontamination,
     "op8_nearest_toxic": toxicity.op8_nearest_toxic,
     "op10_compression_quality": quality.op10_compression_quality,
     "op5_tree_merge_dedup": exact_dedup.op5_tree_merge_dedup,
