@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlab.llm import decontam, exact_dedup, packing, quality, tokens, toxicity
+from strandlab.llm import chat, decontam, exact_dedup, packing, pii, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_length_histogram": tokens.op3_length_histogram,
     "op4_length_buckets": packing.op4_length_buckets,
     "op6_bm25_decontamination": decontam.op6_bm25_decontamination,
+    "op7_feistel_pseudonyms": pii.op7_feistel_pseudonyms,
     "op8_nearest_toxic": toxicity.op8_nearest_toxic,
+    "op9_perspective_rotation": chat.op9_perspective_rotation,
     "op10_compression_quality": quality.op10_compression_quality,
     "op5_tree_merge_dedup": exact_dedup.op5_tree_merge_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_tree_merge_dedup": exact_dedup.SQL,
+    "op9_perspective_rotation": chat.SQL,
 }
