@@ -40,9 +40,17 @@ CARD = r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]|[.]\d)|(?<![\w.+])\+\d{10,15}(?!\d)"
 KINDS = {"email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What every kind contains: an @, or two digits with at least five digits or separators between.
+MAY = r"@|[0-9][0-9 ./()-]{5,}[0-9]"
+FOUND = "array<struct<kind:string,original:string,pseudonym:string>>"
 _DAYS = (250, 292)  # 73 000 days
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is read."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _prf(key: str, tweak: str, i: int, value: Column) -> Column:
     """52 bits of the keyed hash."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{tweak}|{i}|"), value.cast("string")), 256), 1, 13), 16, 10).cast("bigint")
@@ -73,10 +81,14 @@ def _pow10(n: Column) -> Column:
 
 def permute_digits(digits: Column, key: str, tweak: str, back: bool = False) -> Column:
     """A string of 2 to 30 digits to another of the same length."""
-    n = F.length(digits)
-    u = F.floor(n / 2).cast("int")
-    out = feistel(F.substr(digits, F.lit(1), u).cast("bigint"), F.substr(digits, u + 1, n - u).cast("bigint"), _pow10(u), _pow10(n - u), key, tweak, back)
-    return F.concat(F.lpad(out["l"].cast("string"), u, F.lit("0")), F.lpad(out["r"].cast("string"), n - u, F.lit("0")))
+
+    def body(d: Column) -> Column:
+        n = F.length(d)
+        u = F.floor(n / 2).cast("int")
+        pair = feistel(F.substr(d, F.lit(1), u).cast("bigint"), F.substr(d, u + 1, n - u).cast("bigint"), _pow10(u), _pow10(n - u), key, tweak, back)
+        return _let(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), u, F.lit("0")), F.lpad(p["r"].cast("string"), n - u, F.lit("0"))))
+
+    return _let(digits, body)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -90,9 +102,13 @@ def _into_format(original: Column, digits: Column) -> Column:
     """The digits of ``original`` replaced one by one."""
     chars = F.filter(F.split(original, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
-    is_digit = lambda c: c.rlike("[0-9]")
-    step = lambda a, c: F.struct(F.concat(a["s"], F.when(is_digit(c), F.substr(digits, a["i"], F.lit(1))).otherwise(c)).alias("s"), (a["i"] + is_digit(c).cast("int")).alias("i"))
-    return F.aggregate(chars, start, step)["s"]
+    is_digit = lambda c: c.between("0", "9")
+
+    def filled(d: Column) -> Column:
+        step = lambda a, c: F.struct(F.concat(a["s"], F.when(is_digit(c), F.substr(d, a["i"], F.lit(1))).otherwise(c)).alias("s"), (a["i"] + is_digit(c).cast("int")).alias("i"))
+        return F.aggregate(chars, start, step)["s"]
+
+    return _let(digits, filled)
 
 
 def _digits(value: Column) -> Column:
@@ -100,20 +116,25 @@ def _digits(value: Column) -> Column:
 
 
 def _card(value: Column, key: str, back: bool) -> Column:
-    d = _digits(value)
-    body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", back)
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    return F.when(luhn_sum(d) % 10 == 0, _into_format(value, F.concat(body, check))).otherwise(value)
+
+    def new(d: Column) -> Column:
+        check = lambda body: F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
+        body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", back)
+        return F.when(luhn_sum(d) % 10 == 0, _into_format(value, _let(body, lambda b: F.concat(b, check(b))))).otherwise(value)
+
+    return _let(_digits(value), new)
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
     """The last ten digits (all of nine or less) are permuted, what stands before is the country code."""
-    d = _digits(value)
-    n = F.least(F.length(d), F.lit(10))
-    head = F.substr(d, F.lit(1), F.length(d) - n)
-    tail = permute_digits(F.substr(d, F.length(d) - n + 1, n), key, "phone", back)
-    enough = (F.length(d) >= 10) & (F.length(d) <= 15)
-    return F.when(enough, _into_format(value, F.concat(head, tail))).otherwise(value)
+
+    def new(d: Column) -> Column:
+        n = F.least(F.length(d), F.lit(10))
+        head = F.substr(d, F.lit(1), F.length(d) - n)
+        tail = permute_digits(F.substr(d, F.length(d) - n + 1, n), key, "phone", back)
+        return F.when((F.length(d) >= 10) & (F.length(d) <= 15), _into_format(value, F.concat(head, tail))).otherwise(value)
+
+    return _let(_digits(value), new)
 
 
 def _ssn(value: Column, key: str, back: bool) -> Column:
@@ -121,16 +142,19 @@ def _ssn(value: Column, key: str, back: bool) -> Column:
     area, group, serial = (F.split(value, "-")[i].cast("bigint") for i in range(3))
     fine = area.between(1, 899) & (area != 666) & (group >= 1) & (serial >= 1)
     packed = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898).cast("bigint"), F.lit(99 * 9999).cast("bigint"), key, "ssn", back)
-    new_area = packed["l"] + F.when(packed["l"] >= 665, 2).otherwise(1)
-    text = F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in ((new_area, 3), (F.floor(packed["r"] / 9999) + 1, 2), (packed["r"] % 9999 + 1, 4))))
-    return F.when(fine, text).otherwise(value)
+
+    def text(p: Column) -> Column:
+        new_area = p["l"] + F.when(p["l"] >= 665, 2).otherwise(1)
+        return F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in ((new_area, 3), (F.floor(p["r"] / 9999) + 1, 2), (p["r"] % 9999 + 1, 4))))
+
+    return F.when(fine, _let(packed, text)).otherwise(value)
 
 
 def _ipv4(value: Column, key: str, back: bool) -> Column:
     octets = F.transform(F.split(value, r"\."), lambda o: o.cast("bigint"))
     plain = ~value.rlike(r"(?:^|\.)0\d")
     out = feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536).cast("bigint"), F.lit(65536).cast("bigint"), key, "ipv4", back)
-    text = F.concat_ws(".", F.floor(out["l"] / 256), out["l"] % 256, F.floor(out["r"] / 256), out["r"] % 256)
+    text = _let(out, lambda p: F.concat_ws(".", F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256))
     return F.when(plain & F.forall(octets, lambda o: o <= 255), text).otherwise(value)
 
 
@@ -148,7 +172,7 @@ def _date(value: Column, key: str, back: bool) -> Column:
     number = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("bigint")
     out = feistel(F.floor(number / b), number % b, F.lit(a).cast("bigint"), F.lit(b).cast("bigint"), key, "date", back)
     new = F.date_add(F.lit("1900-01-01").cast("date"), (out["l"] * b + out["r"]).cast("int"))
-    text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(mark == "/", F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
+    text = _let(new, lambda n: F.when(iso, F.date_format(n, "yyyy-MM-dd")).when(mark == "/", F.date_format(n, "MM/dd/yyyy")).otherwise(F.date_format(n, "dd.MM.yyyy")))
     return F.when(number.between(0, a * b - 1), text).otherwise(value)
 
 
@@ -162,12 +186,12 @@ def _email(value: Column, key: str, back: bool) -> Column:
     def shifted(part: Column, by: Column) -> Column:
         """Each letter or digit moves on within its class by a byte of the hash (64 bytes of two hashes)."""
 
-        def one(c: Column, i: Column) -> Column:
-            s = sign * F.conv(F.substr(by, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        def one(c: Column, i: Column, h: Column) -> Column:
+            s = sign * F.conv(F.substr(h, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
             turn = lambda base, size: F.char((F.lit(base) + F.pmod(F.ascii(c) - base + s, F.lit(size))).cast("int"))
-            return F.when(c.rlike("[0-9]"), turn(48, 10)).when(c.rlike("[a-z]"), turn(97, 26)).when(c.rlike("[A-Z]"), turn(65, 26)).otherwise(c)
+            return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
 
-        return F.transform(part, one)
+        return _let(by, lambda h: F.transform(part, lambda c, i: one(c, i, h)))
 
     def stream(i: int, other: Column) -> Column:
         text = F.array_join(other, "")
@@ -181,7 +205,7 @@ def _email(value: Column, key: str, back: bool) -> Column:
     start = F.array(F.struct(F.slice(chars, F.lit(1), u).alias("l"), F.slice(chars, u + 1, n - u).alias("r")))
     order = range(4)[::-1] if back else range(4)
     out = reduce(lambda arr, i: F.transform(arr, lambda p: step(p, i)), order, start)[0]
-    return F.concat(F.array_join(out["l"], ""), F.array_join(out["r"], ""), F.lit("@"), domain)
+    return _let(out, lambda p: F.concat(F.array_join(p["l"], ""), F.array_join(p["r"], ""), F.lit("@"), domain))
 
 
 _PERMUTE = {"email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -207,16 +231,21 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     ``back`` turns pseudonyms into the originals again.
     """
     t = F.col("t")
-    hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    # Most texts without a digit or @ are not searched at all.
-    may = t.rlike("[0-9]|@")
-    hits = hits.withColumn("m", F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    swapped = F.transform("m", lambda v: F.struct(_kind(v).alias("kind"), v.alias("original"), permuted(v, _kind(v), key, back).alias("pseudonym")))
-    hits = hits.withColumn("found", F.when(F.size("m") > 0, swapped).otherwise(F.lit(None)))
-    between = F.split(t, ANY, -1)
-    joined = F.array_join(F.zip_with(between, F.concat(F.transform("found", lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda s, p: F.concat(s, p)), "")
-    clean = F.filter("found", lambda x: x["original"] != x["pseudonym"])
-    return hits.select("doc_id", F.when(F.col("found").isNull(), t).otherwise(joined).alias("text"), F.coalesce(clean, F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")).alias("found"))
+    none = F.array().cast(FOUND)
+
+    def swapped(v: Column) -> Column:
+        kind = _kind(v)
+        return F.struct(kind.alias("kind"), v.alias("original"), _let(kind, lambda k: permuted(v, k, key, back)).alias("pseudonym"))
+
+    def rewritten(found: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.concat(F.transform(found, lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda s, p: F.concat(s, p)), "")
+        return F.struct(F.when(F.size(found) > 0, joined).otherwise(t).alias("text"), F.filter(found, lambda x: x["original"] != x["pseudonym"]).alias("found"))
+
+    searched = _let(F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), swapped), rewritten)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    # Texts without anything like a number or an address are not searched.
+    out = rows.select("doc_id", F.when(t.rlike(MAY), searched).otherwise(F.struct(t.alias("text"), none.alias("found"))).alias("out"))
+    return out.select("doc_id", "out.text", "out.found")
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
