@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: More ids than this are joined by a shuffle, fewer are broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -55,3 +57,13 @@ atexit.register(drop_staged)
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id gives null."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(n)
+
+
+def few_ids(ids: DataFrame) -> DataFrame:
+    """A broadcast hint where the ids (materialised) were counted to be few; else Spark shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def drop_by_id(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the ids in ``gone`` (materialised, one column); rows without an id stay."""
+    return docs.join(few_ids(gone.select(F.col(gone.columns[0]).alias(id_col))), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import staged, table
+from strandlab.llm._common import drop_by_id, staged, table
 
 DIGEST = ["d_sha", "d_xx", "d_len"]
 
@@ -73,7 +73,23 @@ def _grouped(digests: DataFrame, fan_in: int) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 32) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows without an id take part like all others. Where a copy has the same id as
+    the row that stays (or none), ids can't tell the two apart: then whole rows
+    are written with a row number first.
+    """
+    gone = exact_groups(docs, id_col, text_col, fan_in).where(~F.col("kept")).select("doc_id", "keep_id")
+    gone = staged(gone, "gone")
+    if gone.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) | F.col("doc_id").isNull()).isEmpty():
+        # An id may also belong to a second row with another text, which stays.
+        several = docs.groupBy(F.col(id_col).alias("several")).agg(F.count(F.lit(1)).alias("rows_of_id")).where("rows_of_id > 1")
+        if several.join(gone, F.col("several") == F.col("doc_id"), "left_semi").isEmpty():
+            return drop_by_id(docs, gone.select("doc_id"), id_col)
+    return _drop_rows(docs, id_col, text_col, fan_in)
+
+
+def _drop_rows(docs: DataFrame, id_col: str, text_col: str, fan_in: int) -> DataFrame:
     rows = staged(docs.select(F.monotonically_increasing_id().alias("__rid"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")), "rows")
     keyed = rows.select(F.col("__rid").alias("rid"), F.col(f"__row.`{id_col}`").alias("id"), normalised(F.col(f"__row.`{text_col}`")).alias("t"))
     digests = staged(keyed.select("rid", "id", F.unhex(F.sha2("t", 256)).alias("d_sha"), F.xxhash64("t").alias("d_xx"), F.length("t").alias("d_len")), "digests")

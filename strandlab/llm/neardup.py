@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlab.llm._common import staged, table
+from strandlab.llm._common import drop_by_id, few_ids, staged, table
 from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures
 
 GRAM, ROWS, BANDS = 5, 6, 48
@@ -47,8 +47,6 @@ M = ROWS * BANDS
 BITS = 256
 SLICE = 300_000  # five-grams that are signed at once
 MEMO = 500_000
-#: More ids than this are joined by a shuffle, fewer are broadcast (8 bytes each).
-BROADCAST_IDS = 1_000_000
 _words = re.compile(r"\w+")
 _mixers = mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -171,11 +169,6 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def few_ids(ids: DataFrame) -> DataFrame:
-    """A broadcast hint where the ids were counted to be few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _verified(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) at or above the threshold; ``pairs`` is materialised, nodes are row ids."""
     ids = staged(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "ids")
@@ -232,11 +225,6 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     return out.select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("kept"), "node", "rid")
 
 
-def drop_by_id(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the ids in ``gone`` (materialised, one column); rows without an id stay."""
-    return docs.join(few_ids(gone.select(F.col(gone.columns[0]).alias(id_col))), id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-
-
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each class; rows of one doc_id stay or go together, rows without an id stay."""
     classes = near_classes(docs, threshold)

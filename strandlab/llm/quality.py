@@ -144,9 +144,16 @@ def score_quality(docs: DataFrame, model: CompressionModel | None, text_col: str
     return docs.withColumn(out_col, scored(F.col(f"`{text_col}`")))
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(crc_mod(F.col(id_col), 4) == 2, F.lit(False))
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    return labels.where(~held_out())
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
-    labels = table(spark, sf_dir, "labels").where(~held)
+    labels = training_labels(table(spark, sf_dir, "labels"))
     scored = score_quality(docs, fit(docs, labels))
-    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlab.llm import chat, decontam, exact_dedup, neardup, packing, pii, quality, tokens, toxicity
+from strandlab.llm import chat, decontam, exact_dedup, htmltext, neardup, packing, pii, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": neardup.op1_bag_minhash,
+    "op2_nearest_url_text": htmltext.op2_nearest_url_text,
     "op3_length_histogram": tokens.op3_length_histogram,
     "op4_length_buckets": packing.op4_length_buckets,
     "op6_bm25_decontamination": decontam.op6_bm25_decontamination,
