@@ -5,9 +5,9 @@ that each fits whole into some passage. Every training text is cut into passages
 of ``WINDOW`` words that overlap by half; every passage is a query. Impacts are
 BM25 scores divided by the piece's score against itself, so one threshold fits
 short and long items alike. Retrieval returns every piece at or above the
-threshold: a passage is skipped when the sum of its terms' largest impacts can't
-reach it, then blocks of pieces are skipped by their block maxima, and only the
-rest is scored.
+threshold: for a whole text at once, the block maxima of its words are summed by
+passage; blocks whose sum can't reach the threshold are skipped, then pieces by
+their own sums, and only the rest is scored.
 
 A retrieved (text, item) pair is verified on the whole text: the shares of the
 question's and of the answer's word five-grams that occur in it (shorter answers:
@@ -39,7 +39,7 @@ from strandlab.llm._common import table
 
 PIECE, WINDOW = 32, 64
 STRIDE = WINDOW // 2
-BLOCK = 16
+BLOCK = 8
 K1, B = 1.2, 0.75
 N_GRAM = 5
 _words = re.compile(r"\w+")
@@ -69,11 +69,10 @@ def grams(tokens: list[str]) -> set[tuple[str, ...]]:
 @dataclass
 class ItemIndex:
     terms: dict[str, int]
-    impacts: np.ndarray  # term x piece, share of the piece's own score
+    impacts: np.ndarray  # term x piece, share of the piece's own score; last a row of zeros for words the index doesn't have
     piece_item: np.ndarray
     item_ids: list
     parts: list[tuple[set, set, set]]  # five-grams of question, answer, whole
-    highest: np.ndarray
     maxima: np.ndarray  # term x block
 
     @classmethod
@@ -104,29 +103,34 @@ class ItemIndex:
                     impacts[terms[t], j] = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm)
             impacts /= impacts.sum(axis=0)
         starts = np.arange(0, n, BLOCK)
+        impacts = np.vstack([impacts, np.zeros((1, n), np.float32)])
         maxima = np.maximum.reduceat(impacts, starts, axis=1) if n else impacts
-        return cls(terms, impacts, np.array(owner, np.int64), ids, parts, impacts.max(axis=1) if n else np.zeros(0), maxima)
+        return cls(terms, impacts, np.array(owner, np.int64), ids, parts, maxima)
 
     def retrieve(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
         """Items with a piece at or above the threshold in some passage, with their best score. ``ids``: term numbers, -1 elsewhere."""
-        n = len(ids)
-        known = ids >= 0
-        gain = np.where(known, self.highest[ids], 0.0)
-        total = np.concatenate([[0.0], np.cumsum(gain)])
-        starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
-        ends = np.minimum(starts + WINDOW, n)
+        starts = np.arange(0, len(ids), STRIDE)
+
+        def bounds(rows: np.ndarray) -> np.ndarray:
+            """By passage; a repeated word counts again, so these are bounds."""
+            sums = np.add.reduceat(rows, starts, axis=0)
+            return sums[:-1] + sums[1:] if len(starts) > 1 else sums
+
         found: dict[int, float] = {}
-        for s, e in zip(*(x[total[ends] - total[starts] >= threshold] for x in (starts, ends))):
-            seen = np.unique(ids[s:e])
-            seen = seen[seen >= 0]
-            if self.highest[seen].sum() < threshold:
-                continue
-            blocks = np.flatnonzero(self.maxima[seen].sum(axis=0) >= threshold - 1e-6)
-            for b in blocks:
-                scores = self.impacts[seen, b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
-                for j in np.flatnonzero(scores >= threshold - 1e-6):
-                    item = int(self.piece_item[b * BLOCK + j])
-                    found[item] = max(found.get(item, 0.0), float(scores[j]))
+        blocks = np.flatnonzero((bounds(self.maxima[ids]) >= threshold - 1e-4).any(axis=0))
+        if not len(blocks):
+            return found
+        pieces = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        pieces = pieces[pieces < len(self.piece_item)]
+        rows = self.impacts[ids] if 2 * len(pieces) > len(self.piece_item) else self.impacts[np.ix_(ids, pieces)]
+        if rows.shape[1] == len(self.piece_item):
+            pieces = np.arange(len(self.piece_item))
+        for w, p in zip(*np.nonzero(bounds(rows) >= threshold - 1e-4)):
+            seen = np.unique(ids[w * STRIDE : w * STRIDE + WINDOW])
+            score = float(self.impacts[seen, pieces[p]].sum())
+            if score >= threshold - 1e-6:
+                item = int(self.piece_item[pieces[p]])
+                found[item] = max(found.get(item, 0.0), score)
         return found
 
     def overlaps(self, item: int, text_grams) -> tuple[float, float, float]:
@@ -148,7 +152,7 @@ def leaks(q: float, a: float, whole: float) -> bool:
     return (q >= 0.5 and a >= 0.5) or whole >= 0.8
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_items: int = 5000, answer_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_items: int = 500, answer_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text and leaked item: doc_id, item_id, best passage score, overlaps."""
     spark = docs.sparkSession
     chosen = items.select("item_id", "text", (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
