@@ -224,8 +224,9 @@ def screen_local_pwm(df: DataFrame, motif: Motif, operator: str, threshold: floa
 
 
 def best_position(df: DataFrame, motif: Motif, spat: Spatial = Spatial(), bidirect: bool = True, out_col: str = "best") -> DataFrame:
-    """``df`` with the first position, from 1, of the highest local energy."""
+    """``df`` with the first position, from 1, of the highest local energy (equal within 1e-9)."""
     scored = compute_local_pwm(df, motif, spat, bidirect, "__local")
+    scored = scored.withColumn("__local", F.transform("__local", lambda x: F.round(x, 9)))
     return scored.withColumn(out_col, F.nullif(F.array_position("__local", F.array_max("__local")), F.lit(0)).cast("int")).drop("__local")
 
 
