@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlab.plans import library_queries, pssm_queries, scoring_queries, sequence_queries
+from strandlab.plans import library_queries, pssm_queries, regression_queries, scoring_queries, sequence_queries
 
-_MODULES = (sequence_queries, pssm_queries, scoring_queries, library_queries)
+_MODULES = (sequence_queries, pssm_queries, scoring_queries, library_queries, regression_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
