@@ -33,11 +33,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandlab.llm._common import drop_by_id, few_ids, staged, table
 from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures
@@ -45,8 +44,8 @@ from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures
 GRAM, ROWS, BANDS = 5, 6, 48
 M = ROWS * BANDS
 BITS = 256
-SLICE = 300_000  # five-grams that are signed at once
-MEMO = 500_000
+SLICE = 100_000  # five-grams that are signed at once
+MEMO = 200_000
 _words = re.compile(r"\w+")
 _mixers = mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -95,53 +94,54 @@ def unpacked_grams(raw: bytes) -> np.ndarray:
 def sketches(docs: DataFrame) -> DataFrame:
     """``docs``: (rid, id, text)."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
         for batch in batches:
             held, size = [], 0
-            for rid, doc_id, text in zip(batch["rid"], batch["id"], batch["text"]):
-                tokens = words_of(text)
+            rid, ids, texts = (batch.column(c) for c in ("rid", "id", "text"))
+            for i in range(batch.num_rows):
+                tokens = words_of(texts[i].as_py())
                 grams = gram_hashes(tokens, memo)
-                held.append((rid, doc_id, xxhash.xxh3_128_digest("\x1f".join(tokens)), grams))
+                held.append((rid[i].as_py(), ids[i].as_py(), xxhash.xxh3_128_digest("\x1f".join(tokens)), grams))
                 size += len(grams)
                 if size >= SLICE:
                     yield _signed(held)
                     held, size = [], 0
-            yield _signed(held)
+            if held:
+                yield _signed(held)
 
-    return docs.mapInPandas(sign, SKETCH)
+    return docs.mapInArrow(sign, SKETCH)
 
 
-def _signed(held: list[tuple]) -> pd.DataFrame:
+def _signed(held: list[tuple]) -> pa.RecordBatch:
     n = np.array([len(h[3]) for h in held], np.int64)
-    grams = np.concatenate([h[3] for h in held]) if held else np.zeros(0, np.uint64)
+    grams = np.concatenate([h[3] for h in held])
     owner = np.repeat(np.arange(len(held)), n)
     first = np.ones(len(grams), bool)
     first[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(first)
     weight = np.diff(np.append(at, len(grams)))
     sig = signatures(owner[at], grams[at], weight, len(held), M)
-    bands, bits = band_keys(sig, ROWS).view(np.int64), sign_bits(sig, BITS // 64).view(np.int64)
-    out = pd.DataFrame({"rid": [h[0] for h in held], "id": [h[1] for h in held], "tkey": [h[2] for h in held], "n": n.astype("int32"), "grams": [packed_grams(h[3]) for h in held], "bands": list(bands), "bits": list(bits)})
-    return out.astype({"rid": "Int64", "id": "Int64"})
 
+    def lists(rows: np.ndarray) -> pa.Array:
+        offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.view(np.int64).ravel()))
 
-@F.pandas_udf(T.DoubleType())
-def multiset_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Weighted Jaccard similarity of two packed sorted multisets."""
+    columns = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.binary()), pa.array(n, pa.int32()), pa.array([packed_grams(h[3]) for h in held], pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, lists(band_keys(sig, ROWS)), lists(sign_bits(sig, BITS // 64))], names=["rid", "id", "tkey", "n", "grams", "bands", "bits"])
 
-    def one(x: bytes, y: bytes) -> float:
-        x, y = unpacked_grams(x), unpacked_grams(y)
-        if not len(x) and not len(y):
-            return 1.0
-        # Numbering repetitions turns common members into common pairs (value, occurrence).
-        both = np.concatenate([x, y])
-        order = np.lexsort((np.concatenate([_occurrence(x), _occurrence(y)]), both))
-        v, k = both[order], np.concatenate([_occurrence(x), _occurrence(y)])[order]
-        common = int(((v[1:] == v[:-1]) & (k[1:] == k[:-1])).sum())
-        return common / (len(both) - common)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+def multiset_similarity(a: bytes, b: bytes) -> float:
+    """Weighted Jaccard similarity of two packed sorted multisets."""
+    x, y = unpacked_grams(a), unpacked_grams(b)
+    if not len(x) and not len(y):
+        return 1.0
+    # Numbering repetitions turns common members into common pairs (value, occurrence).
+    both, nth = np.concatenate([x, y]), np.concatenate([_occurrence(x), _occurrence(y)])
+    order = np.lexsort((nth, both))
+    v, k = both[order], nth[order]
+    common = int(((v[1:] == v[:-1]) & (k[1:] == k[:-1])).sum())
+    return common / (len(both) - common)
 
 
 def _occurrence(sorted_values: np.ndarray) -> np.ndarray:
@@ -175,7 +175,15 @@ def _verified(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFram
     grams = staged(sketch.select("rid", "grams").join(few_ids(ids), "rid", "left_semi"), "grams")
     left = pairs.join(grams.select(F.col("rid").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(grams.select(F.col("rid").alias("b"), F.col("grams").alias("gb")), "b")
-    return both.select("a", "b", multiset_similarity("ga", "gb").alias("similarity")).where(F.col("similarity") >= threshold)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ga, gb = batch.column("ga"), batch.column("gb")
+            s = np.array([multiset_similarity(ga[i].as_py(), gb[i].as_py()) for i in range(batch.num_rows)], float)
+            kept = pa.array(s >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept), pa.array(s).filter(kept)], names=["a", "b", "similarity"])
+
+    return both.select("a", "b", "ga", "gb").mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
 def _agree(threshold: float):
