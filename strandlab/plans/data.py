@@ -12,9 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out a table that fewer tasks would scan than there are cores (a small single file); others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def order_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 bp per order; price is the response, priority the cluster."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("seq_id"), dna_of_id(F.col("o_orderkey")).alias("seq"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderpriority").alias("priority"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"))
+    return orders.select(F.col("o_orderkey").cast("bigint").alias("seq_id"), dna_of_id(F.col("o_orderkey")).alias("seq"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderpriority").alias("priority"))
 
 
 ORDER_DNA = """orders_dna AS (
@@ -27,7 +34,8 @@ ORDER_DNA = """orders_dna AS (
 
 def doc_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 60 bp per document, of varying length; language and source are groups."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), dna_of_text(F.col("text")).alias("seq"), "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return docs.select(F.col("doc_id").alias("seq_id"), dna_of_text(F.col("text")).alias("seq"), "lang", "source")
 
 
 DOC_DNA = """docs_dna AS (
