@@ -148,3 +148,29 @@ def letter_heights(df: DataFrame, prior: float = 0.01, method: str = "bits") ->
     p = with_prior(df, prior).select("motif", "pos", *LETTERS).join(bits_per_pos(df, prior), ["motif", "pos"])
     long = p.unpivot(["motif", "pos", "bits"], LETTERS, "letter", "p")
     return long.select("motif", "pos", "letter", (F.col("p") * F.col("bits") if method == "bits" else F.col("p")).alias("height"))
+
+
+def to_matrix(df: DataFrame) -> dict[str, list[list[float]]]:
+    """Motif name to rows of A, C, G, T in the order of ``pos`` (a bounded motif table, collected)."""
+    out: dict[str, list[list[float]]] = {}
+    for r in sorted(validate(df).select("motif", "pos", *LETTERS).collect(), key=lambda r: (r.motif, r.pos)):
+        out.setdefault(r.motif, []).append([r[c] for c in LETTERS])
+    return out
+
+
+def from_matrix(spark, matrices: dict[str, list[list[float]]]) -> DataFrame:
+    """The tidy table of such rows, positions from 1."""
+    rows = [(name, i, *map(float, row)) for name, matrix in matrices.items() for i, row in enumerate(matrix, 1)]
+    return spark.createDataFrame(rows, "motif string, pos int, A double, C double, G double, T double")
+
+
+def validate_spatial(bins: list[int], factors: list[float]) -> int:
+    """The bin size of a spatial model; equal-width bins and non-negative factors are required."""
+    if len(bins) != len(factors) or len(bins) < 2:
+        raise ValueError("a spatial model needs as many bins as factors, two at least")
+    sizes = {b - a for a, b in zip(bins, bins[1:])}
+    if len(sizes) > 1 or min(sizes) <= 0:
+        raise ValueError("the bins of a spatial model must have one size")
+    if any(f < 0 for f in factors):
+        raise ValueError("spatial factors must not be negative")
+    return sizes.pop()
