@@ -11,11 +11,11 @@ are the connected components of the links.
 2. In every shared bucket the node that meets most others is the anchor; all
    members are compared with it. One large family of copies thus costs one
    comparison each, not one for each pair.
-3. Links verified so far give components. Buckets that still hold several
-   components have every remaining pair between *different* components compared,
-   the largest component of a bucket against the others, so no link between
-   classes is lost. Before text fingerprints are fetched, pairs pass two tests
-   that linked pairs meet: size ratio and agreement of 256 signature bits.
+3. Links verified so far give components. Where a bucket still holds several,
+   they are compared too, so no link between classes is lost: what meets a
+   component of ``LARGE`` or more nodes is compared with all of it in tiles of
+   bounded size, small components pair by pair. Pairs first pass two tests that
+   linked pairs meet: size ratio and agreement of 256 signature bits.
 4. Verification counts the common five-grams of both whole texts.
 
 Five-grams are compared by 40-bit hashes. Words are runs of letters, digits and
@@ -31,8 +31,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,8 @@ M = ROWS * BANDS
 BITS = 256
 SLICE = 100_000  # five-grams that are signed at once
 MEMO = 200_000
+LARGE = 16  # nodes from which a component is compared in tiles
+TILE = 512
 _words = re.compile(r"\w+")
 _mixers = mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -186,6 +190,53 @@ def _verified(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "ga", "gb").mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
+def _tiled(meets: DataFrame, known: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """A link (a, b) for every (large, node) of ``meets`` that has one to a member of the component.
+
+    Members and visitors are dealt into blocks of bounded size by a hash; a task
+    gets one block of each and counts common five-grams through an index of the
+    members, so neither a component nor its pairs ever stand in one place.
+    """
+    visitors = meets.groupBy("large").agg(F.count(F.lit(1)).alias("visitors"))
+    blocks = known.select(F.col("comp").alias("large"), "comp_size").distinct().join(visitors, "large")
+    blocks = blocks.select("large", F.ceil(F.col("comp_size") / TILE).alias("mb"), F.ceil(F.col("visitors") / TILE).alias("vb"))
+    blocks = staged(blocks, "blocks")
+    own = known.select(F.col("comp").alias("large"), F.col("node").alias("rid")).join(blocks, "large")
+    own = own.select("large", "rid", F.lit(True).alias("member"), F.pmod(F.xxhash64("rid"), "mb").alias("m"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("vb") - 1)).alias("v"))
+    other = meets.select("large", F.col("node").alias("rid")).join(blocks, "large")
+    other = other.select("large", "rid", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mb") - 1)).alias("m"), F.pmod(F.xxhash64("rid", F.lit(1)), "vb").alias("v"))
+    rows = staged(own.unionByName(other.select(own.columns)), "tiles")
+    ids = staged(rows.select("rid").distinct(), "ids")
+    grams = staged(sketch.select("rid", "grams").join(few_ids(ids), "rid", "left_semi"), "grams")
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        inner, outer = tile[tile.member], tile[~tile.member]
+        out = []
+        if len(inner) and len(outer):
+            lists = [unpacked_grams(g) for g in inner.grams]
+            sizes = np.array([len(x) for x in lists])
+            owner = np.repeat(np.arange(len(lists)), sizes)
+            values = np.concatenate(lists)
+            nth = np.concatenate([_occurrence(x) for x in lists])
+            order = np.lexsort((nth, values))
+            values, nth, owner = values[order], nth[order], owner[order]
+            for rid, raw in zip(outer.rid, outer.grams):
+                x = unpacked_grams(raw)
+                k = _occurrence(x)
+                lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                width = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+                same = nth[at] == np.repeat(k, width)
+                common = np.bincount(owner[at[same]], minlength=len(lists))
+                s = common / (sizes + len(x) - common)
+                best = int(s.argmax())
+                if s[best] >= threshold:
+                    out.append((int(rid), int(inner.rid.iat[best])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.join(grams, "rid").groupBy("large", "m", "v").applyInPandas(compare, "a bigint, b bigint")
+
+
 def _agree(threshold: float):
     """Tests that linked pairs meet: sizes exactly, the bits but for 1e-9 (six deviations)."""
     p = (1 + threshold) / 2
@@ -213,18 +264,35 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     links = staged(_verified(pairs, sketch, threshold), "links")
     label = components(links)
 
-    # Pairs between different components of a bucket, the largest against the others.
-    labelled = members.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    groups = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("largest"))
-    mixed = staged(groups.where("comps > 1").select("key", F.col("largest.comp").alias("largest")), "mixed")
+    # Buckets that still hold several components.
+    sizes = label.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
+    known = staged(label.join(sizes, "comp"), "known")
+    one = F.lit(1).cast("bigint")
+    labelled = members.select("key", "node").join(known, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("comp_size", one).alias("comp_size"))
+    groups = labelled.groupBy("key", "comp").agg(F.max("comp_size").alias("comp_size"))
+    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key")
+    mixed = staged(mixed, "mixed")
     inside = staged(labelled.join(mixed, "key"), "inside")
-    inside = staged(inside.join(side("node").withColumnRenamed("n_node", "n").withColumnRenamed("bits_node", "bits"), "node"), "inside")
-    small = inside.where("comp <> largest").selectExpr("key", "node as a", "comp as comp_a", "n as n_a", "bits as bits_a")
-    other = inside.selectExpr("key", "node as b", "comp as comp_b", "n as n_b", "bits as bits_b", "comp = largest as large_b")
-    rest = small.join(other, (small["key"] == other["key"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("large_b") | (F.col("a") < F.col("b"))) & _agree(threshold)).select("a", "b").distinct()
-    rest = staged(rest.join(pairs.selectExpr("a as pa", "b as pb"), ((F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb"))), "left_anti").join(pairs.selectExpr("b as pa", "a as pb"), ((F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb"))), "left_anti"), "rest")
+
+    # Large components are compared block by block with all that meets them ...
+    large = inside.where(F.col("comp_size") >= LARGE).select("key", F.col("comp").alias("large"), F.col("comp_size").alias("large_size")).distinct()
+    meets = inside.join(large, "key").where((F.col("comp") != F.col("large")) & ((F.col("comp_size") < F.col("large_size")) | ((F.col("comp_size") == F.col("large_size")) & (F.col("comp") > F.col("large")))))
+    meets = staged(meets.select("large", "node").distinct(), "meets")
+    found = [links.select("a", "b")]
+    if not meets.isEmpty():
+        found.append(staged(_tiled(meets, known, sketch, threshold), "tiled"))
+
+    # ... small ones pair by pair.
+    few = staged(inside.where(F.col("comp_size") < LARGE).select("key", "node", "comp").join(nodes.select("node", "n", "bits"), "node"), "few")
+    left = few.selectExpr("key", "node as a", "comp as comp_a", "n as n_a", "bits as bits_a")
+    right = few.selectExpr("key as key_b", "node as b", "comp as comp_b", "n as n_b", "bits as bits_b")
+    rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("a") < F.col("b")) & _agree(threshold)).select("a", "b").distinct()
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        label = components(links.select("a", "b").unionByName(_verified(rest, sketch, threshold).select("a", "b")))
+        found.append(_verified(rest, sketch, threshold).select("a", "b"))
+    if len(found) > 1:
+        label = components(reduce(lambda x, y: x.unionByName(y), found))
 
     classed = nodes.select("tkey", "node", "copies", "first").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = staged(classed.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size")), "classes")
