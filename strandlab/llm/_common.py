@@ -67,3 +67,17 @@ def few_ids(ids: DataFrame) -> DataFrame:
 def drop_by_id(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the ids in ``gone`` (materialised, one column); rows without an id stay."""
     return docs.join(few_ids(gone.select(F.col(gone.columns[0]).alias(id_col))), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back to the system: workers outlive their task, and the JVM beside them needs the room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

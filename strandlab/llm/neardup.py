@@ -40,16 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import drop_by_id, few_ids, staged, table
+from strandlab.llm._common import drop_by_id, few_ids, release_memory, staged, table
 from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures
 
 GRAM, ROWS, BANDS = 5, 6, 48
 M = ROWS * BANDS
 BITS = 256
-SLICE = 100_000  # five-grams that are signed at once
-MEMO = 200_000
+SLICE, SLICE_TEXTS = 50_000, 500  # five-grams and texts that are signed at once
+MEMO = 50_000
 LARGE = 16  # nodes from which a component is compared in tiles
-TILE = 512
+TILE = 256
 _words = re.compile(r"\w+")
 _mixers = mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -108,11 +108,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 grams = gram_hashes(tokens, memo)
                 held.append((rid[i].as_py(), ids[i].as_py(), xxhash.xxh3_128_digest("\x1f".join(tokens)), grams))
                 size += len(grams)
-                if size >= SLICE:
+                if size >= SLICE or len(held) >= SLICE_TEXTS:
                     yield _signed(held)
                     held, size = [], 0
             if held:
                 yield _signed(held)
+        memo.clear()
+        release_memory()
 
     return docs.mapInArrow(sign, SKETCH)
 
@@ -186,6 +188,7 @@ def _verified(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFram
             s = np.array([multiset_similarity(ga[i].as_py(), gb[i].as_py()) for i in range(batch.num_rows)], float)
             kept = pa.array(s >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept), pa.array(s).filter(kept)], names=["a", "b", "similarity"])
+        release_memory()
 
     return both.select("a", "b", "ga", "gb").mapInArrow(compare, "a bigint, b bigint, similarity double")
 
@@ -232,6 +235,8 @@ def _tiled(meets: DataFrame, known: DataFrame, sketch: DataFrame, threshold: flo
                 best = int(s.argmax())
                 if s[best] >= threshold:
                     out.append((int(rid), int(inner.rid.iat[best])))
+            del tile, inner, outer, lists, values, nth, owner, order
+            release_memory()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.join(grams, "rid").groupBy("large", "m", "v").applyInPandas(compare, "a bigint, b bigint")
