@@ -157,6 +157,11 @@ def _occurrence(sorted_values: np.ndarray) -> np.ndarray:
     return np.arange(len(sorted_values)) - np.repeat(at, np.diff(np.append(at, len(sorted_values))))
 
 
+def _numbered(sorted_values: np.ndarray) -> np.ndarray:
+    """40-bit values with the number of their repetition in the lower 24 bits: a multiset as a sorted set."""
+    return (sorted_values << np.uint64(24)) | np.minimum(_occurrence(sorted_values), 2**24 - 1).astype(np.uint64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each connected component of ``edges`` (a, b).
 
@@ -216,26 +221,23 @@ def _tiled(meets: DataFrame, known: DataFrame, sketch: DataFrame, threshold: flo
         inner, outer = tile[tile.member], tile[~tile.member]
         out = []
         if len(inner) and len(outer):
-            lists = [unpacked_grams(g) for g in inner.grams]
+            lists = [_numbered(unpacked_grams(g)) for g in inner.grams]
             sizes = np.array([len(x) for x in lists])
             owner = np.repeat(np.arange(len(lists)), sizes)
             values = np.concatenate(lists)
-            nth = np.concatenate([_occurrence(x) for x in lists])
-            order = np.lexsort((nth, values))
-            values, nth, owner = values[order], nth[order], owner[order]
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
             for rid, raw in zip(outer.rid, outer.grams):
-                x = unpacked_grams(raw)
-                k = _occurrence(x)
+                x = _numbered(unpacked_grams(raw))
                 lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-                width = hi - lo
+                width = hi - lo  # at most one of each member
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-                same = nth[at] == np.repeat(k, width)
-                common = np.bincount(owner[at[same]], minlength=len(lists))
+                common = np.bincount(owner[at], minlength=len(lists))
                 s = common / (sizes + len(x) - common)
                 best = int(s.argmax())
                 if s[best] >= threshold:
                     out.append((int(rid), int(inner.rid.iat[best])))
-            del tile, inner, outer, lists, values, nth, owner, order
+            del tile, inner, outer, lists, values, owner, order
             release_memory()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
