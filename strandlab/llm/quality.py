@@ -60,7 +60,7 @@ class _Sizes:
 
     @staticmethod
     def _compressor(raw: bytes):
-        words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT)
+        words = zstandard.ZstdCompressionDict(raw)  # trained, or raw content where there were too few samples
         words.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
