@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms by keyed Feistel permutations (DataFrame functions only).
 
 Found and validated: e-mail addresses, IPv4 addresses (octets up to 255), payment
-card numbers (13 to 19 digits, Luhn), US social security numbers (area, group and
+card numbers (13 to 19 digits, Luhn; in a usual layout also beside other numbers), US social security numbers (area, group and
 serial in range), telephone numbers (10 to 15 digits with separators or a plus)
 and dates (real days from 1900 on, in three notations). Each value is permuted within
 its format by a Feistel network whose round function is a keyed SHA-256:
@@ -37,8 +37,14 @@ IPV4 = r"(?<![\d.])\d{1,3}+(?:\.\d{1,3}+){3}(?!\.?\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![/-]?\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)"
 CARD = r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+#: Usual layouts of a card, found at any group border of a longer run: unbroken, 4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-(1 to 3).
+LAYOUTS = (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}")
+_AT, _END = r"(?<!\d)(?<!\d{3}-\d{2}-)", r"(?!\d)(?![A-Za-z0-9._%+-]{0,64}@)"
+#: Noncharacters of Unicode around the cards that were found beside other numbers.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+MARKED = rf"{_OPEN}\d[\d -]{{11,24}}\d{_CLOSE}"
 PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]|[.]\d)|(?<![\w.+])\+\d{10,15}(?!\d)"
-KINDS = {"email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
+KINDS = {"marked": MARKED, "email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every kind contains: an @, or two digits with at least five digits or separators between.
 MAY = r"@|[0-9][0-9 ./()-]{5,}[0-9]"
@@ -125,6 +131,18 @@ def _card(value: Column, key: str, back: bool) -> Column:
     return _let(_digits(value), new)
 
 
+def _cards_marked(text: Column) -> Column:
+    """``text`` with marks around each valid card in a usual layout, whatever numbers stand beside it; of two that overlap the first found counts."""
+
+    def marked(cards: Column) -> Column:
+        step = lambda s, c: F.regexp_replace(s, F.concat(F.lit(rf"(?<![\d{_OPEN}]){_AT}"), c, F.lit(rf"(?!{_CLOSE}){_END}")), F.concat(F.lit(_OPEN), c, F.lit(_CLOSE)))
+        return F.aggregate(cards, text, step)
+
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(rf"{_AT}(?=({p}){_END})"), F.lit(1)) for p in LAYOUTS))
+    valid = F.filter(F.array_distinct(found), lambda c: luhn_sum(_digits(c)) % 10 == 0)
+    return F.when(text.rlike(r"\d(?:[ -]?\d){12}"), _let(valid, marked)).otherwise(text)
+
+
 def _phone(value: Column, key: str, back: bool) -> Column:
     """The last ten digits (all of nine or less) are permuted, what stands before is the country code."""
 
@@ -233,15 +251,18 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     t = F.col("t")
     none = F.array().cast(FOUND)
 
-    def swapped(v: Column) -> Column:
+    def swapped(found: Column) -> Column:
+        return _let(F.translate(found, _OPEN + _CLOSE, ""), _swapped)
+
+    def _swapped(v: Column) -> Column:
         kind = _kind(v)
         return F.struct(kind.alias("kind"), v.alias("original"), _let(kind, lambda k: permuted(v, k, key, back)).alias("pseudonym"))
 
-    def rewritten(found: Column) -> Column:
-        joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.concat(F.transform(found, lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda s, p: F.concat(s, p)), "")
+    def rewritten(found: Column, m: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.split(m, ANY, -1), F.concat(F.transform(found, lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda s, p: F.concat(s, p)), "")
         return F.struct(F.when(F.size(found) > 0, joined).otherwise(t).alias("text"), F.filter(found, lambda x: x["original"] != x["pseudonym"]).alias("found"))
 
-    searched = _let(F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), swapped), rewritten)
+    searched = _let(_cards_marked(t), lambda m: _let(F.transform(F.regexp_extract_all(m, F.lit(ANY), F.lit(0)), swapped), lambda found: rewritten(found, m)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     # Texts without anything like a number or an address are not searched.
     out = rows.select("doc_id", F.when(t.rlike(MAY), searched).otherwise(F.struct(t.alias("text"), none.alias("found"))).alias("out"))

@@ -160,6 +160,18 @@ def test_pseudonyms_round_trip(spark):
     assert pii.pseudonymised(df, "other").where("doc_id = 1").first().text != rows[1].text
 
 
+def test_cards_beside_other_numbers(spark):
+    long, short = "4465758382889437", "4111 1111 1111 1111"
+    cases = [f"{long} {long}", f"{long} 12/27", f"12 {long}", f"{long} 123", f"{short} 12/27", f"{short} 123", f"12 {short}", f"{short} {short}", f"555-123-4567 {short}", f"123-45-6789 {long}", f"{long} 2024-01-31", f"3782 822463 10005 {long}", f"{long} 555-123-4567", f"{long}@mail.example.com"]
+    out = pii.pseudonymised(docs(spark, list(enumerate(cases))), "k")
+    rows = {r.doc_id: r for r in out.collect()}
+    assert not [r.text for r in rows.values() if long in r.text or short in r.text]
+    assert [[f.kind for f in rows[i].found] for i in range(len(cases))] == [["card"] * 2, ["card"], ["card"], ["card"], ["card"], ["card"], ["card"], ["card"] * 2, ["phone", "card"], ["ssn", "card"], ["card", "date"], ["card"] * 2, ["card", "phone"], ["email"]]
+    assert len({f.pseudonym for i in (0, 1, 2, 3, 9) for f in rows[i].found if f.kind == "card"}) == 1  # linked wherever it stands
+    assert all(rows[i].text == rows[i].text.translate({0xFDD0: None, 0xFDD1: None}) for i in rows)
+    assert {r.doc_id: r.text for r in pii.pseudonymised(out.select("doc_id", "text"), "k", back=True).collect()} == dict(enumerate(cases))
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = df.select(pii.permute_digits(F.col("d"), "k", "t").alias("e")).distinct()
