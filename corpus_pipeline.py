@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.llm import decontam, exact_dedup, neardup, packing, quality
-from strandlab.llm._common import drop_by_id, staged, table
+from strandlab.llm._common import drop_numbered, numbered, staged, table
 
 KEEP_QUALITY = 0.7
 
@@ -33,9 +33,10 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks."""
-    leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return drop_by_id(docs, staged(leaks.where("doc_id is not null").select("doc_id").distinct(), "leaks"))
+    """Rows in which no benchmark item leaks, whatever their ids."""
+    rows = numbered(docs)
+    leaks = decontam.contaminated(rows.select("__rid", "__row.text"), table(spark, sf_dir, "benchmark"), id_col="__rid")
+    return drop_numbered(rows, staged(leaks.select("doc_id").distinct(), "leaks"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

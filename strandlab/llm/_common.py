@@ -69,6 +69,16 @@ def drop_by_id(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(few_ids(gone.select(F.col(gone.columns[0]).alias(id_col))), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` written with a number each: __rid, __row (a struct of all columns)."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("__rid"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")), "rows")
+
+
+def drop_numbered(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The columns of ``numbered`` rows without the numbers in ``gone`` (materialised, one column)."""
+    return drop_by_id(rows, gone, "__rid").select("__row.*")
+
+
 def release_memory() -> None:
     """Gives freed memory of a Python worker back to the system: workers outlive their task, and the JVM beside them needs the room."""
     import ctypes

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import drop_by_id, few_ids, release_memory, staged, table
+from strandlab.llm._common import drop_numbered, few_ids, numbered, release_memory, staged, table
 from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures
 
 GRAM, ROWS, BANDS = 5, 6, 48
@@ -252,9 +252,10 @@ def _agree(threshold: float):
     return (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")) & (same >= least)
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, class_id (smallest id of the class), class_size, kept, node, rid."""
-    sketch = staged(sketches(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))), "sketch")
+def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
+    """One row per row: doc_id, class_id (smallest id of the class), class_size, kept, node, rid (``rid_col`` where given: a unique bigint)."""
+    number = F.monotonically_increasing_id() if rid_col is None else F.col(rid_col)
+    sketch = staged(sketches(docs.select(number.alias("rid"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))), "sketch")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
     nodes = sketch.groupBy("tkey").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = staged(nodes, "nodes")
@@ -309,10 +310,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each class; rows of one doc_id stay or go together, rows without an id stay."""
-    classes = near_classes(docs, threshold)
-    gone = classes.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return drop_by_id(docs, staged(gone, "gone"))
+    """``docs`` with one row of each class; rows are told apart by number, so null and repeated ids take part like all others."""
+    rows = numbered(docs)
+    classes = near_classes(rows.select("__rid", "__row.doc_id", "__row.text"), threshold, rid_col="__rid")
+    return drop_numbered(rows, staged(classes.where("not kept").select("rid"), "gone"))
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

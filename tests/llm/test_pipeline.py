@@ -53,6 +53,18 @@ def test_stages_keep_the_columns(spark):
     assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
 
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    def docs(rows):
+        return spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int")
+
+    one, two, item = ("".join(f"{w}{i} " for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    near = P.keep_one_of_near(spark, docs([(1, one), (None, one + "x"), (None, one + "y"), (1, one + "z"), (1, two), (None, "q r s t u v")]), "")
+    assert sorted((r.n, r.doc_id) for r in near.collect()) == [(0, 1), (4, 1), (5, None)] and near.columns == ["doc_id", "text", "n"]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = P.keep_uncontaminated(spark, docs([(None, "so " + item), (2, "so " + item), (2, one), (None, two)]), str(tmp_path))
+    assert sorted(r.n for r in clean.collect()) == [2, 3]
+
+
 def test_registry():
     assert sorted({int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES}) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
