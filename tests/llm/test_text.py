@@ -144,6 +144,13 @@ def test_retrieval_equals_plain_bm25():
         assert ix.retrieve(ids, 0.6) == pytest.approx(expected)
 
 
+def test_neighbours_of_a_large_host(spark):
+    html = lambda i: f"<body><div>Menu of section {i // 2}</div><div>text {i}</div><div>more {i}</div></body>"
+    rows = [(i, f"https://h.com/s{i // 2:05d}/{i % 2}", html(i)) for i in range(2 * htmltext.SHARD + 302)]
+    got = htmltext.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"text {i}\nmore {i}" for i, _, _ in rows} and len(got) == len(rows)
+
+
 CASES = ["mail jo.81@mail7.example.com, or x@y.org.", "call +1 (984) 555-5227 now", "card 4111 1111 1111 1111.", "card 4111 1111 1111 1112.", "ip 224.228.19.86. next 999.1.1.1", "born 1985-03-12 and 31.12.1999; 2001-02-30", "ssn 123-45-6789 000-12-3456", None, "", "no hits", "1.2.3.4.5", "jo.81@mail7.example.com again"]
 
 
