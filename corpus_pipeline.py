@@ -20,6 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Rejects documents that score under ``KEEP_QUALITY``; the model is fitted on the labelled rows that aren't held out."""
     labels = quality.training_labels(table(spark, sf_dir, "labels"))
     model = quality.fit(docs.select("doc_id", "text"), labels)
+    if model is None:  # no labels to fit on: nothing is known against any document
+        return docs
     scored = quality.score_quality(docs, model, out_col="__quality")
     return scored.where(F.col("__quality") >= KEEP_QUALITY).select(*docs.columns)
 

@@ -65,6 +65,12 @@ def test_rows_without_or_with_repeated_ids(spark, tmp_path):
     assert sorted(r.n for r in clean.collect()) == [2, 3]
 
 
+def test_quality_without_labels_keeps_all(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id bigint, text string")
+    assert P.keep_quality(spark, docs, str(tmp_path)).count() == 2
+
+
 def test_registry():
     assert sorted({int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES}) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
