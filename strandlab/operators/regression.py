@@ -68,7 +68,7 @@ class Options:
     symmetrize_spat: bool = True
     alternative: str = "less"
     consensus_thresholds: tuple[float, float] = (0.6, 0.85)
-    max_steps: int = 2000
+    max_steps: int | None = None  # None: each phase goes on until it gains less than improve_epsilon
 
     def grid(self) -> tuple[np.ndarray, np.ndarray] | None:
         """The energy function as a table for interpolation."""
@@ -358,7 +358,7 @@ def fit(sums, start: np.ndarray, o: Options, length: int, spat_start: np.ndarray
 
     for pwm_step, spat_step in zip(PWM_STEPS, SPAT_STEPS):
         neighbours = moves(pwm_step)
-        while steps < o.max_steps:
+        while o.max_steps is None or steps < o.max_steps:
             before = score
             q = np.array([[trial(nuc[k], by) for by in neighbours] for k in range(rows)])
             spats = np.array([np.where(np.arange(num_bins) == b, spat + by, spat) for b in range(num_bins) for by in (spat_step, -spat_step)])

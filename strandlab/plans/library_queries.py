@@ -165,12 +165,12 @@ def _(spark, d):
 
 @query("random_intervals")
 def _(spark, d):
-    return I.random_intervals(genome(spark, d), 64, 2000)
+    return I.random_intervals(genome(spark, d), 64)
 
 
 @query("interval_quantiles_random_background")
 def _(spark, d):
-    return I.interval_pwm_quantiles(intervals(spark, d), genome(spark, d), motifs("GATA"), precision=0.1, n=500)
+    return I.interval_pwm_quantiles(intervals(spark, d), genome(spark, d), motifs("GATA"))
 
 
 @query("cv_folds", f"WITH {ORDER_DNA} SELECT seq_id, CAST(ntile(5) OVER (PARTITION BY priority ORDER BY seq_id) AS INTEGER) AS fold FROM orders_dna")

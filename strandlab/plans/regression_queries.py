@@ -12,7 +12,7 @@ from strandlab.plans.scoring_queries import energy_ctes, lse, motif
 from strandlab.sources import motifs as M
 
 QUERIES, SQL = {}, {}
-OPTIONS = G.Options(motif_length=9, spat_num_bins=3, spat_bin_size=20, kmer_lengths=(5,), max_gap=0, max_cands=3, max_steps=60)
+OPTIONS = G.Options(motif_length=9, spat_num_bins=3, spat_bin_size=20)
 
 
 def query(name: str, sql: str | None = None):
@@ -54,7 +54,7 @@ def _(spark, d):
 def _(spark, d):
     from dataclasses import replace
 
-    return _rows(spark, G.regress_pwm(planted(spark, d), "y", "GATTA", replace(OPTIONS, score_metric="ks", max_steps=6)), "ks")
+    return _rows(spark, G.regress_pwm(planted(spark, d), "y", "GATTA", replace(OPTIONS, score_metric="ks")), "ks")
 
 
 @query("regress_pwm_sample")
