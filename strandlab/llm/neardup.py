@@ -12,9 +12,12 @@ are the connected components of the links.
    members are compared with it. One large family of copies thus costs one
    comparison each, not one for each pair.
 3. Links verified so far give components. Where a bucket still holds several,
-   they are compared too, so no link between classes is lost: what meets a
-   component of ``LARGE`` or more nodes is compared with all of it in tiles of
-   bounded size, small components pair by pair. Pairs first pass two tests that
+   its members are compared across components, so no link between classes is
+   lost. A node that meets at most ``MEETS`` others in such buckets is compared
+   with each. Nodes in a crowd (many variants of one text, unlike enough to have
+   few links and like enough to share buckets) are paired by an exact prefix
+   filter on five-grams: the rarest of the crowd first, a pair at or above the
+   threshold shares one near both beginnings. Pairs first pass two tests that
    linked pairs meet: size ratio and agreement of 256 signature bits.
 4. Verification counts the common five-grams of both whole texts.
 
@@ -34,7 +37,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +50,7 @@ M = ROWS * BANDS
 BITS = 256
 SLICE, SLICE_TEXTS = 50_000, 500  # five-grams and texts that are signed at once
 MEMO = 50_000
-LARGE = 16  # nodes from which a component is compared in tiles
-TILE = 256
+MEETS = 64  # members of mixed buckets that a node may meet before it counts as crowded
 _words = re.compile(r"\w+")
 _mixers = mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -198,50 +199,58 @@ def _verified(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "ga", "gb").mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
-def _tiled(meets: DataFrame, known: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """A link (a, b) for every (large, node) of ``meets`` that has one to a member of the component.
+def _rarest(crowd: DataFrame, threshold: float) -> DataFrame:
+    """(node, comp, n, bits, e, pos): the members of each multiset that any linked one must share, rarest first.
 
-    Members and visitors are dealt into blocks of bounded size by a hash; a task
-    gets one block of each and counts common five-grams through an index of the
-    members, so neither a component nor its pairs ever stand in one place.
+    ``crowd``: (node, comp, n, bits, grams), materialised. Members are put into one
+    order, by the number of multisets that hold them; two of n and m members with
+    a similarity of t share at least t / (1 + t) * (n + m), hence one at most at
+    positions (n - m + s) / 2 + 1 and (m - n + s) / 2 + 1 of each, where
+    s = (1 - t) / (1 + t) * (n + m). Members that a single multiset holds only
+    move the others on.
     """
-    visitors = meets.groupBy("large").agg(F.count(F.lit(1)).alias("visitors"))
-    blocks = known.select(F.col("comp").alias("large"), "comp_size").distinct().join(visitors, "large")
-    blocks = blocks.select("large", F.ceil(F.col("comp_size") / TILE).alias("mb"), F.ceil(F.col("visitors") / TILE).alias("vb"))
-    blocks = staged(blocks, "blocks")
-    own = known.select(F.col("comp").alias("large"), F.col("node").alias("rid")).join(blocks, "large")
-    own = own.select("large", "rid", F.lit(True).alias("member"), F.pmod(F.xxhash64("rid"), "mb").alias("m"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("vb") - 1)).alias("v"))
-    other = meets.select("large", F.col("node").alias("rid")).join(blocks, "large")
-    other = other.select("large", "rid", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mb") - 1)).alias("m"), F.pmod(F.xxhash64("rid", F.lit(1)), "vb").alias("v"))
-    rows = staged(own.unionByName(other.select(own.columns)), "tiles")
-    ids = staged(rows.select("rid").distinct(), "ids")
-    grams = staged(sketch.select("rid", "grams").join(few_ids(ids), "rid", "left_semi"), "grams")
 
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        inner, outer = tile[tile.member], tile[~tile.member]
-        out = []
-        if len(inner) and len(outer):
-            lists = [_numbered(unpacked_grams(g)) for g in inner.grams]
-            sizes = np.array([len(x) for x in lists])
-            owner = np.repeat(np.arange(len(lists)), sizes)
-            values = np.concatenate(lists)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            for rid, raw in zip(outer.rid, outer.grams):
-                x = _numbered(unpacked_grams(raw))
-                lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-                width = hi - lo  # at most one of each member
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-                common = np.bincount(owner[at], minlength=len(lists))
-                s = common / (sizes + len(x) - common)
-                best = int(s.argmax())
-                if s[best] >= threshold:
-                    out.append((int(rid), int(inner.rid.iat[best])))
-            del tile, inner, outer, lists, values, owner, order
-            release_memory()
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return rows.join(grams, "rid").groupBy("large", "m", "v").applyInPandas(compare, "a bigint, b bigint")
+    def numbered_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [_numbered(unpacked_grams(g.as_py())).view(np.int64) for g in batch.column("grams")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.list_(pa.int64()))], names=["node", "es"])
+
+    lists = staged(crowd.select("node", "grams").mapInArrow(numbered_grams, "node bigint, es array<bigint>"), "members")
+    each = lists.select("node", F.explode("es").alias("e"))
+    common = staged(each.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
+    held = each.join(common, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("held"))
+    rows = crowd.select("node", "comp", "n", "bits").join(held, "node").withColumn("alone", F.col("n") - F.size("held"))
+    most = F.floor(F.col("n") * (1 - threshold) + 1e-6).cast("int") + 1
+    rows = rows.withColumn("held", F.slice("held", F.lit(1), F.greatest(most - F.col("alone"), F.lit(0))))
+    return rows.select("node", "comp", "n", "bits", "alone", F.posexplode("held").alias("at", "h")).select("node", "comp", "n", "bits", F.col("h.e").alias("e"), (F.col("alone") + F.col("at") + 1).alias("pos"))
+
+
+def _crowd_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the crowd, of different components, that share a member early enough to be linked.
+
+    Of a pair one has the shared member within its first (1 - t) / (1 + t) * n + 1
+    (a head). Heads of one component, size and position stand as one row in the
+    join, so a family of copies meets its surroundings once, not copy by copy.
+    """
+    k = (1 - threshold) / (1 + threshold)
+    rows = staged(_rarest(crowd, threshold), "rarest")
+    heads = rows.where(F.col("pos") <= k * F.col("n") + 1 + 1e-6)
+    keys = rows.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("e")
+    keys = staged(keys.join(heads.select("e").distinct(), "e", "left_semi"), "keys")
+    kinds = heads.join(keys, "e", "left_semi").groupBy("e", "comp", "n", "pos").agg(F.count(F.lit(1)).alias("heads"))
+    kinds = kinds.select("e", F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+    other = rows.join(keys, "e", "left_semi").select("e", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("bits").alias("bits_b"))
+    spare = k * (F.col("n_a") + F.col("n_b")) + 2 + 1e-6
+    early = (2 * F.col("pos_a") <= F.col("n_a") - F.col("n_b") + spare) & (2 * F.col("pos_b") <= F.col("n_b") - F.col("n_a") + spare)
+    met = kinds.join(other, "e").where((F.col("comp_a") != F.col("comp_b")) & _sizes(threshold) & early)
+    met = staged(met, "met")
+    own = heads.select("e", F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("node").alias("a"), F.col("bits").alias("bits_a"))
+    pairs = met.join(own, ["e", "comp_a", "n_a", "pos_a"]).where(_agree(threshold))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sizes(threshold: float):
+    return F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
 
 
 def _agree(threshold: float):
@@ -249,7 +258,7 @@ def _agree(threshold: float):
     p = (1 + threshold) / 2
     least = int(BITS * p - 6 * (BITS * p * (1 - p)) ** 0.5)
     same = BITS - sum((F.bit_count(F.col(f"bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0))
-    return (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")) & (same >= least)
+    return _sizes(threshold) & (same >= least)
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
@@ -273,30 +282,28 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     label = components(links)
 
     # Buckets that still hold several components.
-    sizes = label.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
-    known = staged(label.join(sizes, "comp"), "known")
-    one = F.lit(1).cast("bigint")
-    labelled = members.select("key", "node").join(known, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("comp_size", one).alias("comp_size"))
-    groups = labelled.groupBy("key", "comp").agg(F.max("comp_size").alias("comp_size"))
-    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key")
+    labelled = members.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     mixed = staged(mixed, "mixed")
     inside = staged(labelled.join(mixed, "key"), "inside")
 
-    # Large components are compared block by block with all that meets them ...
-    large = inside.where(F.col("comp_size") >= LARGE).select("key", F.col("comp").alias("large"), F.col("comp_size").alias("large_size")).distinct()
-    meets = inside.join(large, "key").where((F.col("comp") != F.col("large")) & ((F.col("comp_size") < F.col("large_size")) | ((F.col("comp_size") == F.col("large_size")) & (F.col("comp") > F.col("large")))))
-    meets = staged(meets.select("large", "node").distinct(), "meets")
-    found = [links.select("a", "b")]
-    if not meets.isEmpty():
-        found.append(staged(_tiled(meets, known, sketch, threshold), "tiled"))
-
-    # ... small ones pair by pair.
-    few = staged(inside.where(F.col("comp_size") < LARGE).select("key", "node", "comp").join(nodes.select("node", "n", "bits"), "node"), "few")
-    left = few.selectExpr("key", "node as a", "comp as comp_a", "n as n_a", "bits as bits_a")
-    right = few.selectExpr("key as key_b", "node as b", "comp as comp_b", "n as n_b", "bits as bits_b")
-    rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("a") < F.col("b")) & _agree(threshold)).select("a", "b").distinct()
+    # Who meets few others there is compared with all of them ...
+    met = inside.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
+    crowded = inside.join(met, "key").groupBy("node").agg((F.sum("met") > MEETS).alias("crowded"))
+    inside = staged(inside.select("key", "node", "comp").join(crowded, "node").join(nodes.select("node", "n", "bits"), "node"), "around")
+    left = inside.where("not crowded").selectExpr("key", "node as a", "comp as comp_a", "n as n_a", "bits as bits_a")
+    right = inside.selectExpr("key as key_b", "node as b", "comp as comp_b", "n as n_b", "bits as bits_b", "crowded")
+    rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("crowded") | (F.col("a") < F.col("b"))) & _agree(threshold))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # ... those in a crowd with whom shares one of their rarest five-grams.
+    crowd = inside.where("crowded").select("node", "comp", "n", "bits").distinct()
+    crowd = staged(crowd.join(sketch.select(F.col("rid").alias("node"), "grams"), "node"), "crowd")
+    if not crowd.isEmpty():
+        rest = rest.unionByName(_crowd_pairs(crowd, threshold))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = staged(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    found = [links.select("a", "b")]
     if not rest.isEmpty():
         found.append(_verified(rest, sketch, threshold).select("a", "b"))
     if len(found) > 1:

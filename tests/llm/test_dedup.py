@@ -103,10 +103,9 @@ def corpus(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("large", [4, 1000])
-def test_near_classes_equal_brute_force(spark, monkeypatch, large):
-    monkeypatch.setattr(neardup, "LARGE", large)
-    monkeypatch.setattr(neardup, "TILE", 16)
+@pytest.mark.parametrize("meets", [0, 4, 1000])
+def test_near_classes_equal_brute_force(spark, monkeypatch, meets):
+    monkeypatch.setattr(neardup, "MEETS", meets)
     rows = corpus()
     got = neardup.near_classes(docs(spark, rows)).collect()
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
@@ -114,6 +113,30 @@ def test_near_classes_equal_brute_force(spark, monkeypatch, large):
     assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def variants(n, words=44, seed=5):
+    """One-word variants of one text that isn't among them: many share buckets, few are linked."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    return [(i, " ".join(base[:at] + [f"x{i}"] + base[at + 1 :])) for i in range(n) for at in [rng.randrange(words)]]
+
+
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    counts, staged = {}, neardup.staged
+
+    def counted(df, tag):
+        out = staged(df, tag)
+        counts.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    for n in (150, 300):
+        rows = variants(n)
+        got = neardup.near_classes(docs(spark, rows)).collect()
+        assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+    for tag in ("pairs", "rest", "met", "rarest"):
+        assert counts[tag][1] <= max(60, 2.5 * counts[tag][0]), (tag, counts[tag])
+
+
 def test_near_edge_cases(spark):
     assert neardup.near_classes(docs(spark, [])).count() == 0
     rows = neardup.near_classes(docs(spark, [(None, "q w e r t y"), (4, "q w e r t y"), (4, "q w e r t y")])).collect()
