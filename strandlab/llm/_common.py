@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets a temporary one, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="strandlab-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,24 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
 
-    The files are removed when the driver process exits, or by ``drop_staged``.
+    The files are removed by ``free``, by ``drop_staged`` or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlab-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
 def drop_staged() -> None:
-    """Remove what ``staged`` has written; results that were not consumed yet become unreadable."""
+    """Remove what ``staged`` has written so far: for long sessions, once the results have been consumed."""
     while _written:
-        spark, path = _written.pop()
+        free(_written.pop())
+
+
+def free(*tables: DataFrame | tuple[SparkSession, str]) -> None:
+    """Remove tables of ``staged`` that nothing to come reads (later tables have been written from them)."""
+    for table in tables:
+        spark, path = table if isinstance(table, tuple) else (table.sparkSession, table._staged_path)
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
+        except Exception:  # the session may be gone already, and its folder with it
             return
 
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import drop_numbered, few_ids, numbered, release_memory, staged, table
+from strandlab.llm._common import drop_numbered, few_ids, free, numbered, release_memory, staged, table
 from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures
 
 GRAM, ROWS, BANDS = 5, 6, 48
@@ -170,14 +170,18 @@ def components(edges: DataFrame) -> DataFrame:
     label; a round is one written table, and stars take two rounds.
     """
     e = staged(edges.selectExpr("a as u", "b as v").unionByName(edges.selectExpr("b as u", "a as v")), "edges")
-    label = staged(e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")), "label")
+    label = last = staged(e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")), "label")
     while True:
         near = e.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("comp").alias("near"))
         better = staged(label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), "better")
         jump = better.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         new = staged(better.join(jump, "comp", "left").select("node", "old", F.coalesce("further", "comp").alias("comp")), "jumped")
         label = new.select("node", "comp")
-        if new.where("old <> comp").isEmpty():
+        done = new.where("old <> comp").isEmpty()
+        free(better, last)
+        last = new
+        if done:
+            free(e)
             return label
 
 
@@ -297,8 +301,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # ... those in a crowd with whom shares one of their rarest five-grams.
-    crowd = inside.where("crowded").select("node", "comp", "n", "bits").distinct()
-    crowd = staged(crowd.join(sketch.select(F.col("rid").alias("node"), "grams"), "node"), "crowd")
+    crowd = staged(inside.where("crowded").select("node", "comp", "n", "bits").distinct(), "crowd")
+    crowd = staged(sketch.select(F.col("rid").alias("node"), "grams").join(few_ids(crowd), "node"), "crowd")
     if not crowd.isEmpty():
         rest = rest.unionByName(_crowd_pairs(crowd, threshold))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -312,6 +316,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     classed = nodes.select("tkey", "node", "copies", "first").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = staged(classed.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size")), "classes")
     by_text = staged(classed.select("tkey", "node", "comp").join(classes, "comp"), "by_text")
+    free(nodes, shared, members, anchors, pairs, links, mixed, inside, crowd, rest, classes)
     out = sketch.select("rid", "id", "tkey").join(by_text, "tkey")
     return out.select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("kept"), "node", "rid")
 
