@@ -4,10 +4,12 @@ The index holds the test items, cut into pieces of at most ``PIECE`` words so
 that each fits whole into some passage. Every training text is cut into passages
 of ``WINDOW`` words that overlap by half; every passage is a query. Impacts are
 BM25 scores divided by the piece's score against itself, so one threshold fits
-short and long items alike. Retrieval returns every piece at or above the
-threshold: for a whole text at once, the block maxima of its words are summed by
-passage; blocks whose sum can't reach the threshold are skipped, then pieces by
-their own sums, and only the rest is scored.
+short and long items alike. Posting lists are kept by term and, inside a term, by
+block of ``BLOCK`` pieces with the block's largest impact. Retrieval returns every
+piece at or above the threshold: a passage whose words' largest impacts don't
+reach it is skipped, then blocks by the sum of their maxima, then pieces by their
+own sums, and only the rest is scored. Texts are read in slices of ``SLICE`` words,
+so memory follows neither the length of a text nor the number of pieces.
 
 A retrieved (text, item) pair is verified on the whole text: the shares of the
 question's and of the answer's word five-grams that occur in it (shorter answers:
@@ -15,12 +17,15 @@ the answer as a whole). The item leaks when both are at least half, or when at
 least 0.8 of the whole item's five-grams occur. Where the items have no answer
 column, the last sentence counts as the answer.
 
-Items are indexed in blocks of ``block_items``; each block scans the texts once,
-so what is broadcast has a fixed bound however many items there are.
+Items are dealt into indexes of about ``INDEX_WORDS`` words and ``SCAN_INDEXES``
+indexes are searched in one scan of the texts, so what a scan broadcasts has a
+fixed bound however many items there are (a single item longer than that is an
+index of its own size).
 
 Edge cases: null text or items without words match nothing; items with the same
 words are separate items and both are reported; a null doc_id is kept; repeated
-rows each report; no items at all give an empty result.
+rows each report; other columns are ignored, whatever their names; no items at
+all give an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +36,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import table
+from strandlab.llm._common import release_memory, table
 
 PIECE, WINDOW = 32, 64
 STRIDE = WINDOW // 2
 BLOCK = 8
+SLICE = 64 * STRIDE  # words of a text that are searched at once
+INDEX_WORDS, SCAN_INDEXES = 100_000, 8
 K1, B = 1.2, 0.75
 N_GRAM = 5
 _words = re.compile(r"\w+")
@@ -66,14 +73,30 @@ def grams(tokens: list[str]) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)} if n else set()
 
 
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
+class _Terms(dict):
+    def __missing__(self, term: str) -> int:
+        return -1
+
+
 @dataclass
 class ItemIndex:
-    terms: dict[str, int]
-    impacts: np.ndarray  # term x piece, share of the piece's own score; last a row of zeros for words the index doesn't have
+    terms: _Terms
+    top: np.ndarray  # largest impact of each term; last a zero for words the index doesn't have
+    term_blocks: np.ndarray  # where the blocks of each term begin, and the end
+    block: np.ndarray  # of each (term, block): its number, largest impact and where its postings begin
+    block_max: np.ndarray
+    block_postings: np.ndarray
+    piece: np.ndarray  # of each posting
+    impact: np.ndarray  # share of the piece's own score
     piece_item: np.ndarray
     item_ids: list
     parts: list[tuple[set, set, set]]  # five-grams of question, answer, whole
-    maxima: np.ndarray  # term x block
 
     @classmethod
     def build(cls, items: list[tuple]) -> ItemIndex:
@@ -91,48 +114,91 @@ class ItemIndex:
                 pieces.append(Counter(whole[k : k + size]))
                 owner.append(len(ids))
             ids.append(item_id)
-        terms = {t: i for i, t in enumerate(sorted({t for p in pieces for t in p}))}
+        terms = _Terms((t, i) for i, t in enumerate(sorted({t for p in pieces for t in p})))
         n = len(pieces)
-        impacts = np.zeros((len(terms), n), np.float32)
-        if n:
-            df = Counter(t for p in pieces for t in p)
-            mean = sum(sum(p.values()) for p in pieces) / n
-            for j, p in enumerate(pieces):
-                norm = K1 * (1 - B + B * sum(p.values()) / mean)
-                for t, tf in p.items():
-                    impacts[terms[t], j] = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm)
-            impacts /= impacts.sum(axis=0)
-        starts = np.arange(0, n, BLOCK)
-        impacts = np.vstack([impacts, np.zeros((1, n), np.float32)])
-        maxima = np.maximum.reduceat(impacts, starts, axis=1) if n else impacts
-        return cls(terms, impacts, np.array(owner, np.int64), ids, parts, maxima)
+        term = np.array([terms[t] for p in pieces for t in p], np.int64)
+        piece = np.repeat(np.arange(n), [len(p) for p in pieces])
+        tf = np.array([c for p in pieces for c in p.values()], float)
+        size = np.array([sum(p.values()) for p in pieces], float)
+        df = np.bincount(term, minlength=len(terms))
+        norm = K1 * (1 - B + B * size / size.mean()) if n else size
+        impact = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[piece])
+        impact /= np.bincount(piece, impact, n)[piece]
+        order = np.lexsort((piece, term))
+        term, piece, impact = term[order], piece[order], impact[order]
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (piece[1:] // BLOCK != piece[:-1] // BLOCK)
+        at = np.flatnonzero(first)
+        block_max = np.maximum.reduceat(impact, at) if len(at) else impact
+        term_blocks = np.searchsorted(term[at], np.arange(len(terms) + 1))
+        top = np.append(np.maximum.reduceat(impact, np.searchsorted(term, np.arange(len(terms)))) if len(terms) else [], 0.0)
+        return cls(terms, top, term_blocks, piece[at] // BLOCK, block_max, np.append(at, len(term)), piece, impact, np.array(owner, np.int64), ids, parts)
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """Term numbers, -1 for words the index doesn't have."""
+        return np.fromiter(map(self.terms.__getitem__, tokens), np.int64, len(tokens))
 
     def retrieve(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
-        """Items with a piece at or above the threshold in some passage, with their best score. ``ids``: term numbers, -1 elsewhere."""
-        starts = np.arange(0, len(ids), STRIDE)
+        """Items with a piece at or above the threshold in some passage, with their best score."""
+        found: dict[int, float] = {}
+        for k in range(0, len(ids), SLICE):
+            # The slices overlap by half a passage.
+            for item, score in self._slice(ids[k : k + SLICE + STRIDE], threshold).items():
+                found[item] = max(found.get(item, 0.0), score)
+        return found
+
+    def _slice(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
+        halves = -(-len(ids) // STRIDE)
+        known = ids >= 0
+        # A word counts once in each half passage; one in both halves counts twice, so sums are bounds.
+        pairs = np.unique((np.arange(len(ids)) // STRIDE * len(self.top) + ids)[known])
+        half, term = pairs // len(self.top), pairs % len(self.top)
 
-        def bounds(rows: np.ndarray) -> np.ndarray:
-            """By passage; a repeated word counts again, so these are bounds."""
-            sums = np.add.reduceat(rows, starts, axis=0)
-            return sums[:-1] + sums[1:] if len(starts) > 1 else sums
+        def passages(rows: np.ndarray) -> np.ndarray:
+            return rows[:-1] + rows[1:] if len(rows) > 1 else rows
 
         found: dict[int, float] = {}
-        blocks = np.flatnonzero((bounds(self.maxima[ids]) >= threshold - 1e-4).any(axis=0))
-        if not len(blocks):
+        live = passages(np.bincount(half, self.top[term], halves)) >= threshold - 1e-9
+        if not live.any():
             return found
-        pieces = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        pieces = pieces[pieces < len(self.piece_item)]
-        rows = self.impacts[ids] if 2 * len(pieces) > len(self.piece_item) else self.impacts[np.ix_(ids, pieces)]
-        if rows.shape[1] == len(self.piece_item):
-            pieces = np.arange(len(self.piece_item))
-        for w, p in zip(*np.nonzero(bounds(rows) >= threshold - 1e-4)):
-            seen = np.unique(ids[w * STRIDE : w * STRIDE + WINDOW])
-            score = float(self.impacts[seen, pieces[p]].sum())
-            if score >= threshold - 1e-6:
+        near = np.zeros(halves, bool)  # half passages of live passages
+        near[: len(live)] |= live
+        if halves > 1:
+            near[1:] |= live
+        half, term = half[near[half]], term[near[half]]
+        start, count = self.term_blocks[term], self.term_blocks[term + 1] - self.term_blocks[term]
+        at, of = _runs(start, count), np.repeat(half, count)
+        block, blocks = self.block[at], -(-len(self.piece_item) // BLOCK)
+        sums = np.bincount(of * blocks + block, self.block_max[at], halves * blocks).reshape(halves, -1)
+        hit = (passages(sums) >= threshold - 1e-9).any(axis=0)
+        if not hit.any():
+            return found
+        open_ = hit[block]
+        at, of = at[open_], of[open_]
+        start, count = self.block_postings[at], self.block_postings[at + 1] - self.block_postings[at]
+        at, of = _runs(start, count), np.repeat(of, count)
+        pieces, local = np.unique(self.piece[at], return_inverse=True)
+        sums = np.bincount(of * len(pieces) + local, self.impact[at], halves * len(pieces)).reshape(halves, -1)
+        for w, p in zip(*np.nonzero(passages(sums) >= threshold - 1e-9)):
+            seen = set(ids[w * STRIDE : w * STRIDE + WINDOW].tolist())
+            score = self._score(seen, int(pieces[p]))
+            if score >= threshold - 1e-9:
                 item = int(self.piece_item[pieces[p]])
                 found[item] = max(found.get(item, 0.0), score)
         return found
 
+    def _score(self, seen: set[int], piece: int) -> float:
+        score = 0.0
+        for t in seen - {-1}:
+            lo, hi = self.term_blocks[t], self.term_blocks[t + 1]
+            b = lo + np.searchsorted(self.block[lo:hi], piece // BLOCK)
+            if b < hi and self.block[b] == piece // BLOCK:
+                lo, hi = self.block_postings[b], self.block_postings[b + 1]
+                k = lo + np.searchsorted(self.piece[lo:hi], piece)
+                if k < hi and self.piece[k] == piece:
+                    score += float(self.impact[k])
+        return score
+
     def overlaps(self, item: int, text_grams) -> tuple[float, float, float]:
         return tuple(sum(g in text_grams[len(g)] for g in part) / len(part) for part in self.parts[item])
 
@@ -152,44 +218,43 @@ def leaks(q: float, a: float, whole: float) -> bool:
     return (q >= 0.5 and a >= 0.5) or whole >= 0.8
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_items: int = 500, answer_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, index_words: int = INDEX_WORDS, answer_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text and leaked item: doc_id, item_id, best passage score, overlaps."""
     spark = docs.sparkSession
     chosen = items.select("item_id", "text", (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
-    blocks = -(-chosen.count() // block_items)
+    spaces = F.sum(F.size(F.split(F.concat_ws(" ", "text", "answer"), r"\W+")))  # words, about
+    indexes = max(1, -(-(chosen.agg(spaces).first()[0] or 0) // index_words))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(indexes))
     out = spark.createDataFrame([], LEAKS)
-    for b in range(blocks):
-        part = chosen.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = ItemIndex.build(sorted((tuple(r) for r in part.collect()), key=str))
-        out = out.unionByName(_scan(docs, index, threshold, id_col, text_col))
+    for first in range(0, indexes, SCAN_INDEXES):
+        # At most SCAN_INDEXES * index_words words of items are held at a time.
+        rows = chosen.where(number.between(first, first + SCAN_INDEXES - 1)).select(number.alias("index"), "item_id", "text", "answer").collect()
+        parts: dict[int, list] = {}
+        for r in sorted((tuple(r) for r in rows), key=str):
+            parts.setdefault(r[0], []).append(r[1:])
+        out = out.unionByName(_scan(docs, [ItemIndex.build(p) for p in parts.values()], threshold, id_col, text_col))
     return out
 
 
-def _scan(docs: DataFrame, index: ItemIndex, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _scan(docs: DataFrame, indexes: list[ItemIndex], threshold: float, id_col: str, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
-        number = ix.terms.get
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["id"], batch["text"]):
-                tokens = words(text)
-                if not tokens or not len(ix.item_ids):
-                    continue
-                ids = np.fromiter((number(t, -1) for t in tokens), np.int64, len(tokens))
-                found = ix.retrieve(ids, threshold)
-                if not found:
-                    continue
+            for doc_id, text in zip(batch.column("id"), batch.column("text")):
+                tokens = words(text.as_py())
                 own = _Grams(tokens)
-                for item, score in found.items():
-                    q, a, whole = ix.overlaps(item, own)
-                    if leaks(q, a, whole):
-                        rows.append((doc_id, ix.item_ids[item], score, q, a, whole))
-            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "passage_score", "question_overlap", "answer_overlap", "overlap"])
-            yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(scan, LEAKS)
+                for ix in shared.value if tokens else ():
+                    for item, score in ix.retrieve(ix.numbers(tokens), threshold).items():
+                        q, a, whole = ix.overlaps(item, own)
+                        if leaks(q, a, whole):
+                            rows.append((doc_id.as_py(), ix.item_ids[item], score, q, a, whole))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, [pa.int64()] * 2 + [pa.float64()] * 4)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LEAKS.split(", ")])
+        release_memory()
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, LEAKS)
 
 
 def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
