@@ -6,7 +6,8 @@ the least padding. A batch holds as many documents of one bucket as the token
 budget allows at the bucket's upper length (one, where a document alone exceeds
 it). Documents of a bucket are ordered by length, then by a hash of their row,
 and numbered without gathering the bucket: counts of (length, hash cell) give
-each cell its offset, row numbers exist only within a cell.
+each cell its offset, row numbers exist only within a cell. The number of cells
+follows the number of documents, so a length that a third of them share is spread.
 
 Every document gets exactly one place; nothing is cut. Edge cases: null and
 empty texts have length 0 and are placed too; ties and repeated rows get places
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from strandlab.llm._common import staged, table
 from strandlab.llm.tokens import VOCABULARY, with_token_counts
 
-CELLS = 256
+CELL_DOCS = 20_000  # documents a cell may hold, about, where all have one length
 
 
 def best_boundaries(lengths, counts, buckets: int) -> tuple[list[int], int]:
@@ -72,7 +73,9 @@ def packed(docs: DataFrame, vocabulary: str | None = VOCABULARY, buckets: int =
     """One row per document: doc_id, n_tokens, bucket, bucket_length, batch, slot, batch_size, padding."""
     counted = with_token_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), vocabulary)
     rid = F.monotonically_increasing_id()
-    lengths = staged(counted.select("doc_id", "n_tokens", rid.alias("rid")).withColumn("cell", F.pmod(F.xxhash64("rid"), F.lit(CELLS))), "lengths")
+    lengths = staged(counted.select("doc_id", "n_tokens", rid.alias("rid")), "lengths")
+    number_of_cells = max(16, lengths.count() // CELL_DOCS)
+    lengths = lengths.withColumn("cell", F.pmod(F.xxhash64("rid"), F.lit(number_of_cells)))
     cells = staged(lengths.groupBy("n_tokens", "cell").agg(F.count(F.lit(1)).alias("docs")), "cells")
     rows = cells.groupBy("n_tokens").agg(F.sum("docs").alias("docs")).collect()  # one per distinct length
     bounds, _ = best_boundaries([r.n_tokens for r in rows], [r.docs for r in rows], buckets)

@@ -8,14 +8,21 @@ every context limit without touching a text again.
 The vocabulary file (public byte-level BPE ranks) is a parameter, read on the
 driver and broadcast (0.8 MB). Without a file, lengths are UTF-8 bytes.
 
+Runs of ``LONG_SPACE`` white spaces or more, on which the encoder's regular
+expression fails, are encoded on their own: the pattern always cuts such a run
+before its last character (at the end of the text: after it), so the count is
+the encoder's.
+
 Edge cases: null and empty texts have length 0 and count as documents; repeated
 rows count each; an empty table gives an empty histogram; strings of special
-tokens in a text are ordinary text.
+tokens in a text are ordinary text; an input column of the name of the count is
+replaced by it, all others are kept.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +34,9 @@ from strandlab.llm._common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_SPACE = 1000
+#: Unicode's white space (fixed value).
+_long_space = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 _encoders: dict = {}
 
 
@@ -40,6 +50,15 @@ def _encoder(raw: bytes):
     return _encoders[raw]
 
 
+def token_count(encoder, text: str) -> int:
+    n = at = 0
+    for m in _long_space.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        n += len(encoder.encode_ordinary(text[at : m.start()])) + len(encoder._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(encoder.encode_ordinary(text[at:]))
+
+
 def with_token_counts(docs: DataFrame, vocabulary: str | None = VOCABULARY, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """``docs`` with the encoded length of each whole text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -50,9 +69,9 @@ def with_token_counts(docs: DataFrame, vocabulary: str | None = VOCABULARY, text
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoder(shared.value).encode_ordinary
+        encoder = _encoder(shared.value)
         for texts in batches:
-            yield pd.Series([len(encode(t)) for t in texts], dtype="int64")
+            yield pd.Series([token_count(encoder, t) for t in texts], dtype="int64")
 
     return docs.withColumn(out_col, count(text))
 
