@@ -13,7 +13,10 @@ and of those only texts of up to ``MAX_FIT_BYTES`` bytes. Scoring reads every ro
 
 Edge cases: null or empty text scores like a text of no bytes; a null id is never
 held out; a table without usable labels of both classes gives 0.5 for all rows;
-labels that are null are ignored; an id with several labels counts once for each.
+labels that are null are ignored; an id with several labels counts once for each,
+one with several rows once; repeated rows are each scored, alike; an empty table
+gives an empty result; the score replaces an input column of its name, all other
+columns are kept.
 """
 
 from __future__ import annotations
@@ -113,15 +116,15 @@ def fit_compression(texts: list[str], labels: list[int], dict_bytes: int = 64 *
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> list[tuple[int, str, int]]:
-    """At most ``per_class`` rows (id, text, label) of each class, by the smallest hashes of their ids."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)")
+    """At most ``per_class`` rows (id, text, label) of each class, by the smallest hashes of their ids; of an id's texts the smallest."""
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)").distinct()
     chosen = None
     for c in (0, 1):
         part = known.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # 2 * per_class ids at most: a fixed bound, so the broadcast is safe at any size.
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id").where(F.octet_length("text") <= max_bytes)
-    return sorted((r.id, r.text, r.y) for r in rows.collect())
+    return sorted((r.id, r.text, r.y) for r in rows.groupBy("id", "y").agg(F.min("text").alias("text")).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1000) -> CompressionModel | None:

@@ -2,15 +2,16 @@
 
 Terms are lower-case words and their beginnings of four to seven letters (so a
 stem is found in a word never seen before). Of these the index keeps the terms
-whose presence depends on the label in the examples (chi-square), which makes
-the cosine speak about toxicity instead of topic. Weights are
+that three examples have and whose presence depends on the label (chi-square of
+``least_chi2`` or more), all of them, which makes the cosine speak about toxicity
+instead of topic. Weights are
 (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), vectors have unit length.
 
-The index holds the examples in blocks; per term and block it stores the largest
-weight. A query bounds every block by the sum over its terms, opens blocks by
+The index is a posting list for each term, cut by blocks of examples; each piece
+knows its largest weight. A query bounds every block by the sum over its terms, opens blocks by
 falling bound and stops when the k-th best cosine found reaches the next bound:
 the k nearest are exact. Texts without any kept term are nearest (cosine 1) to
-the examples without any.
+all examples without any.
 
 Votes are weighted by cosine and by class (the examples are drawn evenly from
 both classes, the votes restore the classes' share among all labelled rows), and
@@ -24,7 +25,9 @@ reads every row and whole texts.
 
 Edge cases: null or empty text has no terms; a null id is never held out;
 without usable labels of both classes all rows score 0.5; ties of cosine go to
-the smaller id; null labels are ignored.
+the smaller id; null labels are ignored; repeated rows are each scored, alike; an
+empty table gives an empty result; the score replaces an input column of its name,
+all other columns are kept.
 """
 
 from __future__ import annotations
@@ -66,28 +69,43 @@ def term_counts(text: str | None) -> Counter:
     return counts
 
 
+def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
 @dataclass
 class ExampleIndex:
-    """Unit vectors of the labelled examples, term-major, with block maxima."""
+    """Unit vectors of the labelled examples as posting lists by term, inside a term by block with the block's largest weight."""
 
     terms: dict[str, int]
     idf: np.ndarray
-    weights: np.ndarray  # term x example
+    vectors: list[tuple[np.ndarray, np.ndarray]]  # terms and weights of each example
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray  # weight of an example's vote by its class
     k: int = 15
     block: int = 64
     curve: tuple[float, float] = (0.0, 1.0)
-    maxima: np.ndarray = field(default=None)
     bare: np.ndarray = field(default=None)  # examples without terms
     heads: frozenset = frozenset()  # how the terms begin: most words end here
 
     def __post_init__(self):
-        n = self.weights.shape[1]
-        starts = np.arange(0, n, self.block)
-        self.maxima = np.maximum.reduceat(self.weights, starts, axis=1) if n and len(self.terms) else np.zeros((len(self.terms), len(starts)), np.float32)
-        self.bare = np.flatnonzero(~self.weights.any(axis=0))
+        size = np.array([len(at) for at, _ in self.vectors], np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in self.vectors)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
+        example = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((example, term))
+        term, self._example, self._weight = term[order], example[order], weight[order]
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (self._example[1:] // self.block != self._example[:-1] // self.block)
+        at = np.flatnonzero(first)
+        self._block = self._example[at] // self.block
+        self._block_max = np.maximum.reduceat(self._weight, at) if len(at) else self._weight
+        self._postings = np.append(at, len(term))
+        self._blocks_of = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
+        self.bare = np.flatnonzero(size == 0)
         self.heads = frozenset(t.rstrip("*")[: STEMS[0]] for t in self.terms)
 
     def _known(self, chunk: str) -> tuple[int, ...]:
@@ -112,22 +130,28 @@ class ExampleIndex:
         return at, w / np.sqrt((w * w).sum()) if len(at) else w
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, exactly."""
+        """Positions and cosines of the k nearest examples, exactly (without terms: all examples without any)."""
         if not len(at):
-            best = self.bare[:k] if len(self.bare) < self.k or k > self.k else self.bare
-            return best, np.ones(len(best))
-        bounds = w @ self.maxima[at]
+            return self.bare, np.ones(len(self.bare))
+        lists = runs(self._blocks_of[at], self._blocks_of[at + 1] - self._blocks_of[at])
+        of = np.repeat(w, self._blocks_of[at + 1] - self._blocks_of[at])
+        block = self._block[lists]
+        n = len(self.ids)
+        bounds = np.bincount(block, of * self._block_max[lists], -(-n // self.block))
         order = np.argsort(-bounds, kind="stable")
         found, cosines, step, done = np.zeros(0, np.int64), np.zeros(0), 4, 0
         while done < len(order) and bounds[order[done]] > 0:
             if len(found) >= k and cosines[k - 1] > bounds[order[done]] + 1e-6:
                 break
-            now = order[done : done + step]
-            pos = (now[:, None] * self.block + np.arange(self.block)).ravel()
-            pos = pos[pos < self.weights.shape[1]]
-            c = w @ self.weights[np.ix_(at, pos)]
-            hit = c > 0
-            found, cosines = np.concatenate([found, pos[hit]]), np.concatenate([cosines, c[hit]])
+            now = np.zeros(len(bounds), bool)
+            now[order[done : done + step]] = True
+            opened = np.flatnonzero(now[block])
+            start = self._postings[lists[opened]]
+            size = self._postings[lists[opened] + 1] - start
+            here = runs(start, size)
+            c = np.bincount(self._example[here], np.repeat(of[opened], size) * self._weight[here], n)
+            pos = np.flatnonzero(c)
+            found, cosines = np.concatenate([found, pos]), np.concatenate([cosines, c[pos]])
             top = np.lexsort((self.ids[found], -np.round(cosines, 6)))[:k]
             found, cosines = found[top], cosines[top]
             done, step = done + step, step * 2
@@ -164,7 +188,7 @@ def distinct_examples(rows: list[tuple[int, str, int]]) -> list[tuple[int, str,
     return kept
 
 
-def fit_examples(rows: list[tuple[int, str, int]], share: float | None = None, k: int = 15, max_terms: int = 4096, least_chi2: float = 12.0) -> ExampleIndex | None:
+def fit_examples(rows: list[tuple[int, str, int]], share: float | None = None, k: int = 15, least_chi2: float = 12.0) -> ExampleIndex | None:
     """``share``: the toxic share among all labelled rows; None: that of ``rows``."""
     rows = distinct_examples(rows)
     labels = np.array([y for _, _, y in rows], dtype=np.int64)
@@ -178,19 +202,18 @@ def fit_examples(rows: list[tuple[int, str, int]], share: float | None = None, k
     names = sorted(t for t in df[0].keys() | df[1].keys() if df[0][t] + df[1][t] >= 3)
     b, a = (np.array([df[y][t] for t in names], float) for y in (0, 1))
     chi2 = (a * (n0 - b) - b * (n1 - a)) ** 2 * len(rows) / np.maximum((a + b) * (n0 + n1 - a - b) * float(n0) * n1, 1e-9)
-    kept = [i for i in np.argsort(-chi2, kind="stable")[:max_terms] if chi2[i] >= least_chi2]
+    kept = np.flatnonzero(chi2 >= least_chi2)
     terms = {names[i]: j for j, i in enumerate(kept)}
-    idf = 1 + np.log((1 + len(rows)) / (1 + (a + b)[kept])) if kept else np.zeros(0)
+    idf = 1 + np.log((1 + len(rows)) / (1 + (a + b)[kept]))
     share = float(labels.mean()) if share is None else share
     votes = np.where(labels == 1, share / n1, (1 - share) / n0) * len(rows)
-    w = np.zeros((len(terms), len(rows)), np.float32)
-    for j, c in enumerate(counts):
-        at = [(terms[t], n) for t, n in c.items() if t in terms]
-        if at:
-            i = np.array([x for x, _ in at])
-            v = (1 + np.log([n for _, n in at])) * idf[i]
-            w[i, j] = v / np.sqrt((v * v).sum())
-    index = ExampleIndex(terms, idf, w, np.array([r[0] for r in rows]), labels, votes, k)
+    vectors = []
+    for c in counts:
+        at = sorted((terms[t], n) for t, n in c.items() if t in terms)
+        i = np.array([x for x, _ in at], np.int64)
+        v = (1 + np.log([n for _, n in at])) * idf[i] if at else np.zeros(0)
+        vectors.append((i, v / np.sqrt((v * v).sum()) if at else v))
+    index = ExampleIndex(terms, idf, vectors, np.array([r[0] for r in rows]), labels, votes, k)
     index.curve = _calibrate(index)
     return index
 
@@ -199,10 +222,7 @@ def _calibrate(index: ExampleIndex) -> tuple[float, float]:
     """A logistic curve over the votes each example gets from the others."""
     z = np.zeros(len(index.labels))
     for j in range(len(z)):
-        at = np.flatnonzero(index.weights[:, j])
-        pos, cosines = index.nearest(at, index.weights[at, j].astype(float), index.k + 1)
-        if not len(at):
-            pos, cosines = index.bare, np.ones(len(index.bare))
+        pos, cosines = index.nearest(*index.vectors[j], index.k + 1)
         other = pos != j
         z[j] = index.vote(pos[other], cosines[other])
     y, u = index.labels.astype(float), index.votes
@@ -228,7 +248,7 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex | None, text_col: str =
     kind = "score double, evidence array<struct<id: bigint, cosine: double, label: int>>"
     if index is None:
         return docs.withColumn(out_col, F.struct(F.lit(0.5).alias("score"), F.array().cast("array<struct<id: bigint, cosine: double, label: int>>").alias("evidence")))
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * per_class examples and max_terms terms
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * per_class examples of at most MAX_FIT_BYTES each
 
     @F.pandas_udf(kind)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -243,7 +263,7 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex | None, text_col: str =
                     z[i] = ix.vote(pos, cosines)
                 else:
                     z[i], pos, cosines = bare
-                evidence.append([{"id": int(ix.ids[p]), "cosine": float(c), "label": int(ix.labels[p])} for p, c in zip(pos[:5], cosines[:5])])
+                evidence.append([{"id": int(ix.ids[p]), "cosine": float(c), "label": int(ix.labels[p])} for p, c in zip(pos[: ix.k], cosines[: ix.k])])
             yield pd.DataFrame({"score": ix.probability(z), "evidence": evidence})
 
     return docs.withColumn(out_col, scored(F.col(f"`{text_col}`")))
