@@ -2,6 +2,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from strandlab.llm import decontam, quality
@@ -53,6 +54,28 @@ def test_stages_keep_the_columns(spark):
     assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
 
+def test_stages_with_odd_rows(spark):
+    """Null ids and texts, repeated rows, a very long text, columns with clashing and dotted names."""
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    rows = [(1, "q r s t u v"), (1, "q r s t u v"), (None, None), (None, ""), (2, None), (3, long), (None, " " * 2_000_000)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int")
+    names = ["score", "a.b", "__rid", "__row", "rid", "node", "id", "keep_id", "n_tokens", "bucket", "cell"]
+    docs = docs.select("*", *[F.col("n").alias(c) for c in names if c not in ("__rid", "__row")])
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, DATA).collect()
+        if name == "packing":
+            assert len(out) == len(rows) and len({(r.bucket, r.batch, r.slot) for r in out}) == len(rows)
+            continue
+        assert stage(spark, docs, DATA).columns == docs.columns, name
+        got = sorted(r.n for r in out)
+        if name == "exact_dedup":
+            assert got == [0, 4, 5, 6]
+        elif name == "near_dedup":
+            assert got == [0, 4, 5]
+        elif name == "decontamination":
+            assert got == list(range(7))
+
+
 def test_rows_without_or_with_repeated_ids(spark, tmp_path):
     def docs(rows):
         return spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -67,11 +68,15 @@ def test_histogram_answers(spark):
 
 def test_token_counts_are_the_encoders(spark):
     texts = ["Hello world", "", "ünï<|endoftext|> 123", None, "a" * 5000]
+    for n in (999, 1000, 1001, 5000):  # around the length from which white space is encoded on its own
+        texts += ["a" + mark * n + tail for mark in (" ", "\n", "\t ", "\u3000") for tail in ("", "b", "!", "7", "\x1f", " \n9")]
     df = docs(spark, list(enumerate(texts)))
     with open(tokens.VOCABULARY, "rb") as f:
         encode = tokens._encoder(f.read()).encode_ordinary
     got = {r.doc_id: r.n_tokens for r in tokens.with_token_counts(df).collect()}
     assert got == {i: len(encode(t or "")) for i, t in enumerate(texts)}
+    huge = tokens.with_token_counts(docs(spark, [(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_000 + "b")])).collect()
+    assert all(r.n_tokens > 0 for r in huge)
 
 
 def brute_padding(lengths, counts, k):
@@ -120,28 +125,61 @@ def test_leaks(spark):
     rows = [(1, filler(500) + " " + ITEM.upper().replace(".", " !") + " " + filler(300)), (2, filler(200)), (3, None), (4, "What is the tallest mountain"), (5, ITEM), (5, ITEM), (6, ITEM.replace("northern", "southern"))]
     got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, rows), items).collect())
     assert got == [(1, 1), (5, 1), (5, 1), (6, 1)]
-    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, rows), items, block_items=1).collect()) == got
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, rows), items, index_words=10).collect()) == got
     assert decontam.contaminated(docs(spark, rows), items.limit(0)).count() == 0
     split = items.withColumn("answer", F.lit("mount example"))
     assert decontam.contaminated(docs(spark, [(9, ITEM + " mount example")]), split.limit(1), answer_col="answer").count() == 1
 
 
-def test_retrieval_equals_plain_bm25():
+def plain_bm25(items, passages, threshold):
+    """Best score of each item over all passages, without an index."""
+    from collections import Counter
+    from math import log
+
+    pieces = []
+    for i, text, _ in items:
+        w = decontam.words(text)
+        n = -(-len(w) // decontam.PIECE)
+        size = -(-len(w) // n)
+        pieces += [(i, Counter(w[k : k + size])) for k in range(0, len(w), size)]
+    df, mean = Counter(t for _, p in pieces for t in p), sum(sum(p.values()) for _, p in pieces) / len(pieces)
+
+    def weights(p):
+        norm = decontam.K1 * (1 - decontam.B + decontam.B * sum(p.values()) / mean)
+        out = {t: log(1 + (len(pieces) - df[t] + 0.5) / (df[t] + 0.5)) * c * (decontam.K1 + 1) / (c + norm) for t, c in p.items()}
+        return {t: v / sum(out.values()) for t, v in out.items()}
+
+    best = {}
+    for i, p in pieces:
+        w = weights(p)
+        for words in passages:
+            score = sum(w.get(t, 0) for t in set(words))
+            if score >= threshold:
+                best[i] = max(best.get(i, 0), score)
+    return best
+
+
+@pytest.mark.parametrize("slice_words", [32, 96, 2048])
+def test_retrieval_equals_plain_bm25(monkeypatch, slice_words):
+    monkeypatch.setattr(decontam, "SLICE", slice_words)
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocab, k=rng.randint(5, 70))), None) for i in range(40)]
     ix = decontam.ItemIndex.build(items)
     for _ in range(30):
-        words = rng.choices(vocab + ["zz"], k=rng.randint(1, 200))
-        ids = np.array([ix.terms.get(w, -1) for w in words])
-        expected = {}
-        for s in range(0, max(1, len(ids) - decontam.WINDOW + decontam.STRIDE), decontam.STRIDE):
-            seen = sorted({i for i in ids[s : s + decontam.WINDOW] if i >= 0})
-            scores = ix.impacts[seen].sum(axis=0)
-            for p in np.flatnonzero(scores >= 0.6):
-                item = int(ix.piece_item[p])
-                expected[item] = max(expected.get(item, 0), float(scores[p]))
-        assert ix.retrieve(ids, 0.6) == pytest.approx(expected)
+        words = rng.choices(vocab + ["zz"], k=rng.randint(1, 300))
+        starts = range(0, max(1, len(words) - decontam.STRIDE), decontam.STRIDE)
+        expected = plain_bm25(items, [words[s : s + decontam.WINDOW] for s in starts], 0.6)
+        assert {ix.item_ids[i]: v for i, v in ix.retrieve(ix.numbers(words), 0.6).items()} == pytest.approx(expected)
+
+
+def test_very_long_texts_and_items():
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    item = " ".join(rng.choices(vocab, k=20_000))
+    ix = decontam.ItemIndex.build([(1, item, None), (2, "other words entirely, none of these here", None)])
+    text = rng.choices(vocab, k=300_000) + decontam.words(item) + rng.choices(vocab, k=1000)
+    assert ix.retrieve(ix.numbers(text), 0.5).keys() == {0}
 
 
 def test_neighbours_of_a_large_host(spark):
@@ -179,6 +217,73 @@ def test_cards_beside_other_numbers(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymised(out.select("doc_id", "text"), "k", back=True).collect()} == dict(enumerate(cases))
 
 
+def iban_valid(text):
+    t = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def test_ibans(spark):
+    cases = ["pay DE89 3704 0044 0532 0130 00 now", "GB82WEST12345698765432.", "FR14 2004 1010 0505 0001 3M02 606", "DE89 3704 0044 0532 0130 01", "PL61 1090 1014 0000 0712 1981 2874 and +1 (984) 555-5227", "NL91ABNA0417164300"]
+    out = pii.pseudonymised(docs(spark, list(enumerate(cases))), "k")
+    rows = {r.doc_id: r for r in out.collect()}
+    for i in (0, 1, 2, 4, 5):
+        found = [f for f in rows[i].found if f.kind == "iban"]
+        assert len(found) == 1 and iban_valid(found[0].original) and iban_valid(found[0].pseudonym) and len(found[0].pseudonym) == len(found[0].original)
+        assert rows[i].text == cases[i].replace(found[0].original, found[0].pseudonym) or i == 4
+    assert rows[3].text == cases[3] and [f.kind for f in rows[4].found] == ["iban", "phone"]
+    assert {r.doc_id: r.text for r in pii.pseudonymised(out.select("doc_id", "text"), "k", back=True).collect()} == dict(enumerate(cases))
+
+
+def test_dates_are_permuted_within_their_notation(spark):
+    import datetime
+
+    shape = lambda s: re.sub(r"\d", "9", s)
+    days = [datetime.date(y, 1, 1) + datetime.timedelta(k) for y in (1900, 1996) for k in range(0, 366, 5)] + [datetime.date(y, m, d) for y in (1996, 1999, 2096) for m in (2, 9, 12) for d in (1, 9, 28)] + [datetime.date(y, 2, 29) for y in (1904, 1996, 2096)]
+    notations = [lambda d: d.isoformat(), lambda d: f"{d.month}/{d.day}/{d.year}", lambda d: f"{d.month:02}/{d.day:02}/{d.year}", lambda d: f"{d.month}/{d.day:02}/{d.year}", lambda d: f"{d.month:02}/{d.day}/{d.year}", lambda d: f"{d.day}/{d.month}/{d.year}", lambda d: f"{d.day:02}/{d.month:02}/{d.year}", lambda d: f"{d.day}.{d.month}.{d.year}", lambda d: f"{d.day:02}.{d.month:02}.{d.year}"]
+    cases = sorted({f(d) for d in days for f in notations} | {f'{m}/31/1999' for m in (1, 3, 10)})
+    out = pii.pseudonymised(docs(spark, list(enumerate(cases))), "k")
+    rows = {r.doc_id: r for r in out.collect()}
+    new = [rows[i].text for i in range(len(cases))]
+    assert len(set(new)) == len(cases) and all(shape(a) == shape(b) for a, b in zip(cases, new))
+    assert sum(a == b for a, b in zip(cases, new)) < 30  # few stay by chance
+
+    def real(text):
+        a, b, c = (int(x) for x in re.split("[-/.]", text))
+        for y, m, d in ((a, b, c), (c, a, b), (c, b, a)):
+            try:
+                return datetime.date(y, m, d)
+            except ValueError:
+                pass
+
+    assert all(real(t) for t in new)
+    assert {r.doc_id: r.text for r in pii.pseudonymised(out.select("doc_id", "text"), "k", back=True).collect()} == dict(enumerate(cases))
+    left = ["31/31/1999", "2001-02-30", "1/1/1850", "29/2/1999"]
+    assert sorted(r.text for r in pii.pseudonymised(docs(spark, list(enumerate(left))), "k").collect()) == sorted(left)
+
+
+def brute_digits(digits, key, tweak):
+    """The Feistel network in plain Python."""
+    import hashlib
+
+    u = len(digits) // 2
+    l, r, a, b = int(digits[:u]), int(digits[u:]), 10**u, 10 ** (len(digits) - u)
+    for i in range(pii.ROUNDS):
+        other = r if i % 2 == 0 else l
+        h = int(hashlib.sha256(f"{key}|{tweak}|{i}|{other}/{a}/{b}".encode()).hexdigest()[:13], 16)
+        l, r = ((l + h) % a, r) if i % 2 == 0 else (l, (r + h) % b)
+    return f"{l:0{u}}{r:0{len(digits) - u}}"
+
+
+def test_permuted_digits_equal_brute_force(spark):
+    rng = random.Random(12)
+    cases = ["".join(rng.choices("0123456789", k=n)) for n in (2, 3, 9, 10, 15, 18, 30) for _ in range(5)]
+    got = docs(spark, list(enumerate(cases))).select("text", pii.permute_digits(F.col("text"), "k", "t").alias("p")).collect()
+    assert {r.text: r.p for r in got} == {c: brute_digits(c, "k", "t") for c in cases}
+    phone = pii.pseudonymised(docs(spark, [(1, "call +1 (984) 555-5227 now")]), "k").first()
+    d = brute_digits("9845555227", "k", "phone")
+    assert phone.text == f"call +1 ({d[:3]}) {d[3:6]}-{d[6:]} now"
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = df.select(pii.permute_digits(F.col("d"), "k", "t").alias("e")).distinct()
@@ -193,9 +298,31 @@ def test_rotation(spark):
     r = got[1, "ann"]
     assert r.text == "<|system|>\nsys<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=cy|>\nx<|end|>\n"
     assert [r.text[m.start : m.stop] for m in r.mask] == ["hi<|end|>"] and (r.n_turns, r.own_turns) == (4, 1)
-    parts = chat.rotated(spark.createDataFrame([(1, i, "ab"[i % 2], str(i)) for i in range(10)], "conv_id bigint, turn bigint, role string, text string"), part_turns=4)
-    joined = "".join(r.text for r in sorted((r for r in parts.collect() if r.speaker == "a"), key=lambda r: r.part))
-    assert joined.count("<|assistant|>") == 5 and joined.index("\n0<") < joined.index("\n9<")
+    assert chat.rotated(df.limit(0)).count() == 0
+
+
+def brute_rotation(rows, speaker):
+    """The whole rendering of one conversation and its mask spans."""
+    text, spans = "", []
+    for _, role, said in sorted((t if t is not None else -(10**9), r or "unknown", re.sub(r"<(\\*)\|", r"<\\\1|", s or "")) for t, r, s in rows):
+        text += "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+        if role == speaker:
+            spans.append((len(text), len(text) + len(said) + len("<|end|>")))
+        text += said + "<|end|>\n"
+    return text, spans
+
+
+@pytest.mark.parametrize("part_turns", [1, 7, 512])
+def test_parts_are_the_whole_rendering(spark, part_turns):
+    rng = random.Random(11)
+    rows = [(c, rng.choice([None, -5, 3, 10**6, *range(20)]), rng.choice(["ann", "bob", "system", None, "é"]), rng.choice(["x" * rng.randint(0, 9), None, "<|end|> <\\|assistant|>", "é"])) for c in (1, 2, None) for _ in range(60)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("k", F.lit("x")).withColumn("part", F.lit(3)).repartition(5)
+    got = {}
+    for r in sorted(chat.rotated(df, part_turns=part_turns).collect(), key=lambda r: r.part):
+        text, spans = got.get((r.conv_id, r.speaker), ("", []))
+        assert r.start == len(text) and r.n_turns <= part_turns
+        got[r.conv_id, r.speaker] = text + r.text, spans + [(m.start, m.stop) for m in r.mask]
+    assert got == {(c, s): brute_rotation([r[1:] for r in rows if r[0] == c], s) for c in (1, 2, None) for s in ("ann", "bob", "unknown", "é")}
 
 
 def labelled(spark, make, n=300):
@@ -226,18 +353,53 @@ def test_nearest_toxic(spark):
     assert toxicity.score_toxicity(df, None).first().toxicity.score == 0.5
 
 
-def test_nearest_are_exact():
+def test_nearest_and_votes_equal_brute_force():
     rng = random.Random(10)
     vocab = [f"word{i}" for i in range(30)]
     rows = [(i, " ".join(rng.choices(vocab[: 20 if i % 2 else 30], k=12)), i % 2) for i in range(200)]
-    ix = toxicity.fit_examples(rows, least_chi2=0.5)
+    ix = toxicity.fit_examples(rows, 0.1, least_chi2=0.5)
+    dense = np.zeros((len(ix.ids), len(ix.terms)))
+    for row, (at, w) in zip(dense, ix.vectors):
+        row[at] = w
+    checked = 0
     for _ in range(40):
-        at, w = ix.vector(" ".join(rng.choices(vocab, k=8)), {})
-        if len(at):
-            pos, cosines = ix.nearest(at, w, 15)
-            full = np.sort(w @ ix.weights[at])[::-1]
-            full = full[full > 0][:15]
-            assert cosines == pytest.approx(full, abs=1e-5)
+        text = " ".join(rng.choices(vocab, k=8))
+        tf = {ix.terms[t]: n for t, n in toxicity.term_counts(text).items() if t in ix.terms}
+        if not tf:
+            continue
+        v = np.zeros(len(ix.terms))
+        for t, n in tf.items():
+            v[t] = (1 + np.log(n)) * ix.idf[t]
+        full = dense @ (v / np.sqrt(v @ v))
+        order = sorted((i for i in range(len(full)) if full[i] > 0), key=lambda i: (-round(full[i], 6), ix.ids[i]))[:15]
+        z, pos, cosines = ix.log_odds(text, {})
+        assert pos.tolist() == order and cosines == pytest.approx(full[order])
+        share = [sum(u for u, y in zip(ix.votes, ix.labels) if y == c) / ix.votes.sum() for c in (0, 1)]
+        votes = [0.5 * share[c] + sum(ix.votes[i] * full[i] ** 2 for i in order if ix.labels[i] == c) for c in (0, 1)]
+        assert z == pytest.approx(np.log(votes[1] / votes[0])) and share[1] == pytest.approx(0.1)
+        checked += 1
+    assert checked > 30
+
+
+def test_compression_score_equals_brute_force():
+    import zstandard
+
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices(["the", "river", "stone"] if i % 2 else ["BUY!!", "###", "WIN"], k=rng.randint(5, 900))) for i in range(120)]
+    model = quality.fit_compression(texts, [i % 2 for i in range(120)])
+
+    def size(text, words):
+        packer = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw = text.encode()
+        return 1 + sum(len(packer.compress(raw[k : k + quality.PIECE])) for k in range(0, len(raw), quality.PIECE))
+
+    for text in [*texts[:20], "", "é" * 5000]:
+        g, b, n = size(text, model.good), size(text, model.bad), len(text.encode())
+        x = np.array([(g - b) / (g + b), min(g, b) / (n + 8), (min(g, b) / (n + 8)) ** 2, np.log1p(n), (g - b) / np.sqrt(g + b)])
+        z = ((x - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1]
+        assert model.scorer()([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    scores = model.scorer()(texts)
+    assert min(scores[1::2]) > 0.5 > max(scores[::2])
 
 
 def test_held_out_rows(spark):
