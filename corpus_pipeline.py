@@ -17,31 +17,57 @@ KEEP_QUALITY = 0.7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score under ``KEEP_QUALITY``; the model is fitted on the labelled rows that aren't held out."""
+    """Rejects documents that score under ``KEEP_QUALITY``; the model is fitted on the labelled rows that aren't held out.
+
+    Null text scores like empty text; a null id only means that the row isn't
+    fitted on; repeated rows score alike; without labels of both classes all rows
+    stay; an empty table stays empty; all columns, whatever their names, are kept.
+    """
     labels = quality.training_labels(table(spark, sf_dir, "labels"))
     model = quality.fit(docs.select("doc_id", "text"), labels)
     if model is None:  # no labels to fit on: nothing is known against any document
         return docs
-    scored = quality.score_quality(docs, model, out_col="__quality")
-    return scored.where(F.col("__quality") >= KEEP_QUALITY).select(*docs.columns)
+    rows = docs.select("text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return quality.score_quality(rows, model).where(F.col("score") >= KEEP_QUALITY).select("row.*")
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal up to white space the row with the smallest id stays.
+
+    Null text counts as empty; null ids come after all others; of rows with the
+    same text and id the first in file order stays; an empty table stays empty;
+    all columns are kept.
+    """
     return exact_dedup.drop_exact_copies(docs)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row with the smallest id stays.
+
+    Texts without words are one class; null ids come after all others, ties go to
+    the first row; an empty table stays empty; all columns are kept.
+    """
     return neardup.drop_near_copies(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark item leaks, whatever their ids."""
+    """Rows in which no benchmark item leaks, whatever their ids.
+
+    Null and empty texts stay; repeated rows are decided alike; without items or
+    documents nothing changes; all columns are kept.
+    """
     rows = numbered(docs)
     leaks = decontam.contaminated(rows.select("__rid", "__row.text"), table(spark, sf_dir, "benchmark"), id_col="__rid")
     return drop_numbered(rows, staged(leaks.select("doc_id").distinct(), "leaks"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's length bucket, batch and slot.
+
+    Null and empty texts have length 0 and are placed; every row, repeated or
+    without id, gets a place of its own; an empty table stays empty; only doc_id
+    of the input's columns is carried on.
+    """
     return packing.packed(docs)
 
 
