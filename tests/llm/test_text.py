@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 import zlib
@@ -27,6 +28,46 @@ def test_blocks():
     assert htmltext.blocks("<p>a<p>b <i>c</i>d<div>x") == (0, ["a", "b cd", "x"])
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<html><head><title>x</title><body><article><p>Hi there</p></article>", (3, ["Hi there"])),
+        ("<p>Hello world <span class='share'>BUY</p><p>next</p>", (0, ["Hello world", "next"])),
+        ("<main><h1>T</h1><p>Long main text</p><article class='card'><p>Teaser</p></article></main>", (2, ["T", "Long main text"])),
+        ("<article><p>See the <a class='related-link'>study</a> for details</p><p><a class='related-link'>Study</a></p></article>", (3, ["See the study for details"])),
+        ("<article><div class='search-party-story'><p>x</p></div><h2 id='comments-on-law'>Law</h2><div class=related-stories>R</div></article>", (3, ["x", "Law"])),
+        ("<article><p>5 < 6 and a<b then more text</p><p>x <textarea>rest</p><p>y</p></article>", (3, ["5 < 6 and a<b then more text", "x", "rest", "y"])),
+        ("<article><p>cut <a href='x", (3, ["cut"])),
+    ],
+)
+def test_odd_markup(page, expected):
+    assert htmltext.blocks(page) == expected
+
+
+def test_pages_without_landmarks_equal_brute_force(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(6))
+    menus = {h: [f"<div>{word()} {h}</div>" for _ in range(6)] for h in ("h1.com", "h2.com")}
+    pages = []
+    for i in range(120):
+        host = rng.choice(list(menus))
+        shared = [line for line in menus[host] if rng.random() < 0.7]
+        own = [f"<div>{word()} {i} {k}</div>" for k in range(rng.randint(0, 3))]
+        at = rng.randint(0, len(shared))
+        pages.append((i, f"https://{host}/{word()[:2]}/{word()[:3]}", "<body>" + "".join(shared[:at] + own + shared[at:]) + "</body>"))
+    expected = {}
+    for host in menus:
+        of_host = sorted((u.split("/", 3)[3], i, htmltext.blocks(h)[1]) for i, u, h in pages if f"//{host}/" in u)
+        for k, (path, i, lines) in enumerate(of_host):
+            beside = [of_host[j] for j in (k - 1, k + 1) if 0 <= j < len(of_host)]
+            partner = max(beside, key=lambda o: len(os.path.commonprefix([path, o[0]])))[2]  # the first on ties
+            common = set(lines) & set(partner)  # no line occurs twice and shared ones keep their order
+            copy = len(common) >= htmltext.COPY * max(len(lines), len(partner))
+            expected[i] = "\n".join(x for x in lines if copy or x not in common)
+    got = htmltext.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == expected and all(r.how == "difference" for r in got)
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(2)
     for _ in range(200):
