@@ -55,7 +55,6 @@ def dna_of_id(key: Column) -> Column:
     return F.translate(F.concat(F.md5(text), F.md5(F.concat(text, F.lit("b")))), "0123456789abcdef", "ACGTACGTACGTACGT")
 
 
-def dna_of_text(text: Column, length: int | None = None) -> Column:
-    """Letters of a text as bases, all of them or the first ``length``."""
-    bases = F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return bases if length is None else F.substring(bases, 1, length)
+def dna_of_text(text: Column) -> Column:
+    """All letters of a text as bases."""
+    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")

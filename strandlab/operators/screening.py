@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlab.operators.scoring import Motif, extract_pwm
-from strandlab.operators.stats import ks_distance, r_squared
+from strandlab.operators.ranks import running
+from strandlab.operators.stats import cells, ks_distance, r_squared
 
 
 def screen_pwm(df: DataFrame, response: str | list[str], motifs: list[Motif], metric: str | None = None, alternative: str = "two.sided", only_best: bool = False, **options) -> DataFrame:
@@ -34,15 +35,15 @@ def screen_pwm_clusters(df: DataFrame, cluster: str, motifs: list[Motif], min_D:
     """motif, cluster, D of each cluster against the rest; motifs whose best D reaches ``min_D``.
 
     One pass over values serves all clusters: counts by (motif, value, cluster) and
-    totals by (motif, value) give every one-against-rest distribution.
+    totals by (motif, value) give every one-against-rest distribution. Running sums
+    go over cells of value first, so no task holds all rows of a motif. A null
+    cluster belongs to the rest of every other.
     """
     scores = extract_pwm(df, motifs, id_cols=["seq_id", cluster], **options).where(F.col("pwm").isNotNull())
     counts = scores.groupBy("motif", "pwm", F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("c1"))
     totals = counts.groupBy("motif", "pwm").agg(F.sum("c1").alias("all"))
-    run = Window.partitionBy("motif").orderBy("pwm").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = totals.select("motif", "pwm", F.sum("all").over(run).alias("run_all"), F.col("all"), F.sum("all").over(Window.partitionBy("motif")).alias("n_all"))
-    own = Window.partitionBy("motif", "cluster").orderBy("pwm").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = counts.join(totals, ["motif", "pwm"]).withColumn("r1", F.sum("c1").over(own)).withColumn("n1", F.sum("c1").over(Window.partitionBy("motif", "cluster")))
+    totals = running(totals, ["motif"], "pwm", cells("pwm"), {"all": ("run_all", "n_all")})
+    steps = running(counts, ["motif", "cluster"], "pwm", cells("pwm"), {"c1": ("r1", "n1")}).join(totals, ["motif", "pwm"])
 
     def gap(r1, run_all):
         return r1 / F.col("n1") - (run_all - r1) / F.nullif(F.col("n_all") - F.col("n1"), F.lit(0))

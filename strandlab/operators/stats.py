@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlab.operators.ranks import ranked, running
+
 
 def r_squared(x: Column, y: Column) -> Column:
     """Squared Pearson correlation as an aggregate; null where either side doesn't vary."""
@@ -19,24 +21,38 @@ def r_squared(x: Column, y: Column) -> Column:
 ALTERNATIVES = {"two.sided", "less", "greater"}
 
 
-def ks_distance(df: DataFrame, value: str, label: str, by: list[str], alternative: str = "two.sided") -> DataFrame:
+#: Width of the cells of value (energies: natural logarithms) that are summed before a group's running sums.
+CELL = 1 / 256
+
+
+def cells(value: str, width: float = CELL) -> Column:
+    return F.floor(F.col(value) / F.lit(width))
+
+
+def ks_distance(df: DataFrame, value: str, label: str, by: list[str], alternative: str = "two.sided", cell: float = CELL) -> DataFrame:
     """Two-sample KS distance of ``value`` between label 1 and label 0, per group.
 
-    Ties are merged before the running sums, so a group's window holds one row per
-    distinct value. greater: the distribution of label 1 lies above (its values are
-    smaller); less: below.
+    Ties are merged, then summed by cells of ``cell`` units of the value: no window
+    holds a group, whatever its size. greater: the distribution of label 1 lies
+    above (its values are smaller); less: below.
     """
     if alternative not in ALTERNATIVES:
         raise ValueError("alternative must be two.sided, less or greater")
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("c1"), F.sum((F.col(label) == 0).cast("bigint")).alias("c0"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    steps = counts.select(*by, F.sum("c1").over(run).alias("r1"), F.sum("c0").over(run).alias("r0"), F.sum("c1").over(whole).alias("n1"), F.sum("c0").over(whole).alias("n0"))
+    steps = running(counts, by, value, cells(value, cell), {"c1": ("r1", "n1"), "c0": ("r0", "n0")})
     gap = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("r1") / F.nullif("n1", F.lit(0)) - F.col("r0") / F.nullif("n0", F.lit(0)))
     signed = {"two.sided": F.abs(gap), "greater": gap, "less": -gap}[alternative]
     return steps.groupBy(*by).agg(F.max(signed).alias("D"), F.max("n1").alias("n1"), F.max("n0").alias("n0"))
 
 
+def percent_ranks(df: DataFrame, value: str, by: list[str], out_col: str = "q", cell: float = CELL) -> DataFrame:
+    """``df`` (without null values) with the share of its group's other rows that are smaller: rank - 1 over rows - 1."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    steps = running(counts, by, value, cells(value, cell), {"__c": ("__up", "__n")})
+    share = F.when(F.col("__n") > 1, (F.col("__up") - F.col("__c")) / F.nullif(F.col("__n") - 1, F.lit(0))).otherwise(F.lit(0.0))
+    return df.join(steps.select(*by, value, share.alias(out_col)), [*by, value])
+
+
 def ks_p_value(d: float, n1: int, n0: int, alternative: str = "two.sided") -> float:
     """Asymptotic p-value."""
     z = d * math.sqrt(n1 * n0 / (n1 + n0))
@@ -65,23 +81,23 @@ def least_squares(df: DataFrame, features: list[str], responses: list[str]) -> n
     return np.linalg.lstsq(gram, np.array(sums[n * (n + 1) // 2 :]).reshape(n, m), rcond=None)[0]
 
 
-def running_mean(df: DataFrame, order: str, value: str, k: int = 100, key: str = "seq_id", buckets: int | None = None, out_col: str = "smooth") -> DataFrame:
+def running_mean(df: DataFrame, order: str, value: str, k: int = 100, key: str = "seq_id", buckets: int | None = None, out_col: str = "smooth", block: int = 200_000) -> DataFrame:
     """Centred mean of ``value`` over k neighbours in the order of ``order`` (then key), partial at the ends.
 
-    The order is cut into ranges of equal counts; each range also gets the last and
-    first rows of its neighbours, so no task sorts everything.
+    Ranks come from ranges of the order and their counts; blocks of ``block`` ranks
+    (k at least) then take the k ranks around them along, so no task sorts
+    everything and no neighbour is missed however few rows a range holds. Rows of
+    one order value stand in one range.
     """
     before, after = (k - 1) // 2, k - 1 - (k - 1) // 2
+    block = max(block, k)
     if buckets is None:
         buckets = max(1, df.count() // 200_000)
-    cuts = df.stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
-    cuts = sorted(set(cuts))
-    base = df.withColumn("__b", sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0)))
-    sorted_up = Window.partitionBy("__b").orderBy(order, key)
-    sorted_down = Window.partitionBy("__b").orderBy(F.desc(order), F.desc(key))
-    ranked = base.withColumn("__up", F.row_number().over(sorted_up)).withColumn("__down", F.row_number().over(sorted_down))
-    own = ranked.withColumn("__own", F.lit(True))
-    halo_left = ranked.where(F.col("__down") <= before).withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False))
-    halo_right = ranked.where(F.col("__up") <= after).withColumn("__b", F.col("__b") - 1).withColumn("__own", F.lit(False))
-    w = Window.partitionBy("__b").orderBy(order, key).rowsBetween(-before, after)
-    return own.unionByName(halo_left).unionByName(halo_right).withColumn(out_col, F.avg(value).over(w)).where("__own").drop("__b", "__up", "__down", "__own")
+    cuts = sorted(set(df.stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []))
+    ranks = ranked(df, [], sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0)), [order, key], "__rank", "__rows")
+    own = F.floor(F.col("__rank") / block)
+    place = F.col("__rank") - own * block
+    into = F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.when(place < after, F.struct((own - 1).alias("b"), F.lit(False).alias("own"))), F.when(place >= block - before, F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))
+    spread = ranks.withColumn("__to", F.explode(F.filter(into, lambda x: x.isNotNull())))
+    w = Window.partitionBy("__to.b").orderBy("__rank").rowsBetween(-before, after)
+    return spread.withColumn(out_col, F.avg(value).over(w)).where("__to.own").drop("__rank", "__rows", "__to")

@@ -32,26 +32,22 @@ ORDER_DNA = """orders_dna AS (
 )"""
 
 
-#: Letters of a document that the SQL below reads; queries compared with it read as many, their whole-text forms (None) read all.
-SQL_LETTERS = 60
-
-
-def doc_dna(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
-    """DNA of the whole text of each document, or of its first ``length`` letters; language and source are groups."""
+def doc_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DNA of the whole text of each document; language and source are groups."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return docs.select(F.col("doc_id").alias("seq_id"), dna_of_text(F.col("text"), length).alias("seq"), "lang", "source")
+    return docs.select(F.col("doc_id").alias("seq_id"), dna_of_text(F.col("text")).alias("seq"), "lang", "source")
 
 
 DOC_DNA = """docs_dna AS (
-  SELECT doc_id AS seq_id, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 60) AS seq, lang, source
+  SELECT doc_id AS seq_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq, lang, source
   FROM documents
 )"""
 
 
-def labelled_dna(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
+def labelled_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' DNA with a binary response."""
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("seq_id"), F.col("quality").cast("int").alias("y"))
-    return doc_dna(spark, sf_dir, length).join(labels, "seq_id")
+    return doc_dna(spark, sf_dir).join(labels, "seq_id")
 
 
 LABELLED_DNA = f"""{DOC_DNA},

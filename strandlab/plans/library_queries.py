@@ -93,12 +93,12 @@ def _(spark, d):
 
 
 def genome(spark, d):
-    """One chromosome per nation: its suppliers' hashed bases in key order would be long; 40 lines of 64 bases each."""
-    lines = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i"))
+    """One chromosome per nation of 40 lines of 64 hashed bases, in tiles of a line: most intervals touch two."""
     from strandlab.functions.sequence import dna_of_id
 
-    bases = lines.select(F.concat(F.lit("chr"), "n_nationkey").alias("chrom"), "i", dna_of_id(F.concat_ws("-", "n_nationkey", "i")).alias("s"))
-    return bases.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "").alias("seq"))
+    lines = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i"))
+    tiles = lines.select(F.concat(F.lit("chr"), "n_nationkey").alias("chrom"), (F.col("i") * 64).cast("bigint").alias("at"), dna_of_id(F.concat_ws("-", "n_nationkey", "i")).alias("seq"))
+    return I.Genome(tiles, 64)
 
 
 def intervals(spark, d):
@@ -163,12 +163,31 @@ def _(spark, d):
     return long.select("seq_id", (F.col("p") + 1).cast("bigint").alias("pos"), "hit")
 
 
-@query("random_intervals")
+_DRAWN = """room AS (SELECT chrom, length(seq) - 64 AS room FROM genome),
+spread AS (SELECT chrom, room, CAST(sum(room) OVER (ORDER BY chrom ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(room) OVER () AS BIGINT) AS total FROM room),
+draws AS (SELECT CAST('0x' || substr(md5(CAST(i AS VARCHAR) || '|60427'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM range(0, 10000) r(i)),
+hits AS (SELECT chrom, CAST(floor(u * total) AS BIGINT) - (upto - room) AS off, room FROM draws, spread),
+rv AS (SELECT chrom, CAST(off AS INTEGER) AS start, CAST(off + 64 AS INTEGER) AS "end" FROM hits WHERE off >= 0 AND off < room)"""
+
+
+@query("random_intervals", f"WITH {_GENOME}, {_DRAWN} SELECT * FROM rv")
 def _(spark, d):
     return I.random_intervals(genome(spark, d), 64)
 
 
-@query("interval_quantiles_random_background")
+_SCORED = energy_ctes("a0 AS (SELECT 1)", "scored", ["GATA"]).removeprefix("a0 AS (SELECT 1), ")
+
+
+@query(
+    "interval_quantiles_random_background",
+    f"""WITH {_GENOME}, {_DRAWN},
+scored AS (SELECT 'i' || seq_id AS seq_id, seq FROM ivs UNION ALL SELECT 'r' || CAST(row_number() OVER () AS VARCHAR), substr(seq, start + 1, 64) FROM rv JOIN genome USING (chrom)),
+{_SCORED}, e AS ({lse('seq_id')}),
+k AS (SELECT i, i * CAST(0.01 AS DOUBLE) AS p, q[CAST(i AS INTEGER) + 1] AS v FROM (SELECT quantile_cont(pwm, [{', '.join(f'{i / 100}' for i in range(101))}]) AS q FROM e WHERE seq_id LIKE 'r%'), range(0, 101) r(i)),
+b AS (SELECT e.seq_id, e.pwm, max(k.i) AS i FROM e LEFT JOIN k ON k.v <= e.pwm WHERE e.seq_id LIKE 'i%' GROUP BY ALL)
+SELECT chrom, start, "end", 'GATA' AS motif, b.pwm, CASE WHEN b.i IS NULL THEN 0.0 WHEN b.i = 100 THEN 1.0 ELSE x.p + (y.p - x.p) * (b.pwm - x.v) / (y.v - x.v) END AS q
+FROM b JOIN ivs ON b.seq_id = 'i' || ivs.seq_id LEFT JOIN k x ON x.i = b.i LEFT JOIN k y ON y.i = b.i + 1""",
+)
 def _(spark, d):
     return I.interval_pwm_quantiles(intervals(spark, d), genome(spark, d), motifs("GATA"))
 
@@ -178,14 +197,19 @@ def _(spark, d):
     return sampling.cv_folds(order_dna(spark, d), 5, "priority", compat=True).select("seq_id", "fold")
 
 
-@query("sample_quantile_matched", f"WITH {ORDER_DNA}, q AS (SELECT quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM orders_dna), b AS (SELECT CAST(len(list_filter(c, lambda x: price > x)) AS INTEGER) AS bin FROM orders_dna, q), n AS (SELECT bin, count(*) AS n FROM b GROUP BY bin) SELECT bin, least(min(n) OVER (), CAST(floor(floor((SELECT count(*) FROM b) * 0.2) / 10) AS BIGINT)) AS rows FROM n")
+_DRAW = "md5(CAST(seq_id AS VARCHAR) || '|60427')"
+
+
+@query("cv_folds_shuffled", f"WITH {ORDER_DNA} SELECT seq_id, CAST(ntile(5) OVER (PARTITION BY priority ORDER BY {_DRAW}, seq_id) AS INTEGER) AS fold FROM orders_dna")
+def _(spark, d):
+    return sampling.cv_folds(order_dna(spark, d), 5, "priority").select("seq_id", "fold")
+
+
+@query("sample_quantile_matched", f"WITH {ORDER_DNA}, q AS (SELECT quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM orders_dna), b AS (SELECT seq_id, CAST(len(list_filter(c, lambda x: price > x)) AS INTEGER) AS bin FROM orders_dna, q), n AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM b GROUP BY bin)), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {_DRAW}, seq_id) AS k FROM b) SELECT seq_id FROM r, n WHERE k <= least(least, CAST(floor(floor((SELECT count(*) FROM b) * 0.2) / 10) AS BIGINT))")
 def _(spark, d):
-    df = order_dna(spark, d)
-    sample = sampling.quantile_matched_rows(df, "price", 0.2)
-    cuts = df.agg(F.percentile("price", F.array(*(F.lit(i / 10) for i in range(1, 10)))).alias("c"))
-    return sample.crossJoin(F.broadcast(cuts)).groupBy(F.size(F.filter("c", lambda x: F.col("price") > x)).alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    return sampling.quantile_matched_rows(order_dna(spark, d), "price", 0.2).select("seq_id")
 
 
-@query("sample_response", f"WITH {LABELLED_DNA}, n AS (SELECT count(*) FILTER (y = 0) AS zeros, count(*) FILTER (y = 1) AS ones FROM labelled) SELECT 0 AS y, CAST(round(zeros * least(1.0, 0.1 * ones / zeros)) AS BIGINT) AS rows FROM n UNION ALL SELECT 1, ones FROM n")
+@query("sample_response", f"WITH {LABELLED_DNA}, n AS (SELECT count(*) FILTER (y = 0) AS zeros, count(*) FILTER (y = 1) AS ones FROM labelled), r AS (SELECT seq_id, y, row_number() OVER (PARTITION BY y ORDER BY {_DRAW}, seq_id) AS k FROM labelled) SELECT seq_id, y FROM r, n WHERE y = 1 OR k <= CAST(round(zeros * least(1.0, 0.1 * ones / zeros)) AS BIGINT)")
 def _(spark, d):
-    return sampling.sample_response(labelled_dna(spark, d), "y", sample_ratio=0.1).groupBy("y").agg(F.count(F.lit(1)).alias("rows"))
+    return sampling.sample_response(labelled_dna(spark, d), "y", sample_ratio=0.1).select("seq_id", "y")

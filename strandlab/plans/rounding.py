@@ -52,6 +52,7 @@ COLUMNS = {
     "gextract_local_pwm": "pwm",
     "gpwm_quantiles": "q10 q50 q90",
     "gextract_pwm_quantile": "pwm q",
+    "interval_quantiles_random_background": "pwm q",
     "least_squares": "intercept slope",
     "r_squared": "r2",
     "interpolate": "v",

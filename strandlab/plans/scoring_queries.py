@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,19 +9,15 @@ from strandlab.functions import pssm as P
 from strandlab.operators import screening as R
 from strandlab.operators import scoring as E
 from strandlab.operators import stats
-from strandlab.plans.data import DOC_DNA, LABELLED_DNA, ORDER_DNA, SQL_LETTERS, doc_dna, labelled_dna, order_dna
+from strandlab.plans.data import DOC_DNA, LABELLED_DNA, ORDER_DNA, doc_dna, labelled_dna, order_dna
 from strandlab.sources import motifs as M
 
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None = None, whole: bool = False):
-    """``whole``: also registered over whole texts, as NAME_whole_text, where the SQL reads the first letters only."""
-
+def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
-        if whole:
-            QUERIES[f"{name}_whole_text"] = partial(f, length=None)
         if sql:
             SQL[name] = sql
         return f
@@ -42,7 +36,7 @@ def motifs(*names: str, prior: float = 0.01) -> list[E.Motif]:
 ALL = sorted(M.LIBRARY)
 
 
-def energy_ctes(source: str, table: str, names: list[str], bidirect: bool = True, longest: int = 64, spat: tuple[tuple[float, ...], int] | None = None) -> str:
+def energy_ctes(source: str, table: str, names: list[str], bidirect: bool = True, spat: tuple[tuple[float, ...], int] | None = None) -> str:
     """CTE ``w``: (seq_id, motif, i, strand, s) with s the log score of the window that begins at i (from 1)."""
     p = ", ".join(f"ln(({c} / (A + C + G + T) + CAST(0.01 AS DOUBLE)) / CAST(1.04 AS DOUBLE)) AS l{c}" for c in "ACGT")
     factor = ""
@@ -55,7 +49,7 @@ def energy_ctes(source: str, table: str, names: list[str], bidirect: bool = True
     return f"""{source}, {M.values_sql(names)},
 l AS (SELECT motif, row_number() OVER (PARTITION BY motif ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY motif) AS len, {p} FROM m),
 st AS (SELECT motif, 0 AS strand, len, k, lA, lC, lG, lT FROM l {reverse}),
-c AS (SELECT seq_id, length(seq) AS n, i AS loc, substr(seq, CAST(i AS INTEGER), 1) AS b FROM {table}, range(1, {longest + 1}) r(i) WHERE i <= length(seq)),
+c AS (SELECT seq_id, length(seq) AS n, generate_subscripts(string_split(seq, ''), 1) AS loc, unnest(string_split(seq, '')) AS b FROM {table} WHERE seq <> ''),
 w AS (SELECT seq_id, motif, loc - k AS i, strand, sum(CASE b WHEN 'A' THEN lA WHEN 'C' THEN lC WHEN 'G' THEN lG ELSE lT END){factor} AS s
       FROM c JOIN st ON loc - k >= 1 AND loc - k + len - 1 <= n WHERE true{limit} GROUP BY seq_id, motif, loc - k, strand)"""
 
@@ -95,14 +89,14 @@ def _(spark, d):
     return E.compute_pwm(order_dna(spark, d), motif("EBOX"), spat_min=9, spat_max=48).select("seq_id", "pwm")
 
 
-@query("compute_pwm_native", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['GATA'])}, e AS ({lse('seq_id')}) SELECT seq_id, pwm FROM docs_dna LEFT JOIN e USING (seq_id)", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    return doc_dna(spark, d, length).select("seq_id", E.native_energy(F.col("seq"), motif("GATA")).alias("pwm"))
+@query("compute_pwm_native", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['GATA'])}, e AS ({lse('seq_id')}) SELECT seq_id, pwm FROM docs_dna LEFT JOIN e USING (seq_id)")
+def _(spark, d):
+    return doc_dna(spark, d).select("seq_id", E.native_energy(F.col("seq"), motif("GATA")).alias("pwm"))
 
 
-@query("extract_pwm", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ALL)}, e AS ({lse('seq_id, motif')}) SELECT seq_id, motif, pwm FROM docs_dna CROSS JOIN (SELECT DISTINCT motif FROM m) LEFT JOIN e USING (seq_id, motif)", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    return E.extract_pwm(doc_dna(spark, d, length), motifs())
+@query("extract_pwm", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ALL)}, e AS ({lse('seq_id, motif')}) SELECT seq_id, motif, pwm FROM docs_dna CROSS JOIN (SELECT DISTINCT motif FROM m) LEFT JOIN e USING (seq_id, motif)")
+def _(spark, d):
+    return E.extract_pwm(doc_dna(spark, d), motifs())
 
 
 @query("calc_seq_pwm", f"WITH {energy_ctes(ORDER_DNA, 'orders_dna', ['EBOX', 'GATA'])}, e AS ({lse('seq_id, motif')}) SELECT seq_id, max(pwm) FILTER (motif = 'EBOX') AS EBOX, max(pwm) FILTER (motif = 'GATA') AS GATA FROM e GROUP BY seq_id")
@@ -110,33 +104,33 @@ def _(spark, d):
     return E.score_matrix(order_dna(spark, d), motifs("EBOX", "GATA"))
 
 
-@query("compute_local_pwm", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['SPEC'])}, e AS ({lse('seq_id, i')}), p AS (SELECT seq_id, CAST(i AS BIGINT) AS pos FROM docs_dna, range(1, 61) r(i) WHERE i <= length(seq)) SELECT p.seq_id, p.pos, pwm FROM p LEFT JOIN e ON e.seq_id = p.seq_id AND e.i = p.pos", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    scored = E.compute_local_pwm(doc_dna(spark, d, length), motif("SPEC"))
+@query("compute_local_pwm", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['SPEC'])}, e AS ({lse('seq_id, i')}), p AS (SELECT seq_id, CAST(loc AS BIGINT) AS pos FROM c) SELECT p.seq_id, p.pos, pwm FROM p LEFT JOIN e ON e.seq_id = p.seq_id AND e.i = p.pos")
+def _(spark, d):
+    scored = E.compute_local_pwm(doc_dna(spark, d), motif("SPEC"))
     return scored.select("seq_id", F.posexplode("local").alias("p", "pwm")).select("seq_id", (F.col("p") + 1).cast("bigint").alias("pos"), "pwm")
 
 
-@query("screen_local_pwm", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['SPEC'])}, e AS ({lse('seq_id, i')}) SELECT seq_id, CAST(i AS BIGINT) AS pos FROM e WHERE pwm > -6.5", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    hits = E.screen_local_pwm(doc_dna(spark, d, length), motif("SPEC"), ">", -6.5)
+@query("screen_local_pwm", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['SPEC'])}, e AS ({lse('seq_id, i')}) SELECT seq_id, CAST(i AS BIGINT) AS pos FROM e WHERE pwm > -6.5")
+def _(spark, d):
+    hits = E.screen_local_pwm(doc_dna(spark, d), motif("SPEC"), ">", -6.5)
     return hits.select("seq_id", F.explode("positions").alias("pos")).select("seq_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("best_position", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['GATA'])}, e AS ({lse('seq_id, i')}) SELECT seq_id, CAST(arg_max(i, (round(pwm, 9), -i)) AS INTEGER) AS best FROM e GROUP BY seq_id", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    return E.best_position(doc_dna(spark, d, length), motif("GATA")).where("best is not null").select("seq_id", "best")
+@query("best_position", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['GATA'])}, e AS ({lse('seq_id, i')}), b AS (SELECT seq_id, CAST(arg_max(i, (round(pwm, 9), -i)) AS INTEGER) AS best FROM e GROUP BY seq_id) SELECT d.seq_id, best FROM docs_dna d LEFT JOIN b ON b.seq_id = d.seq_id")
+def _(spark, d):
+    return E.best_position(doc_dna(spark, d), motif("GATA")).select("seq_id", "best")
 
 
 @query(
     "mask_sequences",
     f"""WITH {energy_ctes(DOC_DNA, 'docs_dna', ['SPEC'])}, e AS ({lse('seq_id, i')}),
-hit AS (SELECT DISTINCT e.seq_id, i + k AS loc FROM e JOIN docs_dna d ON e.seq_id = d.seq_id, range(0, 4) r(k) WHERE pwm > -6.5 AND i < length(seq) - 3)
-SELECT c.seq_id, string_agg(CASE WHEN hit.loc IS NOT NULL OR c.loc > n - 4 THEN 'N' ELSE b END, '' ORDER BY c.loc) AS masked FROM c LEFT JOIN hit ON hit.seq_id = c.seq_id AND hit.loc = c.loc GROUP BY c.seq_id""",
-    whole=True,
+hit AS (SELECT DISTINCT e.seq_id, i + k AS loc FROM e JOIN docs_dna d ON e.seq_id = d.seq_id, range(0, 4) r(k) WHERE pwm > -6.5 AND i < length(seq) - 3),
+k AS (SELECT c.seq_id, string_agg(CASE WHEN hit.loc IS NOT NULL OR c.loc > n - 4 THEN 'N' ELSE b END, '' ORDER BY c.loc) AS masked FROM c LEFT JOIN hit ON hit.seq_id = c.seq_id AND hit.loc = c.loc GROUP BY c.seq_id)
+SELECT d.seq_id, coalesce(masked, '') AS masked FROM docs_dna d LEFT JOIN k ON k.seq_id = d.seq_id""",
 )
-def _(spark, d, length=SQL_LETTERS):
+def _(spark, d):
     bits = [True] * 4  # all four positions of this motif are informative
-    return E.mask_sequences(doc_dna(spark, d, length).where("length(seq) > 0"), motif("SPEC"), -6.5, bits).select("seq_id", "masked")
+    return E.mask_sequences(doc_dna(spark, d), motif("SPEC"), -6.5, bits).select("seq_id", "masked")
 
 
 _R2 = "CASE WHEN var_pop(pwm) > 0 AND var_pop({y}) > 0 THEN pow(covar_pop(pwm, {y}), 2) / (var_pop(pwm) * var_pop({y})) END"
@@ -152,40 +146,38 @@ r AS (SELECT motif, {extra}sum(c1) OVER v AS r1, sum(c0) OVER v AS r0, sum(c1) O
       WINDOW v AS (PARTITION BY motif{part} ORDER BY pwm ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY motif{part}))"""
 
 
-@query("screen_pwm_ks", f"WITH {energy_ctes(LABELLED_DNA, 'labelled', ALL, longest=60)}, e AS ({lse('seq_id, motif')}), x AS (SELECT motif, round(pwm, 9) AS pwm, y FROM e JOIN labelled USING (seq_id)), {_RUN.format(extra='', source='x', part='')} SELECT motif, max(abs(r1 / CAST(n1 AS DOUBLE) - r0 / CAST(n0 AS DOUBLE))) AS score FROM r GROUP BY motif", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    return R.screen_pwm(labelled_dna(spark, d, length), "y", motifs())
+@query("screen_pwm_ks", f"WITH {energy_ctes(LABELLED_DNA, 'labelled', ALL)}, e AS ({lse('seq_id, motif')}), x AS (SELECT motif, round(pwm, 9) AS pwm, y FROM e JOIN labelled USING (seq_id)), {_RUN.format(extra='', source='x', part='')} SELECT motif, max(abs(r1 / CAST(n1 AS DOUBLE) - r0 / CAST(n0 AS DOUBLE))) AS score FROM r GROUP BY motif")
+def _(spark, d):
+    return R.screen_pwm(labelled_dna(spark, d), "y", motifs())
 
 
-@query("ks_distance", f"WITH {energy_ctes(LABELLED_DNA, 'labelled', ['GATA'], longest=60)}, e AS ({lse('seq_id, motif')}), x AS (SELECT motif, round(pwm, 9) AS pwm, y FROM e JOIN labelled USING (seq_id)), {_RUN.format(extra='', source='x', part='')} SELECT motif, max(r1 / CAST(n1 AS DOUBLE) - r0 / CAST(n0 AS DOUBLE)) AS D, CAST(max(n1) AS BIGINT) AS n1, CAST(max(n0) AS BIGINT) AS n0 FROM r GROUP BY motif", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    scores = E.extract_pwm(labelled_dna(spark, d, length), [motif("GATA")], id_cols=["seq_id", "y"]).withColumn("pwm", F.round("pwm", 9))
+@query("ks_distance", f"WITH {energy_ctes(LABELLED_DNA, 'labelled', ['GATA'])}, e AS ({lse('seq_id, motif')}), x AS (SELECT motif, round(pwm, 9) AS pwm, y FROM e JOIN labelled USING (seq_id)), {_RUN.format(extra='', source='x', part='')} SELECT motif, max(r1 / CAST(n1 AS DOUBLE) - r0 / CAST(n0 AS DOUBLE)) AS D, CAST(max(n1) AS BIGINT) AS n1, CAST(max(n0) AS BIGINT) AS n0 FROM r GROUP BY motif")
+def _(spark, d):
+    scores = E.extract_pwm(labelled_dna(spark, d), [motif("GATA")], id_cols=["seq_id", "y"]).withColumn("pwm", F.round("pwm", 9))
     return stats.ks_distance(scores, "pwm", "y", ["motif"], "greater")
 
 
-@query("screen_pwm_clusters", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['EBOX', 'GATA', 'TATA'])}, e AS ({lse('seq_id, motif')}), x AS (SELECT motif, cluster, round(pwm, 9) AS pwm, CASE WHEN lang = cluster THEN 1 ELSE 0 END AS y FROM e JOIN docs_dna USING (seq_id), (SELECT DISTINCT lang AS cluster FROM docs_dna)), {_RUN.format(extra='cluster, ', source='x', part=', cluster')}, o AS (SELECT motif, cluster, max(abs(r1 / CAST(n1 AS DOUBLE) - r0 / CAST(n0 AS DOUBLE))) AS D FROM r GROUP BY ALL) SELECT motif, cluster, D FROM o QUALIFY max(D) OVER (PARTITION BY motif) >= 0.1", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    return R.screen_pwm_clusters(doc_dna(spark, d, length), "lang", motifs("EBOX", "GATA", "TATA"), min_D=0.1)
+@query("screen_pwm_clusters", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['EBOX', 'GATA', 'TATA'])}, e AS ({lse('seq_id, motif')}), x AS (SELECT motif, cluster, round(pwm, 9) AS pwm, CASE WHEN lang = cluster THEN 1 ELSE 0 END AS y FROM e JOIN docs_dna USING (seq_id), (SELECT DISTINCT lang AS cluster FROM docs_dna)), {_RUN.format(extra='cluster, ', source='x', part=', cluster')}, o AS (SELECT motif, cluster, max(abs(r1 / CAST(n1 AS DOUBLE) - r0 / CAST(n0 AS DOUBLE))) AS D FROM r GROUP BY ALL) SELECT motif, cluster, D FROM o QUALIFY max(D) OVER (PARTITION BY motif) >= 0.1")
+def _(spark, d):
+    return R.screen_pwm_clusters(doc_dna(spark, d), "lang", motifs("EBOX", "GATA", "TATA"), min_D=0.1)
 
 
 _ENRICH = f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['EBOX', 'GATA'])}, e AS ({lse('seq_id, motif')}), q AS (SELECT seq_id, source, motif, percent_rank() OVER (PARTITION BY motif ORDER BY round(pwm, 9)) AS q FROM e JOIN docs_dna USING (seq_id)), g AS (SELECT source AS \"group\", motif, CAST(sum(CASE WHEN q >= 0.9 THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS n FROM q GROUP BY ALL), t AS (SELECT *, sum(hits) OVER (PARTITION BY motif) AS ah, sum(n) OVER (PARTITION BY motif) AS an FROM g) SELECT \"group\", motif, hits, n, %s AS enrichment FROM t"
 
 
-def _ranked(spark, d, length=SQL_LETTERS):
-    from pyspark.sql import Window
+def _ranked(spark, d):
+    scores = E.extract_pwm(doc_dna(spark, d), motifs("EBOX", "GATA"), id_cols=["seq_id", "source"]).where("pwm is not null").withColumn("pwm", F.round("pwm", 9))
+    return stats.percent_ranks(scores, "pwm", ["motif"])
 
-    scores = E.extract_pwm(doc_dna(spark, d, length), motifs("EBOX", "GATA"), id_cols=["seq_id", "source"]).where("pwm is not null").withColumn("pwm", F.round("pwm", 9))
-    return scores.withColumn("q", F.percent_rank().over(Window.partitionBy("motif").orderBy("pwm")))
 
-
-@query("motif_enrichment_relative", _ENRICH % "(hits / CAST(n AS DOUBLE)) / nullif((ah - hits) / CAST(an - n AS DOUBLE), 0)", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    return R.motif_enrichment(_ranked(spark, d, length), "source", 0.9)
+@query("motif_enrichment_relative", _ENRICH % "(hits / CAST(n AS DOUBLE)) / nullif((ah - hits) / CAST(an - n AS DOUBLE), 0)")
+def _(spark, d):
+    return R.motif_enrichment(_ranked(spark, d), "source", 0.9)
 
 
-@query("motif_enrichment_absolute", _ENRICH % "(hits / CAST(n AS DOUBLE)) / CAST(0.1 AS DOUBLE)", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    return R.motif_enrichment(_ranked(spark, d, length), "source", 0.9, kind="absolute")
+@query("motif_enrichment_absolute", _ENRICH % "(hits / CAST(n AS DOUBLE)) / CAST(0.1 AS DOUBLE)")
+def _(spark, d):
+    return R.motif_enrichment(_ranked(spark, d), "source", 0.9, kind="absolute")
 
 
 @query("pwm_quantiles", f"WITH {energy_ctes(ORDER_DNA, 'orders_dna', ['GATA'])}, e AS ({lse('seq_id')}) SELECT quantile_cont(pwm, 0.5) AS q50, quantile_cont(pwm, 0.9) AS q90, quantile_cont(pwm, 0.99) AS q99 FROM e")

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from itertools import product
 
 from pyspark.sql import functions as F
 
 from strandlab.functions import kmers as K
 from strandlab.functions import sequence as S
-from strandlab.plans.data import DOC_DNA, ORDER_DNA, SQL_LETTERS, doc_dna, order_dna
+from strandlab.plans.data import DOC_DNA, ORDER_DNA, doc_dna, order_dna
 
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None = None, whole: bool = False):
-    """``whole``: also registered over whole texts, as NAME_whole_text, where the SQL reads the first letters only."""
-
+def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
-        if whole:
-            QUERIES[f"{name}_whole_text"] = partial(f, length=None)
         if sql:
             SQL[name] = sql
         return f
@@ -53,14 +47,14 @@ def _(spark, d):
     return K.kmers_frame(spark, 3, max_gap=2)
 
 
-@query("kmer_counts", f"WITH {DOC_DNA}, w AS (SELECT seq_id, substr(seq, CAST(i AS INTEGER), 4) AS w FROM docs_dna, range(1, 61) r(i) WHERE i + 3 <= length(seq)), p AS (SELECT seq_id, w AS kmer FROM w UNION ALL SELECT seq_id, 'N' || substr(w, 2) FROM w UNION ALL SELECT seq_id, substr(w, 1, 1) || 'N' || substr(w, 3) FROM w UNION ALL SELECT seq_id, substr(w, 1, 2) || 'N' || substr(w, 4) FROM w UNION ALL SELECT seq_id, substr(w, 1, 3) || 'N' FROM w) SELECT seq_id, kmer, count(*) AS n FROM p GROUP BY ALL", whole=True)
-def _(spark, d, length=SQL_LETTERS):
-    return K.kmer_counts(doc_dna(spark, d, length), 4, max_gap=1)
+@query("kmer_counts", f"WITH {DOC_DNA}, w AS (SELECT seq_id, substr(seq, i, 4) AS w FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM docs_dna)), p AS (SELECT seq_id, w AS kmer FROM w UNION ALL SELECT seq_id, 'N' || substr(w, 2) FROM w UNION ALL SELECT seq_id, substr(w, 1, 1) || 'N' || substr(w, 3) FROM w UNION ALL SELECT seq_id, substr(w, 1, 2) || 'N' || substr(w, 4) FROM w UNION ALL SELECT seq_id, substr(w, 1, 3) || 'N' FROM w) SELECT seq_id, kmer, count(*) AS n FROM p GROUP BY ALL")
+def _(spark, d):
+    return K.kmer_counts(doc_dna(spark, d), 4, max_gap=1)
 
 
-@query("kmer_counts_masked", f"WITH {DOC_DNA}, w AS (SELECT seq_id, substr(seq, CAST(i AS INTEGER), 4) AS w FROM docs_dna, range(3, 28) r(i) WHERE i + 3 <= length(seq)) SELECT seq_id, substr(w, 1, 1) || 'NN' || substr(w, 4) AS kmer, count(*) AS n FROM w GROUP BY ALL")
+@query("kmer_counts_masked", f"WITH {DOC_DNA}, w AS (SELECT seq_id, substr(seq, i, 4) AS w FROM (SELECT seq_id, seq, unnest(range(3, length(seq) - 2)) AS i FROM docs_dna)) SELECT seq_id, substr(w, 1, 1) || 'NN' || substr(w, 4) AS kmer, count(*) AS n FROM w GROUP BY ALL")
 def _(spark, d):
-    return K.kmer_counts(doc_dna(spark, d, SQL_LETTERS), 4, mask="ANNA", from_range=3, to_range=30)
+    return K.kmer_counts(doc_dna(spark, d), 4, mask="ANNA", from_range=3)
 
 
 @query("kmer_matrix", f"WITH {ORDER_DNA}, w AS (SELECT seq_id, substr(seq, CAST(i AS INTEGER), 2) AS w FROM orders_dna, range(1, 64) r(i)) SELECT seq_id, count(*) FILTER (w = 'AA') AS AA, count(*) FILTER (w = 'CG') AS CG, count(*) FILTER (w = 'GC') AS GC, count(*) FILTER (w = 'TA') AS TA FROM w GROUP BY seq_id")

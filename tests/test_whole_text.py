@@ -20,7 +20,7 @@ def found(spark, tmp_path_factory):
     spark.createDataFrame([(i, t, "de" if i % 2 else "en", "web") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     dna = {i: "".join(c for c in t if c.isalpha()).translate(BASES) for i, t in enumerate(texts)}
-    return dna, lambda name: registry.queries()[f"{name}_whole_text"](spark, d).collect()
+    return dna, lambda name: registry.queries()[name](spark, d).collect()
 
 
 def local(seq: str, name: str) -> np.ndarray:
