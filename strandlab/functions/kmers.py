@@ -61,13 +61,10 @@ def _gapped(windows: Column, k1: int, g: int, k2: int) -> Column:
     return F.transform(windows, lambda w: F.concat(F.substring(w, 1, k1), F.lit("*" * g), F.substring(w, k1 + g + 1, k2)))
 
 
-def _count_of(windows: Column, word: str) -> Column:
-    return F.size(F.filter(windows, lambda x: x == word)).cast("bigint")
-
-
 def _windows(seq: Column, k: int, first: Column, last: Column) -> Column:
-    """Substrings of length k that begin at first..last (from 1)."""
-    some = F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.substr(seq, i, F.lit(k)))
+    """Substrings of length k that begin at first..last (from 1); the letters are split once, so the work follows the length."""
+    starts = F.sequence(first, F.greatest(first, last))
+    some = F.transform(F.array(F.split(seq, "")), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i.cast("int"), F.lit(k)), "")))[0]
     return F.when(last >= first, some).otherwise(F.array().cast("array<string>"))
 
 
@@ -97,7 +94,7 @@ def kmer_counts(df: DataFrame, kmer_length: int, max_gap: int = 0, mask: str | N
     else:
         runs = [(pos, g) for g in range(1, max_gap + 1) for pos in range(kmer_length - g + 1)]
         patterns = F.concat(windows, *(_with_runs(windows, pos, g) for pos, g in runs))
-    counted = df.select("seq_id", F.array_sort(patterns).alias("p"))
+    counted = df.select("seq_id", F.sort_array(patterns).alias("p"))
     return counted.select("seq_id", F.inline(_run_lengths(F.col("p")))).select("seq_id", "kmer", F.col("n").cast("bigint").alias("n"))
 
 
@@ -138,7 +135,7 @@ def screen_kmers(df: DataFrame, responses: list[str], kmer_length: int = 6, min_
     seq = F.upper("seq")
     end = F.length("seq") if to_range is None else F.least(F.length("seq"), F.lit(to_range))
     patterns = F.filter(screen_patterns(seq, kmer_length, min_gap, max_gap, F.lit(from_range), end), lambda p: ~p.contains("N"))
-    rows = df.select(F.array_sort(patterns).alias("p"), *(c.alias(f"y_{i}") for i, c in enumerate(y)))
+    rows = df.select(F.sort_array(patterns).alias("p"), *(c.alias(f"y_{i}") for i, c in enumerate(y)))
     rows = rows.select(*(f"y_{i}" for i in range(len(y))), F.inline(_run_lengths(F.col("p"))))
     n = F.least(F.col("n"), F.lit(MOST_COUNTED)).cast("double")
     sums = rows.groupBy("kmer").agg(F.sum(n).alias("sn"), F.sum(n * n).alias("sn2"), *(F.sum(n * F.col(f"y_{i}")).alias(f"sny_{i}") for i in range(len(y))))
@@ -196,10 +193,8 @@ def candidate_kmers(df: DataFrame, responses: list[str], kmer_lengths: list[int]
 
 def dinucleotides(df: DataFrame) -> DataFrame:
     """seq_id and the counts of the 16 overlapping pairs; an empty sequence is an error."""
-    seq = F.upper("seq")
-    pairs = _windows(seq, 2, F.lit(1), F.length(seq) - 1)
-    checked = df.select("seq_id", F.when(F.length("seq") == 0, F.raise_error(F.lit("empty sequence"))).otherwise(pairs).alias("p"))
-    return checked.select("seq_id", *(_count_of(F.col("p"), w).alias(w) for w in map("".join, product("ACGT", repeat=2))))
+    seq = F.when(F.length("seq") == 0, F.raise_error(F.lit("empty sequence"))).otherwise(F.upper("seq"))
+    return df.select("seq_id", *(F.regexp_count(seq, F.lit(f"{w[0]}(?={w[1]})")).cast("bigint").alias("".join(w)) for w in product("ACGT", repeat=2)))
 
 
 def nucleotide_distribution(df: DataFrame, n: int = 2, size: int | None = None) -> DataFrame:

@@ -277,8 +277,8 @@ def native_energy(seq: Column, motif: Motif, bidirect: bool = True) -> Column:
         return F.concat(*per) if len(per) > 1 else per[0]
 
     def reduced(scores: Column) -> Column:
-        top = F.array_max(scores)
-        return F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top), lambda a: F.ln(a) + top)
+        # Inside an array of one the largest is found once, not for each score.
+        return F.transform(F.array(F.array_max(scores)), lambda top: F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top), lambda a: F.ln(a) + top))[0]
 
     scored = F.transform(F.transform(F.array(code), windows), reduced)[0]
     return F.when(F.length(seq) >= length, scored)
