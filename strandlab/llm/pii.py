@@ -44,10 +44,12 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)"
 CARD = r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 #: Countries whose IBANs are looked for (fixed values).
 IBAN_COUNTRIES = "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|BY|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IQ|IS|IT|JO|KW|KZ|LB|LC|LI|LT|LU|LV|LY|MC|MD|ME|MK|MR|MT|MU|NL|NO|PK|PL|PS|PT|QA|RO|RS|SA|SC|SE|SI|SK|SM|ST|SV|TL|TN|TR|UA|VA|VG|XK"
-IBAN = rf"(?<![A-Za-z0-9])(?:{IBAN_COUNTRIES})\d{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])"
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{IBAN_COUNTRIES})\d{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])"
 #: Usual layouts of a card, found at any group border of a longer run: unbroken, 4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-(1 to 3).
 LAYOUTS = (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}")
-_AT, _END = rf"(?<!\d)(?<!\d{{3}}-\d{{2}}-)(?<!\b(?:{IBAN_COUNTRIES})\d{{2}}(?: [A-Z0-9]{{4}}){{0,6}} )", r"(?!\d)(?![A-Za-z0-9._%+-]{0,64}@)"
+#: What may not stand before a card, behind the look at the card itself (which fails at once nearly everywhere), and what may not follow.
+_AT = rf"(?<!\d{{3}}-\d{{2}}-)(?<!\b(?:{IBAN_COUNTRIES})\d{{2}}(?: [A-Z0-9]{{4}}){{0,6}} )"
+_END = r"(?!\d)(?![A-Za-z0-9._%+-]{0,64}@)"
 #: Noncharacters of Unicode around the cards that were found beside other numbers.
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 MARKED = rf"{_OPEN}\d[\d -]{{11,24}}\d{_CLOSE}"
@@ -146,10 +148,10 @@ def _cards_marked(text: Column) -> Column:
     """``text`` with marks around each valid card in a usual layout, whatever numbers stand beside it; of two that overlap the first found counts."""
 
     def marked(cards: Column) -> Column:
-        step = lambda s, c: F.regexp_replace(s, F.concat(F.lit(rf"(?<![\d{_OPEN}]){_AT}"), c, F.lit(rf"(?!{_CLOSE}){_END}")), F.concat(F.lit(_OPEN), c, F.lit(_CLOSE)))
+        step = lambda s, c: F.regexp_replace(s, F.concat(F.lit(rf"(?<![\d{_OPEN}])(?="), c, F.lit(rf"){_AT}"), c, F.lit(rf"(?!{_CLOSE}){_END}")), F.concat(F.lit(_OPEN), c, F.lit(_CLOSE)))
         return F.aggregate(cards, text, step)
 
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(rf"{_AT}(?=({p}){_END})"), F.lit(1)) for p in LAYOUTS))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(rf"(?<!\d)(?=({p}){_END}){_AT}"), F.lit(1)) for p in LAYOUTS))
     valid = F.filter(F.array_distinct(found), lambda c: luhn_sum(_digits(c)) % 10 == 0)
     return F.when(text.rlike(r"\d(?:[ -]?\d){12}"), _let(valid, marked)).otherwise(text)
 
