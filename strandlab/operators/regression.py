@@ -20,6 +20,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -252,7 +253,9 @@ def add_up(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, r: Request) -> np
 
 
 class SparkSums:
-    """Sums over a DataFrame of encoded sequences; the driver receives one short vector per partition."""
+    """Sums over a DataFrame of encoded sequences, added up on the executors; the driver receives at most ``FAN`` vectors."""
+
+    FAN = 32
 
     def __init__(self, df: DataFrame, responses: list[str], folds: int, key: str = "seq_id", seed: int = 60427):
         fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(1, folds))).cast("int")
@@ -270,15 +273,35 @@ class SparkSums:
                     part = add_up(codes, y, fold, shared.value)
                     total = part if total is None else total + part
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+                yield _vector(total)
 
-        vectors = [row.v for row in self.rows.mapInArrow(work, "v array<double>").collect()]
-        return np.sum(np.array(vectors), axis=0)
+        vectors = self.rows.mapInArrow(work, "v array<double>")
+        parts = self.rows.rdd.getNumPartitions()
+        while parts > self.FAN:
+            parts = -(-parts // self.FAN)
+            vectors = vectors.repartition(parts).mapInArrow(_added, "v array<double>")
+        total = np.sum(np.array([row.v for row in vectors.collect()]), axis=0)
+        shared.destroy()
+        return total
 
     def close(self) -> None:
         self.rows.unpersist()
 
 
+def _vector(v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for v in batch.column("v"):
+            part = np.array(v.as_py())
+            total = part if total is None else total + part
+    if total is not None:
+        yield _vector(total)
+
+
 def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences of one length together, in slices that keep the derivative arrays small."""
     seqs = batch.column("seq").to_pylist()
@@ -519,28 +542,41 @@ def best_candidate(df: DataFrame, responses: list[str], cands: list[str], o: Opt
     return max(found, key=lambda x: x[0])[1]
 
 
-def regress_pwm_sample(df: DataFrame, responses: str | list[str], sample_frac=None, sample_ratio: float = 1, options: Options = Options(), **kwargs) -> MotifModel:
-    """Fits on a sample (even by class, or matched by quantiles), scores on everything."""
+def regress_pwm_sample(df: DataFrame, responses: str | list[str], sample_frac=None, sample_ratio: float = 1, options: Options = Options(), sample_ids: DataFrame | None = None, **kwargs) -> MotifModel:
+    """Fits on a sample (even by class, matched by quantiles, or the rows named by ``sample_ids``: seq_id), scores on everything."""
     names = [responses] if isinstance(responses, str) else responses
-    sample = sampling.sample_response(df, names[0], sample_frac, sample_ratio, options.seed)
+    if sample_ids is not None:
+        sample = df.join(sample_ids.select("seq_id").distinct(), "seq_id", "left_semi")
+    else:
+        sample = sampling.sample_response(df, names[0], sample_frac, sample_ratio, options.seed)
     model = regress_pwm(sample, names, options=options, **kwargs)
     return scored(df, model, names, options, is_binary(df, names))
 
 
-def regress_pwm_clusters(df: DataFrame, cluster: str, options: Options = Options(), use_sample: bool = True, **kwargs) -> dict[str, MotifModel]:
-    """A model of each cluster against the rest."""
+def regress_pwm_clusters(df: DataFrame, cluster: str, options: Options = Options(), use_sample: bool = True, at_once: int = 4, **kwargs) -> dict[str, MotifModel]:
+    """A model of each cluster against the rest; ``at_once`` fits run side by side as Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+
     names = sorted(r[0] for r in df.select(cluster).distinct().collect())
     fit_one = regress_pwm_sample if use_sample else regress_pwm
-    return {c: fit_one(df.withColumn("__y", (F.col(cluster) == c).cast("int")), "__y", options=options, **kwargs) for c in names}
+    fit = lambda c: fit_one(df.withColumn("__y", (F.col(cluster) == c).cast("int")), "__y", options=options, **kwargs)
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(names, pool.map(inheritable_thread_target(fit), names)))
+
 
+def regress_pwm_cv(df: DataFrame, responses: str | list[str], nfolds: int = 5, categories: str | None = None, options: Options = Options(), add_full_model: bool = True, folds: DataFrame | None = None, **kwargs) -> dict:
+    """Fits per fold; returns models, held-out predictions (seq_id, fold, pred), pooled score and scores by fold.
 
-def regress_pwm_cv(df: DataFrame, responses: str | list[str], nfolds: int = 5, categories: str | None = None, options: Options = Options(), add_full_model: bool = True, **kwargs) -> dict:
-    """Fits per fold; returns models, held-out predictions (seq_id, fold, pred), pooled score and scores by fold."""
+    ``folds``: a table (seq_id, fold) of the caller's own instead; rows it doesn't name take no part.
+    """
     names = [responses] if isinstance(responses, str) else responses
-    folded = sampling.cv_folds(df, nfolds, categories, options.seed).persist()
+    if folds is not None:
+        folded = df.drop("fold").join(folds.select("seq_id", "fold"), "seq_id").persist()
+    else:
+        folded = sampling.cv_folds(df, nfolds, categories, options.seed).persist()
     binary = is_binary(df, names)
     models, preds, by_fold = [], None, []
-    for k in range(1, nfolds + 1):
+    for k in range(1, nfolds + 1) if folds is None else sorted(r.fold for r in folds.select("fold").distinct().collect()):
         model = regress_pwm(folded.where(F.col("fold") != k), names, options=options, **kwargs)
         held = folded.where(F.col("fold") == k)
         by_fold.append(scored(held, replace_scores(model), names, options, binary).score)

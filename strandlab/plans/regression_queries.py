@@ -87,6 +87,49 @@ def _(spark, d):
     return G.regress_pwm(df, "z", "GATTA", OPTIONS).transform(df).select("seq_id", "pred")
 
 
+_SPAT = ((0.5, 1.0, 2.0), 20)
+_FIXED = energy_ctes(ORDER_DNA + ", cut AS (SELECT seq_id, substr(seq, 1, 60) AS seq FROM orders_dna)", "cut", ["GATA"], spat=_SPAT)
+
+
+def fixed_model() -> G.MotifModel:
+    """A motif and spatial factors that are given, not fitted."""
+    import numpy as np
+
+    p = np.array([r[2:] for r in M.rows(["GATA"])], float)
+    return G.MotifModel((p / p.sum(1, keepdims=True) + 0.01) / 1.04, _SPAT[0], _SPAT[1], 0, 60)
+
+
+@query("fixed_model_predict", f"WITH {_FIXED}, e AS ({lse('seq_id')}) SELECT seq_id, pwm AS pred FROM e")
+def _(spark, d):
+    return fixed_model().transform(order_dna(spark, d)).select("seq_id", "pred")
+
+
+@query("fixed_model_score", f"WITH {_FIXED}, e AS ({lse('seq_id')}) SELECT pow(corr(pwm, price), 2) AS r2, regr_intercept(price, pwm) AS intercept, regr_slope(price, pwm) AS slope FROM e JOIN orders_dna USING (seq_id)")
+def _(spark, d):
+    df = order_dna(spark, d)
+    model = G.scored(df, fixed_model(), ["price"], OPTIONS, False)
+    multi = G.MultiModel([model], least_squares(model.transform(df, "e1"), ["e1"], ["price"]), ["price"], [])
+    return spark.createDataFrame([(float(model.r2["price"]), *map(float, multi.coefficients[:, 0]))], "r2 double, intercept double, slope double")
+
+
+@query("fixed_model_moments", f"""WITH {_FIXED}, b AS (SELECT seq_id, CAST(floor((i - 1) / 20) AS INTEGER) AS bin, sum(exp(s) / (CASE CAST(floor((i - 1) / 20) AS INTEGER) WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 2.0 END)) AS share FROM w GROUP BY ALL)
+SELECT bin, sum(share) AS total, sum(share * price) AS with_price FROM b JOIN orders_dna USING (seq_id) GROUP BY bin""")
+def _(spark, d):
+    """What one step of a fit sums for the spatial factors: by bin, the energy and its product with the response."""
+    import numpy as np
+
+    from strandlab.functions.sequence import trimmed
+
+    model = fixed_model()
+    df = order_dna(spark, d).withColumn("seq", trimmed(F.col("seq"), 1, 60))
+    sums = G.SparkSums(df, ["price"], 1)
+    windows = 60 - len(model.pssm) + 1
+    v = sums(G.Request(model.pssm, np.array(model.spat), G.bin_of(windows, 20, 3, False), True, "gram"))
+    sums.close()
+    tail = v[-(3 + 9 + 3) :]  # energies, their products, their products with the response
+    return spark.createDataFrame([(i, float(tail[i]), float(tail[12 + i])) for i in range(3)], "bin int, total double, with_price double")
+
+
 @query("candidate_kmers")
 def _(spark, d):
     from strandlab.functions.kmers import candidate_kmers

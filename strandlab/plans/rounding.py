@@ -54,6 +54,9 @@ COLUMNS = {
     "gextract_pwm_quantile": "pwm q",
     "interval_quantiles_random_background": "pwm q",
     "least_squares": "intercept slope",
+    "fixed_model_predict": "pred",
+    "fixed_model_score": "r2 intercept slope",
+    "fixed_model_moments": "total with_price",
     "r_squared": "r2",
     "interpolate": "v",
     "prediction_curves": "pred above d",
