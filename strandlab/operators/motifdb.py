@@ -106,11 +106,15 @@ class MotifDB:
         return score_matrix(sequences, self.motifs(), spat=self.spatials(), spat_min=self.spat_min or 1, spat_max=self.spat_max, bidirect=bidirect)
 
 
-def create_motif_db(motifs: DataFrame, prior: float = 0.01, spat_factors: dict[str, tuple[float, ...]] | None = None, spat_bin_size: int = 1, spat_min: int | None = None, spat_max: int | None = None) -> MotifDB:
-    """Row-normalises, adds the prior, normalises again and takes logs. Rows are taken in table order."""
+def create_motif_db(motifs: DataFrame, prior: float = 0.01, spat_factors: dict[str, tuple[float, ...]] | None = None, spat_bin_size: int = 1, spat_min: int | None = None, spat_max: int | None = None, order_col: str = "pos") -> MotifDB:
+    """Row-normalises, adds the prior, normalises again and takes logs.
+
+    Rows of a motif are taken in the order of ``order_col``; where it doesn't tell
+    them apart, in the order in which they are read (which only files have).
+    """
     if not 0 < prior < 1:
         raise ValueError("prior must be between 0 and 1")
-    order = Window.partitionBy("motif").orderBy("__row")
+    order = Window.partitionBy("motif").orderBy(*([order_col] if order_col in motifs.columns else []), "__row")
     rows = P.validate(motifs).withColumn("__row", F.monotonically_increasing_id()).withColumn("pos", F.row_number().over(order))
     logs = P.with_prior(rows, prior, normalise_first=True).select("motif", "pos", *(F.ln(c).alias(c) for c in LETTERS))
     lengths = {r.motif: r.n for r in motifs.groupBy("motif").agg(F.count(F.lit(1)).alias("n")).collect()}

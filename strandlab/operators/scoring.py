@@ -157,9 +157,9 @@ def _scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spati
                     if codes.shape[1] >= len(m):
                         out[at, k] = energies(codes, m, spats.get(m.name, Spatial()), bidirect, func)
             out[np.isneginf(out)] = np.nan
-            yield pd.Series([[None if v != v else float(v) for v in row] for row in out])
+            yield pd.Series(list(out))
 
-    return score
+    return lambda seq: F.transform(score(seq), lambda v: F.when(~F.isnan(v), v))
 
 
 def compute_pwm(df: DataFrame, motif: Motif, spat: Spatial = Spatial(), spat_min: int | None = 1, spat_max: int | None = None, bidirect: bool = True, func: str = "logSumExp", out_col: str = "pwm") -> DataFrame:
@@ -193,15 +193,16 @@ def compute_local_pwm(df: DataFrame, motif: Motif, spat: Spatial = Spatial(), bi
     def local(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for seqs in batches:
-            out: list = [None if s is None else [None] * len(s) for s in seqs]
+            out: list = [None if s is None else np.full(len(s), np.nan) for s in seqs]
             for at, codes in by_length(seqs, len(m)):
                 s = window_scores(codes, m, spat, bidirect)
-                both = np.logaddexp(*s) if bidirect else s[0]
+                both = np.array(np.logaddexp(*s) if bidirect else s[0], float)
+                both[np.isneginf(both)] = np.nan
                 for i, row in zip(at, both):
-                    out[i][: len(row)] = [None if v == -np.inf else float(v) for v in row]
+                    out[i][: len(row)] = row
             yield pd.Series(out)
 
-    return df.withColumn(out_col, local("seq"))
+    return df.withColumn(out_col, F.transform(local("seq"), lambda v: F.when(~F.isnan(v), v)))
 
 
 _OPERATORS = {

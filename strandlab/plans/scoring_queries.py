@@ -116,9 +116,9 @@ def _(spark, d):
     return hits.select("seq_id", F.explode("positions").alias("pos")).select("seq_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("best_position", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['GATA'])}, e AS ({lse('seq_id, i')}), b AS (SELECT seq_id, CAST(arg_max(i, (round(pwm, 9), -i)) AS INTEGER) AS best FROM e GROUP BY seq_id) SELECT d.seq_id, best FROM docs_dna d LEFT JOIN b ON b.seq_id = d.seq_id")
+@query("best_position", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['GATA'])}, e AS ({lse('seq_id, i')}), b AS (SELECT seq_id, CAST(arg_max(i, (round(pwm, 9), -i)) AS INTEGER) AS best FROM e GROUP BY seq_id) SELECT d.seq_id, coalesce(best, 0) AS best FROM docs_dna d LEFT JOIN b ON b.seq_id = d.seq_id")
 def _(spark, d):
-    return E.best_position(doc_dna(spark, d), motif("GATA")).select("seq_id", "best")
+    return E.best_position(doc_dna(spark, d), motif("GATA")).select("seq_id", F.coalesce("best", F.lit(0)).alias("best"))  # 0: no window fits
 
 
 @query(
