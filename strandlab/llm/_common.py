@@ -78,6 +78,14 @@ def drop_by_id(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(few_ids(gone.select(F.col(gone.columns[0]).alias(id_col))), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def ids_are_unique(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether whole-number ids tell the rows apart: no null, none twice."""
+    if dict(docs.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return ids.where("id is null or n > 1").isEmpty()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` written with a number each: __rid, __row (a struct of all columns)."""
     return staged(docs.select(F.monotonically_increasing_id().alias("__rid"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")), "rows")

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import drop_numbered, few_ids, free, numbered, release_memory, staged, table
+from strandlab.llm._common import drop_by_id, drop_numbered, few_ids, free, ids_are_unique, numbered, release_memory, staged, table
 from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures
 
 GRAM, ROWS, BANDS = 5, 6, 48
@@ -186,7 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) at or above the threshold; ``pairs`` is materialised, nodes are row ids."""
+    """The pairs (a, b) at or above the threshold, materialised as ``pairs`` are; nodes are row ids."""
     ids = staged(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "ids")
     grams = staged(sketch.select("rid", "grams").join(few_ids(ids), "rid", "left_semi"), "grams")
     left = pairs.join(grams.select(F.col("rid").alias("a"), F.col("grams").alias("ga")), "a")
@@ -200,11 +200,13 @@ def _verified(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept), pa.array(s).filter(kept)], names=["a", "b", "similarity"])
         release_memory()
 
-    return both.select("a", "b", "ga", "gb").mapInArrow(compare, "a bigint, b bigint, similarity double")
+    found = staged(both.select("a", "b", "ga", "gb").mapInArrow(compare, "a bigint, b bigint, similarity double"), "verified")
+    free(ids, grams)
+    return found
 
 
 def _rarest(crowd: DataFrame, threshold: float) -> DataFrame:
-    """(node, comp, n, bits, e, pos): the members of each multiset that any linked one must share, rarest first.
+    """Materialised (node, comp, n, bits, e, pos): the members of each multiset that any linked one must share, rarest first.
 
     ``crowd``: (node, comp, n, bits, grams), materialised. Members are put into one
     order, by the number of multisets that hold them; two of n and m members with
@@ -226,18 +228,21 @@ def _rarest(crowd: DataFrame, threshold: float) -> DataFrame:
     rows = crowd.select("node", "comp", "n", "bits").join(held, "node").withColumn("alone", F.col("n") - F.size("held"))
     most = F.floor(F.col("n") * (1 - threshold) + 1e-6).cast("int") + 1
     rows = rows.withColumn("held", F.slice("held", F.lit(1), F.greatest(most - F.col("alone"), F.lit(0))))
-    return rows.select("node", "comp", "n", "bits", "alone", F.posexplode("held").alias("at", "h")).select("node", "comp", "n", "bits", F.col("h.e").alias("e"), (F.col("alone") + F.col("at") + 1).alias("pos"))
+    rows = rows.select("node", "comp", "n", "bits", "alone", F.posexplode("held").alias("at", "h"))
+    rows = staged(rows.select("node", "comp", "n", "bits", F.col("h.e").alias("e"), (F.col("alone") + F.col("at") + 1).alias("pos")), "rarest")
+    free(lists, common)
+    return rows
 
 
 def _crowd_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of the crowd, of different components, that share a member early enough to be linked.
+    """Materialised pairs (a, b) of the crowd, of different components, that share a member early enough to be linked.
 
     Of a pair one has the shared member within its first (1 - t) / (1 + t) * n + 1
     (a head). Heads of one component, size and position stand as one row in the
     join, so a family of copies meets its surroundings once, not copy by copy.
     """
     k = (1 - threshold) / (1 + threshold)
-    rows = staged(_rarest(crowd, threshold), "rarest")
+    rows = _rarest(crowd, threshold)
     heads = rows.where(F.col("pos") <= k * F.col("n") + 1 + 1e-6)
     keys = rows.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("e")
     keys = staged(keys.join(heads.select("e").distinct(), "e", "left_semi"), "keys")
@@ -250,7 +255,9 @@ def _crowd_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
     met = staged(met, "met")
     own = heads.select("e", F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("node").alias("a"), F.col("bits").alias("bits_a"))
     pairs = met.join(own, ["e", "comp_a", "n_a", "pos_a"]).where(_agree(threshold))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd_pairs")
+    free(rows, keys, met)
+    return pairs
 
 
 def _sizes(threshold: float):
@@ -282,7 +289,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     anchors = staged(anchors.select("key", (-F.col("best.minus")).alias("b")), "anchors")
     pairs = members.select("key", F.col("node").alias("a")).join(anchors, "key").where("a <> b").select("a", "b").distinct()
     pairs = staged(pairs.join(side("a"), "a").join(side("b"), "b").where(_agree(threshold)).select("a", "b"), "pairs")
-    links = staged(_verified(pairs, sketch, threshold), "links")
+    links = _verified(pairs, sketch, threshold)
     label = components(links)
 
     # Buckets that still hold several components.
@@ -294,15 +301,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     # Who meets few others there is compared with all of them ...
     met = inside.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
     crowded = inside.join(met, "key").groupBy("node").agg((F.sum("met") > MEETS).alias("crowded"))
-    inside = staged(inside.select("key", "node", "comp").join(crowded, "node").join(nodes.select("node", "n", "bits"), "node"), "around")
-    left = inside.where("not crowded").selectExpr("key", "node as a", "comp as comp_a", "n as n_a", "bits as bits_a")
-    right = inside.selectExpr("key as key_b", "node as b", "comp as comp_b", "n as n_b", "bits as bits_b", "crowded")
+    around = staged(inside.select("key", "node", "comp").join(crowded, "node").join(nodes.select("node", "n", "bits"), "node"), "around")
+    left = around.where("not crowded").selectExpr("key", "node as a", "comp as comp_a", "n as n_a", "bits as bits_a")
+    right = around.selectExpr("key as key_b", "node as b", "comp as comp_b", "n as n_b", "bits as bits_b", "crowded")
     rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("crowded") | (F.col("a") < F.col("b"))) & _agree(threshold))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # ... those in a crowd with whom shares one of their rarest five-grams.
-    crowd = staged(inside.where("crowded").select("node", "comp", "n", "bits").distinct(), "crowd")
-    crowd = staged(sketch.select(F.col("rid").alias("node"), "grams").join(few_ids(crowd), "node"), "crowd")
+    who = staged(around.where("crowded").select("node", "comp", "n", "bits").distinct(), "crowd")
+    crowd = staged(sketch.select(F.col("rid").alias("node"), "grams").join(few_ids(who), "node"), "crowd")
     if not crowd.isEmpty():
         rest = rest.unionByName(_crowd_pairs(crowd, threshold))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -316,13 +323,18 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     classed = nodes.select("tkey", "node", "copies", "first").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = staged(classed.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size")), "classes")
     by_text = staged(classed.select("tkey", "node", "comp").join(classes, "comp"), "by_text")
-    free(nodes, shared, members, anchors, pairs, links, mixed, inside, crowd, rest, classes)
+    free(nodes, shared, members, anchors, pairs, links, mixed, inside, around, who, crowd, rest, classes)
     out = sketch.select("rid", "id", "tkey").join(by_text, "tkey")
-    return out.select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("kept"), "node", "rid")
+    out = staged(out.select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("kept"), "node", "rid"), "classes")
+    free(sketch, by_text)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class; rows are told apart by number, so null and repeated ids take part like all others."""
+    """``docs`` with one row of each class; where ids are null or repeated rows are told apart by number, so these take part like all others."""
+    if ids_are_unique(docs):
+        classes = near_classes(docs.select("doc_id", "text"), threshold, rid_col="doc_id")
+        return drop_by_id(docs, staged(classes.where("not kept").select("rid"), "gone"))
     rows = numbered(docs)
     classes = near_classes(rows.select("__rid", "__row.doc_id", "__row.text"), threshold, rid_col="__rid")
     return drop_numbered(rows, staged(classes.where("not kept").select("rid"), "gone"))

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import crc_mod, table
+from strandlab.llm._common import crc_mod, release_memory, table
 
 PIECE = 2048
 MAX_FIT_BYTES = 20_000
@@ -143,6 +143,7 @@ def score_quality(docs: DataFrame, model: CompressionModel | None, text_col: str
         score = shared.value.scorer()
         for texts in batches:
             yield pd.Series(score(texts.tolist()))
+        release_memory()
 
     return docs.withColumn(out_col, scored(F.col(f"`{text_col}`")))
 

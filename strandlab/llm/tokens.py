@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import table
+from strandlab.llm._common import release_memory, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern that belongs to the vocabulary (fixed value).
@@ -72,6 +72,7 @@ def with_token_counts(docs: DataFrame, vocabulary: str | None = VOCABULARY, text
         encoder = _encoder(shared.value)
         for texts in batches:
             yield pd.Series([token_count(encoder, t) for t in texts], dtype="int64")
+        release_memory()
 
     return docs.withColumn(out_col, count(text))
 

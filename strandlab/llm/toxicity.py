@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import crc_mod, table
+from strandlab.llm._common import crc_mod, release_memory, table
 from strandlab.llm.quality import labelled_sample
 
 MAX_FIT_BYTES = 20_000
@@ -265,6 +265,8 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex | None, text_col: str =
                     z[i], pos, cosines = bare
                 evidence.append([{"id": int(ix.ids[p]), "cosine": float(c), "label": int(ix.labels[p])} for p, c in zip(pos[: ix.k], cosines[: ix.k])])
             yield pd.DataFrame({"score": ix.probability(z), "evidence": evidence})
+        memo.clear()
+        release_memory()
 
     return docs.withColumn(out_col, scored(F.col(f"`{text_col}`")))
 
