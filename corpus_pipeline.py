@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.llm import decontam, exact_dedup, neardup, packing, quality
-from strandlab.llm._common import drop_numbered, numbered, staged, table
+from strandlab.llm._common import drop_by_id, drop_numbered, ids_are_unique, numbered, staged, table
 
 KEEP_QUALITY = 0.7
 
@@ -56,8 +56,12 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Null and empty texts stay; repeated rows are decided alike; without items or
     documents nothing changes; all columns are kept.
     """
+    items = table(spark, sf_dir, "benchmark")
+    if ids_are_unique(docs):
+        leaks = decontam.contaminated(docs.select("doc_id", "text"), items)
+        return drop_by_id(docs, staged(leaks.select("doc_id").distinct(), "leaks"))
     rows = numbered(docs)
-    leaks = decontam.contaminated(rows.select("__rid", "__row.text"), table(spark, sf_dir, "benchmark"), id_col="__rid")
+    leaks = decontam.contaminated(rows.select("__rid", "__row.text"), items, id_col="__rid")
     return drop_numbered(rows, staged(leaks.select("doc_id").distinct(), "leaks"))
 
 
