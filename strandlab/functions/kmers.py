@@ -1,15 +1,17 @@
 """k-mers: generation, counting, screening against responses, composition.
 
 Sequences are DataFrames with ``seq_id`` and ``seq``. Counting happens inside the
-row (sorted windows, run lengths), so a k-mer matrix needs no shuffle and a screen
-shuffles once, on the k-mer.
+row (an Arrow kernel, or sorted windows and run lengths), so a k-mer matrix needs no
+shuffle and a screen shuffles once, on the k-mer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,6 @@ def _with_run(kmer: Column, pos: int, g: int) -> Column:
     return F.concat(F.substring(kmer, 1, pos), F.lit("N" * g), F.substring(kmer, pos + g + 1, 2**31 - 1))
 
 
-def _with_runs(windows: Column, pos: int, g: int) -> Column:
-    return F.transform(windows, lambda w: _with_run(w, pos, g))
-
-
 def _gapped(windows: Column, k1: int, g: int, k2: int) -> Column:
     return F.transform(windows, lambda w: F.concat(F.substring(w, 1, k1), F.lit("*" * g), F.substring(w, k1 + g + 1, k2)))
 
@@ -83,19 +81,53 @@ def kmer_counts(df: DataFrame, kmer_length: int, max_gap: int = 0, mask: str | N
     takes precedence over gaps); ``add_mask`` keeps the plain k-mers too. ``compat``
     lets the range reach one base further, as the original does.
     """
-    seq = F.upper("seq")
-    end = F.length("seq") if to_range is None else F.least(F.length("seq"), F.lit(to_range + (1 if compat else 0)))
-    windows = _windows(seq, kmer_length, F.lit(from_range), end - kmer_length + 1)
     blank = [i for i, c in enumerate(mask or "") if c == "N"]
     if blank:
-        masked = lambda w: F.concat(*(F.lit("N") if i in blank else F.substring(w, i + 1, 1) for i in range(kmer_length)))
-        patterns = F.transform(windows, masked)
-        patterns = F.concat(windows, patterns) if add_mask else patterns
+        forms = ([[]] if add_mask else []) + [blank]
     else:
-        runs = [(pos, g) for g in range(1, max_gap + 1) for pos in range(kmer_length - g + 1)]
-        patterns = F.concat(windows, *(_with_runs(windows, pos, g) for pos, g in runs))
-    counted = df.select("seq_id", F.sort_array(patterns).alias("p"))
-    return counted.select("seq_id", F.inline(_run_lengths(F.col("p")))).select("seq_id", "kmer", F.col("n").cast("bigint").alias("n"))
+        forms = [[]] + [list(range(pos, pos + g)) for g in range(1, max_gap + 1) for pos in range(kmer_length - g + 1)]
+    most = None if to_range is None else to_range + (1 if compat else 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, kmers, counts = [], [], []
+            for i, seq in enumerate(batch.column("seq")):
+                found, n = _counted((seq.as_py() or "").upper()[:most], kmer_length, from_range - 1, forms)
+                ids.append(np.full(len(n), i))
+                kmers.append(found)
+                counts.append(n)
+            at = np.concatenate([np.zeros(0, np.int64), *ids])
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id").take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, f"U{kmer_length}"), *kmers]).tolist(), pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], names=["seq_id", "kmer", "n"])
+
+    return df.select("seq_id", "seq").mapInArrow(count, f"seq_id {dict(df.dtypes)['seq_id']}, kmer string, n bigint")
+
+
+def _counted(seq: str, k: int, first: int, forms: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-mers that begin at ``first`` (from 0) or later, with their counts; each form blanks its positions."""
+    letters = np.frombuffer(seq[first:].encode("utf-32-le"), np.uint32)
+    if len(letters) < k:
+        return np.zeros(0, f"U{k}"), np.zeros(0, np.int64)
+    alphabet, codes = np.unique(np.append(letters, ord("N")), return_inverse=True)
+    codes, blank = codes[:-1].astype(np.uint64), np.uint64(codes[-1])
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * k > 64:  # many letters or long k-mers: strings
+        windows = np.lib.stride_tricks.sliding_window_view(letters, k)
+        parts = []
+        for form in forms:
+            w = windows.copy()
+            w[:, form] = ord("N")
+            parts.append(w.view(f"U{k}").ravel())
+        return np.unique(np.concatenate(parts), return_counts=True)
+    shift = [np.uint64(bits * (k - 1 - j)) for j in range(k)]
+    parts = []
+    for form in forms:
+        w = np.zeros(len(codes) - k + 1, np.uint64)
+        for j in range(k):
+            w |= (blank if j in form else codes[j : j + len(w)]) << shift[j]
+        parts.append(w)
+    packed, n = np.unique(np.concatenate(parts), return_counts=True)
+    rows = np.stack([alphabet[((packed >> s) & np.uint64(2**bits - 1)).astype(np.int64)] for s in shift], axis=1)
+    return np.ascontiguousarray(rows.astype(np.uint32)).view(f"U{k}").ravel(), n
 
 
 def kmer_matrix(df: DataFrame, kmer_length: int, kmers: list[str], **options) -> DataFrame:

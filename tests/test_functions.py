@@ -1,3 +1,6 @@
+import collections
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +51,21 @@ def test_generate_kmers(spark):
             K.generate_kmers(*bad)
 
 
+@pytest.mark.parametrize("k", [1, 4, 30])
+def test_kmer_counts_of_any_letters(spark, k):
+    rng = random.Random(k)
+    rows = [(i, "".join(rng.choices("acgtNé😀xyz" if i % 2 else "ACGT", k=n))) for i, n in enumerate((0, 1, 3, 60, 500))] + [(9, None)]
+    df = spark.createDataFrame(rows, "seq_id int, seq string")
+    want = collections.Counter()
+    for i, seq in rows:
+        s = (seq or "").upper()
+        for at in range(len(s) - k + 1):
+            w = s[at : at + k]
+            for kmer in [w] + [w[:g] + "N" + w[g + 1 :] for g in range(k)]:
+                want[i, kmer] += 1
+    assert {(r.seq_id, r.kmer): r.n for r in K.kmer_counts(df, k, max_gap=1).collect()} == want
+
+
 def test_kmer_counts(spark):
     df = seqs(spark, ["ATCG", "ATCG"])
     count = lambda **o: {(r.seq_id, r.kmer): r.n for r in K.kmer_counts(df, o.pop("k"), **o).collect()}
