@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlab.llm import chat, decontam, exact_dedup, htmltext, neardup, packing, pii, quality, tokens, toxicity
+from strandlab.llm import chat, decontam, exact_dedup, hardneg, htmltext, importance, neardup, packing, pii, quality, tokens, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": neardup.op1_bag_minhash,
@@ -19,9 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_perspective_rotation": chat.op9_perspective_rotation,
     "op10_compression_quality": quality.op10_compression_quality,
     "op5_tree_merge_dedup": exact_dedup.op5_tree_merge_dedup,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_fagin_hard_negatives": hardneg.op12_fagin_hard_negatives,
+    "op13_wildcard_url_filter": urlfilter.op13_wildcard_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_tree_merge_dedup": exact_dedup.SQL,
     "op9_perspective_rotation": chat.SQL,
+    "op11_importance_resampling": importance.SQL,
+    "op12_fagin_hard_negatives": hardneg.SQL,
+    "op13_wildcard_url_filter": urlfilter.SQL,
 }
