@@ -97,6 +97,15 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def subset_keys(sig: np.ndarray, subsets: np.ndarray) -> np.ndarray:
+    """(sets, subsets) 64-bit keys: each of the values of a subset of components (subsets x size of their numbers)."""
+    bits = mix(np.ascontiguousarray(sig).view(np.uint64))
+    key = np.broadcast_to(np.arange(1, len(subsets) + 1, dtype=np.uint64)[None, :] * _GOLD, (len(sig), len(subsets)))
+    for r in range(subsets.shape[1]):
+        key = mix(key ^ bits[:, subsets[:, r]])
+    return key
+
+
 def sign_bits(sig: np.ndarray, words: int = 4) -> np.ndarray:
     """One bit of each of the first 64 * words components, packed: agreement is similarity plus half the rest."""
     bits = (mix(np.ascontiguousarray(sig[:, : 64 * words]).view(np.uint64)) >> _U(17)) & _U(1)

@@ -17,13 +17,15 @@ the answer as a whole). The item leaks when both are at least half, or when at
 least 0.8 of the whole item's five-grams occur. Where the items have no answer
 column, the last sentence counts as the answer.
 
-Items are dealt into indexes of about ``INDEX_WORDS`` words and ``SCAN_INDEXES``
-indexes are searched in one scan of the texts, so what a scan broadcasts has a
-fixed bound however many items there are (a single item longer than that is an
-index of its own size).
+Document frequencies, the number of pieces and their mean length are counted once
+over all items, so scores don't depend on how items are dealt. Items are dealt
+by row into indexes of about ``INDEX_WORDS`` words and ``SCAN_INDEXES`` indexes are
+searched in one scan of the texts; what a scan broadcasts has a fixed bound
+however many items there are (a single item longer than that is an index of its
+own size) and is removed before the next scan. Every scan reads the texts anew.
 
 Edge cases: null text or items without words match nothing; items with the same
-words are separate items and both are reported; a null doc_id is kept; repeated
+words, repeated rows too, are separate items and all are reported; a null doc_id is kept; repeated
 rows each report; other columns are ignored, whatever their names; no items at
 all give an empty result.
 """
@@ -37,10 +39,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm._common import release_memory, table
+from strandlab.llm._common import free, release_memory, staged, table
 
 PIECE, WINDOW = 32, 64
 STRIDE = WINDOW // 2
@@ -79,11 +82,34 @@ def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
 
 
+def pieces_of(text: str | None, answer: str | None) -> list[Counter]:
+    """An item's words in pieces of equal length, ``PIECE`` at most."""
+    whole = words(text) + (words(answer) if answer is not None else [])
+    if not whole:
+        return []
+    size = -(-len(whole) // -(-len(whole) // PIECE))
+    return [Counter(whole[k : k + size]) for k in range(0, len(whole), size)]
+
+
 class _Terms(dict):
     def __missing__(self, term: str) -> int:
         return -1
 
 
+@dataclass
+class Statistics:
+    """Of all items: pieces, their mean length, and of the terms at hand the pieces that hold them."""
+
+    pieces: int
+    mean: float
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, items: list[tuple]) -> Statistics:
+        pieces = [p for _, text, answer in items for p in pieces_of(text, answer)]
+        return cls(len(pieces), sum(sum(p.values()) for p in pieces) / max(1, len(pieces)), Counter(t for p in pieces for t in p))
+
+
 @dataclass
 class ItemIndex:
     terms: _Terms
@@ -99,20 +125,18 @@ class ItemIndex:
     parts: list[tuple[set, set, set]]  # five-grams of question, answer, whole
 
     @classmethod
-    def build(cls, items: list[tuple]) -> ItemIndex:
-        """``items``: (item_id, text, answer or None)."""
+    def build(cls, items: list[tuple], of: Statistics | None = None) -> ItemIndex:
+        """``items``: (item_id, text, answer or None); ``of``: what was counted over all items, where these are some."""
+        of = of or Statistics.of(items)
         pieces, owner, parts, ids = [], [], [], []
         for item_id, text, answer in items:
-            whole = words(text) + (words(answer) if answer is not None else [])
-            if not whole:
+            own = pieces_of(text, answer)
+            if not own:
                 continue
             q, a = question_and_answer(text, answer)
-            parts.append((grams(q), grams(a), grams(whole)))
-            n = -(-len(whole) // PIECE)
-            size = -(-len(whole) // n)
-            for k in range(0, len(whole), size):
-                pieces.append(Counter(whole[k : k + size]))
-                owner.append(len(ids))
+            parts.append((grams(q), grams(a), grams(words(text) + (words(answer) if answer is not None else []))))
+            pieces += own
+            owner += [len(ids)] * len(own)
             ids.append(item_id)
         terms = _Terms((t, i) for i, t in enumerate(sorted({t for p in pieces for t in p})))
         n = len(pieces)
@@ -120,9 +144,9 @@ class ItemIndex:
         piece = np.repeat(np.arange(n), [len(p) for p in pieces])
         tf = np.array([c for p in pieces for c in p.values()], float)
         size = np.array([sum(p.values()) for p in pieces], float)
-        df = np.bincount(term, minlength=len(terms))
-        norm = K1 * (1 - B + B * size / size.mean()) if n else size
-        impact = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[piece])
+        df = np.array([of.df[t] for t in terms], np.int64)
+        norm = K1 * (1 - B + B * size / of.mean) if n else size
+        impact = np.log(1 + (of.pieces - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[piece])
         impact /= np.bincount(piece, impact, n)[piece]
         order = np.lexsort((piece, term))
         term, piece, impact = term[order], piece[order], impact[order]
@@ -220,25 +244,41 @@ def leaks(q: float, a: float, whole: float) -> bool:
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, index_words: int = INDEX_WORDS, answer_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text and leaked item: doc_id, item_id, best passage score, overlaps."""
-    spark = docs.sparkSession
-    chosen = items.select("item_id", "text", (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
-    spaces = F.sum(F.size(F.split(F.concat_ws(" ", "text", "answer"), r"\W+")))  # words, about
-    indexes = max(1, -(-(chosen.agg(spaces).first()[0] or 0) // index_words))
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(indexes))
-    out = spark.createDataFrame([], LEAKS)
+    chosen = items.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("bigint").alias("item_id"), "text", (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
+    chosen = staged(chosen, "items")
+    terms = staged(chosen.mapInArrow(_pieces, "row bigint, piece int, term string, n bigint"), "terms")
+    df = staged(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    pieces = terms.groupBy("row", "piece").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("n")).first()
+    indexes = max(1, -(-(pieces.n or 0) // index_words))
+    number = F.pmod(F.xxhash64("row"), F.lit(indexes)).cast("int")
+    found = []
     for first in range(0, indexes, SCAN_INDEXES):
         # At most SCAN_INDEXES * index_words words of items are held at a time.
-        rows = chosen.where(number.between(first, first + SCAN_INDEXES - 1)).select(number.alias("index"), "item_id", "text", "answer").collect()
+        here = number.between(first, first + SCAN_INDEXES - 1)
         parts: dict[int, list] = {}
-        for r in sorted((tuple(r) for r in rows), key=str):
-            parts.setdefault(r[0], []).append(r[1:])
-        out = out.unionByName(_scan(docs, [ItemIndex.build(p) for p in parts.values()], threshold, id_col, text_col))
-    return out
-
-
-def _scan(docs: DataFrame, indexes: list[ItemIndex], threshold: float, id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(indexes)
-
+        for r in sorted((tuple(r) for r in chosen.where(here).select(number.alias("index"), "row", "item_id", "text", "answer").collect()), key=lambda r: r[:2]):
+            parts.setdefault(r[0], []).append(r[2:])
+        own = df.join(terms.where(here).select("term").distinct(), "term")
+        of = Statistics(pieces.pieces, (pieces.n or 0) / max(1, pieces.pieces), {r.term: r.df for r in own.collect()})
+        shared = docs.sparkSession.sparkContext.broadcast([ItemIndex.build(p, of) for p in parts.values()])
+        found.append(staged(_scan(docs, shared, threshold, id_col, text_col), "leaks"))
+        shared.destroy()
+    free(chosen, terms, df)
+    return docs.sparkSession.read.schema(LEAKS).parquet(*(f._staged_path for f in found))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of the pieces of items, with their number of occurrences."""
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            for k, p in enumerate(pieces_of(batch.column("text")[i].as_py(), batch.column("answer")[i].as_py())):
+                rows += [(batch.column("row")[i].as_py(), k, t, n) for t, n in p.items()]
+        columns = zip(*rows) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int64()))], names=["row", "piece", "term", "n"])
+
+
+def _scan(docs: DataFrame, shared: Broadcast, threshold: float, id_col: str, text_col: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -17,8 +17,11 @@ are the connected components of the links.
    with each. Nodes in a crowd (many variants of one text, unlike enough to have
    few links and like enough to share buckets) are paired by an exact prefix
    filter on five-grams: the rarest of the crowd first, a pair at or above the
-   threshold shares one near both beginnings. Pairs first pass two tests that
-   linked pairs meet: size ratio and agreement of 256 signature bits.
+   threshold shares one near both beginnings. Nodes that meet many even so
+   (texts filled from one template share their rarest five-grams with others) are
+   dense: pairs of two dense nodes come from keys of 10, 14 and 18 components of a
+   longer signature, level by level until a node meets few. Pairs first pass two
+   tests that linked pairs meet: size ratio and agreement of signature bits.
 4. Verification counts the common five-grams of both whole texts.
 
 Five-grams are compared by 40-bit hashes. Words are runs of letters, digits and
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.llm._common import drop_by_id, drop_numbered, few_ids, free, ids_are_unique, numbered, release_memory, staged, table
-from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures
+from strandlab.llm.bagminhash import band_keys, mix, sign_bits, signatures, subset_keys
 
 GRAM, ROWS, BANDS = 5, 6, 48
 M = ROWS * BANDS
@@ -51,6 +54,10 @@ BITS = 256
 SLICE, SLICE_TEXTS = 50_000, 500  # five-grams and texts that are signed at once
 MEMO = 50_000
 MEETS = 64  # members of mixed buckets that a node may meet before it counts as crowded
+DENSE = 256  # heads and rarest members of others that a crowded node may meet before it counts as dense
+DENSE_MEETS = 32
+DENSE_M = 1024  # components of the signature of dense nodes
+DENSE_LEVELS = ((10, 146), (14, 428), (18, 1208))  # components in a key, keys: 1e-6 are missed at similarity 0.8
 _words = re.compile(r"\w+")
 _mixers = mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -234,41 +241,125 @@ def _rarest(crowd: DataFrame, threshold: float) -> DataFrame:
     return rows
 
 
-def _crowd_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
-    """Materialised pairs (a, b) of the crowd, of different components, that share a member early enough to be linked.
+def _crowd_pairs(crowd: DataFrame, threshold: float) -> list[DataFrame]:
+    """Materialised pairs (a, b) of the crowd, of different components, that may be linked.
 
-    Of a pair one has the shared member within its first (1 - t) / (1 + t) * n + 1
+    Of a linked pair one has a shared member within its first (1 - t) / (1 + t) * n + 1
     (a head). Heads of one component, size and position stand as one row in the
     join, so a family of copies meets its surroundings once, not copy by copy.
+    Nodes whose heads and members meet more than ``DENSE`` members and heads of
+    others are dense; pairs of two dense nodes come from ``_dense_pairs``.
     """
     k = (1 - threshold) / (1 + threshold)
-    rows = _rarest(crowd, threshold)
-    heads = rows.where(F.col("pos") <= k * F.col("n") + 1 + 1e-6)
-    keys = rows.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("e")
-    keys = staged(keys.join(heads.select("e").distinct(), "e", "left_semi"), "keys")
-    kinds = heads.join(keys, "e", "left_semi").groupBy("e", "comp", "n", "pos").agg(F.count(F.lit(1)).alias("heads"))
-    kinds = kinds.select("e", F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-    other = rows.join(keys, "e", "left_semi").select("e", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("bits").alias("bits_b"))
+    rarest = _rarest(crowd, threshold)
+    rows = rarest.withColumn("head", F.col("pos") <= k * F.col("n") + 1 + 1e-6)
+    held = rows.groupBy("e", "comp").agg(F.count(F.lit(1)).alias("rows_own"), F.sum(F.col("head").cast("int")).alias("heads_own"))
+    every = held.groupBy("e").agg(F.sum("rows_own").alias("rows_all"), F.sum("heads_own").alias("heads_all"), F.count(F.lit(1)).alias("comps"))
+    every = staged(every.where("comps > 1 and heads_all > 0").drop("comps"), "keys")
+    meets = F.col("heads_all") - F.col("heads_own") + F.when(F.col("head"), F.col("rows_all") - F.col("rows_own")).otherwise(0)
+    cost = rows.join(every, "e").join(held, ["e", "comp"]).groupBy("node").agg(F.sum(meets).alias("meets"))
+    dense = staged(cost.where(F.col("meets") > DENSE).select("node", F.lit(True).alias("dense")), "dense")
+    shared = rows.join(every.select("e"), "e", "left_semi").join(dense, "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    shared = staged(shared, "shared")
+    heads = shared.where("head")
+    kinds = heads.groupBy("e", "comp", "n", "pos", "dense").agg(F.count(F.lit(1)).alias("heads"))
+    kinds = kinds.select("e", F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("dense").alias("dense_a"))
+    other = shared.select("e", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("bits").alias("bits_b"), F.col("dense").alias("dense_b"))
     spare = k * (F.col("n_a") + F.col("n_b")) + 2 + 1e-6
     early = (2 * F.col("pos_a") <= F.col("n_a") - F.col("n_b") + spare) & (2 * F.col("pos_b") <= F.col("n_b") - F.col("n_a") + spare)
-    met = kinds.join(other, "e").where((F.col("comp_a") != F.col("comp_b")) & _sizes(threshold) & early)
-    met = staged(met, "met")
-    own = heads.select("e", F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("node").alias("a"), F.col("bits").alias("bits_a"))
-    pairs = met.join(own, ["e", "comp_a", "n_a", "pos_a"]).where(_agree(threshold))
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd_pairs")
-    free(rows, keys, met)
-    return pairs
+    # One of the two isn't dense: the dense stand on one side only of each join.
+    met = kinds.where("not dense_a").join(other, "e").unionByName(kinds.where("dense_a").join(other.where("not dense_b"), "e"))
+    met = staged(met.where((F.col("comp_a") != F.col("comp_b")) & _sizes(threshold) & early), "met")
+    own = heads.select("e", F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("dense").alias("dense_a"), F.col("node").alias("a"), F.col("bits").alias("bits_a"))
+    pairs = met.join(own, ["e", "comp_a", "n_a", "pos_a", "dense_a"]).where(_agree(threshold))
+    found = [staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd_pairs")]
+    if not dense.isEmpty():
+        found += _dense_pairs(staged(crowd.select("node", "comp", "n", "grams").join(few_ids(dense.select("node")), "node"), "dense_grams"), threshold)
+    free(rarest, every, shared, met, dense)
+    return found
+
+
+def _subsets(rows: int, count: int) -> np.ndarray:
+    """``count`` subsets of ``rows`` of the ``DENSE_M`` components, the same on every machine."""
+    draws = mix(np.arange(count * DENSE_M, dtype=np.uint64) + mix(np.full(1, rows, np.uint64))).reshape(count, DENSE_M)
+    return np.argpartition(draws, rows, axis=1)[:, :rows]
+
+
+def _deep_sketches(nodes: DataFrame, rows: int, count: int) -> DataFrame:
+    """(node, comp, n, keys, bits): keys of subsets of a longer signature, and a bit of each component."""
+    subsets = _subsets(rows, count)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                held.append((i, unpacked_grams(batch.column("grams")[i].as_py())))
+                size += len(held[-1][1])
+                if size >= SLICE or len(held) >= SLICE_TEXTS // 8 or i == batch.num_rows - 1:
+                    yield _deep(batch, held, subsets)
+                    held, size = [], 0
+        release_memory()
+
+    return nodes.mapInArrow(sign, "node bigint, comp bigint, n int, keys array<bigint>, bits array<bigint>")
+
+
+def _deep(batch: pa.RecordBatch, held: list[tuple], subsets: np.ndarray) -> pa.RecordBatch:
+    owner, element, weight = [], [], []
+    for k, (_, grams) in enumerate(held):
+        values, counts = np.unique(grams, return_counts=True)
+        owner.append(np.full(len(values), k))
+        element.append(mix(values + np.uint64(1)))  # apart from the shorter signature
+        weight.append(counts)
+    sig = signatures(np.concatenate(owner), np.concatenate(element), np.concatenate(weight), len(held), DENSE_M)
+    lists = lambda rows: pa.array(list(rows.view(np.int64)), pa.list_(pa.int64()))
+    at = pa.array([i for i, _ in held])
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "comp", "n")), lists(subset_keys(sig, subsets)), lists(sign_bits(sig, DENSE_M // 64))], names=["node", "comp", "n", "keys", "bits"])
+
+
+def _dense_pairs(nodes: DataFrame, threshold: float) -> list[DataFrame]:
+    """Materialised pairs of dense nodes: buckets of more and more components.
+
+    A level's keys miss a pair at similarity 0.8 with probability 1e-6. A node that
+    meets at most ``DENSE_MEETS`` others in its level's buckets is compared with
+    each; the others go on to the next level. Unlinked texts of one family meet
+    ever less often: a pair at 0.5 half as often at every level, while the number of keys triples.
+    """
+    found = []
+    for level, (rows, count) in enumerate(DENSE_LEVELS):
+        deep = staged(_deep_sketches(nodes, rows, count), "deep")
+        keyed = deep.select(F.explode("keys").alias("key"), "node", "comp")
+        held = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
+        every = held.groupBy("key").agg(F.sum("own").alias("every"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+        inside = keyed.join(every, "key").join(held, ["key", "comp"]).withColumn("meets", F.col("every") - F.col("own"))
+        inside = staged(inside.select("key", "node", "comp", "meets"), "deep_inside")
+        last = level == len(DENSE_LEVELS) - 1
+        meets = inside.groupBy("node").agg(F.sum("meets").alias("meets"))
+        on = staged(meets.where(F.lit(False) if last else F.col("meets") > DENSE_MEETS).select("node", F.lit(True).alias("on")), "deep_on")
+        members = inside.select("key", "node", "comp").join(on, "node", "left").withColumn("on", F.coalesce("on", F.lit(False)))
+        left = members.where("not on").selectExpr("key", "node as a", "comp as comp_a")
+        right = members.selectExpr("key", "node as b", "comp as comp_b", "on")
+        met = left.join(right, "key").where((F.col("comp_a") != F.col("comp_b")) & (F.col("on") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+        met = staged(met, "deep_met")
+        side = lambda s: deep.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+        pairs = met.join(side("a"), "a").join(side("b"), "b").where(_agree(threshold, DENSE_M))
+        found.append(staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "deep_pairs"))
+        going = None if last or on.isEmpty() else staged(nodes.join(few_ids(on.select("node")), "node"), "dense_grams")
+        free(deep, inside, met, on, nodes)
+        if going is None:
+            break
+        nodes = going
+    return found
 
 
 def _sizes(threshold: float):
     return F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
 
 
-def _agree(threshold: float):
+def _agree(threshold: float, bits: int = BITS):
     """Tests that linked pairs meet: sizes exactly, the bits but for 1e-9 (six deviations)."""
     p = (1 + threshold) / 2
-    least = int(BITS * p - 6 * (BITS * p * (1 - p)) ** 0.5)
-    same = BITS - sum((F.bit_count(F.col(f"bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0))
+    least = int(bits * p - 6 * (bits * p * (1 - p)) ** 0.5)
+    same = bits - sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(bits // 64)), F.lit(0))
     return _sizes(threshold) & (same >= least)
 
 
@@ -311,7 +402,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     who = staged(around.where("crowded").select("node", "comp", "n", "bits").distinct(), "crowd")
     crowd = staged(sketch.select(F.col("rid").alias("node"), "grams").join(few_ids(who), "node"), "crowd")
     if not crowd.isEmpty():
-        rest = rest.unionByName(_crowd_pairs(crowd, threshold))
+        for more in _crowd_pairs(crowd, threshold):
+            rest = rest.unionByName(more)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = staged(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     found = [links.select("a", "b")]

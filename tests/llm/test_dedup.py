@@ -137,6 +137,56 @@ def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
         assert counts[tag][1] <= max(60, 2.5 * counts[tag][0]), (tag, counts[tag])
 
 
+def templates(n, seed=8):
+    """Texts of 120 words from one template, 13 slots with 4 fillings each; every 25th fills one slot of the text before anew."""
+    rng = random.Random(seed)
+    base, at = [f"w{i}" for i in range(120)], sorted(rng.sample(range(120), 13))
+    rows, last = [], None
+    for i in range(n):
+        fill = [rng.randrange(4) for _ in at] if last is None or i % 25 else [(last[0] + 1) % 4, *last[1:]]
+        words = list(base)
+        for slot, f in zip(at, fill):
+            words[slot] = f"s{slot}f{f}"
+        rows.append((i, " ".join(words)))
+        last = fill
+    return rows
+
+
+def brute_sets(rows):
+    """Classes of texts without repeated five-grams."""
+    grams = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, w in ((i, t.split()) for i, t in rows)]
+    label = {i: i for i, _ in grams}
+    for n, (i, a) in enumerate(grams):
+        for j, b in grams[:n]:
+            common = len(a & b)
+            if common >= 0.8 * (len(a) + len(b) - common) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+def test_pairs_of_a_template_do_not_grow_with_its_square(spark, monkeypatch):
+    counts, staged = {}, neardup.staged
+
+    def counted(df, tag):
+        out = staged(df, tag)
+        counts.setdefault(n, {}).setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    for n in (200, 400, 800):
+        rows = templates(n)
+        got = neardup.near_classes(docs(spark, rows)).collect()
+        assert {r.doc_id: r.class_id for r in got} == brute_sets(rows)
+        assert sum(r.class_id != r.doc_id for r in got) >= n // 25 - 1
+    pairs = {n: {t: sum(c.get(t, [0])) for t in ("pairs", "met", "rest", "deep_met", "deep_pairs", "crowd_pairs", "rarest")} for n, c in counts.items()}
+    # One anchor a key bounds "pairs", DENSE_MEETS bounds "deep_met"; both are rows for each text.
+    bound = {"pairs": neardup.BANDS, "deep_met": neardup.DENSE_MEETS}
+    for n in (400, 800):
+        for tag, c in pairs[n].items():
+            assert c <= max(60, 2.5 * pairs[n // 2][tag], bound.get(tag, 0) * n), (tag, pairs)
+
+
 def test_near_edge_cases(spark):
     assert neardup.near_classes(docs(spark, [])).count() == 0
     rows = neardup.near_classes(docs(spark, [(None, "q w e r t y"), (4, "q w e r t y"), (4, "q w e r t y")])).collect()

@@ -172,6 +172,24 @@ def test_leaks(spark):
     assert decontam.contaminated(docs(spark, [(9, ITEM + " mount example")]), split.limit(1), answer_col="answer").count() == 1
 
 
+def test_dealing_items_changes_nothing(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(90)]
+    text = lambda k: " ".join(rng.choices(vocab, k=k))
+    items = [(i, text(rng.randint(5, 60)) + ". " + text(6)) for i in range(60)]
+    items += [(60, items[3][1])] + [(61, items[4][1])] * 30 + [(61, None)]  # repeated rows are items each
+    rows = [(i, text(80) + " " + items[i][1] + " " + text(80)) for i in range(0, 60, 2)] + [(100 + i, text(150)) for i in range(20)]
+    table = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    found = []
+    for size in (10**6, 400, 30):
+        got = decontam.contaminated(docs(spark, rows), table, index_words=size).collect()
+        found.append(sorted((r.doc_id, r.item_id, *(round(x, 9) for x in r[2:])) for r in got))
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 30
+    assert sum(r[1] == 61 for r in found[0]) == 30 * sum(r[1] == 61 for r in set(found[0]))
+    best = plain_bm25([(i, t, None) for i, t in items if t], [decontam.words(rows[0][1])[s : s + decontam.WINDOW] for s in range(0, len(decontam.words(rows[0][1])) - decontam.STRIDE, decontam.STRIDE)], 0.5)
+    assert {r[1]: r[2] for r in found[0] if r[0] == 0} == pytest.approx({i: best[i] for i in {r[1] for r in found[0] if r[0] == 0}})
+
+
 def plain_bm25(items, passages, threshold):
     """Best score of each item over all passages, without an index."""
     from collections import Counter
