@@ -10,12 +10,18 @@ one Spark aggregation of a few hundred numbers, whatever the number of sequences
 
 Metrics that are not polynomial in the energy (KS, log energies, energy functions)
 use a second kind of pass that adds up each candidate's moments or its histogram.
+
+Fits run in lock-step: a search is a generator that asks for sums and gets them,
+and one pass over the sequences serves the requests of all searches that still
+run (start k-mers, folds of a cross-validation, clusters). Rows carry a bit mask
+of the parts of the data they belong to; a search reads the rows of its part.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -28,7 +34,7 @@ from strandlab.functions import kmers as K
 from strandlab.functions import pssm as P
 from strandlab.functions.sequence import CODES, require_sequences
 from strandlab.operators import sampling, similarity
-from strandlab.operators.scoring import Motif, Spatial, compute_pwm, cropped
+from strandlab.operators.scoring import Motif, Spatial, compute_pwm, cropped, scorer
 from strandlab.operators.screening import screen_pwm
 from strandlab.operators.stats import ks_distance, ks_p_value, least_squares, r_squared, running_mean
 
@@ -102,16 +108,25 @@ class MotifModel:
 
     def transform(self, df: DataFrame, out_col: str = "pred") -> DataFrame:
         """``df`` with the log energy of each ``seq`` (through the energy function where there is one)."""
-        motif = Motif.of(self.consensus or "model", self.pssm, prior=0.0)
-        out = compute_pwm(df, motif, Spatial(tuple(self.spat), self.spat_bin_size), self.spat_min + 1, self.spat_max, self.bidirect, out_col=out_col)
+        out = compute_pwm(df, self.motif("model"), self.spatial(), self.spat_min + 1, self.spat_max, self.bidirect, out_col=out_col)
+        return out if self.energy_grid is None else out.withColumn(out_col, self.through_grid(F.col(out_col)))
+
+    def through_grid(self, energy: Column) -> Column:
+        """The energy function's value of a log energy."""
         if self.energy_grid is None:
-            return out
+            return energy
         x, y = (F.array(*(F.lit(float(v)) for v in g)) for g in self.energy_grid)
-        v = F.least(F.greatest(F.col(out_col), F.element_at(x, 1)), F.element_at(x, -1))
+        v = F.least(F.greatest(energy, F.element_at(x, 1)), F.element_at(x, -1))
         step = (self.energy_grid[0][-1] - self.energy_grid[0][0]) / (len(self.energy_grid[0]) - 1)
         k = F.least(F.floor((v - F.element_at(x, 1)) / step), F.lit(len(self.energy_grid[0]) - 2)).cast("int")
         value = F.get(y, k) + (F.get(y, k + 1) - F.get(y, k)) * (v - F.get(x, k)) / step
-        return out.withColumn(out_col, F.when(F.col(out_col).isNotNull(), value))
+        return F.when(energy.isNotNull(), value)
+
+    def motif(self, name: str) -> Motif:
+        return Motif.of(name, self.pssm, prior=0.0)
+
+    def spatial(self) -> Spatial:
+        return Spatial(tuple(self.spat), self.spat_bin_size)
 
     def table(self, spark, name: str = "model") -> DataFrame:
         return spark.createDataFrame([(name, i, *map(float, row)) for i, row in enumerate(self.pssm)], "motif string, pos int, A double, C double, G double, T double")
@@ -163,35 +178,49 @@ def seed_matrix(motif: str, length: int, prior: float) -> np.ndarray:
 # --- sums over sequences -------------------------------------------------------------
 
 
-def derivatives(codes: np.ndarray, nuc: np.ndarray, spat: np.ndarray, bins: np.ndarray, bidirect: bool) -> tuple[np.ndarray, np.ndarray]:
-    """D: sequences x positions x 4, S: sequences x bins. Windows with unknown letters count nothing."""
+def derivatives(codes: np.ndarray, nuc: np.ndarray, spat: np.ndarray, bins: np.ndarray, bidirect: bool, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """D: sequences x positions x 4, S: sequences x bins. Windows with unknown letters count nothing.
+
+    ``letters``: ``indicators(codes)``, where several calls share them.
+    """
     n, width = codes.shape
     length = len(nuc)
     windows = width - length + 1
     d, s = np.zeros((n, length, 4)), np.zeros((n, len(spat)))
     if windows < 1:
         return d, s
+    letters = indicators(codes) if letters is None else letters
     bins = bins[:windows]
     table = np.column_stack([nuc, np.zeros(length)])
-    tables = [(table, list(range(length)), [0, 1, 2, 3, 4])]
+    tables = [(table, list(range(length)), [0, 1, 2, 3])]
     if bidirect:
-        tables.append((table[::-1][:, [3, 2, 1, 0, 4]], list(range(length))[::-1], [3, 2, 1, 0, 4]))
+        tables.append((table[::-1][:, [3, 2, 1, 0, 4]], list(range(length))[::-1], [3, 2, 1, 0]))
     onto = np.zeros((windows, len(spat)))
     onto[np.arange(windows), bins] = 1
     weight = spat[bins]
+    positive = bool((nuc > 0).all())
     for t, owner, base in tables:
-        factors = [t[j][codes[:, j : j + windows]] for j in range(length)]
-        prod = np.ones((n, windows))
-        for f in factors:
-            prod = prod * f
+        prod = t[0][codes[:, :windows]]
+        for j in range(1, length):
+            prod *= t[j][codes[:, j : j + windows]]
         s += prod @ onto
-        prod = prod * weight
+        prod *= weight
         for j in range(length):
-            share = np.divide(prod, factors[j], out=np.zeros_like(prod), where=factors[j] > 0)
-            part = codes[:, j : j + windows]
+            if positive:  # the products by letter, divided by the letter's probability below
+                share = prod
+            else:  # without the position's own factor, which may be zero
+                share = np.tile(weight, (n, 1))
+                for i in range(length):
+                    if i != j:
+                        share *= t[i][codes[:, i : i + windows]]
             for b in range(4):
-                d[:, owner[j], base[b]] += (share * (part == b)).sum(axis=1)
-    return d, s
+                d[:, owner[j], base[b]] += np.einsum("nw,nw->n", share, letters[b][:, j : j + windows])
+    return (d / nuc if positive else d), s
+
+
+def indicators(codes: np.ndarray) -> np.ndarray:
+    """4 x sequences x positions: 1 where the letter stands."""
+    return np.array([codes == b for b in range(4)], float)
 
 
 def bin_of(windows: int, bin_size: int, num_bins: int, fold: bool) -> np.ndarray:
@@ -211,16 +240,30 @@ class Request:
     bidirect: bool
     kind: str  # 'gram', 'moments' or 'histogram'
     folds: int = 1
+    part: int | None = None  # rows whose mask has this bit; None: all
     pwm_candidates: np.ndarray | None = None  # candidates x (position, A, C, G, T)
     spat_candidates: np.ndarray | None = None  # candidates x bins
     log_energy: bool = False
     energy_epsilon: float = 0.0
     grid: tuple | None = None
 
+    def candidates(self) -> int:
+        return sum(len(c) for c in (self.pwm_candidates, self.spat_candidates) if c is not None)
 
-def add_up(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, r: Request) -> np.ndarray:
+    def size(self, responses: int) -> int:
+        """Numbers that a pass gives for it."""
+        rows, bins, c = len(self.nuc), len(self.spat), self.candidates()
+        own = {"gram": rows * (20 + 4 * responses) + bins * (1 + bins + responses), "moments": c * (2 + responses), "histogram": 2 * c * HISTOGRAM}[self.kind]
+        return max(1, self.folds) * (1 + 2 * responses + own)
+
+
+def add_up(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, r: Request, parts: np.ndarray | None = None, letters: np.ndarray | None = None) -> np.ndarray:
     """A vector of sums for each fold, flattened; additive over sequences."""
-    d, s = derivatives(codes, r.nuc, r.spat, r.bins, r.bidirect)
+    if r.part is not None:
+        own = (parts >> r.part) & 1 == 1
+        codes, y, fold = codes[own], y[own], fold[own]
+        letters = letters[:, own] if letters is not None else None
+    d, s = derivatives(codes, r.nuc, r.spat, r.bins, r.bidirect, letters)
     out = []
     for f in range(r.folds):
         at = fold == f if r.folds > 1 else slice(None)
@@ -253,60 +296,85 @@ def add_up(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, r: Request) -> np
 
 
 class SparkSums:
-    """Sums over a DataFrame of encoded sequences, added up on the executors; the driver receives at most ``FAN`` vectors."""
+    """Sums over a DataFrame of encoded sequences, added up on the executors.
+
+    The driver receives at most ``FAN`` vectors and ``LARGEST`` bytes at once.
+    ``parts``: a bigint with a bit for each part of the data that a row belongs to.
+    """
 
-    FAN = 32
+    FAN, LARGEST = 32, 64 << 20
 
-    def __init__(self, df: DataFrame, responses: list[str], folds: int, key: str = "seq_id", seed: int = 60427):
+    def __init__(self, df: DataFrame, responses: list[str], folds: int, key: str = "seq_id", seed: int = 60427, parts: Column | None = None):
         fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(1, folds))).cast("int")
         y = F.array(*(F.col(c).cast("double") for c in responses))
-        self.rows = df.select(F.upper("seq").alias("seq"), y.alias("y"), fold.alias("fold")).persist()
+        mask = F.lit(-1).cast("bigint") if parts is None else parts
+        self.rows = df.select(F.upper("seq").alias("seq"), y.alias("y"), fold.alias("fold"), mask.alias("parts")).persist()
         self.responses = len(responses)
 
     def __call__(self, r: Request) -> np.ndarray:
-        shared = self.rows.sparkSession.sparkContext.broadcast(r)
+        return self.many([r])[0]
+
+    def many(self, requests: list[Request]) -> list[np.ndarray]:
+        """The sums of each request, from one pass (several where their vectors are large)."""
+        out, group, size = [], [], 0
+        for r in requests:
+            own = 8 * r.size(self.responses)
+            if group and size + own > self.LARGEST:
+                out += self._pass(group)
+                group, size = [], 0
+            group.append(r)
+            size += own
+        return out + self._pass(group)
+
+    def _pass(self, requests: list[Request]) -> list[np.ndarray]:
+        shared = self.rows.sparkSession.sparkContext.broadcast(requests)
+        sizes = [r.size(self.responses) for r in requests]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for codes, y, fold in matrices(batch):
-                    part = add_up(codes, y, fold, shared.value)
+                for codes, y, fold, parts in matrices(batch):
+                    letters = indicators(codes)
+                    part = np.concatenate([add_up(codes, y, fold, r, parts, letters) for r in shared.value])
                     total = part if total is None else total + part
             if total is not None:
                 yield _vector(total)
 
         vectors = self.rows.mapInArrow(work, "v array<double>")
-        parts = self.rows.rdd.getNumPartitions()
-        while parts > self.FAN:
-            parts = -(-parts // self.FAN)
-            vectors = vectors.repartition(parts).mapInArrow(_added, "v array<double>")
-        total = np.sum(np.array([row.v for row in vectors.collect()]), axis=0)
+        tasks = self.rows.rdd.getNumPartitions()
+        fan = max(1, min(self.FAN, self.LARGEST // (8 * sum(sizes))))
+        while tasks > fan:
+            tasks = -(-tasks // max(2, fan))
+            vectors = vectors.repartition(tasks).mapInArrow(_added, "v array<double>")
+        total = np.zeros(sum(sizes))
+        for chunk in vectors.toArrow().column("v").chunks:
+            total += chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(total)).sum(axis=0)
         shared.destroy()
-        return total
+        return np.split(total, np.cumsum(sizes)[:-1])
 
     def close(self) -> None:
         self.rows.unpersist()
 
 
 def _vector(v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v.tolist()], pa.list_(pa.float64()))], names=["v"])
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))], names=["v"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
-        for v in batch.column("v"):
-            part = np.array(v.as_py())
-            total = part if total is None else total + part
+        part = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(axis=0)
+        total = part if total is None else total + part
     if total is not None:
         yield _vector(total)
 
 
-def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     """Sequences of one length together, in slices that keep the derivative arrays small."""
     seqs = batch.column("seq").to_pylist()
     y = np.array(batch.column("y").to_pylist(), float)
     fold = np.asarray(batch.column("fold").to_pylist())
+    parts = batch.column("parts").to_numpy(zero_copy_only=False)
     lengths = np.array([len(s) for s in seqs])
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
@@ -314,7 +382,7 @@ def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         for k in range(0, len(at), step):
             part = at[k : k + step]
             codes = CODES[np.frombuffer("".join(seqs[i] for i in part).encode("latin-1", "replace"), np.uint8).reshape(len(part), n)]
-            yield codes, y[part], fold[part]
+            yield codes, y[part], fold[part], parts[part]
 
 
 class LocalSums:
@@ -327,6 +395,9 @@ class LocalSums:
     def __call__(self, r: Request) -> np.ndarray:
         return add_up(self.codes, self.y, self.fold, r)
 
+    def many(self, requests: list[Request]) -> list[np.ndarray]:
+        return [self(r) for r in requests]
+
     def close(self) -> None:
         pass
 
@@ -365,14 +436,49 @@ class _Reader:
         return out
 
 
-def fit(sums, start: np.ndarray, o: Options, length: int, spat_start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(matrix, spatial factors, score, steps) from a start matrix; ``length``: of the sequences."""
+Fit = tuple[np.ndarray, np.ndarray, float, int]  # matrix, spatial factors, score, steps
+
+
+def fit(sums, start: np.ndarray, o: Options, length: int, spat_start: np.ndarray | None = None) -> Fit:
+    """One search from a start matrix; ``length``: of the sequences."""
+    found = search(start, o, length, sums.responses, spat_start)
+    try:
+        request = next(found)
+        while True:
+            request = found.send(sums(request))
+    except StopIteration as end:
+        return end.value
+
+
+def fit_together(sums, searches: list[Generator[Request, np.ndarray, Fit]]) -> list[Fit]:
+    """All searches in lock-step: each pass answers every search that still runs."""
+    done: dict[int, Fit] = {}
+    pending: dict[int, Request] = {}
+
+    def onward(k: int, answer: np.ndarray | None) -> None:
+        try:
+            pending[k] = searches[k].send(answer)
+        except StopIteration as end:
+            pending.pop(k, None)
+            done[k] = end.value
+
+    for k in range(len(searches)):
+        onward(k, None)
+    while pending:
+        now = list(pending)
+        for k, answer in zip(now, sums.many([pending[k] for k in now])):
+            onward(k, answer)
+    return [done[k] for k in range(len(searches))]
+
+
+def search(start: np.ndarray, o: Options, length: int, responses: int, spat_start: np.ndarray | None = None, part: int | None = None) -> Generator[Request, np.ndarray, Fit]:
+    """The greedy search: asks for the sums of each step. ``part``: the part of the data that it reads."""
     num_bins, size = calculate_bins(length, o.spat_num_bins, o.spat_bin_size)
     mirrored = o.symmetrize_spat and o.bidirect
     nuc = np.array(start, float)
     spat = np.full(num_bins, 1.0 / num_bins) if spat_start is None else np.array(spat_start, float)
     bins = bin_of(length, size, num_bins, mirrored)
-    responses, rows = sums.responses, len(nuc)
+    rows = len(nuc)
     score, steps = 0.0, 0
 
     def trial(row: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -385,11 +491,11 @@ def fit(sums, start: np.ndarray, o: Options, length: int, spat_start: np.ndarray
             before = score
             q = np.array([[trial(nuc[k], by) for by in neighbours] for k in range(rows)])
             spats = np.array([np.where(np.arange(num_bins) == b, spat + by, spat) for b in range(num_bins) for by in (spat_step, -spat_step)])
-            request = Request(nuc, spat, bins, o.bidirect, "gram" if o.polynomial() else "histogram" if o.score_metric == "ks" else "moments", o.folds)
+            request = Request(nuc, spat, bins, o.bidirect, "gram" if o.polynomial() else "histogram" if o.score_metric == "ks" else "moments", o.folds, part)
             if not o.polynomial():
                 where = np.repeat(np.arange(rows), len(neighbours))
                 request = replace(request, pwm_candidates=np.column_stack([where, q.reshape(-1, 4)]), spat_candidates=spats, log_energy=o.log_energy, energy_epsilon=o.energy_epsilon, grid=o.grid())
-            read = _Reader(sums(request))
+            read = _Reader((yield request))
             pwm_folds, spat_folds, weights, whole = [], [], [], None
             for _ in range(max(1, o.folds)):
                 n, ey, ey2 = read.take(1)[0], read.take(responses), read.take(responses)
@@ -479,42 +585,95 @@ def scored(df: DataFrame, model: MotifModel, responses: list[str], o: Options, b
 
 def fit_from(df: DataFrame, responses: list[str], start: str | np.ndarray, o: Options, length: int, spat_start=None) -> MotifModel:
     """One fit from a k-mer or a matrix."""
+    model = fits_from(df, responses, [(start, None)], o, length, spat_start=spat_start)[0]
+    model.consensus = _consensus(df, model, o)
+    return model
+
+
+def fits_from(df: DataFrame, responses: list[str], starts: list[tuple[str | np.ndarray, int | None]], o: Options, length: int, parts: Column | None = None, spat_start=None) -> list[MotifModel]:
+    """A fit from each (k-mer or matrix, part), all in lock-step; without consensus."""
     num_bins, size = calculate_bins(length, o.spat_num_bins, o.spat_bin_size)
     low, high = spatial_range(num_bins, length, size)
-    matrix = seed_matrix(start, o.motif_length, o.unif_prior) if isinstance(start, str) else np.asarray(start, float) / np.sum(start, axis=1, keepdims=True)
-    matrix = np.maximum(matrix, o.min_nuc_prob)
-    matrix = matrix / matrix.sum(1, keepdims=True)
-    sums = SparkSums(df.withColumn("seq", cropped(F.col("seq"), low + 1, high)), responses, o.folds, seed=o.seed)
+    inner = replace(o, spat_num_bins=num_bins, spat_bin_size=size)
+    searches = []
+    for start, part in starts:
+        matrix = seed_matrix(start, o.motif_length, o.unif_prior) if isinstance(start, str) else np.asarray(start, float) / np.sum(start, axis=1, keepdims=True)
+        matrix = np.maximum(matrix, o.min_nuc_prob)
+        searches.append(search(matrix / matrix.sum(1, keepdims=True), inner, high - low, len(responses), spat_start if spat_start is not None else o.spat_model, part))
+    sums = SparkSums(df.withColumn("seq", cropped(F.col("seq"), low + 1, high)), responses, o.folds, seed=o.seed, parts=parts)
     try:
-        inner = replace(o, spat_num_bins=num_bins, spat_bin_size=size)
-        nuc, spat, _, steps = fit(sums, matrix, inner, high - low, spat_start if spat_start is not None else o.spat_model)
+        found = fit_together(sums, searches)
     finally:
         sums.close()
     grid = o.grid()
-    model = MotifModel(nuc, tuple(map(float, spat)), size, low, high, o.bidirect, start if isinstance(start, str) else None, energy_grid=None if grid is None else tuple(map(list, grid)), steps=steps)
-    model.consensus = _consensus(df, model, o)
-    return model
+    grid = None if grid is None else tuple(map(list, grid))
+    return [MotifModel(nuc, tuple(map(float, spat)), size, low, high, o.bidirect, start if isinstance(start, str) else None, energy_grid=grid, steps=steps) for (start, _), (nuc, spat, _, steps) in zip(starts, found)]
 
 
-def regress_pwm(df: DataFrame, responses: str | list[str], motif: str | np.ndarray | None = None, options: Options = Options(), motif_dataset: DataFrame | None = None, init_from_dataset: bool = False, multi_kmers: bool = True, match_with_db: bool = True, screen_db: bool = False) -> MotifModel:
-    """Fits one motif to ``df`` (seq_id, seq, responses).
+#: Parts of the data that are fitted together: bits of a mask.
+MOST_PARTS = 63
 
-    Starts from the given k-mer or matrix, from the data set's best motif, or from
-    screened k-mers: each candidate is fitted on a training part, the best on the
-    validation part is fitted again on everything.
+
+def _in_part(k: int) -> Column:
+    return F.col("__parts").bitwiseAND(F.lit(1 << k)) != 0
+
+
+def scores_together(df: DataFrame, models: list[tuple[MotifModel, int]], responses: list[str], o: Options, binary: bool) -> list[float]:
+    """The score of each model on the rows of its part, by one pass; the models have one range and one strandedness."""
+    first = models[0][0]
+    motifs = [m.motif(f"m{j}") for j, (m, _) in enumerate(models)]
+    spats = {f"m{j}": m.spatial() for j, (m, _) in enumerate(models)}
+    energies = scorer(df, motifs, spats, first.bidirect, "logSumExp")(cropped(F.col("seq"), first.spat_min + 1, first.spat_max))
+    rows = df.select("__parts", *responses, energies.alias("__e"))
+    preds = [F.when(_in_part(k), m.through_grid(F.col("__e")[j])) for j, (m, k) in enumerate(models)]
+    if binary:
+        long = rows.select(F.col(responses[0]).alias("y"), F.inline(F.array(*(F.struct(F.lit(j).alias("fit"), p.alias("pred")) for j, p in enumerate(preds)))))
+        found = {r.fit: r.D for r in ks_distance(long, "pred", "y", ["fit"], o.alternative).collect()}
+        return [found.get(j) or 0.0 for j in range(len(models))]
+    row = rows.agg(*(r_squared(p, F.col(c)).alias(f"s{j}_{i}") for j, p in enumerate(preds) for i, c in enumerate(responses))).first()
+    return [float(np.mean([row[f"s{j}_{i}"] or 0.0 for i in range(len(responses))])) for j in range(len(models))]
+
+
+def regress_together(df: DataFrame, parts: int, responses: list[str], o: Options, motif: str | np.ndarray | None = None, multi_kmers: bool = True) -> list[MotifModel]:
+    """A model of each part of ``df`` (seq_id, seq, responses, __parts: a mask with a bit for each part), fitted in lock-step.
+
+    Starts from the given k-mer or matrix or from k-mers screened on each part: every
+    candidate is fitted on a training share, the best on the rest again on everything.
     """
-    responses = [responses] if isinstance(responses, str) else responses
-    df = require_sequences(df)
     length, binary = _length(df), is_binary(df, responses)
-    cands: list[str] = []
-    if motif is None and init_from_dataset and motif_dataset is not None:
-        best = screen_pwm(df, responses, _library(motif_dataset), only_best=True).first().motif
-        motif = np.array([[r.A, r.C, r.G, r.T] for r in motif_dataset.where(F.col("motif") == best).orderBy("pos").collect()])
-    if motif is None:
-        cands = K.candidate_kmers(df, responses, list(options.kmer_lengths), options.min_gap, options.max_gap, options.min_kmer_cor, options.max_cands)
-        motif = best_candidate(df, responses, cands, options, length, binary) if multi_kmers and len(cands) > 1 else cands[0]
-    model = scored(df, fit_from(df, responses, motif, options, length), responses, options, binary)
-    model.kmers = cands
+    df = df.persist()
+    try:
+        starts: list[str | np.ndarray] = [motif] * parts
+        cands: list[list[str]] = [[] for _ in range(parts)]
+        if motif is None:
+            screen = lambda k: K.candidate_kmers(df.where(_in_part(k)).drop("__parts"), responses, list(o.kmer_lengths), o.min_gap, o.max_gap, o.min_kmer_cor, o.max_cands)
+            with ThreadPoolExecutor(4) as pool:
+                cands = list(pool.map(inheritable_thread_target(df.sparkSession)(screen), range(parts)))
+            starts = [c[0] for c in cands]
+        tried = [(kmer, k) for k in range(parts) for kmer in cands[k] if len(cands[k]) > 1 and multi_kmers]
+        if tried:
+            valid = F.pmod(F.xxhash64("seq_id", F.lit(o.seed)), F.lit(1000)) < int(1000 * o.val_frac)
+            # A part without rows on either side trains and validates on all of its rows.
+            sides = df.agg(*(F.count_if(_in_part(k) & side).alias(f"{s}{k}") for k in range(parts) for s, side in (("v", valid), ("t", ~valid)))).first()
+            whole = sum(1 << k for k in range(parts) if not (sides[f"v{k}"] and sides[f"t{k}"]))
+            both = F.col("__parts").bitwiseAND(F.lit(whole))
+            train = df.withColumn("__parts", F.when(valid, both).otherwise(F.col("__parts"))).where("__parts <> 0")
+            held = df.withColumn("__parts", F.when(valid, F.col("__parts")).otherwise(both)).where("__parts <> 0")
+            models = fits_from(train, responses, tried, o, length, F.col("__parts"))
+            scores = scores_together(held, [(m, k) for m, (_, k) in zip(models, tried)], responses, o, binary)
+            for k in {k for _, k in tried}:
+                starts[k] = max((score, kmer) for score, (kmer, own) in zip(scores, tried) if own == k)[1]
+        models = fits_from(df, responses, list(zip(starts, range(parts))), o, length, F.col("__parts"))
+        for k, m in enumerate(models):
+            m.kmers = cands[k]
+            m.consensus = _consensus(df, m, o)
+        return models
+    finally:
+        df.unpersist()
+
+
+def _database(df: DataFrame, responses: list[str], model: MotifModel, motif_dataset: DataFrame | None, match_with_db: bool, screen_db: bool) -> MotifModel:
+    """The model with its nearest motif of a data set, and the data set's best motif on the rows."""
     if motif_dataset is not None and match_with_db:
         hit = similarity.pssm_match(model.table(df.sparkSession), motif_dataset, "spearman").first()
         model.db_match = {"motif": hit.motif, "cor": hit.cor}
@@ -524,24 +683,34 @@ def regress_pwm(df: DataFrame, responses: str | list[str], motif: str | np.ndarr
     return model
 
 
+def _dataset_start(df: DataFrame, responses: list[str], motif_dataset: DataFrame) -> np.ndarray:
+    best = screen_pwm(df, responses, _library(motif_dataset), only_best=True).first().motif
+    return np.array([[r.A, r.C, r.G, r.T] for r in motif_dataset.where(F.col("motif") == best).orderBy("pos").collect()])
+
+
+def regress_pwm(df: DataFrame, responses: str | list[str], motif: str | np.ndarray | None = None, options: Options = Options(), motif_dataset: DataFrame | None = None, init_from_dataset: bool = False, multi_kmers: bool = True, match_with_db: bool = True, screen_db: bool = False) -> MotifModel:
+    """Fits one motif to ``df`` (seq_id, seq, responses).
+
+    Starts from the given k-mer or matrix, from the data set's best motif, or from
+    screened k-mers: all candidates are fitted on a training part in lock-step, the
+    best on the validation part is fitted again on everything.
+    """
+    responses = [responses] if isinstance(responses, str) else responses
+    df = require_sequences(df)
+    if motif is None and init_from_dataset and motif_dataset is not None:
+        motif = _dataset_start(df, responses, motif_dataset)
+    rows = df.select("seq_id", "seq", *responses, F.lit(1).cast("bigint").alias("__parts"))
+    model = regress_together(rows, 1, responses, options, motif, multi_kmers)[0]
+    model = scored(df, model, responses, options, is_binary(df, responses))
+    return _database(df, responses, model, motif_dataset, match_with_db, screen_db)
+
+
 def _library(dataset: DataFrame) -> list[Motif]:
     from strandlab.operators.scoring import collect_motifs
 
     return collect_motifs(dataset)
 
 
-def best_candidate(df: DataFrame, responses: list[str], cands: list[str], o: Options, length: int, binary: bool) -> str:
-    valid = F.pmod(F.xxhash64("seq_id", F.lit(o.seed)), F.lit(1000)) < int(1000 * o.val_frac)
-    train, held = df.where(~valid), df.where(valid)
-    if held.limit(1).count() == 0 or train.limit(1).count() == 0:
-        train = held = df
-    found = []
-    for kmer in cands:
-        model = fit_from(train, responses, kmer, o, length)
-        found.append((scored(held, model, responses, o, binary).score, kmer))
-    return max(found, key=lambda x: x[0])[1]
-
-
 def regress_pwm_sample(df: DataFrame, responses: str | list[str], sample_frac=None, sample_ratio: float = 1, options: Options = Options(), sample_ids: DataFrame | None = None, **kwargs) -> MotifModel:
     """Fits on a sample (even by class, matched by quantiles, or the rows named by ``sample_ids``: seq_id), scores on everything."""
     names = [responses] if isinstance(responses, str) else responses
@@ -553,48 +722,64 @@ def regress_pwm_sample(df: DataFrame, responses: str | list[str], sample_frac=No
     return scored(df, model, names, options, is_binary(df, names))
 
 
-def regress_pwm_clusters(df: DataFrame, cluster: str, options: Options = Options(), use_sample: bool = True, at_once: int = 4, **kwargs) -> dict[str, MotifModel]:
-    """A model of each cluster against the rest; ``at_once`` fits run side by side as Spark jobs."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    names = sorted(r[0] for r in df.select(cluster).distinct().collect())
-    fit_one = regress_pwm_sample if use_sample else regress_pwm
-    fit = lambda c: fit_one(df.withColumn("__y", (F.col(cluster) == c).cast("int")), "__y", options=options, **kwargs)
-    with ThreadPoolExecutor(at_once) as pool:
-        return dict(zip(names, pool.map(inheritable_thread_target(fit), names)))
+def regress_pwm_clusters(df: DataFrame, cluster: str, options: Options = Options(), use_sample: bool = True, sample_frac=None, sample_ratio: float = 1, motif: str | np.ndarray | None = None, multi_kmers: bool = True, motif_dataset: DataFrame | None = None, match_with_db: bool = True, screen_db: bool = False) -> dict[str, MotifModel]:
+    """A model of each cluster against the rest, fitted in lock-step; rows without a cluster belong to every rest.
 
-
-def regress_pwm_cv(df: DataFrame, responses: str | list[str], nfolds: int = 5, categories: str | None = None, options: Options = Options(), add_full_model: bool = True, folds: DataFrame | None = None, **kwargs) -> dict:
-    """Fits per fold; returns models, held-out predictions (seq_id, fold, pred), pooled score and scores by fold.
+    With ``use_sample`` each cluster is fitted on its own sample, then scored on everything.
+    """
+    df = require_sequences(df)
+    names = sorted(r[0] for r in df.select(cluster).distinct().collect() if r[0] is not None)
+    against = lambda c: df.select("seq_id", "seq", F.coalesce((F.col(cluster) == c).cast("int"), F.lit(0)).alias("__y"))
+    out = {}
+    for first in range(0, len(names), MOST_PARTS):
+        group = names[first : first + MOST_PARTS]
+        base = None
+        for k, c in enumerate(group):
+            rows = against(c)
+            if use_sample:
+                rows = sampling.sample_response(rows, "__y", sample_frac, sample_ratio, options.seed)
+            rows = rows.withColumn("__parts", F.lit(1 << k).cast("bigint"))
+            base = rows if base is None else base.unionByName(rows)
+        models = regress_together(base, len(group), ["__y"], options, motif, multi_kmers)
+        for c, model in zip(group, models):
+            model = scored(against(c), model, ["__y"], options, True)
+            out[c] = _database(against(c), ["__y"], model, motif_dataset, match_with_db, screen_db)
+    return out
+
+
+def regress_pwm_cv(df: DataFrame, responses: str | list[str], nfolds: int = 5, categories: str | None = None, options: Options = Options(), add_full_model: bool = True, folds: DataFrame | None = None, motif: str | np.ndarray | None = None, multi_kmers: bool = True) -> dict:
+    """Fits without each fold, all in lock-step; returns models, held-out predictions (seq_id, fold, pred), pooled score and scores by fold.
 
     ``folds``: a table (seq_id, fold) of the caller's own instead; rows it doesn't name take no part.
     """
     names = [responses] if isinstance(responses, str) else responses
+    df = require_sequences(df)
     if folds is not None:
         folded = df.drop("fold").join(folds.select("seq_id", "fold"), "seq_id").persist()
     else:
         folded = sampling.cv_folds(df, nfolds, categories, options.seed).persist()
     binary = is_binary(df, names)
-    models, preds, by_fold = [], None, []
-    for k in range(1, nfolds + 1) if folds is None else sorted(r.fold for r in folds.select("fold").distinct().collect()):
-        model = regress_pwm(folded.where(F.col("fold") != k), names, options=options, **kwargs)
+    numbers = list(range(1, nfolds + 1)) if folds is None else sorted(r.fold for r in folds.select("fold").distinct().collect())
+    models = []
+    for first in range(0, len(numbers), MOST_PARTS):
+        group = numbers[first : first + MOST_PARTS]
+        mask = sum((F.when(F.col("fold") != k, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, k in enumerate(group)), F.lit(0).cast("bigint"))
+        rows = folded.select("seq_id", "seq", *names, mask.alias("__parts"))
+        models += regress_together(rows, len(group), names, options, motif, multi_kmers)
+    preds, by_fold = None, []
+    for k, model in zip(numbers, models):
         held = folded.where(F.col("fold") == k)
-        by_fold.append(scored(held, replace_scores(model), names, options, binary).score)
+        by_fold.append(scored(held, model, names, options, binary).score)
         part = model.transform(held).select("seq_id", "fold", *names, "pred")
         preds = part if preds is None else preds.unionByName(part)
-        models.append(model)
     if binary:
         pooled = ks_distance(preds.withColumn("__all", F.lit(0)), "pred", names[0], ["__all"], options.alternative).first().D
     else:
         pooled = float(np.mean([v or 0.0 for v in preds.agg(*(r_squared(F.col("pred"), F.col(c)) for c in names)).first()]))
-    full = regress_pwm(df, names, options=options, **kwargs) if add_full_model else None
+    full = regress_pwm(df, names, motif, options, multi_kmers=multi_kmers) if add_full_model else None
     return {"models": models, "predictions": preds, "score": pooled, "by_fold": by_fold, "full_model": full}
 
 
-def replace_scores(model: MotifModel) -> MotifModel:
-    return replace(model, r2={}, ks={}, score=None)
-
-
 @dataclass
 class MultiModel:
     models: list[MotifModel]

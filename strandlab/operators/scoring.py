@@ -142,7 +142,8 @@ def cropped(seq: Column, spat_min: int | None, spat_max: int | None) -> Column:
     return F.substring(seq, first, 2**31 - 1 if spat_max is None else max(0, spat_max - first + 1))
 
 
-def _scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spatial, bidirect: bool, func: str):
+def scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spatial, bidirect: bool, func: str):
+    """A function from a sequence column to an array: the energy of each motif."""
     if func not in ("logSumExp", "max"):
         raise ValueError("func should be either max or logSumExp")
     shared = df.sparkSession.sparkContext.broadcast((motifs, spat if isinstance(spat, dict) else {m.name: spat for m in motifs}))
@@ -164,14 +165,14 @@ def _scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spati
 
 def compute_pwm(df: DataFrame, motif: Motif, spat: Spatial = Spatial(), spat_min: int | None = 1, spat_max: int | None = None, bidirect: bool = True, func: str = "logSumExp", out_col: str = "pwm") -> DataFrame:
     """``df`` with the energy of each ``seq``."""
-    score = _scorer(df, [motif], spat, bidirect, func)
+    score = scorer(df, [motif], spat, bidirect, func)
     return df.withColumn(out_col, score(cropped(F.col("seq"), spat_min, spat_max))[0])
 
 
 def extract_pwm(df: DataFrame, motifs: list[Motif], spat: Spatial | dict[str, Spatial] = Spatial(), spat_min: int | None = 1, spat_max: int | None = None, bidirect: bool = True, func: str = "logSumExp", id_cols: list[str] | None = None) -> DataFrame:
     """Long scores (id columns, motif, pwm) of every sequence against every motif; one stage, no shuffle."""
     ids = id_cols or ["seq_id"]
-    score = _scorer(df, motifs, spat, bidirect, func)
+    score = scorer(df, motifs, spat, bidirect, func)
     names = F.array(*(F.lit(m.name) for m in motifs))
     wide = df.select(*ids, score(cropped(F.col("seq"), spat_min, spat_max)).alias("__s"))
     return wide.select(*ids, F.inline(F.arrays_zip(names.alias("motif"), F.col("__s").alias("pwm")))).toDF(*ids, "motif", "pwm")
@@ -180,7 +181,7 @@ def extract_pwm(df: DataFrame, motifs: list[Motif], spat: Spatial | dict[str, Sp
 def score_matrix(df: DataFrame, motifs: list[Motif], id_cols: list[str] | None = None, **options) -> DataFrame:
     """Wide scores: one column per motif."""
     ids = id_cols or ["seq_id"]
-    score = _scorer(df, motifs, options.pop("spat", Spatial()), options.pop("bidirect", True), options.pop("func", "logSumExp"))
+    score = scorer(df, motifs, options.pop("spat", Spatial()), options.pop("bidirect", True), options.pop("func", "logSumExp"))
     wide = df.select(*ids, score(cropped(F.col("seq"), options.pop("spat_min", 1), options.pop("spat_max", None))).alias("__s"))
     return wide.select(*ids, *(F.col("__s")[i].alias(m.name) for i, m in enumerate(motifs)))
 

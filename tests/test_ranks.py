@@ -92,7 +92,12 @@ def test_folds_and_samples_of_the_caller(spark, monkeypatch):
     df = spark.range(10).select(F.col("id").alias("seq_id"), F.lit("ACGT").alias("seq"), (F.col("id") % 2).cast("int").alias("y"))
     fitted = []
     model = G.MotifModel(np.full((2, 4), 0.25), (1.0,), 4, 0, 4)
-    monkeypatch.setattr(G, "regress_pwm", lambda d, names, options=None, **k: fitted.append(sorted(r.seq_id for r in d.collect())) or model)
+
+    def together(d, parts, names, options=None, *a):
+        fitted.extend(sorted(r.seq_id for r in d.where(F.col("__parts").bitwiseAND(F.lit(1 << k)) != 0).collect()) for k in range(parts))
+        return [model] * parts
+
+    monkeypatch.setattr(G, "regress_together", together)
     monkeypatch.setattr(G, "scored", lambda d, m, *a: m)
     folds = spark.createDataFrame([(i, 7 if i < 4 else 9) for i in range(8)], "seq_id bigint, fold int")
     out = G.regress_pwm_cv(df, "y", folds=folds, add_full_model=False)
