@@ -19,8 +19,8 @@ are the connected components of the links.
    filter on five-grams: the rarest of the crowd first, a pair at or above the
    threshold shares one near both beginnings. Nodes that meet many even so
    (texts filled from one template share their rarest five-grams with others) are
-   dense: pairs of two dense nodes come from keys of 10, 14 and 18 components of a
-   longer signature, level by level until a node meets few. Pairs first pass two
+   dense: pairs of two dense nodes come from keys of 10 to 22 components of a
+   longer signature, level by level until a node meets few, where that thins them out. Pairs first pass two
    tests that linked pairs meet: size ratio and agreement of signature bits.
 4. Verification counts the common five-grams of both whole texts.
 
@@ -55,9 +55,9 @@ SLICE, SLICE_TEXTS = 50_000, 500  # five-grams and texts that are signed at once
 MEMO = 50_000
 MEETS = 64  # members of mixed buckets that a node may meet before it counts as crowded
 DENSE = 256  # heads and rarest members of others that a crowded node may meet before it counts as dense
-DENSE_MEETS = 32
+DENSE_MEETS = 64
 DENSE_M = 1024  # components of the signature of dense nodes
-DENSE_LEVELS = ((10, 146), (14, 428), (18, 1208))  # components in a key, keys: 1e-6 are missed at similarity 0.8
+DENSE_LEVELS = ((10, 146), (14, 428), (18, 1208), (22, 3735))  # components in a key, keys: 1e-6 are missed at similarity 0.8
 _words = re.compile(r"\w+")
 _mixers = mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -248,7 +248,7 @@ def _crowd_pairs(crowd: DataFrame, threshold: float) -> list[DataFrame]:
     (a head). Heads of one component, size and position stand as one row in the
     join, so a family of copies meets its surroundings once, not copy by copy.
     Nodes whose heads and members meet more than ``DENSE`` members and heads of
-    others are dense; pairs of two dense nodes come from ``_dense_pairs``.
+    others are dense; pairs of two of them that ``_dense_pairs`` settles come from there.
     """
     k = (1 - threshold) / (1 + threshold)
     rarest = _rarest(crowd, threshold)
@@ -258,8 +258,9 @@ def _crowd_pairs(crowd: DataFrame, threshold: float) -> list[DataFrame]:
     every = staged(every.where("comps > 1 and heads_all > 0").drop("comps"), "keys")
     meets = F.col("heads_all") - F.col("heads_own") + F.when(F.col("head"), F.col("rows_all") - F.col("rows_own")).otherwise(0)
     cost = rows.join(every, "e").join(held, ["e", "comp"]).groupBy("node").agg(F.sum(meets).alias("meets"))
-    dense = staged(cost.where(F.col("meets") > DENSE).select("node", F.lit(True).alias("dense")), "dense")
-    shared = rows.join(every.select("e"), "e", "left_semi").join(dense, "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    dense = staged(cost.where(F.col("meets") > DENSE).select("node"), "dense")
+    found, settled = _dense_pairs(staged(crowd.select("node", "comp", "n", "grams").join(few_ids(dense), "node"), "dense_grams"), threshold)
+    shared = rows.join(every.select("e"), "e", "left_semi").join(settled.withColumn("dense", F.lit(True)), "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
     shared = staged(shared, "shared")
     heads = shared.where("head")
     kinds = heads.groupBy("e", "comp", "n", "pos", "dense").agg(F.count(F.lit(1)).alias("heads"))
@@ -272,10 +273,8 @@ def _crowd_pairs(crowd: DataFrame, threshold: float) -> list[DataFrame]:
     met = staged(met.where((F.col("comp_a") != F.col("comp_b")) & _sizes(threshold) & early), "met")
     own = heads.select("e", F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("dense").alias("dense_a"), F.col("node").alias("a"), F.col("bits").alias("bits_a"))
     pairs = met.join(own, ["e", "comp_a", "n_a", "pos_a", "dense_a"]).where(_agree(threshold))
-    found = [staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd_pairs")]
-    if not dense.isEmpty():
-        found += _dense_pairs(staged(crowd.select("node", "comp", "n", "grams").join(few_ids(dense.select("node")), "node"), "dense_grams"), threshold)
-    free(rarest, every, shared, met, dense)
+    found.append(staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd_pairs"))
+    free(rarest, every, shared, met, dense, settled)
     return found
 
 
@@ -316,26 +315,32 @@ def _deep(batch: pa.RecordBatch, held: list[tuple], subsets: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "comp", "n")), lists(subset_keys(sig, subsets)), lists(sign_bits(sig, DENSE_M // 64))], names=["node", "comp", "n", "keys", "bits"])
 
 
-def _dense_pairs(nodes: DataFrame, threshold: float) -> list[DataFrame]:
-    """Materialised pairs of dense nodes: buckets of more and more components.
+def _dense_pairs(nodes: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame]:
+    """Materialised pairs of dense nodes from buckets of more and more components, and the nodes whose pairs with each other are all among them.
 
     A level's keys miss a pair at similarity 0.8 with probability 1e-6. A node that
-    meets at most ``DENSE_MEETS`` others in its level's buckets is compared with
-    each; the others go on to the next level. Unlinked texts of one family meet
-    ever less often: a pair at 0.5 half as often at every level, while the number of keys triples.
+    meets few others in its level's buckets (``DENSE_MEETS`` and a third of the keys at
+    most, a near neighbour counting as often as it is met) is compared with each and is settled; the others go on to the next level, as long as they meet at
+    most three quarters of what they met before (unlinked texts of one template do). Nodes
+    that don't thin out, or aren't settled in the end, go back to the rarest
+    five-grams: their surroundings lie just below the threshold, where exact positions tell more.
     """
-    found = []
+    found, settled = [], []
+    before = None
     for level, (rows, count) in enumerate(DENSE_LEVELS):
+        if nodes.isEmpty():
+            break
         deep = staged(_deep_sketches(nodes, rows, count), "deep")
         keyed = deep.select(F.explode("keys").alias("key"), "node", "comp")
         held = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
         every = held.groupBy("key").agg(F.sum("own").alias("every"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
         inside = keyed.join(every, "key").join(held, ["key", "comp"]).withColumn("meets", F.col("every") - F.col("own"))
         inside = staged(inside.select("key", "node", "comp", "meets"), "deep_inside")
-        last = level == len(DENSE_LEVELS) - 1
         meets = inside.groupBy("node").agg(F.sum("meets").alias("meets"))
-        on = staged(meets.where(F.lit(False) if last else F.col("meets") > DENSE_MEETS).select("node", F.lit(True).alias("on")), "deep_on")
-        members = inside.select("key", "node", "comp").join(on, "node", "left").withColumn("on", F.coalesce("on", F.lit(False)))
+        meets = staged(nodes.select("node").join(meets, "node", "left").na.fill(0, ["meets"]), "deep_meets")
+        most = DENSE_MEETS + count // 3  # a near neighbour is met in up to a third of the keys
+        on = meets.where(F.col("meets") > most)
+        members = inside.select("key", "node", "comp").join(on.select("node", F.lit(True).alias("on")), "node", "left").withColumn("on", F.coalesce("on", F.lit(False)))
         left = members.where("not on").selectExpr("key", "node as a", "comp as comp_a")
         right = members.selectExpr("key", "node as b", "comp as comp_b", "on")
         met = left.join(right, "key").where((F.col("comp_a") != F.col("comp_b")) & (F.col("on") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
@@ -343,12 +348,14 @@ def _dense_pairs(nodes: DataFrame, threshold: float) -> list[DataFrame]:
         side = lambda s: deep.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
         pairs = met.join(side("a"), "a").join(side("b"), "b").where(_agree(threshold, DENSE_M))
         found.append(staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "deep_pairs"))
-        going = None if last or on.isEmpty() else staged(nodes.join(few_ids(on.select("node")), "node"), "dense_grams")
-        free(deep, inside, met, on, nodes)
-        if going is None:
-            break
-        nodes = going
-    return found
+        settled.append(staged(meets.where(F.col("meets") <= most).select("node"), "settled"))
+        if before is not None:  # who doesn't thin out leaves here
+            on = on.join(before.withColumnRenamed("meets", "was"), "node").where(4 * F.col("meets") <= 3 * F.col("was"))
+        going = staged(nodes.join(few_ids(staged(on.select("node"), "deep_on")), "node"), "dense_grams")
+        free(deep, inside, met, nodes, *([before] if before is not None else []))
+        before, nodes = meets, going
+    everyone = reduce(lambda x, y: x.unionByName(y), settled) if settled else nodes.select("node")
+    return found, staged(everyone, "settled")
 
 
 def _sizes(threshold: float):
