@@ -471,8 +471,11 @@ def fit_together(sums, searches: list[Generator[Request, np.ndarray, Fit]]) -> l
     return [done[k] for k in range(len(searches))]
 
 
-def search(start: np.ndarray, o: Options, length: int, responses: int, spat_start: np.ndarray | None = None, part: int | None = None) -> Generator[Request, np.ndarray, Fit]:
-    """The greedy search: asks for the sums of each step. ``part``: the part of the data that it reads."""
+def search(start: np.ndarray, o: Options, length: int, responses: int, spat_start: np.ndarray | None = None, part: int | None = None, trace: list | None = None) -> Generator[Request, np.ndarray, Fit]:
+    """The greedy search: asks for the sums of each step.
+
+    ``part``: the part of the data that it reads; ``trace``: gets (step, position, move, score) of each move of the matrix.
+    """
     num_bins, size = calculate_bins(length, o.spat_num_bins, o.spat_bin_size)
     mirrored = o.symmetrize_spat and o.bidirect
     nuc = np.array(start, float)
@@ -481,15 +484,11 @@ def search(start: np.ndarray, o: Options, length: int, responses: int, spat_star
     rows = len(nuc)
     score, steps = 0.0, 0
 
-    def trial(row: np.ndarray, by: np.ndarray) -> np.ndarray:
-        q = row + by
-        return np.where((by != 0) & (q <= 0), o.min_nuc_prob, q)
-
     for pwm_step, spat_step in zip(PWM_STEPS, SPAT_STEPS):
         neighbours = moves(pwm_step)
         while o.max_steps is None or steps < o.max_steps:
             before = score
-            q = np.array([[trial(nuc[k], by) for by in neighbours] for k in range(rows)])
+            q = np.array([[trial(nuc[k], by, o.min_nuc_prob) for by in neighbours] for k in range(rows)])
             spats = np.array([np.where(np.arange(num_bins) == b, spat + by, spat) for b in range(num_bins) for by in (spat_step, -spat_step)])
             request = Request(nuc, spat, bins, o.bidirect, "gram" if o.polynomial() else "histogram" if o.score_metric == "ks" else "moments", o.folds, part)
             if not o.polynomial():
@@ -523,6 +522,8 @@ def search(start: np.ndarray, o: Options, length: int, responses: int, spat_star
                 row = np.maximum(nuc[k] + neighbours[m], np.where(neighbours[m] != 0, o.min_nuc_prob, 0))
                 nuc[k] = row / row.sum()
                 score = float(pwm_scores.ravel()[best])
+                if trace is not None:
+                    trace.append((steps + 1, k, m, score))
             if o.optimize_spat:
                 allowed = np.where((spats >= 0).all(axis=1), spat_scores, -np.inf)
                 if mirrored:
@@ -610,6 +611,27 @@ def fits_from(df: DataFrame, responses: list[str], starts: list[tuple[str | np.n
     return [MotifModel(nuc, tuple(map(float, spat)), size, low, high, o.bidirect, start if isinstance(start, str) else None, energy_grid=grid, steps=steps) for (start, _), (nuc, spat, _, steps) in zip(starts, found)]
 
 
+def step_scores(df: DataFrame, response: str, model: MotifModel, step: float, o: Options = Options()) -> list[tuple[int, int, float]]:
+    """(position, move, r squared) of every move that a step of a fit could make from ``model``, by one pass."""
+    sums = SparkSums(df.withColumn("seq", cropped(F.col("seq"), model.spat_min + 1, model.spat_max)), [response], 1)
+    try:
+        bins = bin_of(model.spat_max - model.spat_min, model.spat_bin_size, len(model.spat), o.symmetrize_spat and o.bidirect)
+        read = _Reader(sums(Request(model.pssm, np.array(model.spat), bins, model.bidirect, "gram")))
+    finally:
+        sums.close()
+    rows, bins_n = len(model.pssm), len(model.spat)
+    parts = [read.take(1)[0], read.take(1), read.take(1), read.take(rows, 4), read.take(rows, 4, 4), read.take(rows, 4, 1), read.take(bins_n), read.take(bins_n, bins_n), read.take(bins_n, 1)]
+    q = np.array([[trial(row, by, o.min_nuc_prob) for by in moves(step)] for row in model.pssm])
+    scores = _candidate_scores("gram", parts, q, np.array([model.spat]))[0]
+    return [(k, m, float(v)) for k, row in enumerate(scores) for m, v in enumerate(row)]
+
+
+def trial(row: np.ndarray, by: np.ndarray, least: float) -> np.ndarray:
+    """A position's probabilities after a move, not yet normalised."""
+    q = row + by
+    return np.where((by != 0) & (q <= 0), least, q)
+
+
 #: Parts of the data that are fitted together: bits of a mask.
 MOST_PARTS = 63
 

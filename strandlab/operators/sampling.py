@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlab.operators.ranks import draw, draw_cell, ranked
+from strandlab.operators.stats import quantiles
 
 
 def quantile_matched_rows(df: DataFrame, reference: str, sample_fraction: float, num_quantiles: int = 10, seed: int = 60427, key: str = "seq_id") -> DataFrame:
@@ -15,7 +16,7 @@ def quantile_matched_rows(df: DataFrame, reference: str, sample_fraction: float,
     if size < 1:
         raise ValueError(f"a sample fraction of {sample_fraction} is too small for {total} rows")
     bins = min(size, num_quantiles)
-    cuts = df.agg(F.percentile(reference, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("q")).first()[0]
+    cuts = quantiles(df, reference, [i / bins for i in range(bins + 1)], []).first().quantiles
     cuts = sorted(set(cuts))
     # Bins are closed on the right, the first on both sides.
     bin_no = sum(((F.col(reference) > c).cast("int") for c in cuts[1:-1]), F.lit(0))

@@ -6,9 +6,14 @@ kernel is an Arrow-vectorised function: sequences of one length in a batch are o
 matrix, motif columns are gathered by base code. A whole library is scored in one
 pass; its arrays travel as a broadcast whose size is checked.
 
+A library of several motifs is scored by tables of short words: a window's
+probability in all motifs is the product of a few rows of tables. Local energies
+are computed over the bases of many sequences at once, in slices of ``BASES``.
+
 Conventions: windows are all that fit; a sequence shorter than the motif gives
-null. Unknown letters take the column's mean log probability on the forward
-strand and log(1/4) on the reverse strand. Windows beyond the last spatial bin are
+null. In ``compute_pwm`` and local energies unknown letters take the column's mean
+log probability on the forward strand and log(1/4) on the reverse strand; in
+``extract_pwm`` and ``score_matrix`` a sequence with an unknown letter gives null. Windows beyond the last spatial bin are
 skipped. Ranges are per row, from 1, both ends inclusive.
 """
 
@@ -19,8 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from strandlab.functions.sequence import CODES
 
@@ -29,6 +36,12 @@ COMPLEMENT = [3, 2, 1, 0]
 #: Motif libraries above this many rows are refused as a broadcast.
 MAX_MOTIF_ROWS = 1_000_000
 LETTERS = ["A", "C", "G", "T"]
+#: Bases of the sequences whose local energies are computed at once.
+BASES = 1 << 20
+#: Letters of a word in the tables of a library, motifs that share tables, bytes of a block of products.
+WORD, COLUMNS, PRODUCT = 4, 32, 1 << 20
+#: From so many motifs of one length on tables of words are the faster way.
+LIBRARY = 4
 
 
 @dataclass(frozen=True)
@@ -122,6 +135,68 @@ def energies(codes: np.ndarray, motif: Motif, spat: Spatial, bidirect: bool, fun
     return log_sum(np.concatenate(scores, axis=1))
 
 
+def library_energies(codes: np.ndarray, motifs: list[Motif], spats: list[Spatial], bidirect: bool, func: str) -> np.ndarray:
+    """Sequences x motifs, for motifs of one length that fits.
+
+    Motifs are cut into words of ``WORD`` letters; a table holds each word's
+    probability in each motif (words x motifs, both strands), so a window's
+    probability in all motifs is the product of a few table rows.
+    """
+    n, width = codes.shape
+    length, windows = len(motifs[0]), width - len(motifs[0]) + 1
+    if min(np.where(t > -1e30, t, 0).min(axis=1).sum() for m in motifs for t in (m.forward, m.reverse)) < -690:
+        return np.stack([energies(codes, m, s, bidirect, func) for m, s in zip(motifs, spats)], axis=1)  # may underflow
+    out = np.empty((n, len(motifs)))
+    cuts = [(j, min(j + WORD, length)) for j in range(0, length, WORD)]
+    words = {q: _words(codes, q) for q in {b - a for a, b in cuts}}
+    plain = all(s.bin_size is None for s in spats)
+    strands = 2 if bidirect else 1
+    for k in range(0, len(motifs), COLUMNS):
+        part = motifs[k : k + COLUMNS]
+        tables = [_word_table([m.forward[a:b] for m in part] + [m.reverse[a:b] for m in part][: len(part) * (strands - 1)]) for a, b in cuts]
+        factors = None if plain else np.tile(np.exp(np.stack([s.log_factors(windows) for s in spats[k : k + COLUMNS]], axis=1)), strands)
+        size = max(1, PRODUCT // (8 * tables[0].shape[1]))  # windows of a block
+        rows, many = max(1, size // windows), min(size, windows)
+        for r in range(0, n, rows):
+            total = np.zeros((min(rows, n - r), len(part)))
+            for w in range(0, windows, many):
+                end = min(w + many, windows)
+                product = None
+                for (a, b), table in zip(cuts, tables):
+                    own = table.take(words[b - a][r : r + rows, w + a : end + a].ravel(), axis=0)
+                    product = own if product is None else np.multiply(product, own, out=product)
+                product = product.reshape(len(total), end - w, -1)
+                if factors is not None:
+                    product *= factors[None, w:end]
+                if func == "max":
+                    both = product[:, :, : len(part)] + product[:, :, len(part) :] if bidirect else product
+                    total = np.maximum(total, both.max(axis=1))
+                else:
+                    sums = product.sum(axis=1)
+                    total += sums[:, : len(part)] + sums[:, len(part) :] if bidirect else sums
+            with np.errstate(divide="ignore"):
+                out[r : r + rows, k : k + COLUMNS] = np.log(total)
+    return out
+
+
+def _words(codes: np.ndarray, length: int) -> np.ndarray:
+    """The number, to the base 5, of the word that begins at each position."""
+    many = codes.shape[1] - length + 1
+    out = np.zeros((len(codes), many), np.int64)
+    for j in range(length):
+        out *= 5
+        out += codes[:, j : j + many]
+    return out
+
+
+def _word_table(logs: list[np.ndarray]) -> np.ndarray:
+    """Words x motifs: the product of a word's probabilities."""
+    table = np.zeros((1, len(logs)))
+    for j in range(len(logs[0])):
+        table = (table[:, None] + np.stack([t[j] for t in logs], axis=1)[None]).reshape(-1, len(logs))
+    return np.exp(table)
+
+
 def by_length(seqs: pd.Series, shortest: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, codes) for each length in the batch."""
     lengths = seqs.map(lambda s: -1 if s is None else len(s)).to_numpy()
@@ -142,8 +217,8 @@ def cropped(seq: Column, spat_min: int | None, spat_max: int | None) -> Column:
     return F.substring(seq, first, 2**31 - 1 if spat_max is None else max(0, spat_max - first + 1))
 
 
-def scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spatial, bidirect: bool, func: str):
-    """A function from a sequence column to an array: the energy of each motif."""
+def scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spatial, bidirect: bool, func: str, unknown: str = "mean"):
+    """A function from a sequence column to an array: the energy of each motif. ``unknown``: mean or null, for letters but A, C, G, T."""
     if func not in ("logSumExp", "max"):
         raise ValueError("func should be either max or logSumExp")
     shared = df.sparkSession.sparkContext.broadcast((motifs, spat if isinstance(spat, dict) else {m.name: spat for m in motifs}))
@@ -151,12 +226,23 @@ def scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spatia
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, spats = shared.value
+        groups: dict[int, list[int]] = {}
+        for k, m in enumerate(own):
+            groups.setdefault(len(m), []).append(k)
         for seqs in batches:
             out = np.full((len(seqs), len(own)), np.nan)
             for at, codes in by_length(seqs):
-                for k, m in enumerate(own):
-                    if codes.shape[1] >= len(m):
-                        out[at, k] = energies(codes, m, spats.get(m.name, Spatial()), bidirect, func)
+                if unknown == "null":
+                    known = (codes < 4).all(axis=1)
+                    at, codes = at[known], codes[known]
+                for length, members in groups.items():
+                    if codes.shape[1] < length or not len(at):
+                        continue
+                    if len(members) >= LIBRARY:
+                        out[np.ix_(at, members)] = library_energies(codes, [own[k] for k in members], [spats.get(own[k].name, Spatial()) for k in members], bidirect, func)
+                        continue
+                    for k in members:
+                        out[at, k] = energies(codes, own[k], spats.get(own[k].name, Spatial()), bidirect, func)
             out[np.isneginf(out)] = np.nan
             yield pd.Series(list(out))
 
@@ -170,9 +256,9 @@ def compute_pwm(df: DataFrame, motif: Motif, spat: Spatial = Spatial(), spat_min
 
 
 def extract_pwm(df: DataFrame, motifs: list[Motif], spat: Spatial | dict[str, Spatial] = Spatial(), spat_min: int | None = 1, spat_max: int | None = None, bidirect: bool = True, func: str = "logSumExp", id_cols: list[str] | None = None) -> DataFrame:
-    """Long scores (id columns, motif, pwm) of every sequence against every motif; one stage, no shuffle."""
+    """Long scores (id columns, motif, pwm) of every sequence against every motif; one stage, no shuffle. A sequence with an unknown letter has no score."""
     ids = id_cols or ["seq_id"]
-    score = scorer(df, motifs, spat, bidirect, func)
+    score = scorer(df, motifs, spat, bidirect, func, "null")
     names = F.array(*(F.lit(m.name) for m in motifs))
     wide = df.select(*ids, score(cropped(F.col("seq"), spat_min, spat_max)).alias("__s"))
     return wide.select(*ids, F.inline(F.arrays_zip(names.alias("motif"), F.col("__s").alias("pwm")))).toDF(*ids, "motif", "pwm")
@@ -181,29 +267,73 @@ def extract_pwm(df: DataFrame, motifs: list[Motif], spat: Spatial | dict[str, Sp
 def score_matrix(df: DataFrame, motifs: list[Motif], id_cols: list[str] | None = None, **options) -> DataFrame:
     """Wide scores: one column per motif."""
     ids = id_cols or ["seq_id"]
-    score = scorer(df, motifs, options.pop("spat", Spatial()), options.pop("bidirect", True), options.pop("func", "logSumExp"))
+    score = scorer(df, motifs, options.pop("spat", Spatial()), options.pop("bidirect", True), options.pop("func", "logSumExp"), "null")
     wide = df.select(*ids, score(cropped(F.col("seq"), options.pop("spat_min", 1), options.pop("spat_max", None))).alias("__s"))
     return wide.select(*ids, *(F.col("__s")[i].alias(m.name) for i, m in enumerate(motifs)))
 
 
+def local_energies(seqs: pa.Array, motif: Motif, spat: Spatial, bidirect: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first sequence, ends of the sequences, energies of all their positions; NaN where no window fits), in slices.
+
+    A slice holds sequences of ``BASES`` bases in all, or one longer sequence. Their
+    bases stand one after another; windows that cross from one to the next don't count.
+    """
+    texts = [t if t is not None else "" for t in seqs.to_pylist()]
+    first = 0
+    while first < len(texts):
+        last, bases = first, 0
+        while last < len(texts) and (last == first or bases + len(texts[last]) <= BASES):
+            bases += len(texts[last])
+            last += 1
+        codes = CODES[np.frombuffer("".join(texts[first:last]).encode("latin-1", "replace"), np.uint8)]
+        lengths = np.array([len(t) for t in texts[first:last]], np.int64)
+        ends = np.cumsum(lengths)
+        out = np.full(len(codes), np.nan)
+        for a in range(0, len(codes) - len(motif) + 1, BASES):
+            part = codes[a : a + BASES + len(motif) - 1]
+            windows = len(part) - len(motif) + 1
+            sums = []
+            for table in (motif.forward, motif.reverse) if bidirect else (motif.forward,):
+                s = table[0][part[:windows]]
+                for j in range(1, len(motif)):
+                    s += table[j][part[j : j + windows]]
+                sums.append(s)
+            out[a : a + windows] = np.logaddexp(*sums) if bidirect else sums[0]
+        if spat.bin_size is not None:
+            for begin, n in zip(ends - lengths, lengths):
+                out[begin : begin + n] += spat.log_factors(n)
+        for j in range(1, len(motif)):  # the last positions of each sequence
+            out[np.maximum(ends - j, ends - lengths)[lengths > 0]] = np.nan
+        out[np.isneginf(out)] = np.nan
+        yield first, ends, out
+        first = last
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType, missing: np.ndarray) -> pa.Array:
+    """Lists of ``counts`` values each; null where ``missing``, null values where NaN."""
+    flat = pa.array(values, kind, mask=np.isnan(values) if values.dtype.kind == "f" else None)
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), flat)
+
+
 def compute_local_pwm(df: DataFrame, motif: Motif, spat: Spatial = Spatial(), bidirect: bool = True, out_col: str = "local") -> DataFrame:
-    """``df`` with an array: the energy of the window at each position, null where none fits."""
+    """``df`` with an array: the energy of the window at each position, null where none fits.
+
+    Rows leave in slices of ``BASES`` positions, however many a batch brings.
+    """
     shared = df.sparkSession.sparkContext.broadcast(motif)
+    df = df.drop(out_col)
 
-    @F.pandas_udf("array<double>")
-    def local(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        for seqs in batches:
-            out: list = [None if s is None else np.full(len(s), np.nan) for s in seqs]
-            for at, codes in by_length(seqs, len(m)):
-                s = window_scores(codes, m, spat, bidirect)
-                both = np.array(np.logaddexp(*s) if bidirect else s[0], float)
-                both[np.isneginf(both)] = np.nan
-                for i, row in zip(at, both):
-                    out[i][: len(row)] = row
-            yield pd.Series(out)
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column("seq")
+            for first, ends, values in local_energies(seqs, shared.value, spat, bidirect):
+                part = batch.slice(first, len(ends))
+                missing = np.asarray(part.column("seq").is_null())
+                lists = _lists(values, np.diff(ends, prepend=0), pa.float64(), missing)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*batch.schema.names, out_col])
 
-    return df.withColumn(out_col, F.transform(local("seq"), lambda v: F.when(~F.isnan(v), v)))
+    return df.mapInArrow(local, StructType([*df.schema.fields]).add(out_col, ArrayType(DoubleType())))
 
 
 _OPERATORS = {
@@ -211,25 +341,45 @@ _OPERATORS = {
     "<": lambda x, t: x < t,
     ">=": lambda x, t: x >= t,
     "<=": lambda x, t: x <= t,
-    "==": lambda x, t: F.abs(x - t) < 1e-10,
+    "==": lambda x, t: np.abs(x - t) < 1e-10,
 }
 
 
 def screen_local_pwm(df: DataFrame, motif: Motif, operator: str, threshold: float, spat: Spatial = Spatial(), bidirect: bool = True, out_col: str = "positions") -> DataFrame:
-    """``df`` with the positions, from 1, whose local energy meets the condition."""
+    """``df`` with the positions, from 1, whose local energy meets the condition; energies don't leave the kernel."""
     if operator not in _OPERATORS:
         raise ValueError(f"operator must be one of {', '.join(_OPERATORS)}")
-    test = _OPERATORS[operator]
-    scored = compute_local_pwm(df, motif, spat, bidirect, "__local")
-    marked = F.transform("__local", lambda x, i: F.when(test(x, F.lit(float(threshold))), i + 1))
-    return scored.withColumn(out_col, F.filter(marked, lambda x: x.isNotNull())).drop("__local")
+    shared = df.sparkSession.sparkContext.broadcast(motif)
+
+    @F.arrow_udf("array<int>")
+    def screen(seqs: pa.Array) -> pa.Array:
+        found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for _, ends, values in local_energies(seqs, shared.value, spat, bidirect):
+            hit = np.flatnonzero(_OPERATORS[operator](values, threshold))
+            own = np.searchsorted(ends, hit, side="right")
+            begin = np.concatenate([[0], ends[:-1]])
+            found.append((hit - begin[own] + 1).astype(np.int32))
+            counts.append(np.bincount(own, minlength=len(ends)))
+        return _lists(np.concatenate(found), np.concatenate(counts), pa.int32(), np.asarray(seqs.is_null()))
+
+    return df.withColumn(out_col, screen("seq"))
 
 
 def best_position(df: DataFrame, motif: Motif, spat: Spatial = Spatial(), bidirect: bool = True, out_col: str = "best") -> DataFrame:
     """``df`` with the first position, from 1, of the highest local energy (equal within 1e-9)."""
-    scored = compute_local_pwm(df, motif, spat, bidirect, "__local")
-    scored = scored.withColumn("__local", F.transform("__local", lambda x: F.round(x, 9)))
-    return scored.withColumn(out_col, F.nullif(F.array_position("__local", F.array_max("__local")), F.lit(0)).cast("int")).drop("__local")
+    shared = df.sparkSession.sparkContext.broadcast(motif)
+
+    @F.arrow_udf("int")
+    def best(seqs: pa.Array) -> pa.Array:
+        out: list[int | None] = []
+        for _, ends, values in local_energies(seqs, shared.value, spat, bidirect):
+            for begin, end in zip(np.concatenate([[0], ends[:-1]]), ends):
+                own = values[begin:end].round(9)
+                fits = ~np.isnan(own)
+                out.append(int(np.flatnonzero(own == own[fits].max())[0]) + 1 if fits.any() else None)
+        return pa.array(out, pa.int32())
+
+    return df.withColumn(out_col, best("seq"))
 
 
 def mask_sequences(df: DataFrame, motif: Motif, mask_thresh: float, informative: list[bool], bidirect: bool = True, out_col: str = "masked") -> DataFrame:

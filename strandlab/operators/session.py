@@ -1,10 +1,11 @@
-"""Session settings that stand for a thread count."""
+"""Session settings: tasks in place of threads, and where intermediate tables go."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def set_parallel(spark: SparkSession, tasks: int | None = None) -> int:
@@ -14,3 +15,18 @@ def set_parallel(spark: SparkSession, tasks: int | None = None) -> int:
         raise ValueError("at least one task is needed")
     spark.conf.set("spark.sql.shuffle.partitions", tasks)
     return tasks
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder ``spark.checkpoint.dir``: cuts lineage and survives lost executors.
+
+    Where the setting is unset, a local session takes a temporary folder and a cluster gets an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="strandlab-"))
+    return df.checkpoint()

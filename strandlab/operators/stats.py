@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.operators.ranks import ranked, running
+from strandlab.operators.ranks import running
+from strandlab.operators.session import checkpointed
 
 
 def r_squared(x: Column, y: Column) -> Column:
@@ -63,9 +64,64 @@ def ks_p_value(d: float, n1: int, n0: int, alternative: str = "two.sided") -> fl
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * z) ** 2) for k in range(1, 101))))
 
 
-def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]) -> DataFrame:
-    """Exact linear-interpolation quantiles per group as an array."""
-    return df.groupBy(*by).agg(F.percentile(value, F.array(*(F.lit(float(p)) for p in probs))).alias("quantiles"))
+#: Bins of one narrowing histogram; rows that are ordered together at most.
+BINS, ORDERED = 1024, 65_536
+
+
+def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str], bins: int = BINS, ordered: int = ORDERED) -> DataFrame:
+    """Exact linear-interpolation quantiles (type 7) per group as an array; null for a group without values.
+
+    The values at the ranks around each quantile are selected by histograms that
+    narrow: a pass counts the rows between the bounds of every rank still open in
+    ``bins`` bins, a window over those bins finds the bin that holds the rank, and its
+    smallest and largest value are the next bounds, until these are equal or hold
+    ``ordered`` rows at most, which are then ordered. No task holds a group's values.
+    """
+    probs = [float(p) for p in probs]
+    keys = [f"__by{i}" for i in range(len(by) or 1)]
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), *([] if by else [F.lit(0).alias(keys[0])]), F.col(value).cast("double").alias("v")).persist()
+
+    def same(names: list[str], tail: str) -> list[Column]:
+        return [F.col(c).eqNullSafe(F.col(c + tail)) for c in names]
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        """(keys, lo, hi, v): the rows within the bounds of each range."""
+        ranges = wanted.groupBy(*keys).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+        met = rows.join(ranges.withColumnsRenamed({k: f"{k}_r" for k in keys}), same(keys, "_r"))
+        return met.select(*keys, "v", F.explode(F.filter("ranges", lambda r: (F.col("v") >= r.lo) & (F.col("v") <= r.hi))).alias("r")).select(*keys, "r.lo", "r.hi", "v")
+
+    try:
+        ends = checkpointed(rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        at = F.array(*((F.col("n") - 1) * F.lit(p) for p in probs))
+        ranks = F.array_distinct(F.flatten(F.array(F.transform(at, lambda h: F.floor(h)), F.transform(at, lambda h: F.ceil(h)))))
+        # One row for each rank wanted: its bounds, the rows below them and within.
+        wanted = ends.where("n > 0").select(*keys, F.explode(ranks).alias("k"), "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("within"))
+        whole = [*keys, "lo", "hi"]
+        ended = None
+        while True:
+            wanted = checkpointed(wanted)
+            end = wanted.where((F.col("lo") == F.col("hi")) | (F.col("within") <= ordered))
+            ended = end if ended is None else ended.unionByName(end)
+            wanted = wanted.where((F.col("lo") < F.col("hi")) & (F.col("within") > ordered))
+            if wanted.isEmpty():
+                break
+            width = F.col("hi") - F.col("lo")
+            # Halved where the width exceeds the largest double.
+            share = F.when(width < float("inf"), (F.col("v") - F.col("lo")) / width).otherwise((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+            held = inside(wanted).groupBy(*whole, F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+            held = held.withColumn("up", F.sum("n").over(Window.partitionBy(*whole).orderBy("bin"))).withColumnsRenamed({c: f"{c}_h" for c in whole})
+            place = F.col("k") - F.col("below")
+            found = wanted.join(held, [*same(whole, "_h"), place < F.col("up"), place >= F.col("up") - F.col("n")])
+            wanted = found.select(*keys, "k", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("below") + F.col("up") - F.col("n")).alias("below"), F.col("n").alias("within"))
+        few = ended.where("lo < hi")
+        placed = inside(few).withColumn("at", F.row_number().over(Window.partitionBy(*whole).orderBy("v")) - 1).withColumnsRenamed({c: f"{c}_h" for c in whole})
+        done = few.join(placed, [*same(whole, "_h"), F.col("k") - F.col("below") == F.col("at")]).select(*keys, "k", "v").unionByName(ended.where("lo = hi").select(*keys, "k", F.col("lo").alias("v")))
+        values = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("values")).withColumnsRenamed({k: f"{k}_v" for k in keys})
+        low, high = (lambda h, f=f: F.element_at("values", f(h).cast("bigint")) for f in (F.floor, F.ceil))
+        out = F.when(F.col("n") > 0, F.transform(at, lambda h: low(h) + (high(h) - low(h)) * (h - F.floor(h))))
+        return checkpointed(ends.join(values, same(keys, "_v"), "left").select(*(F.col(k).alias(c) for k, c in zip(keys, by)), out.alias("quantiles")))
+    finally:
+        rows.unpersist()
 
 
 def least_squares(df: DataFrame, features: list[str], responses: list[str]) -> np.ndarray:
@@ -84,20 +140,25 @@ def least_squares(df: DataFrame, features: list[str], responses: list[str]) -> n
 def running_mean(df: DataFrame, order: str, value: str, k: int = 100, key: str = "seq_id", buckets: int | None = None, out_col: str = "smooth", block: int = 200_000) -> DataFrame:
     """Centred mean of ``value`` over k neighbours in the order of ``order`` (then key), partial at the ends.
 
-    Ranks come from ranges of the order and their counts; blocks of ``block`` ranks
-    (k at least) then take the k ranks around them along, so no task sorts
-    everything and no neighbour is missed however few rows a range holds. Rows of
-    one order value stand in one range.
+    Rows are exchanged by ranges of (order, key), so rows of one order value are split
+    too; a row's rank is its place in its range and the rows of the ranges before.
+    Blocks of ``block`` ranks (k at least) then take the k ranks around them along: no
+    task holds more than a range or a block, and the plan doesn't grow with their number.
     """
     before, after = (k - 1) // 2, k - 1 - (k - 1) // 2
     block = max(block, k)
     if buckets is None:
-        buckets = max(1, df.count() // 200_000)
-    cuts = sorted(set(df.stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []))
-    ranks = ranked(df, [], sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0)), [order, key], "__rank", "__rows")
+        buckets = max(1, -(-df.count() // 200_000))
+    placed = df.repartitionByRange(buckets, order, key).sortWithinPartitions(order, key)
+    # The number of a row: its range in the upper bits, its place in the lower 33.
+    placed = checkpointed(placed.withColumn("__at", F.monotonically_increasing_id()))
+    ranges = placed.groupBy(F.shiftrightunsigned("__at", 33).alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    ranges = ranges.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
+    ranks = placed.withColumn("__range", F.shiftrightunsigned("__at", 33)).join(ranges, "__range")
+    ranks = ranks.withColumn("__rank", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__range", "__before")
     own = F.floor(F.col("__rank") / block)
     place = F.col("__rank") - own * block
     into = F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.when(place < after, F.struct((own - 1).alias("b"), F.lit(False).alias("own"))), F.when(place >= block - before, F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))
     spread = ranks.withColumn("__to", F.explode(F.filter(into, lambda x: x.isNotNull())))
     w = Window.partitionBy("__to.b").orderBy("__rank").rowsBetween(-before, after)
-    return spread.withColumn(out_col, F.avg(value).over(w)).where("__to.own").drop("__rank", "__rows", "__to")
+    return spread.withColumn(out_col, F.avg(value).over(w)).where("__to.own").drop("__rank", "__to")

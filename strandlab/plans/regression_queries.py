@@ -130,6 +130,73 @@ def _(spark, d):
     return spark.createDataFrame([(i, float(tail[i]), float(tail[12 + i])) for i in range(3)], "bin int, total double, with_price double")
 
 
+#: The 20 moves of a step, by their number: each base up and down alone, then pairs up and pairs down.
+_MOVES = """moves(m, dA, dC, dG, dT) AS (VALUES (0, 1, 0, 0, 0), (1, -1, 0, 0, 0), (2, 0, 1, 0, 0), (3, 0, -1, 0, 0), (4, 0, 0, 1, 0), (5, 0, 0, -1, 0), (6, 0, 0, 0, 1), (7, 0, 0, 0, -1),
+  (8, 1, 1, 0, 0), (9, 1, 0, 1, 0), (10, 1, 0, 0, 1), (11, -1, -1, 0, 0), (12, -1, 0, -1, 0), (13, -1, 0, 0, -1), (14, 0, 1, 1, 0), (15, 0, 1, 0, 1), (16, 0, -1, -1, 0), (17, 0, -1, 0, -1), (18, 0, 0, 1, 1), (19, 0, 0, -1, -1))"""
+
+
+def step_ctes(matrix: str, letters: str, response: str, step: float, n: str = "", factor: str = "1.0") -> str:
+    """CTE ``score``: (k, m, r2) of every move from the matrix (k, pA, pC, pG, pT) against ``response`` (seq_id, y).
+
+    ``letters``: (seq_id, loc, b, n). A window's product without one position's factor is that position's
+    share of the derivative; ``factor`` is the spatial factor of the window that begins at ``i`` (from 1).
+    """
+    return f"""strands{n} AS (SELECT 0 AS strand, k AS j, k, pA, pC, pG, pT FROM {matrix} UNION ALL SELECT 1, (SELECT count(*) FROM {matrix}) - 1 - k, k, pT, pG, pC, pA FROM {matrix}),
+f{n} AS (SELECT seq_id, loc - j AS i, strand, k, CASE WHEN strand = 0 THEN b ELSE translate(b, 'ACGT', 'TGCA') END AS own, CASE b WHEN 'A' THEN pA WHEN 'C' THEN pC WHEN 'G' THEN pG ELSE pT END AS p
+      FROM {letters}, strands{n} WHERE loc - j >= 1 AND loc - j + (SELECT count(*) FROM {matrix}) - 1 <= n),
+win{n} AS (SELECT seq_id, i, strand, exp(sum(ln(p))) * {factor} AS e FROM f{n} GROUP BY seq_id, i, strand),
+d{n} AS (SELECT seq_id, k, sum(CASE WHEN own = 'A' THEN e / p ELSE 0 END) AS tA, sum(CASE WHEN own = 'C' THEN e / p ELSE 0 END) AS tC, sum(CASE WHEN own = 'G' THEN e / p ELSE 0 END) AS tG, sum(CASE WHEN own = 'T' THEN e / p ELSE 0 END) AS tT
+      FROM f{n} JOIN win{n} USING (seq_id, i, strand) GROUP BY seq_id, k),
+cand{n} AS (SELECT k, m, {", ".join(f"CASE WHEN d{c} <> 0 AND p{c} + {step} * d{c} <= 0 THEN 0.001::DOUBLE ELSE p{c} + {step}::DOUBLE * d{c} END AS q{c}" for c in "ACGT")}, {", ".join(f"greatest(p{c} + {step}::DOUBLE * d{c}, CASE WHEN d{c} <> 0 THEN 0.001::DOUBLE ELSE 0 END) AS n{c}" for c in "ACGT")} FROM {matrix}, moves),
+score{n} AS (SELECT k, m, coalesce(pow(corr(qA * tA + qC * tC + qG * tG + qT * tT, y), 2), 0) AS r2 FROM cand{n} JOIN d{n} USING (k) JOIN {response} USING (seq_id) GROUP BY k, m)"""
+
+
+_LETTERS = "letters AS (SELECT seq_id, generate_subscripts(string_split(seq, ''), 1) AS loc, unnest(string_split(seq, '')) AS b, length(seq) AS n FROM cut)"
+_CUT = "cut AS (SELECT seq_id, substr(seq, 1, 60) AS seq FROM orders_dna)"
+_GIVEN = "given AS (SELECT CAST(pos AS BIGINT) AS k, " + ", ".join(f"({c} / (A + C + G + T) + CAST(0.01 AS DOUBLE)) / CAST(1.04 AS DOUBLE) AS p{c}" for c in "ACGT") + " FROM m)"
+_BIN_FACTOR = "(CASE CAST(floor((i - 1) / 20) AS INTEGER) WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE"
+
+
+@query("regress_step_scores", f"""WITH {ORDER_DNA}, {_CUT}, {_LETTERS}, {M.values_sql(["GATA"])}, {_GIVEN}, {_MOVES}, priced AS (SELECT seq_id, price AS y FROM orders_dna),
+{step_ctes("given", "letters", "priced", 0.05, factor=_BIN_FACTOR)} SELECT CAST(k AS INTEGER) AS pos, CAST(m AS INTEGER) AS move, r2 FROM score""")
+def _(spark, d):
+    """What one step of a fit chooses from: every move of every position."""
+    from dataclasses import replace
+
+    scores = G.step_scores(order_dna(spark, d), "price", fixed_model(), 0.05, replace(OPTIONS, symmetrize_spat=False))
+    return spark.createDataFrame(scores, "pos int, move int, r2 double")
+
+
+def _moved(n: int) -> str:
+    """The best move of step n and the matrix after it."""
+    before = "start" if n == 1 else f"matrix{n - 1}"
+    total = "(nA + nC + nG + nT)"
+    after = ", ".join(f"CASE WHEN b.m IS NULL THEN p.p{c} ELSE b.n{c} / {total} END AS p{c}" for c in "ACGT")
+    return f"""{step_ctes(before, "letters", "planted", 0.05, str(n))},
+best{n} AS (SELECT * FROM score{n} JOIN cand{n} USING (k, m) ORDER BY r2 DESC, k, m LIMIT 1),
+matrix{n} AS (SELECT p.k, {after} FROM {before} p LEFT JOIN best{n} b USING (k))"""
+
+
+@query("regress_first_moves", f"""WITH {ORDER_DNA}, {_CUT}, {_LETTERS}, {_MOVES},
+planted AS (SELECT seq_id, price / 1e5 + 4 * CAST(contains(seq, 'GATTA') AS INTEGER) + 2 * CAST(contains(seq, 'CCGTC') AS INTEGER) AS y FROM orders_dna),
+start(k, pA, pC, pG, pT) AS (SELECT k, CASE b WHEN 'A' THEN 0.85 WHEN 'N' THEN 0.25 ELSE 0.05 END::DOUBLE, CASE b WHEN 'C' THEN 0.85 WHEN 'N' THEN 0.25 ELSE 0.05 END::DOUBLE, CASE b WHEN 'G' THEN 0.85 WHEN 'N' THEN 0.25 ELSE 0.05 END::DOUBLE, CASE b WHEN 'T' THEN 0.85 WHEN 'N' THEN 0.25 ELSE 0.05 END::DOUBLE
+  FROM (SELECT generate_subscripts(string_split('NGATTAN', ''), 1) - 1 AS k, unnest(string_split('NGATTAN', '')) AS b)),
+{_moved(1)}, {_moved(2)}, {_moved(3)}
+SELECT CAST(step AS INTEGER) AS step, CAST(k AS INTEGER) AS pos, CAST(m AS INTEGER) AS move, r2 FROM (SELECT 1 AS step, k, m, r2 FROM best1 UNION ALL SELECT 2, k, m, r2 FROM best2 UNION ALL SELECT 3, k, m, r2 FROM best3)""")
+def _(spark, d):
+    """The first three moves of a fit of the matrix from a k-mer, step by step."""
+    from dataclasses import replace
+
+    from strandlab.functions.sequence import trimmed
+
+    o = replace(OPTIONS, motif_length=7, optimize_spat=False, symmetrize_spat=False, max_steps=3)
+    sums = G.SparkSums(planted(spark, d).withColumn("seq", trimmed(F.col("seq"), 1, 60)), ["z"], 1)
+    trace: list = []
+    G.fit_together(sums, [G.search(G.seed_matrix("GATTA", 7, 0.05), o, 60, 1, trace=trace)])
+    sums.close()
+    return spark.createDataFrame(trace, "step int, pos int, move int, r2 double")
+
+
 @query("candidate_kmers")
 def _(spark, d):
     from strandlab.functions.kmers import candidate_kmers

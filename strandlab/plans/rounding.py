@@ -57,6 +57,8 @@ COLUMNS = {
     "fixed_model_predict": "pred",
     "fixed_model_score": "r2 intercept slope",
     "fixed_model_moments": "total with_price",
+    "regress_step_scores": "r2",
+    "regress_first_moves": "r2",
     "r_squared": "r2",
     "interpolate": "v",
     "prediction_curves": "pred above d",

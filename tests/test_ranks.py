@@ -1,6 +1,7 @@
 """Ranks over cells, running sums and what is built on them, against plain Python."""
 
 import bisect
+import math
 import random
 
 import numpy as np
@@ -104,3 +105,37 @@ def test_folds_and_samples_of_the_caller(spark, monkeypatch):
     assert fitted == [[4, 5, 6, 7], [0, 1, 2, 3]] and out["predictions"].count() == 8
     G.regress_pwm_sample(df, "y", sample_ids=folds.where("fold = 9").select("seq_id"))
     assert fitted[-1] == [4, 5, 6, 7]
+
+
+@pytest.mark.parametrize("bins, ordered", [(1024, 65_536), (64, 20), (4096, 0)])
+def test_quantiles_by_narrowing(spark, bins, ordered):
+    rng = random.Random(5)
+    draw = {"wide": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 3), "ties": lambda: float(rng.randint(0, 3)), "even": rng.random, "huge": lambda: rng.choice([-1.7e308, 1.7e308, 0.0, 5e-324])}
+    rows = [(g, f()) for g, f in draw.items() for _ in range(120)] + [("one", 3.5), (None, 1.0), (None, 2.0), ("none", None), ("ties", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {r.g: r.quantiles for r in stats.quantiles(df, "v", probs, ["g"], bins=bins, ordered=ordered).collect()}
+    assert got.pop("none") is None and set(got) == {*draw, "one", None}
+    for g, q in got.items():
+        own = sorted(v for h, v in rows if h == g and v is not None)
+        want = [own[math.floor(h)] + (own[math.ceil(h)] - own[math.floor(h)]) * (h - math.floor(h)) for h in ((len(own) - 1) * p for p in probs)]
+        assert q == pytest.approx(want)
+    whole = stats.quantiles(df.where("g = 'even'"), "v", [0.5], [], bins=bins, ordered=ordered).collect()
+    assert len(whole) == 1 and whole[0].quantiles == pytest.approx([np.quantile([v for g, v in rows if g == "even"], 0.5)])
+    assert [r.quantiles for r in stats.quantiles(df.limit(0), "v", [0.5], []).collect()] == []
+
+
+def test_running_mean_splits_one_value(spark):
+    """A third of all rows share one order value: ranges are even all the same, and the plan is as long for many ranges as for few."""
+    rows = [(i, 1.0 if i % 3 == 0 else float(i), float(i % 11)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq_id bigint, x double, v double").repartition(7)
+    sizes = df.repartitionByRange(10, "x", "seq_id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 600
+    plans = []
+    for buckets in (2, 60):
+        out = stats.running_mean(df, "x", "v", 10, buckets=buckets, block=100)
+        plans.append(len(out._jdf.queryExecution().analyzed().toString().split("\n")))
+        order = sorted(rows, key=lambda r: (r[1], r[0]))
+        want = {r[0]: np.mean([s[2] for s in order[max(0, i - 4) : i + 6]]) for i, r in enumerate(order)}
+        assert {r.seq_id: r.smooth for r in out.collect()} == pytest.approx(want)
+    assert plans[0] == plans[1]
