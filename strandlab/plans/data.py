@@ -32,6 +32,25 @@ ORDER_DNA = """orders_dna AS (
 )"""
 
 
+#: Words around which letters are counted: the first match in each sequence.
+COUNTED_WORDS = {"GATA": "GA.A..", "EBOX": "CA..TG", "TATA": "T.TA.A.[AG]", "WEAK": "[AT].C..", "SPEC": "AC.T"}
+
+
+def counted_motifs(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+    """Motifs of the orders' DNA: how often each letter stands at each place of the words that match a pattern."""
+    words = F.array(*(F.struct(F.lit(n).alias("motif"), F.regexp_extract("seq", w, 0).alias("word")) for n, w in COUNTED_WORDS.items() if names is None or n in names))
+    letters = order_dna(spark, sf_dir).select(F.inline(words)).where("word <> ''").select("motif", F.posexplode(F.split("word", "")).alias("pos", "b"))
+    return letters.groupBy("motif", "pos").agg(*(F.count_if(F.col("b") == c).cast("double").alias(c) for c in "ACGT"))
+
+
+def counted_sql(names: list[str] | None = None) -> str:
+    """The same as CTEs that end in ``m(motif, pos, A, C, G, T)``."""
+    words = " UNION ALL ".join(f"SELECT '{n}' AS motif, regexp_extract(seq, '{w}') AS word FROM orders_dna" for n, w in COUNTED_WORDS.items() if names is None or n in names)
+    counts = ", ".join(f"CAST(count(*) FILTER (b = '{c}') AS DOUBLE) AS {c}" for c in "ACGT")
+    return f"""{ORDER_DNA}, words AS ({words}),
+m AS (SELECT motif, CAST(i - 1 AS INTEGER) AS pos, {counts} FROM (SELECT motif, i, substr(word, i, 1) AS b FROM words, range(1, 9) r(i) WHERE i <= length(word)) GROUP BY motif, i)"""
+
+
 def doc_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DNA of the whole text of each document; language and source are groups."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandlab.operators import intervals as I
 from strandlab.operators import motifdb, sampling, similarity
 from strandlab.operators.scoring import extract_pwm
-from strandlab.plans.data import LABELLED_DNA, ORDER_DNA, labelled_dna, order_dna, table
+from strandlab.plans.data import LABELLED_DNA, ORDER_DNA, counted_motifs, counted_sql, labelled_dna, order_dna, table
 from strandlab.plans.scoring_queries import ALL, energy_ctes, lse, motif, motifs
 from strandlab.sources import motifs as M
 
@@ -25,23 +25,23 @@ def query(name: str, sql: str | None = None):
 
 
 _LOG = ", ".join(f"ln(({c} / (A + C + G + T) + CAST(0.01 AS DOUBLE)) / CAST(1.04 AS DOUBLE)) AS {c}" for c in "ACGT")
-_DB = f"WITH {M.values_sql()}, d AS (SELECT motif, row_number() OVER (PARTITION BY motif ORDER BY pos) AS pos, {_LOG} FROM m)"
+_DB = f"WITH {counted_sql()}, d AS (SELECT motif, row_number() OVER (PARTITION BY motif ORDER BY pos) AS pos, {_LOG} FROM m)"
 
 
 @query("motif_db", f"{_DB} SELECT motif, pos, A, C, G, T, 'forward' AS strand FROM d UNION ALL SELECT motif, max(pos) OVER (PARTITION BY motif) + 1 - pos, T, G, C, A, 'reverse' FROM d")
 def _(spark, d):
-    db = motifdb.create_motif_db(M.library(spark))
+    db = motifdb.create_motif_db(counted_motifs(spark, d))
     return db.table.withColumn("strand", F.lit("forward")).unionByName(db.reverse.withColumn("strand", F.lit("reverse")))
 
 
 @query("motif_db_select", f"{_DB} SELECT motif, count(*) AS n FROM d WHERE motif ILIKE '%ta%' GROUP BY motif")
 def _(spark, d):
-    return motifdb.create_motif_db(M.library(spark)).select("ta").table.groupBy("motif").agg(F.count(F.lit(1)).alias("n"))
+    return motifdb.create_motif_db(counted_motifs(spark, d)).select("ta").table.groupBy("motif").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("motif_db_to_dataframe", f"WITH {M.values_sql()} SELECT motif, pos + 1 AS pos, {', '.join(f'{c} / (A + C + G + T) AS {c}' for c in 'ACGT')} FROM m")
+@query("motif_db_to_dataframe", f"WITH {counted_sql()} SELECT motif, pos + 1 AS pos, {', '.join(f'{c} / (A + C + G + T) AS {c}' for c in 'ACGT')} FROM m")
 def _(spark, d):
-    return motifdb.create_motif_db(M.library(spark)).with_prior(0.05).to_dataframe()
+    return motifdb.create_motif_db(counted_motifs(spark, d)).with_prior(0.05).to_dataframe()
 
 
 @query("motif_db_score", f"WITH {energy_ctes(ORDER_DNA, 'orders_dna', ['EBOX', 'GATA'], spat=((1.0, 2.0, 1.0), 20))}, e AS ({lse('seq_id, motif')}) SELECT * FROM e")
@@ -50,7 +50,7 @@ def _(spark, d):
     return motifdb.create_motif_db(M.library(spark, ["EBOX", "GATA"]), spat_factors=factors, spat_bin_size=20).score(order_dna(spark, d))
 
 
-_PAIR = f"""WITH {M.values_sql()},
+_PAIR = f"""WITH {counted_sql()},
 p AS (SELECT motif, row_number() OVER (PARTITION BY motif ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY motif) AS len, {', '.join(f'({c} / (A + C + G + T) + CAST(0.01 AS DOUBLE)) / CAST(1.04 AS DOUBLE) AS {c}' for c in 'ACGT')} FROM m),
 f AS (SELECT motif, len, k, x.c, x.v FROM p, LATERAL (VALUES (0, A), (1, C), (2, G), (3, T)) x(c, v)),
 s AS (SELECT DISTINCT motif, len FROM p),
@@ -67,7 +67,7 @@ u AS (SELECT a AS motif1, b AS motif2, score FROM g UNION SELECT b, a, score FRO
 SELECT motif1, motif2, max(score) AS score FROM u GROUP BY ALL UNION ALL SELECT DISTINCT motif, motif, 1.0 FROM m""",
 )
 def _(spark, d):
-    return similarity.dataset_similarity(M.library(spark))
+    return similarity.dataset_similarity(counted_motifs(spark, d))
 
 
 _PEARSON = "g AS (SELECT a, b, max(score) AS score FROM (SELECT a, b, o, corr(x, y) AS score FROM c GROUP BY ALL) GROUP BY ALL)"
@@ -77,19 +77,17 @@ _ACROSS = "u AS (SELECT a AS motif1, b AS motif2, score FROM g UNION SELECT b, a
 
 @query("pssm_dataset_cor_pearson", f"{_PAIR}, {_PEARSON}, {_ACROSS % 'max'}")
 def _(spark, d):
-    parts = M.datasets(spark)
-    return similarity.dataset_similarity(parts["SYN1"], parts["SYN2"], "pearson")
+    return similarity.dataset_similarity(counted_motifs(spark, d, ["GATA", "EBOX"]), counted_motifs(spark, d, ["TATA", "WEAK", "SPEC"]), "pearson")
 
 
 @query("pssm_dataset_diff", f"{_PAIR}, {_KL}, {_ACROSS % 'min'}")
 def _(spark, d):
-    parts = M.datasets(spark)
-    return similarity.dataset_similarity(parts["SYN1"], parts["SYN2"], "kl")
+    return similarity.dataset_similarity(counted_motifs(spark, d, ["GATA", "EBOX"]), counted_motifs(spark, d, ["TATA", "WEAK", "SPEC"]), "kl")
 
 
 @query("pssm_match", f"{_PAIR}, {_PEARSON}, u AS (SELECT a AS motif1, b AS motif2, score FROM g UNION SELECT b, a, score FROM g) SELECT motif2 AS motif, max(score) AS cor FROM u WHERE motif1 = 'GATA' AND motif2 <> 'GATA' GROUP BY motif2 UNION ALL SELECT 'GATA', 1.0")
 def _(spark, d):
-    return similarity.pssm_match(M.library(spark, ["GATA"]), M.library(spark), "pearson")
+    return similarity.pssm_match(counted_motifs(spark, d, ["GATA"]), counted_motifs(spark, d), "pearson")
 
 
 def genome(spark, d):

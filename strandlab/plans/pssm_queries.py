@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlab.functions import pssm as P
+from strandlab.plans.data import ORDER_DNA, counted_motifs, counted_sql, order_dna
 from strandlab.sources import motifs as M
 
 QUERIES, SQL = {}, {}
@@ -20,7 +21,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_M = M.values_sql()
+_M = counted_sql()
 _PRIOR = "p AS (SELECT motif, pos, (A + 0.01) / (A + C + G + T + 0.04) AS A, (C + 0.01) / (A + C + G + T + 0.04) AS C, (G + 0.01) / (A + C + G + T + 0.04) AS G, (T + 0.01) / (A + C + G + T + 0.04) AS T FROM m)"
 _PRIOR = _PRIOR.replace("0.01", "CAST(0.01 AS DOUBLE)").replace("0.04", "CAST(0.04 AS DOUBLE)")
 _BITS = "b AS (SELECT motif, pos, greatest(2 + A * log2(A) + C * log2(C) + G * log2(G) + T * log2(T), 0) AS bits FROM p)"
@@ -29,22 +30,22 @@ _TRIM = "e AS (SELECT motif, min(pos) AS lo, max(pos) AS hi FROM b WHERE bits >
 
 @query("all_motif_datasets", f"WITH {_M} SELECT CASE WHEN motif IN ('GATA', 'EBOX') THEN 'SYN1' ELSE 'SYN2' END || '.' || motif AS motif, pos, A, C, G, T, CASE WHEN motif IN ('GATA', 'EBOX') THEN 'SYN1' ELSE 'SYN2' END AS dataset, motif AS motif_orig FROM m")
 def _(spark, d):
-    return M.all_datasets(M.datasets(spark))
+    return M.all_datasets({"SYN1": counted_motifs(spark, d, ["GATA", "EBOX"]), "SYN2": counted_motifs(spark, d, ["TATA", "WEAK", "SPEC"])})
 
 
 @query("get_motif_pssm", f"WITH {_M} SELECT pos, A, C, G, T FROM m WHERE motif = 'TATA'")
 def _(spark, d):
-    return M.motif_pssm(M.library(spark), "TATA")
+    return M.motif_pssm(counted_motifs(spark, d), "TATA")
 
 
 @query("pssm_add_prior", f"WITH {_M}, {_PRIOR} SELECT * FROM p")
 def _(spark, d):
-    return P.with_prior(M.library(spark))
+    return P.with_prior(counted_motifs(spark, d))
 
 
 @query("bits_per_pos", f"WITH {_M}, {_PRIOR}, {_BITS} SELECT * FROM b")
 def _(spark, d):
-    return P.bits_per_pos(M.library(spark))
+    return P.bits_per_pos(counted_motifs(spark, d))
 
 
 _RANGE = "r AS (SELECT motif, sum(ln(0.01 + least(A, C, G, T))) AS min_score, sum(ln(0.01 + greatest(A, C, G, T))) AS max_score FROM p GROUP BY motif)"
@@ -52,12 +53,12 @@ _RANGE = "r AS (SELECT motif, sum(ln(0.01 + least(A, C, G, T))) AS min_score, su
 
 @query("pssm_theoretical", f"WITH {_M}, {_PRIOR}, {_RANGE} SELECT * FROM r")
 def _(spark, d):
-    return P.theoretical_range(M.library(spark))
+    return P.theoretical_range(counted_motifs(spark, d))
 
 
 @query("pssm_quantile", f"WITH {_M}, {_PRIOR}, {_RANGE} SELECT motif, min_score + 0.8 * (max_score - min_score) AS score FROM r")
 def _(spark, d):
-    return P.quantile(M.library(spark), 0.8)
+    return P.quantile(counted_motifs(spark, d), 0.8)
 
 
 _CONSENSUS = """WITH %s,
@@ -72,17 +73,17 @@ SELECT motif, nullif(trim(string_agg(l, '' ORDER BY pos), '*'), '') AS consensus
 
 @query("consensus", _CONSENSUS % _M)
 def _(spark, d):
-    return P.consensus(M.library(spark))
+    return P.consensus(counted_motifs(spark, d))
 
 
 @query("pssm_rc", f"WITH {_M}, n AS (SELECT *, max(pos) OVER (PARTITION BY motif) + min(pos) OVER (PARTITION BY motif) - pos AS q FROM m) SELECT motif, q AS pos, T AS A, G AS C, C AS G, A AS T FROM n")
 def _(spark, d):
-    return P.reverse_complement(M.library(spark))
+    return P.reverse_complement(counted_motifs(spark, d))
 
 
 @query("pssm_trim", f"WITH {_M}, {_PRIOR}, {_BITS}, {_TRIM} SELECT * FROM t")
 def _(spark, d):
-    return P.trim(M.library(spark))
+    return P.trim(counted_motifs(spark, d))
 
 
 @query(
@@ -93,12 +94,13 @@ j AS (SELECT motif, 0 AS part, pos, A, C, G, T FROM t UNION ALL SELECT DISTINCT
 SELECT motif, row_number() OVER (PARTITION BY motif ORDER BY part, pos) - 1 AS pos, CAST(A AS DOUBLE) AS A, CAST(C AS DOUBLE) AS C, CAST(G AS DOUBLE) AS G, CAST(T AS DOUBLE) AS T FROM j""",
 )
 def _(spark, d):
-    return P.concat(M.library(spark), M.library(spark), gap=3, orientation="fr")
+    return P.concat(counted_motifs(spark, d), counted_motifs(spark, d), gap=3, orientation="fr")
 
 
-@query("kmers_to_pssm", "WITH k(kmer) AS (VALUES ('ACGT'), ('GATNA')), c AS (SELECT kmer, CAST(i AS INTEGER) AS pos, substr(kmer, CAST(i AS INTEGER), 1) AS b FROM k, range(1, 6) r(i) WHERE i <= length(kmer)) SELECT kmer, pos, " + ", ".join(f"CASE WHEN b = 'N' THEN 0.25 WHEN b = '{x}' THEN 1 / CAST(1.03 AS DOUBLE) ELSE 0.01 / CAST(1.03 AS DOUBLE) END AS {x}" for x in "ACGT") + " FROM c")
+@query("kmers_to_pssm", "WITH " + ORDER_DNA + ", k AS (SELECT DISTINCT CASE WHEN seq_id % 2 = 0 THEN substr(seq, 1, 4) ELSE substr(seq, 1, 2) || 'N' || substr(seq, 4, 2) END AS kmer FROM orders_dna), c AS (SELECT kmer, CAST(i AS INTEGER) AS pos, substr(kmer, CAST(i AS INTEGER), 1) AS b FROM k, range(1, 6) r(i) WHERE i <= length(kmer)) SELECT kmer, pos, " + ", ".join(f"CASE WHEN b = 'N' THEN 0.25 WHEN b = '{x}' THEN 1 / CAST(1.03 AS DOUBLE) ELSE 0.01 / CAST(1.03 AS DOUBLE) END AS {x}" for x in "ACGT") + " FROM c")
 def _(spark, d):
-    return P.kmers_to_pssm(spark.createDataFrame([("ACGT",), ("GATNA",)], "kmer string"))
+    words = F.when(F.col("seq_id") % 2 == 0, F.substring("seq", 1, 4)).otherwise(F.concat(F.substring("seq", 1, 2), F.lit("N"), F.substring("seq", 4, 2)))
+    return P.kmers_to_pssm(order_dna(spark, d).select(words.alias("kmer")).distinct())
 
 
 @query(
@@ -110,9 +112,9 @@ SELECT motif, string_agg(CASE WHEN bits > 0.3 THEN CASE greatest(A, C, G, T) WHE
 FROM n JOIN best USING (motif) WHERE i BETWEEN start AND start + 3 GROUP BY motif""",
 )
 def _(spark, d):
-    return P.pssm_to_kmer(M.library(spark), kmer_length=4, pos_bits_thresh=0.3)
+    return P.pssm_to_kmer(counted_motifs(spark, d), kmer_length=4, pos_bits_thresh=0.3)
 
 
 @query("logo_heights", f"WITH {_M}, {_PRIOR}, {_BITS} SELECT motif, pos, letter, h * bits AS height FROM p JOIN b USING (motif, pos), LATERAL (VALUES ('A', A), ('C', C), ('G', G), ('T', T)) x(letter, h)")
 def _(spark, d):
-    return P.letter_heights(M.library(spark))
+    return P.letter_heights(counted_motifs(spark, d))

@@ -227,8 +227,13 @@ def _(spark, d):
     return plots.prediction_curves(planted(spark, d), "price", "y")
 
 
-@query("spatial_model", "SELECT CAST(i * 20 AS INTEGER) AS bin, CASE WHEN i = 1 THEN 0.5 ELSE 0.25 END AS spat_factor FROM range(0, 3) r(i)")
+@query("spatial_model", f"WITH {ORDER_DNA}, f AS (SELECT CAST(floor((strpos(seq, 'GAT') - 1) / 20) AS INTEGER) AS bin, count(*) AS n FROM orders_dna WHERE strpos(seq, 'GAT') BETWEEN 1 AND 60 GROUP BY 1) SELECT CAST(i * 20 AS INTEGER) AS bin, coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER () AS DOUBLE) AS spat_factor FROM range(0, 3) r(i) LEFT JOIN f ON f.bin = i")
 def _(spark, d):
+    """Factors from where a word stands first in the orders' DNA."""
     import numpy as np
 
-    return plots.spatial_model(spark, G.MotifModel(np.full((4, 4), 0.25), (0.25, 0.5, 0.25), 20, 0, 60))
+    at = F.instr("seq", "GAT")
+    counted = order_dna(spark, d).where(at.between(1, 60)).groupBy(F.floor((at - 1) / 20).cast("int").alias("bin")).count()
+    n = {r.bin: r["count"] for r in counted.collect()}
+    factors = tuple(n.get(b, 0) / sum(n.values()) for b in range(3))
+    return plots.spatial_model(spark, G.MotifModel(np.full((4, 4), 0.25), factors, 20, 0, 60))

@@ -32,6 +32,7 @@ COLUMNS = {
     "compute_pwm_native": "pwm",
     "extract_pwm": "pwm",
     "calc_seq_pwm": "EBOX GATA",
+    "calc_seq_pwm_unknown": "pwm",
     "compute_local_pwm": "pwm",
     "screen_pwm_r2": "score",
     "screen_pwm_ks": "score",

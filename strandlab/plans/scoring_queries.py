@@ -9,7 +9,7 @@ from strandlab.functions import pssm as P
 from strandlab.operators import screening as R
 from strandlab.operators import scoring as E
 from strandlab.operators import stats
-from strandlab.plans.data import DOC_DNA, LABELLED_DNA, ORDER_DNA, doc_dna, labelled_dna, order_dna
+from strandlab.plans.data import DOC_DNA, LABELLED_DNA, ORDER_DNA, counted_motifs, counted_sql, doc_dna, labelled_dna, order_dna
 from strandlab.sources import motifs as M
 
 QUERIES, SQL = {}, {}
@@ -104,6 +104,16 @@ def _(spark, d):
     return E.score_matrix(order_dna(spark, d), motifs("EBOX", "GATA"))
 
 
+_WITH_N = "masked AS (SELECT seq_id, CASE WHEN seq_id % 5 = 0 THEN substr(seq, 1, 9) || 'N' || substr(seq, 11) ELSE seq END AS seq FROM orders_dna)"
+
+
+@query("calc_seq_pwm_unknown", f"WITH {energy_ctes(ORDER_DNA + ', ' + _WITH_N, 'masked', ALL)}, e AS ({lse('seq_id, motif')}) SELECT seq_id, motif, CASE WHEN seq_id % 5 <> 0 THEN pwm END AS pwm FROM e")
+def _(spark, d):
+    """A sequence with an unknown letter has no score."""
+    masked = F.when(F.col("seq_id") % 5 == 0, F.concat(F.substring("seq", 1, 9), F.lit("N"), F.substring("seq", 11, 64))).otherwise(F.col("seq"))
+    return E.extract_pwm(order_dna(spark, d).withColumn("seq", masked), motifs())
+
+
 @query("compute_local_pwm", f"WITH {energy_ctes(DOC_DNA, 'docs_dna', ['SPEC'])}, e AS ({lse('seq_id, i')}), p AS (SELECT seq_id, CAST(loc AS BIGINT) AS pos FROM c) SELECT p.seq_id, p.pos, pwm FROM p LEFT JOIN e ON e.seq_id = p.seq_id AND e.i = p.pos")
 def _(spark, d):
     scored = E.compute_local_pwm(doc_dna(spark, d), motif("SPEC"))
@@ -192,6 +202,6 @@ def _(spark, d):
     return stats.running_mean(df, "price", "v", 100, buckets=4).select("seq_id", "smooth")
 
 
-@query("mask_positions", f"WITH {M.values_sql()}, p AS (SELECT motif, pos, (A + CAST(0.01 AS DOUBLE)) / (A + C + G + T + CAST(0.04 AS DOUBLE)) AS a, (C + CAST(0.01 AS DOUBLE)) / (A + C + G + T + CAST(0.04 AS DOUBLE)) AS c, (G + CAST(0.01 AS DOUBLE)) / (A + C + G + T + CAST(0.04 AS DOUBLE)) AS g, (T + CAST(0.01 AS DOUBLE)) / (A + C + G + T + CAST(0.04 AS DOUBLE)) AS t FROM m) SELECT motif, pos, 2 + a * log2(a) + c * log2(c) + g * log2(g) + t * log2(t) > 0.2 AS informative FROM p")
+@query("mask_positions", f"WITH {counted_sql()}, p AS (SELECT motif, pos, (A + CAST(0.01 AS DOUBLE)) / (A + C + G + T + CAST(0.04 AS DOUBLE)) AS a, (C + CAST(0.01 AS DOUBLE)) / (A + C + G + T + CAST(0.04 AS DOUBLE)) AS c, (G + CAST(0.01 AS DOUBLE)) / (A + C + G + T + CAST(0.04 AS DOUBLE)) AS g, (T + CAST(0.01 AS DOUBLE)) / (A + C + G + T + CAST(0.04 AS DOUBLE)) AS t FROM m) SELECT motif, pos, 2 + a * log2(a) + c * log2(c) + g * log2(g) + t * log2(t) > 0.2 AS informative FROM p")
 def _(spark, d):
-    return P.bits_per_pos(M.library(spark)).select("motif", "pos", (F.col("bits") > 0.2).alias("informative"))
+    return P.bits_per_pos(counted_motifs(spark, d)).select("motif", "pos", (F.col("bits") > 0.2).alias("informative"))

@@ -42,9 +42,12 @@ def _(spark, d):
 _LETTERS = "l(c) AS (VALUES ('A'), ('C'), ('G'), ('T'))"
 
 
-@query("generate_kmers", f"WITH {_LETTERS}, k AS (SELECT a.c || b.c || c.c AS kmer FROM l a, l b, l c) SELECT kmer FROM k UNION SELECT 'N' || substr(kmer, 2) FROM k UNION SELECT substr(kmer, 1, 1) || 'N' || substr(kmer, 3) FROM k UNION SELECT substr(kmer, 1, 2) || 'N' FROM k UNION SELECT 'NN' || substr(kmer, 3) FROM k UNION SELECT substr(kmer, 1, 1) || 'NN' FROM k")
+@query("generate_kmers", f"WITH {_LETTERS}, {ORDER_DNA}, k AS (SELECT a.c || b.c || c.c AS kmer FROM l a, l b, l c), g AS (SELECT kmer FROM k UNION SELECT 'N' || substr(kmer, 2) FROM k UNION SELECT substr(kmer, 1, 1) || 'N' || substr(kmer, 3) FROM k UNION SELECT substr(kmer, 1, 2) || 'N' FROM k UNION SELECT 'NN' || substr(kmer, 3) FROM k UNION SELECT substr(kmer, 1, 1) || 'NN' FROM k), s AS (SELECT substr(seq, 1, 3) AS start, count(*) AS n FROM orders_dna GROUP BY 1) SELECT kmer, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM g LEFT JOIN s ON regexp_full_match(start, replace(kmer, 'N', '.')) GROUP BY kmer")
 def _(spark, d):
-    return K.kmers_frame(spark, 3, max_gap=2)
+    """All k-mers, gapped ones too, with the number of sequences that begin with them."""
+    starts = order_dna(spark, d).groupBy(F.substring("seq", 1, 3).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    fits = F.rlike(F.col("start"), F.concat(F.lit("^"), F.translate("kmer", "N", "."), F.lit("$")))
+    return K.kmers_frame(spark, 3, max_gap=2).join(starts, fits, "left").groupBy("kmer").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @query("kmer_counts", f"WITH {DOC_DNA}, w AS (SELECT seq_id, substr(seq, i, 4) AS w FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM docs_dna)), p AS (SELECT seq_id, w AS kmer FROM w UNION ALL SELECT seq_id, 'N' || substr(w, 2) FROM w UNION ALL SELECT seq_id, substr(w, 1, 1) || 'N' || substr(w, 3) FROM w UNION ALL SELECT seq_id, substr(w, 1, 2) || 'N' || substr(w, 4) FROM w UNION ALL SELECT seq_id, substr(w, 1, 3) || 'N' FROM w) SELECT seq_id, kmer, count(*) AS n FROM p GROUP BY ALL")
