@@ -54,7 +54,7 @@ BITS = 256
 SLICE, SLICE_TEXTS = 50_000, 500  # five-grams and texts that are signed at once
 MEMO = 50_000
 MEETS = 64  # members of mixed buckets that a node may meet before it counts as crowded
-DENSE = 256  # heads and rarest members of others that a crowded node may meet before it counts as dense
+DENSE = 2048  # heads and rarest members of others that a crowded node may meet before it counts as dense
 DENSE_MEETS = 64
 DENSE_M = 1024  # components of the signature of dense nodes
 DENSE_LEVELS = ((10, 146), (14, 428), (18, 1208), (22, 3735))  # components in a key, keys: 1e-6 are missed at similarity 0.8
@@ -259,7 +259,7 @@ def _crowd_pairs(crowd: DataFrame, threshold: float) -> list[DataFrame]:
     meets = F.col("heads_all") - F.col("heads_own") + F.when(F.col("head"), F.col("rows_all") - F.col("rows_own")).otherwise(0)
     cost = rows.join(every, "e").join(held, ["e", "comp"]).groupBy("node").agg(F.sum(meets).alias("meets"))
     dense = staged(cost.where(F.col("meets") > DENSE).select("node"), "dense")
-    found, settled = _dense_pairs(staged(crowd.select("node", "comp", "n", "grams").join(few_ids(dense), "node"), "dense_grams"), threshold)
+    found, settled = _dense_pairs(staged(crowd.select("node", "comp", "n", "grams", "others").join(few_ids(dense), "node"), "dense_grams"), threshold)
     shared = rows.join(every.select("e"), "e", "left_semi").join(settled.withColumn("dense", F.lit(True)), "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
     shared = staged(shared, "shared")
     heads = shared.where("head")
@@ -316,17 +316,19 @@ def _deep(batch: pa.RecordBatch, held: list[tuple], subsets: np.ndarray) -> pa.R
 
 
 def _dense_pairs(nodes: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame]:
-    """Materialised pairs of dense nodes from buckets of more and more components, and the nodes whose pairs with each other are all among them.
+    """``nodes``: (node, comp, n, grams, others: met in the buckets so far), materialised.
+
+    Materialised pairs of dense nodes from buckets of more and more components, and the nodes whose pairs with each other are all among them.
 
     A level's keys miss a pair at similarity 0.8 with probability 1e-6. A node that
     meets few others in its level's buckets (``DENSE_MEETS`` and a third of the keys at
     most, a near neighbour counting as often as it is met) is compared with each and is settled; the others go on to the next level, as long as they meet at
-    most three quarters of what they met before (unlinked texts of one template do). Nodes
+    most three fifths of what they met before (unlinked texts of one template do). Nodes
     that don't thin out, or aren't settled in the end, go back to the rarest
     five-grams: their surroundings lie just below the threshold, where exact positions tell more.
     """
     found, settled = [], []
-    before = None
+    before = nodes.select("node", F.col("others").alias("meets"))
     for level, (rows, count) in enumerate(DENSE_LEVELS):
         if nodes.isEmpty():
             break
@@ -334,8 +336,8 @@ def _dense_pairs(nodes: DataFrame, threshold: float) -> tuple[list[DataFrame], D
         keyed = deep.select(F.explode("keys").alias("key"), "node", "comp")
         held = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
         every = held.groupBy("key").agg(F.sum("own").alias("every"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-        inside = keyed.join(every, "key").join(held, ["key", "comp"]).withColumn("meets", F.col("every") - F.col("own"))
-        inside = staged(inside.select("key", "node", "comp", "meets"), "deep_inside")
+        others = held.join(every, "key").select("key", "comp", (F.col("every") - F.col("own")).alias("meets"))
+        inside = staged(keyed.join(others, ["key", "comp"]).select("key", "node", "comp", "meets"), "deep_inside")
         meets = inside.groupBy("node").agg(F.sum("meets").alias("meets"))
         meets = staged(nodes.select("node").join(meets, "node", "left").na.fill(0, ["meets"]), "deep_meets")
         most = DENSE_MEETS + count // 3  # a near neighbour is met in up to a third of the keys
@@ -349,10 +351,10 @@ def _dense_pairs(nodes: DataFrame, threshold: float) -> tuple[list[DataFrame], D
         pairs = met.join(side("a"), "a").join(side("b"), "b").where(_agree(threshold, DENSE_M))
         found.append(staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "deep_pairs"))
         settled.append(staged(meets.where(F.col("meets") <= most).select("node"), "settled"))
-        if before is not None:  # who doesn't thin out leaves here
-            on = on.join(before.withColumnRenamed("meets", "was"), "node").where(4 * F.col("meets") <= 3 * F.col("was"))
+        # Who doesn't thin out leaves here.
+        on = on.join(before.withColumnRenamed("meets", "was"), "node").where(5 * F.col("meets") <= 3 * F.col("was"))
         going = staged(nodes.join(few_ids(staged(on.select("node"), "deep_on")), "node"), "dense_grams")
-        free(deep, inside, met, nodes, *([before] if before is not None else []))
+        free(deep, inside, met, nodes, *([before] if level else []))
         before, nodes = meets, going
     everyone = reduce(lambda x, y: x.unionByName(y), settled) if settled else nodes.select("node")
     return found, staged(everyone, "settled")
@@ -398,7 +400,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
 
     # Who meets few others there is compared with all of them ...
     met = inside.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
-    crowded = inside.join(met, "key").groupBy("node").agg((F.sum("met") > MEETS).alias("crowded"))
+    own = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own")).join(met, "key")
+    crowded = inside.join(own, ["key", "comp"]).groupBy("node").agg((F.sum("met") > MEETS).alias("crowded"), F.sum(F.col("met") - F.col("own")).alias("others"))
     around = staged(inside.select("key", "node", "comp").join(crowded, "node").join(nodes.select("node", "n", "bits"), "node"), "around")
     left = around.where("not crowded").selectExpr("key", "node as a", "comp as comp_a", "n as n_a", "bits as bits_a")
     right = around.selectExpr("key as key_b", "node as b", "comp as comp_b", "n as n_b", "bits as bits_b", "crowded")
@@ -406,7 +409,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # ... those in a crowd with whom shares one of their rarest five-grams.
-    who = staged(around.where("crowded").select("node", "comp", "n", "bits").distinct(), "crowd")
+    who = staged(around.where("crowded").select("node", "comp", "n", "bits", "others").distinct(), "crowd")
     crowd = staged(sketch.select(F.col("rid").alias("node"), "grams").join(few_ids(who), "node"), "crowd")
     if not crowd.isEmpty():
         for more in _crowd_pairs(crowd, threshold):
