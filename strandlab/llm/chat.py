@@ -36,8 +36,14 @@ RANGE_ROWS = 200_000
 END = "<|end|>\n"
 
 
+def _name(role: Column) -> Column:
+    r"""A role as a name inside a mark: backslashes before \, |, < and >, line breaks as \n and \r, so it can't end the mark."""
+    shown = F.regexp_replace(role, r"([\\|<>])", r"\\$1")
+    return F.replace(F.replace(shown, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
 def _head(role: Column, own: Column, context_roles: tuple[str, ...]) -> Column:
-    user = F.when(role.isin(*context_roles), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+    user = F.when(role.isin(*context_roles), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), _name(role), F.lit("|>\n")))
     return F.when(own, F.lit("<|assistant|>\n")).otherwise(user)
 
 
@@ -119,7 +125,7 @@ m AS (
   SELECT t.conv_id, speaker, k, role, text, role = speaker AS own,
          CASE WHEN role = speaker THEN '<|assistant|>' || chr(10)
               WHEN role = 'system' THEN '<|system|>' || chr(10)
-              ELSE '<|user name=' || role || '|>' || chr(10) END AS head
+              ELSE '<|user name=' || replace(replace(regexp_replace(role, '([\\|<>])', '\\\1', 'g'), chr(10), '\n'), chr(13), '\r') || '|>' || chr(10) END AS head
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ),
 r AS (SELECT *, head || text || '<|end|>' || chr(10) AS said FROM m),
