@@ -36,7 +36,7 @@ from strandlab.functions.sequence import CODES, require_sequences
 from strandlab.operators import sampling, similarity
 from strandlab.operators.scoring import Motif, Spatial, compute_pwm, cropped, scorer
 from strandlab.operators.screening import screen_pwm
-from strandlab.operators.stats import ks_distance, ks_p_value, least_squares, r_squared, running_mean
+from strandlab.operators.stats import EXACT, ks_distance, ks_p_value, least_squares, r_squared, running_mean
 
 #: Step sizes of the four phases, for base probabilities and for spatial factors (fixed values).
 PWM_STEPS = (0.05, 0.02, 0.01, 0.005)
@@ -579,7 +579,10 @@ def scored(df: DataFrame, model: MotifModel, responses: list[str], o: Options, b
     model.score = float(np.mean(list(model.r2.values())))
     if binary:
         k = ks_distance(pred.withColumn("__all", F.lit(0)), "pred", responses[0], ["__all"], o.alternative).first()
-        model.ks = {"D": k.D or 0.0, "p": ks_p_value(k.D or 0.0, max(1, k.n1), max(1, k.n0), o.alternative)}
+        ties = None
+        if 0 < k.n1 * k.n0 < EXACT:  # so many values at most
+            ties = [r["count"] for r in pred.where(F.col("pred").isNotNull()).groupBy("pred").count().orderBy("pred").collect()]
+        model.ks = {"D": k.D or 0.0, "p": ks_p_value(k.D or 0.0, max(1, k.n1), max(1, k.n0), o.alternative, ties)}
         model.score = model.ks["D"]
     return model
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -54,8 +55,19 @@ def percent_ranks(df: DataFrame, value: str, by: list[str], out_col: str = "q",
     return df.join(steps.select(*by, value, share.alias(out_col)), [*by, value])
 
 
-def ks_p_value(d: float, n1: int, n0: int, alternative: str = "two.sided") -> float:
-    """Asymptotic p-value."""
+#: Below this product of the two numbers of rows a p-value is exact.
+EXACT = 10_000
+
+
+def ks_p_value(d: float, n1: int, n0: int, alternative: str = "two.sided", ties: list[int] | None = None) -> float:
+    """P-value of a distance: exact where n1 * n0 is below ``EXACT``, else asymptotic.
+
+    ``ties``: how many rows hold each value, in the order of the values (None: all differ); it counts where the value is exact.
+    """
+    if alternative not in ALTERNATIVES:
+        raise ValueError("alternative must be two.sided, less or greater")
+    if n1 * n0 < EXACT:
+        return _exact_ks(d, n1, n0, alternative, ties)
     z = d * math.sqrt(n1 * n0 / (n1 + n0))
     if alternative != "two.sided":
         return math.exp(-2 * z * z)
@@ -64,6 +76,25 @@ def ks_p_value(d: float, n1: int, n0: int, alternative: str = "two.sided") -> fl
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * z) ** 2) for k in range(1, 101))))
 
 
+def _exact_ks(d: float, n1: int, n0: int, alternative: str, ties: list[int] | None) -> float:
+    """Share of the orders of n1 and n0 rows that reach the distance.
+
+    An order is a path on the lattice of (rows of one sample, rows of the other) so
+    far; paths below the distance are counted in whole numbers. The distribution
+    functions meet only where a value ends, so only there is a path held against it.
+    """
+    least = math.ceil(d * n1 * n0 - 1e-7)  # the distance times n1 * n0
+    ends = set(range(n1 + n0 + 1) if ties is None else accumulate(ties))
+    reached = {"two.sided": lambda gap: abs(gap) >= least, "greater": lambda gap: gap >= least, "less": lambda gap: -gap >= least}[alternative]
+    below = [0] * (n0 + 1)
+    for i in range(n1 + 1):
+        for j in range(n0 + 1):
+            paths = 1 if i == j == 0 else (below[j] if i else 0) + (below[j - 1] if j else 0)
+            below[j] = 0 if i + j in ends and reached(i * n0 - j * n1) else paths
+    total = math.comb(n1 + n0, n1)
+    return (total - below[n0]) / total
+
+
 #: Bins of one narrowing histogram; rows that are ordered together at most.
 BINS, ORDERED = 1024, 65_536
 

@@ -1,6 +1,7 @@
 """Ranks over cells, running sums and what is built on them, against plain Python."""
 
 import bisect
+import itertools
 import math
 import random
 
@@ -139,3 +140,23 @@ def test_running_mean_splits_one_value(spark):
         want = {r[0]: np.mean([s[2] for s in order[max(0, i - 4) : i + 6]]) for i, r in enumerate(order)}
         assert {r.seq_id: r.smooth for r in out.collect()} == pytest.approx(want)
     assert plans[0] == plans[1]
+
+
+@pytest.mark.parametrize("n1, n0", [(1, 1), (2, 3), (4, 5), (3, 6)])
+def test_exact_ks_p_values_equal_enumeration(n1, n0):
+    rng = random.Random(n1 * 10 + n0)
+    for values in (list(range(n1 + n0)), sorted(rng.randint(0, 3) for _ in range(n1 + n0))):
+        ties = [values.count(v) for v in sorted(set(values))]
+
+        def distance(ones, alternative):
+            one, zero = ([values[i] for i in range(n1 + n0) if (i in ones) == c] for c in (True, False))
+            gaps = [bisect.bisect_right(one, x) / n1 - bisect.bisect_right(zero, x) / n0 for x in set(values)]
+            return {"two.sided": max(map(abs, gaps)), "greater": max(gaps), "less": max(-g for g in gaps)}[alternative]
+
+        for alternative in stats.ALTERNATIVES:
+            every = [distance(set(c), alternative) for c in itertools.combinations(range(n1 + n0), n1)]
+            for d in set(every):
+                want = sum(e >= d - 1e-9 for e in every) / len(every)
+                assert stats.ks_p_value(d, n1, n0, alternative, ties) == pytest.approx(want), (values, alternative, d)
+    large = stats.ks_p_value(0.15, 99, 100)
+    assert large == pytest.approx(stats.ks_p_value(0.15, 100, 101), rel=0.3)  # the asymptotic one beside it
