@@ -199,8 +199,7 @@ def candidate_kmers(df: DataFrame, responses: list[str], kmer_lengths: list[int]
     """Seeds for a regression, best first.
 
     Screens every length, halves the threshold once if nothing is found, keeps the
-    ``max_cands`` best and of each connected group of k-mers at distance 1 the best.
-    (Groups are connected components, which is deterministic.)
+    ``max_cands`` best and of each community of k-mers at distance 1 the best.
     """
 
     def screened(cor: float) -> list:
@@ -214,15 +213,56 @@ def candidate_kmers(df: DataFrame, responses: list[str], kmer_lengths: list[int]
     if not top:
         return ["*" * kmer_lengths[0]]
     names = [r.kmer for r in top]
-    group = list(range(len(names)))
-    for i in range(len(names)):
-        for j in range(i):
-            if osa_distance(names[i], names[j]) == 1:
-                a, b = group[i], group[j]
-                group = [min(a, b) if g in (a, b) else g for g in group]
+    group = communities(len(names), [(j, i) for i in range(len(names)) for j in range(i) if osa_distance(names[i], names[j]) == 1])
     return [names[i] for i in range(len(names)) if group.index(group[i]) == i]
 
 
+def communities(n: int, edges: list[tuple[int, int]]) -> list[int]:
+    """The community of each of a few nodes by Louvain's method: a community is named by its first node.
+
+    Nodes move, in their order, to the neighbouring community of the largest gain in
+    modularity (ties: the first) until none gains; communities become nodes, and so
+    on. No random numbers: the same graph gives the same communities.
+    """
+    weight: dict[int, dict[int, float]] = {i: {} for i in range(n)}
+    for i, j in edges:
+        weight[i][j] = weight[i].get(j, 0) + 1
+        weight[j][i] = weight[j].get(i, 0) + 1
+    member, total = list(range(n)), 2 * len(edges)
+    while total:
+        own = {i: i for i in weight}
+        degree = {i: sum(w.values()) for i, w in weight.items()}
+        held = dict(degree)
+        again, moves = True, 0
+        while again:
+            again = False
+            for i in sorted(weight):
+                near: dict[int, float] = {own[i]: 0.0}
+                for j, w in weight[i].items():
+                    if j != i:
+                        near[own[j]] = near.get(own[j], 0.0) + w
+                held[own[i]] -= degree[i]
+                gain = {c: w - held[c] * degree[i] / total for c, w in near.items()}
+                best = min(gain, key=lambda c: (-gain[c], c != own[i], c))
+                if gain[best] <= gain[own[i]] + 1e-12:
+                    best = own[i]
+                moves += best != own[i]
+                again |= best != own[i]
+                own[i] = best
+                held[best] += degree[i]
+        first = {c: min(i for i in own if own[i] == c) for c in set(own.values())}
+        member = [first[own[m]] for m in member]
+        if not moves:
+            break
+        merged: dict[int, dict[int, float]] = {c: {} for c in first.values()}
+        for i, ws in weight.items():
+            for j, w in ws.items():
+                a, b = first[own[i]], first[own[j]]
+                merged[a][b] = merged[a].get(b, 0) + w
+        weight = merged
+    return [member.index(m) for m in member]
+
+
 def dinucleotides(df: DataFrame) -> DataFrame:
     """seq_id and the counts of the 16 overlapping pairs; an empty sequence is an error."""
     seq = F.when(F.length("seq") == 0, F.raise_error(F.lit("empty sequence"))).otherwise(F.upper("seq"))
