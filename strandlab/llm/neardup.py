@@ -54,7 +54,7 @@ BITS = 256
 SLICE, SLICE_TEXTS = 50_000, 500  # five-grams and texts that are signed at once
 MEMO = 50_000
 MEETS = 64  # members of mixed buckets that a node may meet before it counts as crowded
-DENSE = 2048  # heads and rarest members of others that a crowded node may meet before it counts as dense
+DENSE = 512  # heads of others that the heads of a crowded node may meet before it counts as dense
 DENSE_MEETS = 64
 DENSE_M = 1024  # components of the signature of dense nodes
 DENSE_LEVELS = ((10, 146), (14, 428), (18, 1208), (22, 3735))  # components in a key, keys: 1e-6 are missed at similarity 0.8
@@ -247,17 +247,16 @@ def _crowd_pairs(crowd: DataFrame, threshold: float) -> list[DataFrame]:
     Of a linked pair one has a shared member within its first (1 - t) / (1 + t) * n + 1
     (a head). Heads of one component, size and position stand as one row in the
     join, so a family of copies meets its surroundings once, not copy by copy.
-    Nodes whose heads and members meet more than ``DENSE`` members and heads of
-    others are dense; pairs of two of them that ``_dense_pairs`` settles come from there.
+    Nodes whose heads meet more than ``DENSE`` heads of others are dense; pairs of two of them that ``_dense_pairs`` settles come from there.
     """
     k = (1 - threshold) / (1 + threshold)
     rarest = _rarest(crowd, threshold)
     rows = rarest.withColumn("head", F.col("pos") <= k * F.col("n") + 1 + 1e-6)
-    held = rows.groupBy("e", "comp").agg(F.count(F.lit(1)).alias("rows_own"), F.sum(F.col("head").cast("int")).alias("heads_own"))
-    every = held.groupBy("e").agg(F.sum("rows_own").alias("rows_all"), F.sum("heads_own").alias("heads_all"), F.count(F.lit(1)).alias("comps"))
+    held = rows.groupBy("e", "comp").agg(F.sum(F.col("head").cast("int")).alias("heads_own"))
+    every = held.groupBy("e").agg(F.sum("heads_own").alias("heads_all"), F.count(F.lit(1)).alias("comps"))
     every = staged(every.where("comps > 1 and heads_all > 0").drop("comps"), "keys")
-    meets = F.col("heads_all") - F.col("heads_own") + F.when(F.col("head"), F.col("rows_all") - F.col("rows_own")).otherwise(0)
-    cost = rows.join(every, "e").join(held, ["e", "comp"]).groupBy("node").agg(F.sum(meets).alias("meets"))
+    # Texts of one length must share a head of both: what a node's heads meet is what the join below would look at.
+    cost = rows.where("head").join(every, "e").join(held, ["e", "comp"]).groupBy("node").agg(F.sum(F.col("heads_all") - F.col("heads_own")).alias("meets"))
     dense = staged(cost.where(F.col("meets") > DENSE).select("node"), "dense")
     found, settled = _dense_pairs(staged(crowd.select("node", "comp", "n", "grams", "others").join(few_ids(dense), "node"), "dense_grams"), threshold)
     shared = rows.join(every.select("e"), "e", "left_semi").join(settled.withColumn("dense", F.lit(True)), "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
