@@ -54,7 +54,7 @@ BITS = 256
 SLICE, SLICE_TEXTS = 50_000, 500  # five-grams and texts that are signed at once
 MEMO = 50_000
 MEETS = 64  # members of mixed buckets that a node may meet before it counts as crowded
-DENSE = 512  # heads of others that the heads of a crowded node may meet before it counts as dense
+DENSE = 128  # heads of others that the heads of a crowded node may meet before it counts as dense
 DENSE_MEETS = 64
 DENSE_M = 1024  # components of the signature of dense nodes
 DENSE_LEVELS = ((10, 146), (14, 428), (18, 1208), (22, 3735))  # components in a key, keys: 1e-6 are missed at similarity 0.8
