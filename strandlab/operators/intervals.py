@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strandlab.operators.ranks import draw
 from strandlab.operators.scoring import Motif, Spatial, best_position, compute_local_pwm, extract_pwm
 from strandlab.operators.stats import quantiles
+from strandlab.sources.fasta import read_fasta
 
 COORDS = ["chrom", "start", "end"]
 TILE = 2**16
@@ -37,11 +38,8 @@ class Genome:
 
     @classmethod
     def fasta(cls, spark: SparkSession, path: str, size: int = TILE) -> Genome:
-        """A FASTA file or folder of them: the name is what stands between > and white space, bases are taken without line breaks."""
-        records = spark.read.text(path, lineSep=">").where(~F.col("value").rlike(r"^\s*$"))
-        name = F.regexp_extract("value", r"^\s*(\S+)", 1)
-        bases = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
-        return cls.of(records.select(name.alias("chrom"), bases.alias("seq")), size)
+        """A FASTA file, a folder or a glob of them, read by byte ranges (``sources.fasta``)."""
+        return cls(read_fasta(spark, path, size), size)
 
     def lengths(self) -> DataFrame:
         return self.tiles.groupBy("chrom").agg(F.sum(F.length("seq")).alias("length"))

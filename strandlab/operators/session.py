@@ -17,16 +17,21 @@ def set_parallel(spark: SparkSession, tasks: int | None = None) -> int:
     return tasks
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder ``spark.checkpoint.dir``: cuts lineage and survives lost executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where the setting is unset, a local session takes a temporary folder and a cluster gets an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="strandlab-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder: cuts lineage and survives lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandlab.operators import intervals as I
 from strandlab.operators import motifdb, sampling, similarity
 from strandlab.operators.scoring import extract_pwm
+from strandlab.operators.session import shared_dir
 from strandlab.plans.data import LABELLED_DNA, ORDER_DNA, counted_motifs, counted_sql, labelled_dna, order_dna, table
 from strandlab.plans.scoring_queries import ALL, energy_ctes, lse, motif, motifs
+from strandlab.sources import fasta
 from strandlab.sources import motifs as M
 
 QUERIES, SQL = {}, {}
@@ -115,6 +119,18 @@ def _(spark, d):
     return I.intervals_to_seq(intervals(spark, d), genome(spark, d), 40)
 
 
+_CONTIGS = f"{ORDER_DNA}, contigs AS (SELECT 'contig' || CAST(seq_id // 4000 AS VARCHAR) AS chrom, string_agg(seq, '' ORDER BY seq_id) AS seq FROM orders_dna GROUP BY 1)"
+
+
+@query("fasta_tiles", f"WITH {_CONTIGS} SELECT chrom, CAST(i AS BIGINT) AS at, substr(seq, CAST(i + 1 AS INTEGER), 1000) AS seq FROM (SELECT chrom, seq, unnest(range(0, length(seq), 1000)) AS i FROM contigs)")
+def _(spark, d):
+    """Contigs of the orders' DNA, written as FASTA and read by byte ranges in tiles of 1 000 bases."""
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    contig = F.concat(F.lit("contig"), F.floor(F.col("seq_id") / 4000).cast("string"))
+    fasta.write_fasta(order_dna(spark, d).select(contig.alias("chrom"), F.col("seq_id").alias("at"), "seq"), path)
+    return fasta.read_fasta(spark, path, tile=1000)
+
+
 @query("gextract_pwm", f"WITH {energy_ctes(_GENOME, 'ivs', ['EBOX', 'GATA'])}, e AS ({lse('seq_id, motif')}) SELECT chrom, start, \"end\", motif, pwm FROM e JOIN ivs USING (seq_id)")
 def _(spark, d):
     return I.extract_interval_pwm(intervals(spark, d), genome(spark, d), motifs("EBOX", "GATA"))

@@ -35,6 +35,7 @@ COLUMNS = {
     "calc_seq_pwm_unknown": "pwm",
     "compute_local_pwm": "pwm",
     "screen_pwm_r2": "score",
+    "screen_stream": "score",
     "screen_pwm_ks": "score",
     "ks_distance": "D",
     "screen_pwm_clusters": "D",

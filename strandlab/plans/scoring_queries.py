@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from strandlab.functions import pssm as P
+from strandlab.functions.sequence import dna_of_id
 from strandlab.operators import screening as R
 from strandlab.operators import scoring as E
 from strandlab.operators import stats
+from strandlab.operators.session import shared_dir
 from strandlab.plans.data import DOC_DNA, LABELLED_DNA, ORDER_DNA, counted_motifs, counted_sql, doc_dna, labelled_dna, order_dna
 from strandlab.sources import motifs as M
+from strandlab.streaming import screening
 
 QUERIES, SQL = {}, {}
 
@@ -151,6 +156,17 @@ def _(spark, d):
     return R.screen_pwm(order_dna(spark, d), "price", motifs("EBOX", "GATA", "SPEC"))
 
 
+@query("screen_stream", f"WITH {energy_ctes(ORDER_DNA, 'orders_dna', ['EBOX', 'GATA', 'SPEC'])}, e AS ({lse('seq_id, motif')}) SELECT motif, {_R2.format(y='price')} AS score, count(*) AS n FROM e JOIN orders_dna USING (seq_id) GROUP BY motif")
+def _(spark, d):
+    """The orders as a stream, screened batch by batch."""
+    source = f"{d}/orders.parquet"
+    orders = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/orders.parque[t]")  # a pattern may name a single file
+    stream = orders.select(F.col("o_orderkey").cast("bigint").alias("seq_id"), dna_of_id(F.col("o_orderkey")).alias("seq"), F.col("o_totalprice").cast("double").alias("price"))
+    path = f"{shared_dir(spark)}/screen-{uuid.uuid4().hex}"
+    screening.write_screen(screening.screen_stream(stream, "price", motifs("EBOX", "GATA", "SPEC")), path, f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(path)
+
+
 _RUN = """g AS (SELECT motif, {extra}pwm, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS c1, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS c0 FROM {source} GROUP BY ALL),
 r AS (SELECT motif, {extra}sum(c1) OVER v AS r1, sum(c0) OVER v AS r0, sum(c1) OVER u AS n1, sum(c0) OVER u AS n0 FROM g
       WINDOW v AS (PARTITION BY motif{part} ORDER BY pwm ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY motif{part}))"""
