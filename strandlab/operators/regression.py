@@ -26,6 +26,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,18 +179,98 @@ def seed_matrix(motif: str, length: int, prior: float) -> np.ndarray:
 # --- sums over sequences -------------------------------------------------------------
 
 
-def derivatives(codes: np.ndarray, nuc: np.ndarray, spat: np.ndarray, bins: np.ndarray, bidirect: bool, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+#: Letters of a word; words of unknown letters share the last number.
+WORD = 3
+UNKNOWN = 4**WORD
+#: The reverse complement of each word, and the letters of each word: words x (place, letter).
+_RC = np.array([sum((3 - v // 4**j % 4) * 4 ** (WORD - 1 - j) for j in range(WORD)) for v in range(UNKNOWN)] + [UNKNOWN], np.uint8)
+_PLACES = np.array([[v // 4 ** (WORD - 1 - j) % 4 == b for j in range(WORD) for b in range(4)] for v in range(UNKNOWN)] + [[False] * 4 * WORD], float)
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words that begin at each base, the sequences one after another: on both strands, alone and counted on by sequence."""
+
+    forward: np.ndarray
+    reverse: np.ndarray
+    forward_of: np.ndarray
+    reverse_of: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Words:
+        n, width = codes.shape
+        size = codes.size
+        flat = np.full(size + width + WORD, 4, np.uint8)
+        flat[:size] = codes.ravel()
+        many = size + width
+        words, bad = np.zeros(many, np.uint8), np.zeros(many, bool)
+        for j in range(WORD):
+            words <<= 2
+            words |= flat[j : j + many] & 3
+            bad |= flat[j : j + many] > 3
+        words[bad] = UNKNOWN
+        first = np.repeat(np.arange(n + 1) * (UNKNOWN + 1), width)
+        forward, reverse = words.astype(np.intp), _RC.take(words).astype(np.intp)
+        return cls(forward, reverse, forward + first, reverse + first)
+
+
+def derivatives(codes: np.ndarray, nuc: np.ndarray, spat: np.ndarray, bins: np.ndarray, bidirect: bool, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """D: sequences x positions x 4, S: sequences x bins. Windows with unknown letters count nothing.
 
-    ``letters``: ``indicators(codes)``, where several calls share them.
+    A window's product comes from tables of words; products are added up by the word
+    at each place of the window, and words by their letters. ``words``: of ``codes``,
+    where several calls share them.
     """
     n, width = codes.shape
     length = len(nuc)
     windows = width - length + 1
+    if windows < 1 or not n:
+        return np.zeros((n, length, 4)), np.zeros((n, len(spat)))
+    if length < WORD or not (nuc > 0).all():
+        return _plain_derivatives(codes, nuc, spat, bins, bidirect)
+    words = Words.of(codes) if words is None else words
+    onto = np.zeros((width, len(spat)))  # windows that reach into the next sequence count nothing
+    onto[np.arange(windows), bins[:windows]] = 1
+    weight = onto @ spat
+    # (first place, letters of the word that an earlier word has); the last word may overlap.
+    cuts = [(j, 0) for j in range(0, length - WORD + 1, WORD)]
+    if length % WORD:
+        cuts.append((length - WORD, WORD - length % WORD))
+    tables = [_table(nuc[j : j + WORD], old) for j, old in cuts]
+    size, held = n * width, (n + 1) * (UNKNOWN + 1)
+    d, s = np.empty((n, length * 4)), 0
+    sums: list = [0] * len(cuts)
+    for own, own_of, back in [(words.forward, words.forward_of, False), (words.reverse, words.reverse_of, True)][: 2 if bidirect else 1]:
+        at = [length - WORD - j if back else j for j, _ in cuts]
+        prod = tables[0].take(own[at[0] : at[0] + size])
+        for table, j in zip(tables[1:], at[1:]):
+            prod *= table.take(own[j : j + size])
+        by = prod.reshape(n, width)
+        s = s + by @ onto
+        by *= weight
+        for i, j in enumerate(at):
+            sums[i] = sums[i] + np.bincount(own_of[j : j + size], prod, held)
+    for (j, old), v in zip(cuts, sums):
+        d[:, (j + old) * 4 : (j + WORD) * 4] = v.reshape(n + 1, -1)[:n] @ _PLACES[:, old * 4 :]
+    d /= nuc.ravel()
+    return d.reshape(n, length, 4), s
+
+
+def _table(nuc: np.ndarray, old: int) -> np.ndarray:
+    """The probability of each word's letters from place ``old`` on; 0 for unknown ones."""
+    table = np.ones(1)
+    for j, row in enumerate(nuc):
+        table = np.outer(table, row if j >= old else np.ones(4)).ravel()
+    return np.append(table, 0.0)
+
+
+def _plain_derivatives(codes: np.ndarray, nuc: np.ndarray, spat: np.ndarray, bins: np.ndarray, bidirect: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The same, letter by letter: without each position's own factor, which may be zero."""
+    n, width = codes.shape
+    length = len(nuc)
+    windows = width - length + 1
     d, s = np.zeros((n, length, 4)), np.zeros((n, len(spat)))
-    if windows < 1:
-        return d, s
-    letters = indicators(codes) if letters is None else letters
+    letters = np.array([codes == b for b in range(4)], float)
     bins = bins[:windows]
     table = np.column_stack([nuc, np.zeros(length)])
     tables = [(table, list(range(length)), [0, 1, 2, 3])]
@@ -198,29 +279,19 @@ def derivatives(codes: np.ndarray, nuc: np.ndarray, spat: np.ndarray, bins: np.n
     onto = np.zeros((windows, len(spat)))
     onto[np.arange(windows), bins] = 1
     weight = spat[bins]
-    positive = bool((nuc > 0).all())
     for t, owner, base in tables:
         prod = t[0][codes[:, :windows]]
         for j in range(1, length):
             prod *= t[j][codes[:, j : j + windows]]
         s += prod @ onto
-        prod *= weight
         for j in range(length):
-            if positive:  # the products by letter, divided by the letter's probability below
-                share = prod
-            else:  # without the position's own factor, which may be zero
-                share = np.tile(weight, (n, 1))
-                for i in range(length):
-                    if i != j:
-                        share *= t[i][codes[:, i : i + windows]]
+            share = np.tile(weight, (n, 1))
+            for i in range(length):
+                if i != j:
+                    share *= t[i][codes[:, i : i + windows]]
             for b in range(4):
                 d[:, owner[j], base[b]] += np.einsum("nw,nw->n", share, letters[b][:, j : j + windows])
-    return (d / nuc if positive else d), s
-
-
-def indicators(codes: np.ndarray) -> np.ndarray:
-    """4 x sequences x positions: 1 where the letter stands."""
-    return np.array([codes == b for b in range(4)], float)
+    return d, s
 
 
 def bin_of(windows: int, bin_size: int, num_bins: int, fold: bool) -> np.ndarray:
@@ -257,20 +328,22 @@ class Request:
         return max(1, self.folds) * (1 + 2 * responses + own)
 
 
-def add_up(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, r: Request, parts: np.ndarray | None = None, letters: np.ndarray | None = None) -> np.ndarray:
+def add_up(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, r: Request, parts: np.ndarray | None = None, words: Words | None = None) -> np.ndarray:
     """A vector of sums for each fold, flattened; additive over sequences."""
     if r.part is not None:
         own = (parts >> r.part) & 1 == 1
-        codes, y, fold = codes[own], y[own], fold[own]
-        letters = letters[:, own] if letters is not None else None
-    d, s = derivatives(codes, r.nuc, r.spat, r.bins, r.bidirect, letters)
+        if not own.all():
+            codes, y, fold, words = codes[own], y[own], fold[own], None
+    d, s = derivatives(codes, r.nuc, r.spat, r.bins, r.bidirect, words)
     out = []
     for f in range(r.folds):
         at = fold == f if r.folds > 1 else slice(None)
         df, sf, yf = d[at], s[at], y[at]
         base = [np.array([len(yf)]), yf.sum(0), (yf * yf).sum(0)]
         if r.kind == "gram":
-            parts = [df.sum(0), np.einsum("nka,nkb->kab", df, df), np.einsum("nka,nr->kar", df, yf), sf.sum(0), sf.T @ sf, sf.T @ yf]
+            k = np.arange(len(r.nuc))
+            flat = df.reshape(len(df), 4 * len(k))
+            parts = [df.sum(0), (flat.T @ flat).reshape(len(k), 4, len(k), 4)[k, :, k], flat.T @ yf, sf.sum(0), sf.T @ sf, sf.T @ yf]
         else:
             e = []
             if r.pwm_candidates is not None:
@@ -308,8 +381,10 @@ class SparkSums:
         fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(1, folds))).cast("int")
         y = F.array(*(F.col(c).cast("double") for c in responses))
         mask = F.lit(-1).cast("bigint") if parts is None else parts
-        self.rows = df.select(F.upper("seq").alias("seq"), y.alias("y"), fold.alias("fold"), mask.alias("parts")).persist()
+        # Encoded once: a row holds a slice of sequences as bytes, which passes read without taking them apart.
+        self.rows = df.select("seq", y.alias("y"), fold.alias("fold"), mask.alias("parts")).mapInArrow(_encoded, "width int, codes binary, y binary, fold binary, parts binary").persist()
         self.responses = len(responses)
+        self.tasks = self.rows.rdd.getNumPartitions()
 
     def __call__(self, r: Request) -> np.ndarray:
         return self.many([r])[0]
@@ -333,15 +408,15 @@ class SparkSums:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for codes, y, fold, parts in matrices(batch):
-                    letters = indicators(codes)
-                    part = np.concatenate([add_up(codes, y, fold, r, parts, letters) for r in shared.value])
+                for codes, y, fold, parts in _slices(batch):
+                    words = Words.of(codes)
+                    part = np.concatenate([add_up(codes, y, fold, r, parts, words) for r in shared.value])
                     total = part if total is None else total + part
             if total is not None:
                 yield _vector(total)
 
         vectors = self.rows.mapInArrow(work, "v array<double>")
-        tasks = self.rows.rdd.getNumPartitions()
+        tasks = self.tasks
         fan = max(1, min(self.FAN, self.LARGEST // (8 * sum(sizes))))
         while tasks > fan:
             tasks = -(-tasks // max(2, fan))
@@ -369,20 +444,40 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _vector(total)
 
 
+#: Bases of a slice of sequences.
+SLICE = 65_536
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(codes.shape[1], codes.tobytes(), y.tobytes(), fold.tobytes(), parts.tobytes()) for codes, y, fold, parts in matrices(batch)]
+        if found:
+            columns = list(zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["width", "codes", "y", "fold", "parts"])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """What ``_encoded`` wrote."""
+    for width, codes, y, fold, parts in zip(*(batch.column(c) for c in ("width", "codes", "y", "fold", "parts"))):
+        fold = np.frombuffer(fold.as_buffer(), np.int32)
+        yield np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(fold), width.as_py()), np.frombuffer(y.as_buffer()).reshape(len(fold), -1), fold, np.frombuffer(parts.as_buffer(), np.int64)
+
+
 def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     """Sequences of one length together, in slices that keep the derivative arrays small."""
-    seqs = batch.column("seq").to_pylist()
-    y = np.array(batch.column("y").to_pylist(), float)
-    fold = np.asarray(batch.column("fold").to_pylist())
+    seqs = batch.column("seq").cast(pa.large_string())
+    y = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    fold = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int32)
     parts = batch.column("parts").to_numpy(zero_copy_only=False)
-    lengths = np.array([len(s) for s in seqs])
+    lengths = pc.utf8_length(seqs).to_numpy(zero_copy_only=False)
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        step = max(1, int(400_000 // max(1, n)))
+        step = max(1, int(SLICE // max(1, n)))
         for k in range(0, len(at), step):
             part = at[k : k + step]
-            codes = CODES[np.frombuffer("".join(seqs[i] for i in part).encode("latin-1", "replace"), np.uint8).reshape(len(part), n)]
-            yield codes, y[part], fold[part], parts[part]
+            text = "".join(seqs.take(pa.array(part)).to_pylist())
+            codes = CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8).reshape(len(part), n)]
+            yield codes, np.ascontiguousarray(y[part], float), fold[part], parts[part]
 
 
 class LocalSums:
@@ -555,16 +650,22 @@ def _candidate_scores(kind: str, parts: list, q: np.ndarray, spats: np.ndarray)
 
 
 def is_binary(df: DataFrame, responses: list[str]) -> bool:
-    return len(responses) == 1 and df.where(~F.col(responses[0]).isin(0, 1)).limit(1).count() == 0
+    return len(responses) == 1 and df.agg(F.count_if(~F.col(responses[0]).isin(0, 1))).first()[0] == 0
 
 
 def _length(df: DataFrame) -> int:
-    r = df.agg(F.min(F.length("seq")), F.max(F.length("seq"))).first()
+    return _length_and_kind(df, [])[0]
+
+
+def _length_and_kind(df: DataFrame, responses: list[str]) -> tuple[int, bool]:
+    """The sequences' one length, and whether the response is binary, by one pass."""
+    other = F.count_if(~F.col(responses[0]).isin(0, 1)) if len(responses) == 1 else F.lit(1)
+    r = df.agg(F.min(F.length("seq")), F.max(F.length("seq")), other).first()
     if r[0] is None:
         raise ValueError("no sequences")
     if r[0] != r[1]:
         raise ValueError("all sequences must have the same length")
-    return r[0]
+    return r[0], r[2] == 0
 
 
 def _consensus(df: DataFrame, model: MotifModel, o: Options) -> str | None:
@@ -665,9 +766,10 @@ def regress_together(df: DataFrame, parts: int, responses: list[str], o: Options
     Starts from the given k-mer or matrix or from k-mers screened on each part: every
     candidate is fitted on a training share, the best on the rest again on everything.
     """
-    length, binary = _length(df), is_binary(df, responses)
-    df = df.persist()
+    kept = df.is_cached  # by the caller
+    df = df if kept else df.persist()
     try:
+        length, binary = _length_and_kind(df, responses)
         starts: list[str | np.ndarray] = [motif] * parts
         cands: list[list[str]] = [[] for _ in range(parts)]
         if motif is None:
@@ -694,7 +796,8 @@ def regress_together(df: DataFrame, parts: int, responses: list[str], o: Options
             m.consensus = _consensus(df, m, o)
         return models
     finally:
-        df.unpersist()
+        if not kept:
+            df.unpersist()
 
 
 def _database(df: DataFrame, responses: list[str], model: MotifModel, motif_dataset: DataFrame | None, match_with_db: bool, screen_db: bool) -> MotifModel:
@@ -724,10 +827,14 @@ def regress_pwm(df: DataFrame, responses: str | list[str], motif: str | np.ndarr
     df = require_sequences(df)
     if motif is None and init_from_dataset and motif_dataset is not None:
         motif = _dataset_start(df, responses, motif_dataset)
-    rows = df.select("seq_id", "seq", *responses, F.lit(1).cast("bigint").alias("__parts"))
-    model = regress_together(rows, 1, responses, options, motif, multi_kmers)[0]
-    model = scored(df, model, responses, options, is_binary(df, responses))
-    return _database(df, responses, model, motif_dataset, match_with_db, screen_db)
+    # Persisted here, so that the score is of the same rows and doesn't make them again.
+    rows = df.select("seq_id", "seq", *responses, F.lit(1).cast("bigint").alias("__parts")).persist()
+    try:
+        model = regress_together(rows, 1, responses, options, motif, multi_kmers)[0]
+        model = scored(rows, model, responses, options, is_binary(rows, responses))
+        return _database(rows, responses, model, motif_dataset, match_with_db, screen_db)
+    finally:
+        rows.unpersist()
 
 
 def _library(dataset: DataFrame) -> list[Motif]:

@@ -40,6 +40,8 @@ LETTERS = ["A", "C", "G", "T"]
 BASES = 1 << 20
 #: Letters of a word in the tables of a library, motifs that share tables, bytes of a block of products.
 WORD, COLUMNS, PRODUCT = 4, 32, 1 << 20
+#: Bases whose windows are summed at once.
+FLAT = 1 << 16
 #: From so many motifs of one length on tables of words are the faster way.
 LIBRARY = 4
 
@@ -129,12 +131,42 @@ def log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def energies(codes: np.ndarray, motif: Motif, spat: Spatial, bidirect: bool, func: str) -> np.ndarray:
+    tables = (motif.forward, motif.reverse) if bidirect else (motif.forward,)
+    if func != "max" and min(t.min(axis=1).sum() for t in tables) > -600:
+        return _summed_energies(codes, tables, spat)
     scores = window_scores(codes, motif, spat, bidirect)
     if func == "max":
         return (np.logaddexp(*scores) if bidirect else scores[0]).max(axis=1)
     return log_sum(np.concatenate(scores, axis=1))
 
 
+def _summed_energies(codes: np.ndarray, tables: tuple[np.ndarray, ...], spat: Spatial) -> np.ndarray:
+    """Total energies by tables of words, for motifs that can't underflow; the sequences' bases stand one after another."""
+    n, width = codes.shape
+    length = len(tables[0])
+    weight = np.zeros(width)  # windows that reach into the next sequence count nothing
+    weight[: width - length + 1] = np.exp(spat.log_factors(width - length + 1))
+    cuts = [(j, min(j + WORD, length)) for j in range(0, length, WORD)]
+    words = [[_word_table([t[a:b]]).ravel() for a, b in cuts] for t in tables]
+    out = np.empty(n)
+    step = max(1, FLAT // width)
+    for k in range(0, n, step):
+        part = codes[k : k + step]
+        flat = np.zeros(part.size + length, np.uint8)
+        flat[: part.size] = part.ravel()
+        at = {q: _words(flat[None], q)[0] for q in {b - a for a, b in cuts}}
+        total = 0
+        for table in words:
+            prod = None
+            for (a, b), word in zip(cuts, table):
+                own = word.take(at[b - a][a : a + part.size])
+                prod = own if prod is None else np.multiply(prod, own, out=prod)
+            total = total + prod.reshape(-1, width) @ weight
+        with np.errstate(divide="ignore"):
+            out[k : k + step] = np.log(total)
+    return out
+
+
 def library_energies(codes: np.ndarray, motifs: list[Motif], spats: list[Spatial], bidirect: bool, func: str) -> np.ndarray:
     """Sequences x motifs, for motifs of one length that fits.
 
@@ -199,7 +231,8 @@ def _word_table(logs: list[np.ndarray]) -> np.ndarray:
 
 def by_length(seqs: pd.Series, shortest: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, codes) for each length in the batch."""
-    lengths = seqs.map(lambda s: -1 if s is None else len(s)).to_numpy()
+    texts = seqs.to_numpy(object)
+    lengths = np.fromiter((-1 if s is None else len(s) for s in texts), np.int64, len(texts))
     for n in np.unique(lengths):
         if n >= shortest:
             at = np.flatnonzero(lengths == n)
@@ -207,7 +240,7 @@ def by_length(seqs: pd.Series, shortest: int = 1) -> Iterator[tuple[np.ndarray,
             step = max(1, int(4_000_000 // n))
             for k in range(0, len(at), step):
                 part = at[k : k + step]
-                yield part, encode([seqs.iat[i] for i in part])
+                yield part, encode(texts[part].tolist())
 
 
 def cropped(seq: Column, spat_min: int | None, spat_max: int | None) -> Column:
@@ -223,13 +256,14 @@ def scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spatia
         raise ValueError("func should be either max or logSumExp")
     shared = df.sparkSession.sparkContext.broadcast((motifs, spat if isinstance(spat, dict) else {m.name: spat for m in motifs}))
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, spats = shared.value
         groups: dict[int, list[int]] = {}
         for k, m in enumerate(own):
             groups.setdefault(len(m), []).append(k)
-        for seqs in batches:
+        for batch in batches:
+            seqs = pd.Series(batch.to_pylist(), dtype=object)
             out = np.full((len(seqs), len(own)), np.nan)
             for at, codes in by_length(seqs):
                 if unknown == "null":
@@ -244,9 +278,9 @@ def scorer(df: DataFrame, motifs: list[Motif], spat: dict[str, Spatial] | Spatia
                     for k in members:
                         out[at, k] = energies(codes, own[k], spats.get(own[k].name, Spatial()), bidirect, func)
             out[np.isneginf(out)] = np.nan
-            yield pd.Series(list(out))
+            yield _lists(out.ravel(), np.full(len(out), len(own)), pa.float64(), np.zeros(len(out), bool))
 
-    return lambda seq: F.transform(score(seq), lambda v: F.when(~F.isnan(v), v))
+    return score
 
 
 def compute_pwm(df: DataFrame, motif: Motif, spat: Spatial = Spatial(), spat_min: int | None = 1, spat_max: int | None = None, bidirect: bool = True, func: str = "logSumExp", out_col: str = "pwm") -> DataFrame:
