@@ -7,6 +7,7 @@ shuffle and a screen shuffles once, on the k-mer.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -132,8 +133,8 @@ def _counted(seq: str, k: int, first: int, forms: list[list[int]]) -> tuple[np.n
 
 def kmer_matrix(df: DataFrame, kmer_length: int, kmers: list[str], **options) -> DataFrame:
     """Wide counts for a stated list of k-mers, zeros included."""
-    counts = kmer_counts(df, kmer_length, **options)
-    wide = counts.groupBy("seq_id").agg(*(F.sum(F.when(F.col("kmer") == k, F.col("n"))).alias(k) for k in kmers))
+    counted = kmer_counts(df, kmer_length, **options)
+    wide = counted.where(F.col("kmer").isin(kmers)).groupBy("seq_id").agg(*(F.sum(F.when(F.col("kmer") == k, F.col("n"))).alias(k) for k in kmers))
     return df.select("seq_id").join(wide, "seq_id", "left").fillna(0, kmers)
 
 
@@ -151,6 +152,115 @@ def screen_patterns(seq: Column, kmer_length: int, min_gap: int, max_gap: int, f
     return F.concat(*groups) if len(groups) > 1 else groups[0]
 
 
+#: Bases whose patterns are counted at once; patterns that a task's table holds, or as many sums in the order met.
+SLICE, HELD = 1 << 15, 1 << 20
+#: Codes of letters: A, C, G, T, then N; others have none.
+_LETTER = np.full(128, 9, np.uint8)
+_LETTER[[ord(c) for c in "ACGTN"]] = range(5)
+
+
+def _pattern_sums(k: int, min_gap: int, max_gap: int, first: int, to_range: int | None, responses: int):
+    """A kernel from (seq, y) to partial sums of each pattern: of n, n * n, then n * y and n where y is known, for each y.
+
+    n is a row's count of the pattern, at most ``MOST_COUNTED``; the patterns are those
+    of ``screen_patterns`` without N. A task adds up the sums of its rows, so a pattern
+    leaves it about once. Patterns of A, C, G and T are numbers, others strings.
+    """
+    forms = [(g, k1) for g in range(min_gap, max_gap + 1) for k1 in (range(2, k - 1) if g else (k,))]
+    space = len(forms) * 4**k
+    columns = 2 + 2 * responses
+
+    def starts(width: int) -> int:
+        return min(width, width if to_range is None else to_range) - k - max_gap + 1 - first
+
+    def places(g: int, k1: int) -> list[int]:
+        return [j if j < k1 else j + g for j in range(k)]
+
+    def weighted(n: np.ndarray, y: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
+        return [n, n * n, *(v for i in range(responses) for v in (n * y[:, i], n * known[:, i]))]
+
+    def counted(codes: np.ndarray, y: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(patterns, in order, and their sums) of sequences of one length."""
+        n, many = len(codes), starts(codes.shape[1])
+        cells = []
+        for f, (g, k1) in enumerate(forms if many > 0 else []):
+            word, bad = np.full((n, many), f, np.int64), np.zeros((n, many), bool)
+            for j in places(g, k1):
+                c = codes[:, first + j : first + j + many]
+                word <<= 2
+                word |= c & 3
+                bad |= c > 3
+            word *= n
+            word += np.arange(n)[:, None]
+            cells.append(word[~bad])
+        cells, n_of = np.unique(np.concatenate([np.zeros(0, np.int64), *cells]), return_counts=True)
+        word, row = np.divmod(cells, n)
+        begin = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+        c = np.minimum(n_of, MOST_COUNTED).astype(float)
+        sums = [np.add.reduceat(v, begin) if len(begin) else v for v in weighted(c, y[row], known[row])]
+        return word[begin], np.stack(sums, axis=1)
+
+    def spelt(texts: list[str], y: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
+        """The same for any letters and lengths."""
+        out: dict[str, np.ndarray] = {}
+        for i, t in enumerate(texts):
+            n_of = Counter(t[s : s + k1] + "*" * g + t[s + k1 + g : s + k + g] for g, k1 in forms for s in range(first, first + max(0, starts(len(t)))))
+            for p, n in n_of.items():
+                if "N" not in p:
+                    own = np.array(weighted(np.array([float(min(n, MOST_COUNTED))]), y[i : i + 1], known[i : i + 1]))[:, 0]
+                    out[p] = out[p] + own if p in out else own
+        return out
+
+    def names(words: np.ndarray) -> list[str]:
+        letters = np.empty((len(words), k), np.uint32)
+        for j in range(k):
+            letters[:, j] = np.frombuffer(b"ACGT", np.uint8)[words >> 2 * (k - 1 - j) & 3]
+        out = np.empty(len(words), object)
+        for f, (g, k1) in enumerate(forms):
+            at = words >> 2 * k == f
+            full = np.full((int(at.sum()), k + g), ord("*"), np.uint32)
+            full[:, places(g, k1)] = letters[at]
+            out[at] = full.view(f"U{k + g}").ravel().tolist()
+        return out.tolist()
+
+    def batch_of(kmers: list[str], sums: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kmers) + 1, dtype=np.int32) * columns), pa.array(np.ascontiguousarray(sums, float).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(kmers, pa.string()), lists], names=["kmer", "sums"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((space, columns)) if space <= HELD else None
+        for batch in batches:
+            flat = batch.column("y").flatten()
+            known = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(batch.num_rows, responses)
+            y = np.where(known, flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, responses), 0.0)
+            texts = np.array(batch.column("seq").to_pylist(), object)
+            lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+            for length in np.unique(lengths):
+                at = np.flatnonzero(lengths == length)
+                step = max(1, SLICE // max(1, int(length)))
+                for s in range(0, len(at), step):
+                    part = at[s : s + step]
+                    own = texts[part].tolist()
+                    text = "".join(own)
+                    codes = _LETTER[np.frombuffer(text.encode(), np.uint8)].reshape(len(part), length) if text.isascii() else None
+                    if codes is None or (codes > 4).any() or space * len(part) >= 2**62:
+                        found = spelt(own, y[part], known[part])
+                        if found:
+                            yield batch_of(list(found), np.array(list(found.values())))
+                        continue
+                    words, sums = counted(codes, y[part], known[part])
+                    if table is not None:
+                        table[words] += sums
+                    elif len(words):
+                        yield batch_of(names(words), sums)
+        if table is not None:
+            words = np.flatnonzero(table[:, 0])
+            for s in range(0, len(words), 1 << 16):
+                yield batch_of(names(words[s : s + (1 << 16)]), table[words[s : s + (1 << 16)]])
+
+    return work
+
+
 def screen_kmers(df: DataFrame, responses: list[str], kmer_length: int = 6, min_cor: float = 0.08, min_gap: int = 0, max_gap: int = 0, from_range: int = 0, to_range: int | None = None, train_col: str | None = None) -> DataFrame:
     """kmer, max_r2, avg_n, avg_var and the correlation with each response, best first.
 
@@ -164,13 +274,10 @@ def screen_kmers(df: DataFrame, responses: list[str], kmer_length: int = 6, min_
         df = df.where(F.col(train_col))
     y = [F.col(r).cast("double") for r in responses]
     total = df.agg(F.count(F.lit(1)).cast("double").alias("n_all"), *(F.avg(c).alias(f"ey_{i}") for i, c in enumerate(y)), *(F.avg(c * c).alias(f"ey2_{i}") for i, c in enumerate(y)))
-    seq = F.upper("seq")
-    end = F.length("seq") if to_range is None else F.least(F.length("seq"), F.lit(to_range))
-    patterns = F.filter(screen_patterns(seq, kmer_length, min_gap, max_gap, F.lit(from_range), end), lambda p: ~p.contains("N"))
-    rows = df.select(F.sort_array(patterns).alias("p"), *(c.alias(f"y_{i}") for i, c in enumerate(y)))
-    rows = rows.select(*(f"y_{i}" for i in range(len(y))), F.inline(_run_lengths(F.col("p"))))
-    n = F.least(F.col("n"), F.lit(MOST_COUNTED)).cast("double")
-    sums = rows.groupBy("kmer").agg(F.sum(n).alias("sn"), F.sum(n * n).alias("sn2"), *(F.sum(n * F.col(f"y_{i}")).alias(f"sny_{i}") for i in range(len(y))))
+    rows = df.select(F.upper("seq").alias("seq"), F.array(*y).alias("y"))
+    sums = rows.mapInArrow(_pattern_sums(kmer_length, min_gap, max_gap, from_range, to_range, len(y)), "kmer string, sums array<double>")
+    of = lambda i: F.sum(F.col("sums")[i])
+    sums = sums.groupBy("kmer").agg(of(0).alias("sn"), of(1).alias("sn2"), *(F.when(of(3 + 2 * i) > 0, of(2 + 2 * i)).alias(f"sny_{i}") for i in range(len(y))))
     # ``total`` is one row.
     stats = sums.crossJoin(F.broadcast(total)).withColumn("avg_n", F.col("sn") / F.col("n_all")).withColumn("avg_var", F.col("sn2") / F.col("n_all") - F.col("avg_n") * F.col("avg_n"))
     for i, name in enumerate(responses):
@@ -277,12 +384,37 @@ def nucleotide_distribution(df: DataFrame, n: int = 2, size: int | None = None)
     """
     words = ["".join(p) for p in product("ACGT", repeat=n)]
     length = F.length("seq")
+    shortest, longest = df.agg(F.min(length), F.max(length)).first()
     if size is None:
-        size = df.agg(F.max(length)).first()[0] or 0
-    if df.where(length < size).limit(1).count():
+        size = longest or 0
+    if shortest is not None and shortest < size:
         raise ValueError("a sequence is shorter than the size")
     spine = df.sparkSession.range(1, size + 1).select(F.col("id").cast("int").alias("pos"))
-    seq = F.upper("seq")
-    at = df.select(F.posexplode(_windows(seq, n, F.lit(1), F.lit(size - n + 1))).alias("i", "w"))
-    shares = at.groupBy((F.col("i") + 1).alias("pos")).agg(*((F.count(F.when(F.col("w") == w, 1)) / F.count(F.lit(1))).alias(w) for w in words))
+    starts = size - n + 1
+    if starts < 1:
+        return spine.select("pos", *(F.lit(None).cast("double").alias(w) for w in words)).orderBy("pos")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = np.zeros((starts, 4**n), np.int64), 0
+        for batch in batches:
+            texts = [t for t in batch.column("seq").to_pylist() if t is not None]
+            rows += len(texts)
+            step = max(1, SLICE // size)
+            for s in range(0, len(texts), step):
+                part = texts[s : s + step]
+                codes = _LETTER[np.minimum(np.frombuffer("".join(t[:size] for t in part).encode("latin-1", "replace"), np.uint8), 127)].reshape(len(part), size)
+                word, bad = np.zeros((len(part), starts), np.int64), np.zeros((len(part), starts), bool)
+                for j in range(n):
+                    c = codes[:, j : j + starts]
+                    word <<= 2
+                    word |= c & 3
+                    bad |= c > 3
+                word += np.arange(starts) * 4**n
+                held += np.bincount(word[~bad], minlength=held.size).reshape(held.shape)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, starts + 1), pa.int32()), pa.array(np.full(starts, rows)), *(pa.array(np.ascontiguousarray(c)) for c in held.T)], names=["pos", "rows", *words])
+
+    # A row of counts for each position leaves a task.
+    at = df.select(F.upper("seq").alias("seq")).mapInArrow(count, ", ".join(["pos int", "rows bigint", *(f"{w} bigint" for w in words)]))
+    shares = at.groupBy("pos").agg(*((F.sum(w) / F.sum("rows")).alias(w) for w in words))
     return spine.join(F.broadcast(shares), "pos", "left").select("pos", *words).orderBy("pos")
