@@ -132,10 +132,34 @@ def _counted(seq: str, k: int, first: int, forms: list[list[int]]) -> tuple[np.n
 
 
 def kmer_matrix(df: DataFrame, kmer_length: int, kmers: list[str], **options) -> DataFrame:
-    """Wide counts for a stated list of k-mers, zeros included."""
-    counted = kmer_counts(df, kmer_length, **options)
-    wide = counted.where(F.col("kmer").isin(kmers)).groupBy("seq_id").agg(*(F.sum(F.when(F.col("kmer") == k, F.col("n"))).alias(k) for k in kmers))
-    return df.select("seq_id").join(wide, "seq_id", "left").fillna(0, kmers)
+    """Wide counts for a stated list of k-mers, zeros included; rows of one ``seq_id`` have the sums of all of them.
+
+    Plain k-mers are counted in the row, so what is shuffled is a row for each sequence.
+    """
+    if options:
+        counts = kmer_counts(df, kmer_length, **options).where(F.col("kmer").isin(kmers))
+        wide = counts.groupBy("seq_id").agg(*(F.sum(F.when(F.col("kmer") == k, F.col("n"))).alias(k) for k in kmers))
+        return df.select("seq_id").join(wide, "seq_id", "left").fillna(0, kmers)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").upper() for t in batch.column("seq").to_pylist()]
+            # Sequences one after another with a break between them: windows across it match nothing.
+            text = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le"), np.uint32)
+            row = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+            columns = []
+            for k in kmers:
+                hit = np.ones(max(0, len(text) - kmer_length + 1) if len(k) == kmer_length else 0, bool)
+                for j, c in enumerate(k if len(hit) else ""):
+                    hit &= text[j : j + len(hit)] == ord(c)
+                columns.append(pa.array(np.bincount(row[: len(hit)][hit], minlength=len(texts))))
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), *columns], names=["seq_id", *kmers])
+
+    quoted = [f"`{k}`" for k in kmers]
+    counted = df.select("seq_id", "seq").mapInArrow(count, ", ".join([f"seq_id {dict(df.dtypes)['seq_id']}", *(f"{k} bigint" for k in quoted)]))
+    total = lambda k: F.when(F.col("seq_id").isNull(), F.lit(0)).otherwise(F.sum(k))
+    wide = counted.groupBy("seq_id").agg(F.count(F.lit(1)).cast("int").alias("__rows"), *(total(q).cast("bigint").alias(k) for k, q in zip(kmers, quoted)))
+    return wide.select("seq_id", *quoted, F.explode(F.array_repeat(F.lit(0), F.col("__rows"))).alias("__row")).drop("__row")
 
 
 def screen_patterns(seq: Column, kmer_length: int, min_gap: int, max_gap: int, from_range: Column, to_range: Column) -> Column:

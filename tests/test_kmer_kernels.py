@@ -49,3 +49,13 @@ def test_distribution_counts_by_position(spark):
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
     rows = {r.pos: r for r in out.collect()}
     assert rows[1].AC == pytest.approx(2 / 3) and rows[2].CG == pytest.approx(2 / 3) and rows[4].TA == pytest.approx(2 / 3) and rows[5].AA is None
+
+
+def test_matrix_counts_in_the_row(spark):
+    df = spark.createDataFrame([(1, "AAAAC"), (2, "acgÄAA"), (2, "AA"), (3, None), (4, ""), (None, "AAAA"), (5, "A")], "seq_id bigint, seq string")
+    out = K.kmer_matrix(df, 2, ["AA", "CG", "AAA"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    key = lambda r: (r[0] is None, r)
+    got = sorted((tuple(r) for r in out.collect()), key=key)
+    assert got == sorted([(1, 3, 0, 0), (2, 2, 1, 0), (2, 2, 1, 0), (3, 0, 0, 0), (4, 0, 0, 0), (None, 0, 0, 0), (5, 0, 0, 0)], key=key)
