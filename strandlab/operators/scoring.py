@@ -40,6 +40,8 @@ LETTERS = ["A", "C", "G", "T"]
 BASES = 1 << 20
 #: Letters of a word in the tables of a library, motifs that share tables, bytes of a block of products.
 WORD, COLUMNS, PRODUCT = 4, 32, 1 << 20
+#: Letters of a word in the tables of the native form (5 to that power places).
+NATIVE = 6
 #: Bases whose windows are summed at once.
 FLAT = 1 << 16
 #: From so many motifs of one length on tables of words are the faster way.
@@ -447,18 +449,81 @@ def mask_sequences(df: DataFrame, motif: Motif, mask_thresh: float, informative:
 
 
 def native_energy(seq: Column, motif: Motif, bidirect: bool = True) -> Column:
-    """The same total energy from higher-order functions alone, for places without Python workers.
+    """The same total energy from Spark's own functions alone, for places without Python workers.
 
-    For sequences of A, C, G, T; slower than the vectorised kernel.
+    Letters become the digits 0 to 4; the numbers, to the base 5, of the words of
+    ``NATIVE`` letters that begin at each position are found by joining neighbours and
+    are the places in tables of probabilities. A window's probability is the product
+    of a few places. Motifs that may underflow are summed by logs, letter by letter.
     """
     length = len(motif)
-    letters = F.filter(F.split(F.upper(seq), ""), lambda c: c != "")
-    code = F.transform(letters, lambda c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LETTERS)), c), F.lit(0)), F.lit(5)).cast("int"))
     tables = [motif.forward, motif.reverse] if bidirect else [motif.forward]
+    # Each unknown letter is one digit, so that positions stay.
+    digits = F.translate(F.regexp_replace(F.upper(seq), "[^ACGT]", "N"), "ACGTN", "01234")
+    codes = F.split(digits, "").cast("array<int>")
+    if min(t.min(axis=1).sum() for t in tables) <= -600:
+        return F.when(F.length(seq) >= length, _energy_by_logs(codes, tables))
+    size = min(NATIVE, length)
+    # The last word begins earlier where it would be short; letters counted before count nothing in it.
+    starts = [*range(0, length - size, size), length - size]
+    seen = [0, *(a + size - b for a, b in zip(starts, starts[1:]))]
+    if len(starts) == 1:
+        places = [[_place(sum(_probabilities(t, 0, size, 0) for t in tables))]]
+    else:
+        places = [[_place(_probabilities(t, at, size, n)) for at, n in zip(starts, seen)] for t in tables]
+
+    def lengthened(more: int):
+        """A function from the words to those with ``more`` letters of the word ``more`` places on."""
+
+        def step(words: Column) -> Column:
+            count = F.size(words) - F.lit(more)
+            return F.zip_with(F.slice(words, F.lit(1), count), F.slice(words, F.lit(more + 1), count), lambda a, b: a * (5**more) + b % (5**more))
+
+        return step
+
+    def product(table: list[Column], at: list[Column]) -> Column:
+        out = F.get(table[0], at[0])
+        for column, word in zip(table[1:], at[1:]):
+            out = out * F.get(column, word)
+        return out
+
+    def scored(words: Column) -> Column:
+        if len(starts) == 1:
+            return F.ln(F.aggregate(words, F.lit(0.0), lambda total, word: total + F.get(places[0][0], word)))
+
+        def add(total: Column, i: Column) -> Column:
+            for table in places:
+                total = total + product(table, [F.get(words, i + s) for s in starts])
+            return total
+
+        return F.ln(F.aggregate(F.sequence(F.lit(0), F.size(words) - F.lit(starts[-1] + 1)), F.lit(0.0), add))
+
+    # Inside an array of one each step is computed once, not for each window.
+    steps, span = F.array(codes), 1
+    while span < size:
+        more = min(span, size - span)
+        steps = F.transform(steps, lengthened(more))
+        span += more
+    return F.when(F.length(seq) >= length, F.transform(steps, scored)[0])
+
+
+def _probabilities(logs: np.ndarray, at: int, size: int, seen: int) -> np.ndarray:
+    """The probability of each word of ``size`` letters at ``at``; its first ``seen`` letters count nothing."""
+    rows = logs[at : at + size].copy()
+    rows[:seen] = 0
+    return _word_table([rows]).ravel()
+
+
+def _place(values: np.ndarray) -> Column:
+    """An array literal: Spark folds the cast of one string once, where many literals would each be a call."""
+    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+
+
+def _energy_by_logs(codes: Column, tables: list[np.ndarray]) -> Column:
     columns = [[F.array(*(F.lit(float(v)) for v in row)) for row in t] for t in tables]
 
     def windows(codes: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(codes) - length)
+        starts = F.sequence(F.lit(0), F.size(codes) - len(tables[0]))
         per = [F.transform(starts, _window_score(codes, t)) for t in columns]
         return F.concat(*per) if len(per) > 1 else per[0]
 
@@ -466,13 +531,12 @@ def native_energy(seq: Column, motif: Motif, bidirect: bool = True) -> Column:
         # Inside an array of one the largest is found once, not for each score.
         return F.transform(F.array(F.array_max(scores)), lambda top: F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top), lambda a: F.ln(a) + top))[0]
 
-    scored = F.transform(F.transform(F.array(code), windows), reduced)[0]
-    return F.when(F.length(seq) >= length, scored)
+    return F.transform(F.transform(F.array(codes), windows), reduced)[0]
 
 
 def _window_score(codes: Column, table: list[Column]):
     def score(i: Column) -> Column:
-        terms = [F.element_at(row, F.get(codes, i + j)) for j, row in enumerate(table)]
+        terms = [F.get(row, F.get(codes, i + j)) for j, row in enumerate(table)]
         total = terms[0]
         for t in terms[1:]:
             total = total + t
