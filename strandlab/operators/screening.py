@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlab.operators.scoring import Motif, extract_pwm
 from strandlab.operators.ranks import running
+from strandlab.operators.session import checkpointed
 from strandlab.operators.stats import cells, ks_distance, r_squared
 
 
@@ -40,7 +41,7 @@ def screen_pwm_clusters(df: DataFrame, cluster: str, motifs: list[Motif], min_D:
     cluster belongs to the rest of every other.
     """
     scores = extract_pwm(df, motifs, id_cols=["seq_id", cluster], **options).where(F.col("pwm").isNotNull())
-    counts = scores.groupBy("motif", "pwm", F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("c1"))
+    counts = checkpointed(scores.groupBy("motif", "pwm", F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("c1")))  # read four times, scored once
     totals = counts.groupBy("motif", "pwm").agg(F.sum("c1").alias("all"))
     totals = running(totals, ["motif"], "pwm", cells("pwm"), {"all": ("run_all", "n_all")})
     steps = running(counts, ["motif", "cluster"], "pwm", cells("pwm"), {"c1": ("r1", "n1")}).join(totals, ["motif", "pwm"])
