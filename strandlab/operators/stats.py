@@ -41,6 +41,7 @@ def ks_distance(df: DataFrame, value: str, label: str, by: list[str], alternativ
     if alternative not in ALTERNATIVES:
         raise ValueError("alternative must be two.sided, less or greater")
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("c1"), F.sum((F.col(label) == 0).cast("bigint")).alias("c0"))
+    counts = checkpointed(counts)  # read twice; what gives the values is computed once
     steps = running(counts, by, value, cells(value, cell), {"c1": ("r1", "n1"), "c0": ("r0", "n0")})
     gap = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("r1") / F.nullif("n1", F.lit(0)) - F.col("r0") / F.nullif("n0", F.lit(0)))
     signed = {"two.sided": F.abs(gap), "greater": gap, "less": -gap}[alternative]
@@ -49,6 +50,7 @@ def ks_distance(df: DataFrame, value: str, label: str, by: list[str], alternativ
 
 def percent_ranks(df: DataFrame, value: str, by: list[str], out_col: str = "q", cell: float = CELL) -> DataFrame:
     """``df`` (without null values) with the share of its group's other rows that are smaller: rank - 1 over rows - 1."""
+    df = checkpointed(df)  # read three times; what gives the values is computed once
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     steps = running(counts, by, value, cells(value, cell), {"__c": ("__up", "__n")})
     share = F.when(F.col("__n") > 1, (F.col("__up") - F.col("__c")) / F.nullif(F.col("__n") - 1, F.lit(0))).otherwise(F.lit(0.0))
