@@ -1,36 +1,40 @@
-"""Main text of web pages: landmarks first, nearest-URL page differencing where there are none.
+"""Main text of web pages by nearest-URL page differencing, held against the page's own landmarks.
 
 Every page is cut into blocks. A block inside menus, headers, footers, sidebars,
 notices, adverts, forms or comments (elements, roles, class and id words) is
-dropped. Where a page marks its article (``article``, else ``main``, else a content
-class), the blocks inside it are the text.
+dropped. What is left of every page is differenced: within each host, pages are
+ordered by URL path and each is paired with the neighbour that shares the longer
+beginning of the path; the lines of both are aligned by longest common subsequence
+and the shared lines deleted. Pages that agree almost wholly are copies, not
+templates, and lose no line.
 
-Pages without such a mark are differenced: within each host, pages are ordered by
-URL path and each is paired with the neighbour that shares the longer beginning
-of the path; the lines of both are aligned by longest common subsequence and the
-shared lines deleted. Pages that agree almost wholly are copies, not templates,
-and are left whole.
+A page that marks its article (``article``, else ``main``, else a content class) is
+then checked: lines of the article that its neighbour shares are restored and the
+page's own lines outside it dropped. Which mark holds the article is told by the
+lines that differencing leaves. Without a mark, what differencing leaves is the text.
 
 Differencing alone can't give the contract's result: menus that differ from page
 to page survive it and sentences that two articles share are lost (figures in the
-README). It therefore decides only where the page itself doesn't.
+README).
 
-Hosts are cut into ranges of about ``SHARD`` pages in order of host and path, and
-every range sees the last page before it and the first after it, so the neighbour
-is the true one and no task holds a host.
+Pages travel as hashes of their lines. Hosts are cut into ranges of about ``SHARD``
+pages in order of host and path, and every range sees the last page before it and
+the first after it, so the neighbour is the true one and no task holds a host.
 
 Edge cases: null html gives empty text; a null or unparsable url belongs to the
-host ''; ties of path go by page_id, html; repeated rows are each other's
-neighbours and count as copies; other columns are ignored; unclosed elements end
-where their container ends, cut-off tags are dropped.
+host ''; ties of path go by page_id, then by a hash of the lines; repeated rows are
+each other's neighbours and count as copies; other columns are ignored; unclosed
+elements end where their container ends, cut-off tags are dropped.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from strandlab.llm._common import staged, table
 
-SHARD = 1000
+SHARD = 5000
 COPY = 0.9
 
 _token = re.compile(
@@ -125,13 +129,33 @@ def blocks(html: str | None) -> tuple[int, list[str]]:
     stand inside forms or containers whose class says boilerplate ("no-sidebar"), or
     all are cards, these count.
     """
+    found, alone = page_lines(html)
+    top = article_level(found, alone)
+    return top, [t for level, t in found if level == top]
+
+
+def page_lines(html: str | None) -> tuple[list[tuple[int, str]], bool]:
+    """All lines that are no boilerplate, with the landmark level of each, and whether the page has just one article."""
     source = _without_unclosed(html or "")
-    found = _parsed(source, False)
-    if found[0] < 2 and _landmark.search(source):
+    found, alone = _parsed(source, False)
+    if max((level for level, _ in found), default=0) < 2 and _landmark.search(source):
         inside = _parsed(source, True)
-        if inside[0] >= 2:
+        if max((level for level, _ in inside[0]), default=0) >= 2:
             return inside
-    return found
+    return found, alone
+
+
+def article_level(found: Sequence[tuple[int, str]], alone: bool, own: Sequence[bool] | None = None) -> int:
+    """The level that holds the article; its text is measured by the lines that are ``own`` to the page, where there are any."""
+    top = max((level for level, _ in found), default=0)
+    if top == 3 and alone:
+        return top
+    counted = own if own is not None and any(own) else [True] * len(found)
+    held = [sum(len(t) for (level, t), c in zip(found, counted) if c and level == n) for n in range(4)]
+    for level in range(top - 1, 0, -1):
+        if held[level] > held[top]:
+            top = level
+    return top
 
 
 _landmark = re.compile(r"<article\b|<main\b|role\s*=\s*[\"']?main", re.I)
@@ -148,7 +172,7 @@ def _without_unclosed(source: str) -> str:
     return source
 
 
-def _parsed(source: str, wrappers: bool) -> tuple[int, list[str]]:
+def _parsed(source: str, wrappers: bool) -> tuple[list[tuple[int, str]], bool]:
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]
     pieces: list[str] = []
@@ -237,12 +261,7 @@ def _parsed(source: str, wrappers: bool) -> tuple[int, list[str]]:
     if tail and not stack[-1][1]:
         pieces.append(_html.unescape(tail))
     flush()
-    held = [sum(len(t) for level, t in found if level == n) for n in range(4)]
-    top = max((level for level, _ in found), default=0)
-    for level in range(top - 1, 0, -1) if not (top == 3 and articles == 1) else ():
-        if held[level] > held[top]:
-            top = level
-    return top, [t for level, t in found if level == top]
+    return found, articles == 1
 
 
 def _close_inline(stack: list, open_tags: Counter, tag: str) -> None:
@@ -257,7 +276,7 @@ def _close_inline(stack: list, open_tags: Counter, tag: str) -> None:
             return
 
 
-def common_subsequence(a: list[str], b: list[str]) -> list[int]:
+def common_subsequence(a: list, b: list) -> list[int]:
     """Positions in ``a`` of a longest common subsequence.
 
     Equal ends are taken first. Between them a row of the table is one whole number
@@ -270,7 +289,7 @@ def common_subsequence(a: list[str], b: list[str]) -> list[int]:
     while high < most - low and a[-1 - high] == b[-1 - high]:
         high += 1
     inner, other = a[low : len(a) - high], b[low : len(b) - high]
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, line in enumerate(other):
         where[line] = where.get(line, 0) | 1 << j
     full = (1 << len(other)) - 1
@@ -292,14 +311,21 @@ def common_subsequence(a: list[str], b: list[str]) -> list[int]:
     return [*range(low), *out[::-1], *range(len(a) - high, len(a))]
 
 
-def differenced(lines: list[str], partner: list[str] | None) -> list[str]:
+def shared_lines(lines: list, partner: list | None) -> list[int]:
+    """Positions of the lines that the partner shares; none for a copy of it."""
     if not partner:
-        return lines
+        return []
     shared = common_subsequence(lines, partner)
-    if len(shared) >= COPY * max(len(lines), len(partner)):
-        return lines
+    return [] if len(shared) >= COPY * max(len(lines), len(partner)) else shared
+
+
+def checked(found: Sequence[tuple[int, str]], alone: bool, shared: Sequence[int], paired: bool) -> tuple[list[str], str]:
+    """(lines, how): what differencing left ('difference'), unless the page's landmarks restore or drop lines of it ('landmark')."""
     gone = set(shared)
-    return [line for i, line in enumerate(lines) if i not in gone]
+    own = [i not in gone for i in range(len(found))]
+    level = article_level(found, alone, own)
+    inside = [kind == level for kind, _ in found] if level else own
+    return [t for (_, t), i in zip(found, inside) if i], "difference" if not level or paired and inside == own else "landmark"
 
 
 def _shared_start(a: str, b: str | None) -> int:
@@ -310,42 +336,54 @@ def _shared_start(a: str, b: str | None) -> int:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, how ('landmark' or 'difference')."""
+    """page_id, url, text, n_chars, how ('landmark' where landmarks changed what differencing left, else 'difference')."""
 
-    @F.pandas_udf("struct<level: int, lines: array<string>>")
+    @F.pandas_udf("struct<levels: binary, alone: boolean, packed: binary, lines: array<bigint>>")
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [blocks(h) for h in batch]
-            yield pd.DataFrame({"level": pd.Series([r[0] for r in rows], dtype="int32"), "lines": [r[1] for r in rows]})
-
-    @F.pandas_udf("array<string>")
-    def deleted(lines: pd.Series, path: pd.Series, before: pd.Series, before_path: pd.Series, after: pd.Series, after_path: pd.Series) -> pd.Series:
+            rows = []
+            for found, alone in map(page_lines, batch):
+                texts = [t for _, t in found]
+                hashes = [int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t in texts]
+                rows.append((bytes(level for level, _ in found), alone, zlib.compress("\n".join(texts).encode("utf-8", "replace")), hashes))
+            yield pd.DataFrame(rows, columns=["levels", "alone", "packed", "lines"])
+
+    @F.pandas_udf("struct<shared: array<int>, paired: boolean>")
+    def differenced(lines: pd.Series, path: pd.Series, before: pd.Series, before_path: pd.Series, after: pd.Series, after_path: pd.Series) -> pd.DataFrame:
         def one(own, p, b, bp, a, ap):
             partner = a if _shared_start(p, ap) > _shared_start(p, bp) else b
-            return differenced(list(own), None if partner is None else list(partner))
+            return shared_lines(list(own), None if partner is None else list(partner)), partner is not None
 
-        return pd.Series([one(*row) for row in zip(lines, path, before, before_path, after, after_path)])
+        return pd.DataFrame([one(*row) for row in zip(lines, path, before, before_path, after, after_path)], columns=["shared", "paired"])
 
-    url = F.coalesce("url", F.lit(""))
-    rows = pages.select("page_id", "url", F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), parsed("html").alias("p"))
-    rows = staged(rows.select("page_id", "url", "host", "path", "p.level", "p.lines"), "pages")
-    marked = rows.where("level > 0").select("page_id", "url", "lines", F.lit("landmark").alias("how"))
+    @F.pandas_udf("struct<text: string, how: string>")
+    def check(levels: pd.Series, alone: pd.Series, packed: pd.Series, shared: pd.Series, paired: pd.Series) -> pd.DataFrame:
+        def one(kinds, single, data, gone, both):
+            found = list(zip(kinds, zlib.decompress(data).decode().split("\n")))  # no levels: no lines
+            lines, how = checked(found, single, gone, both)
+            return "\n".join(lines), how
+
+        return pd.DataFrame([one(*row) for row in zip(levels, alone, packed, shared, paired)], columns=["text", "how"])
 
-    bare = rows.where("level = 0")
-    order = ["path", "page_id", "lines"]
-    ranges = max(1, -(-bare.count() // SHARD))
+    rows = staged(pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", parsed("html").alias("p")).select("rid", "page_id", "url", "p.*"), "pages")
+
+    url = F.coalesce("url", F.lit(""))
+    host, path = F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1)), F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1)
+    order = ["path", "page_id", "digest", "rid"]  # without the lines: what is ordered is also sampled for the ranges
+    ranges = max(1, -(-rows.count() // SHARD))
+    bare = rows.select(host.alias("host"), path.alias("path"), "page_id", F.xxhash64("lines").alias("digest"), "rid", "lines")
     bare = staged(bare.repartitionByRange(ranges, "host", *order).withColumn("range", F.spark_partition_id()), "ranges")
-    page = F.struct(*order)
+    page = F.struct(*order, "lines")
     ends = bare.groupBy("host", "range").agg(F.min(page).alias("first"), F.max(page).alias("last"))
     along = Window.partitionBy("host").orderBy("range")  # a row per range
     ends = ends.select("host", "range", F.array(F.lag("last").over(along), F.lead("first").over(along)).alias("both"))
     edges = ends.select("host", "range", F.explode("both").alias("e")).where("e is not null").select("host", "range", "e.*", F.lit(True).alias("edge"))
     near = Window.partitionBy("host", "range").orderBy(*order)
-    bare = bare.select("host", "range", *order, F.lit(False).alias("edge"), "url").unionByName(edges, allowMissingColumns=True)
-    beside = bare.select("page_id", "url", "path", "lines", "edge", *(f(c).over(near).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("lines", "path")))
-    bare = beside.where("not edge").select("page_id", "url", deleted("lines", "path", "before_lines", "before_path", "after_lines", "after_path").alias("lines"), F.lit("difference").alias("how"))
-    text = F.array_join("lines", "\n")
-    return marked.unionByName(bare).select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), "how")
+    bare = bare.select("host", "range", *order, "lines", F.lit(False).alias("edge")).unionByName(edges)
+    beside = bare.select("rid", "path", "lines", "edge", *(f(c).over(near).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("lines", "path")))
+    left = beside.where("not edge").select("rid", differenced("lines", "path", "before_lines", "before_path", "after_lines", "after_path").alias("d")).select("rid", "d.*")
+    texts = rows.select("rid", "page_id", "url", "levels", "alone", "packed").join(left, "rid").select("page_id", "url", check("levels", "alone", "packed", "shared", "paired").alias("t"))
+    return texts.select("page_id", "url", "t.text", F.length("t.text").cast("bigint").alias("n_chars"), "t.how")
 
 
 def op2_nearest_url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
