@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
@@ -37,7 +38,7 @@ COMPLEMENT = [3, 2, 1, 0]
 MAX_MOTIF_ROWS = 1_000_000
 LETTERS = ["A", "C", "G", "T"]
 #: Bases of the sequences whose local energies are computed at once.
-BASES = 1 << 20
+BASES = 1 << 18
 #: Letters of a word in the tables of a library, motifs that share tables, bytes of a block of products.
 WORD, COLUMNS, PRODUCT = 4, 32, 1 << 20
 #: Letters of a word in the tables of the native form (5 to that power places).
@@ -314,16 +315,15 @@ def local_energies(seqs: pa.Array, motif: Motif, spat: Spatial, bidirect: bool)
     A slice holds sequences of ``BASES`` bases in all, or one longer sequence. Their
     bases stand one after another; windows that cross from one to the next don't count.
     """
-    texts = [t if t is not None else "" for t in seqs.to_pylist()]
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(seqs), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     first = 0
-    while first < len(texts):
-        last, bases = first, 0
-        while last < len(texts) and (last == first or bases + len(texts[last]) <= BASES):
-            bases += len(texts[last])
-            last += 1
-        codes = CODES[np.frombuffer("".join(texts[first:last]).encode("latin-1", "replace"), np.uint8)]
-        lengths = np.array([len(t) for t in texts[first:last]], np.int64)
-        ends = np.cumsum(lengths)
+    while first < len(upto):
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + BASES, side="right")))
+        ends = upto[first:last] - before
+        lengths = np.diff(ends, prepend=0)
+        texts = (t for t in seqs.slice(first, last - first).to_pylist() if t)  # of a slice only: a batch of long texts may be large
+        codes = CODES[np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)]
         out = np.full(len(codes), np.nan)
         for a in range(0, len(codes) - len(motif) + 1, BASES):
             part = codes[a : a + BASES + len(motif) - 1]
