@@ -368,23 +368,35 @@ def add_up(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, r: Request, parts
     return np.concatenate(out)
 
 
+#: Bases of a task's sequences, where there are more than the cores can share.
+TASK_BASES = 1 << 26
+
+
+def even_tasks(df: DataFrame, least: int) -> int:
+    """A task for each core, or ``least``."""
+    return max(least, df.sparkSession.sparkContext.defaultParallelism)
+
+
 class SparkSums:
     """Sums over a DataFrame of encoded sequences, added up on the executors.
 
     The driver receives at most ``FAN`` vectors and ``LARGEST`` bytes at once.
-    ``parts``: a bigint with a bit for each part of the data that a row belongs to.
+    ``parts``: a bigint with a bit for each part of the data that a row belongs to;
+    ``bases``: how many the sequences have in all, where it is known.
     """
 
     FAN, LARGEST = 32, 64 << 20
 
-    def __init__(self, df: DataFrame, responses: list[str], folds: int, key: str = "seq_id", seed: int = 60427, parts: Column | None = None):
+    def __init__(self, df: DataFrame, responses: list[str], folds: int, key: str = "seq_id", seed: int = 60427, parts: Column | None = None, bases: int | None = None):
         fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(1, folds))).cast("int")
         y = F.array(*(F.col(c).cast("double") for c in responses))
         mask = F.lit(-1).cast("bigint") if parts is None else parts
         # Encoded once: a row holds a slice of sequences as bytes, which passes read without taking them apart.
-        self.rows = df.select("seq", y.alias("y"), fold.alias("fold"), mask.alias("parts")).mapInArrow(_encoded, "width int, codes binary, y binary, fold binary, parts binary").persist()
+        rows = df.select("seq", y.alias("y"), fold.alias("fold"), mask.alias("parts")).mapInArrow(_encoded, "width int, codes binary, y binary, fold binary, parts binary")
+        # Dealt out evenly: every pass takes as long as its longest task, and rows often come in a few large partitions.
+        self.tasks = even_tasks(df, rows.rdd.getNumPartitions() if bases is None else -(-bases // TASK_BASES))
+        self.rows = rows.repartition(self.tasks).persist()
         self.responses = len(responses)
-        self.tasks = self.rows.rdd.getNumPartitions()
 
     def __call__(self, r: Request) -> np.ndarray:
         return self.many([r])[0]
@@ -657,15 +669,15 @@ def _length(df: DataFrame) -> int:
     return _length_and_kind(df, [])[0]
 
 
-def _length_and_kind(df: DataFrame, responses: list[str]) -> tuple[int, bool]:
-    """The sequences' one length, and whether the response is binary, by one pass."""
+def _length_and_kind(df: DataFrame, responses: list[str]) -> tuple[int, bool, int]:
+    """The sequences' one length, whether the response is binary, and how many bases there are, by one pass."""
     other = F.count_if(~F.col(responses[0]).isin(0, 1)) if len(responses) == 1 else F.lit(1)
-    r = df.agg(F.min(F.length("seq")), F.max(F.length("seq")), other).first()
+    r = df.agg(F.min(F.length("seq")), F.max(F.length("seq")), other, F.sum(F.length("seq"))).first()
     if r[0] is None:
         raise ValueError("no sequences")
     if r[0] != r[1]:
         raise ValueError("all sequences must have the same length")
-    return r[0], r[2] == 0
+    return r[0], r[2] == 0, r[3]
 
 
 def _consensus(df: DataFrame, model: MotifModel, o: Options) -> str | None:
@@ -695,7 +707,7 @@ def fit_from(df: DataFrame, responses: list[str], start: str | np.ndarray, o: Op
     return model
 
 
-def fits_from(df: DataFrame, responses: list[str], starts: list[tuple[str | np.ndarray, int | None]], o: Options, length: int, parts: Column | None = None, spat_start=None) -> list[MotifModel]:
+def fits_from(df: DataFrame, responses: list[str], starts: list[tuple[str | np.ndarray, int | None]], o: Options, length: int, parts: Column | None = None, spat_start=None, bases: int | None = None) -> list[MotifModel]:
     """A fit from each (k-mer or matrix, part), all in lock-step; without consensus."""
     num_bins, size = calculate_bins(length, o.spat_num_bins, o.spat_bin_size)
     low, high = spatial_range(num_bins, length, size)
@@ -705,7 +717,7 @@ def fits_from(df: DataFrame, responses: list[str], starts: list[tuple[str | np.n
         matrix = seed_matrix(start, o.motif_length, o.unif_prior) if isinstance(start, str) else np.asarray(start, float) / np.sum(start, axis=1, keepdims=True)
         matrix = np.maximum(matrix, o.min_nuc_prob)
         searches.append(search(matrix / matrix.sum(1, keepdims=True), inner, high - low, len(responses), spat_start if spat_start is not None else o.spat_model, part))
-    sums = SparkSums(df.withColumn("seq", cropped(F.col("seq"), low + 1, high)), responses, o.folds, seed=o.seed, parts=parts)
+    sums = SparkSums(df.withColumn("seq", cropped(F.col("seq"), low + 1, high)), responses, o.folds, seed=o.seed, parts=parts, bases=bases)
     try:
         found = fit_together(sums, searches)
     finally:
@@ -769,7 +781,7 @@ def regress_together(df: DataFrame, parts: int, responses: list[str], o: Options
     kept = df.is_cached  # by the caller
     df = df if kept else df.persist()
     try:
-        length, binary = _length_and_kind(df, responses)
+        length, binary, bases = _length_and_kind(df, responses)
         starts: list[str | np.ndarray] = [motif] * parts
         cands: list[list[str]] = [[] for _ in range(parts)]
         if motif is None:
@@ -786,11 +798,11 @@ def regress_together(df: DataFrame, parts: int, responses: list[str], o: Options
             both = F.col("__parts").bitwiseAND(F.lit(whole))
             train = df.withColumn("__parts", F.when(valid, both).otherwise(F.col("__parts"))).where("__parts <> 0")
             held = df.withColumn("__parts", F.when(valid, F.col("__parts")).otherwise(both)).where("__parts <> 0")
-            models = fits_from(train, responses, tried, o, length, F.col("__parts"))
+            models = fits_from(train, responses, tried, o, length, F.col("__parts"), bases=bases)
             scores = scores_together(held, [(m, k) for m, (_, k) in zip(models, tried)], responses, o, binary)
             for k in {k for _, k in tried}:
                 starts[k] = max((score, kmer) for score, (kmer, own) in zip(scores, tried) if own == k)[1]
-        models = fits_from(df, responses, list(zip(starts, range(parts))), o, length, F.col("__parts"))
+        models = fits_from(df, responses, list(zip(starts, range(parts))), o, length, F.col("__parts"), bases=bases)
         for k, m in enumerate(models):
             m.kmers = cands[k]
             m.consensus = _consensus(df, m, o)
@@ -939,7 +951,7 @@ class MultiModel:
 def regress_multiple_motifs(df: DataFrame, responses: str | list[str], motif_num: int = 2, smooth_k: int = 100, options: Options = Options(), energy_func_generator: Callable | None = None, **kwargs) -> MultiModel:
     """Motif after motif: each fits what the response leaves after a running mean over the combined prediction."""
     names = [responses] if isinstance(responses, str) else responses
-    binary = is_binary(df, names)
+    _, binary, bases = _length_and_kind(df, names)
     models, stats, current = [], [], df
     previous = None
     for i in range(1, motif_num + 1):
@@ -964,7 +976,8 @@ def regress_multiple_motifs(df: DataFrame, responses: str | list[str], motif_num
             current = current.withColumn("__e", order)
             for n in names:
                 current = running_mean(current, "__e", n, smooth_k, out_col=f"__smooth_{n}").withColumn(f"__res_{n}", F.col(n) - F.col(f"__smooth_{n}"))
-            current = current.select("seq_id", "seq", *(f"__res_{n}" for n in names))
+            # A running mean leaves a few large ranges, which the next screen and fit would read with as many cores.
+            current = current.select("seq_id", "seq", *(f"__res_{n}" for n in names)).repartition(even_tasks(df, -(-bases // TASK_BASES)))
     return MultiModel(models, multi.coefficients, names, stats)
 
 
