@@ -183,35 +183,54 @@ def seed_matrix(motif: str, length: int, prior: float) -> np.ndarray:
 WORD = 3
 UNKNOWN = 4**WORD
 #: The reverse complement of each word, and the letters of each word: words x (place, letter).
-_RC = np.array([sum((3 - v // 4**j % 4) * 4 ** (WORD - 1 - j) for j in range(WORD)) for v in range(UNKNOWN)] + [UNKNOWN], np.uint8)
+_RC = np.array([sum((3 - v // 4**j % 4) * 4 ** (WORD - 1 - j) for j in range(WORD)) for v in range(UNKNOWN)] + [UNKNOWN], np.intp)
 _PLACES = np.array([[v // 4 ** (WORD - 1 - j) % 4 == b for j in range(WORD) for b in range(4)] for v in range(UNKNOWN)] + [[False] * 4 * WORD], float)
+#: The letters as vectors; unknown ones are zero.
+_LETTERS = np.vstack([np.eye(4), np.zeros(4)])
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """The word that begins at each base of each sequence."""
+    many = codes.shape[1] - WORD + 1
+    words, bad = np.zeros((len(codes), many), np.uint8), np.zeros((len(codes), many), np.uint8)
+    for j in range(WORD):
+        letter = codes[:, j : j + many]
+        words <<= 2
+        words |= letter & 3
+        bad |= letter
+    words[bad > 3] = UNKNOWN
+    return words.astype(np.intp)
+
+
+def _cuts(length: int) -> list[tuple[int, int]]:
+    """A matrix in words: (first place, letters of the word that an earlier word has); the last word may overlap."""
+    cuts = [(j, 0) for j in range(0, length - WORD + 1, WORD)]
+    if length % WORD:
+        cuts.append((length - WORD, WORD - length % WORD))
+    return cuts
 
 
-@dataclass(frozen=True)
 class Words:
-    """The words that begin at each base, the sequences one after another: on both strands, alone and counted on by sequence."""
-
-    forward: np.ndarray
-    reverse: np.ndarray
-    forward_of: np.ndarray
-    reverse_of: np.ndarray
-
-    @classmethod
-    def of(cls, codes: np.ndarray) -> Words:
-        n, width = codes.shape
-        size = codes.size
-        flat = np.full(size + width + WORD, 4, np.uint8)
-        flat[:size] = codes.ravel()
-        many = size + width
-        words, bad = np.zeros(many, np.uint8), np.zeros(many, bool)
-        for j in range(WORD):
-            words <<= 2
-            words |= flat[j : j + many] & 3
-            bad |= flat[j : j + many] > 3
-        words[bad] = UNKNOWN
-        first = np.repeat(np.arange(n + 1) * (UNKNOWN + 1), width)
-        forward, reverse = words.astype(np.intp), _RC.take(words).astype(np.intp)
-        return cls(forward, reverse, forward + first, reverse + first)
+    """The words of sequences of one length, and where those of each window stand, for calls that share them."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.held = codes, {}
+
+    def of(self, length: int, bidirect: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each word of a matrix: that of every window (sequences x windows, of the second strand after the first), and its number in a table of sequences x words."""
+        if (length, bidirect) not in self.held:
+            n, width = self.codes.shape
+            windows, words = width - length + 1, _words(self.codes)
+            first = np.arange(n)[:, None] * (UNKNOWN + 1)
+            out = []
+            for j, _ in _cuts(length):
+                strands = [words[:, j : j + windows]]
+                if bidirect:
+                    strands.append(_RC.take(words[:, length - WORD - j : length - WORD - j + windows]))
+                own = np.concatenate(strands, axis=1)
+                out.append((own, (own + first).ravel()))
+            self.held[length, bidirect] = out
+        return self.held[length, bidirect]
 
 
 def derivatives(codes: np.ndarray, nuc: np.ndarray, spat: np.ndarray, bins: np.ndarray, bidirect: bool, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -228,30 +247,20 @@ def derivatives(codes: np.ndarray, nuc: np.ndarray, spat: np.ndarray, bins: np.n
         return np.zeros((n, length, 4)), np.zeros((n, len(spat)))
     if length < WORD or not (nuc > 0).all():
         return _plain_derivatives(codes, nuc, spat, bins, bidirect)
-    words = Words.of(codes) if words is None else words
-    onto = np.zeros((width, len(spat)))  # windows that reach into the next sequence count nothing
-    onto[np.arange(windows), bins[:windows]] = 1
-    weight = onto @ spat
-    # (first place, letters of the word that an earlier word has); the last word may overlap.
-    cuts = [(j, 0) for j in range(0, length - WORD + 1, WORD)]
-    if length % WORD:
-        cuts.append((length - WORD, WORD - length % WORD))
-    tables = [_table(nuc[j : j + WORD], old) for j, old in cuts]
-    size, held = n * width, (n + 1) * (UNKNOWN + 1)
-    d, s = np.empty((n, length * 4)), 0
-    sums: list = [0] * len(cuts)
-    for own, own_of, back in [(words.forward, words.forward_of, False), (words.reverse, words.reverse_of, True)][: 2 if bidirect else 1]:
-        at = [length - WORD - j if back else j for j, _ in cuts]
-        prod = tables[0].take(own[at[0] : at[0] + size])
-        for table, j in zip(tables[1:], at[1:]):
-            prod *= table.take(own[j : j + size])
-        by = prod.reshape(n, width)
-        s = s + by @ onto
-        by *= weight
-        for i, j in enumerate(at):
-            sums[i] = sums[i] + np.bincount(own_of[j : j + size], prod, held)
-    for (j, old), v in zip(cuts, sums):
-        d[:, (j + old) * 4 : (j + WORD) * 4] = v.reshape(n + 1, -1)[:n] @ _PLACES[:, old * 4 :]
+    words = Words(codes) if words is None else words
+    own = words.of(length, bidirect)
+    bin_at = np.tile(bins[:windows], 2 if bidirect else 1)
+    onto = np.zeros((len(bin_at), len(spat)))
+    onto[np.arange(len(bin_at)), bin_at] = 1
+    cuts = _cuts(length)
+    prod = 1.0
+    for (j, old), (word, _) in zip(cuts, own):
+        prod = prod * _table(nuc[j : j + WORD], old).take(word)
+    s = prod @ onto
+    prod *= spat[bin_at]
+    d, held = np.empty((n, length * 4)), n * (UNKNOWN + 1)
+    for (j, old), (_, cell) in zip(cuts, own):
+        d[:, (j + old) * 4 : (j + WORD) * 4] = np.bincount(cell, prod.ravel(), held).reshape(n, -1) @ _PLACES[:, old * 4 :]
     d /= nuc.ravel()
     return d.reshape(n, length, 4), s
 
@@ -368,6 +377,149 @@ def add_up(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, r: Request, parts
     return np.concatenate(out)
 
 
+#: Requests from which on a product of matrices is faster than sums by words; bases that are taken at once for it and for sums by words.
+MANY, FEW_BASES, MANY_BASES = 6, 16_384, 4_096
+
+
+class Grams:
+    """Sums of requests for grams of one length, bins and part, all at once.
+
+    Where there are many, a sequence's windows are written out as letters (windows x
+    (place, letter)); one product with the windows' energies on both strands gives the
+    derivatives of all requests. Few are summed by words. One more product gives the
+    derivatives' products with each other and the responses.
+    """
+
+    def __init__(self, requests: list[Request]):
+        first = self.first = requests[0]
+        self.length, self.many = len(first.nuc), len(requests)
+        nucs, self.spats = np.array([r.nuc for r in requests]), np.array([r.spat for r in requests])
+        self.both = 2 * self.many if first.bidirect else self.many
+        # Words x requests, of the second strand after the first; sums by words look its words up in the table of the first.
+        strands = np.concatenate([nucs, nucs[:, ::-1, ::-1]])[: self.both if self.many >= MANY else self.many]
+        self.tables = [np.stack([_table(m[j : j + WORD], old) for m in strands], axis=1) for j, old in _cuts(self.length)]
+        self.inverse = 1 / nucs.reshape(self.many, -1)
+        self.totals = self.bases = None
+        self.room: dict[str, np.ndarray] = {}
+
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """Memory that slices share: new memory for each costs more than the sums."""
+        size = math.prod(shape)
+        if name not in self.room or self.room[name].size < size:
+            self.room[name] = np.empty(size)
+        return self.room[name][:size].reshape(shape)
+
+    def add(self, codes: np.ndarray, y: np.ndarray, fold: np.ndarray, parts: np.ndarray | None) -> None:
+        r = self.first
+        if r.part is not None:
+            own = (parts >> r.part) & 1 == 1
+            if not own.all():
+                codes, y, fold = codes[own], y[own], fold[own]
+        windows = codes.shape[1] - self.length + 1
+        letters, bins = 4 * self.length, self.spats.shape[1]
+        own = letters + bins
+        if self.totals is None:
+            self.totals, self.bases = np.zeros((max(1, r.folds), self.many, own, own + y.shape[1] + 1)), np.zeros((max(1, r.folds), 1 + 2 * y.shape[1]))
+        rows = max(1, (MANY_BASES if self.many >= MANY else FEW_BASES) // max(1, codes.shape[1]))
+        for k in range(0, len(codes), rows):
+            here, yk, fk = codes[k : k + rows], y[k : k + rows], fold[k : k + rows]
+            # Sequences x requests x (derivatives, energies by bin, responses, 1).
+            z = self._space("z", len(here), self.many, own + y.shape[1] + 1)
+            z[:, :, own:-1] = yk[:, None, :]
+            z[:, :, -1] = 1
+            if windows < 1:
+                z[:, :, :own] = 0
+            else:
+                (self._by_product if self.many >= MANY else self._by_words)(here, windows, z[:, :, :letters], z[:, :, letters:own])
+                z[:, :, :letters] *= self.inverse
+            for f in range(len(self.totals)):
+                at = fk == f if r.folds > 1 else slice(None)
+                zf, yf = z[at], yk[at]
+                self.totals[f] += np.matmul(zf[:, :, :own].transpose(1, 2, 0), zf.transpose(1, 0, 2))
+                self.bases[f] += np.concatenate([[len(yf)], yf.sum(0), (yf * yf).sum(0)])
+
+    def _by_product(self, codes: np.ndarray, windows: int, d: np.ndarray, by_bin: np.ndarray) -> None:
+        n, letters, bins, m = len(codes), 4 * self.length, self.spats.shape[1], self.many
+        words = _words(codes)
+        energy, factor = self._space("energy", n, windows, self.both), self._space("factor", n, windows, self.both)
+        for i, ((j, _), table) in enumerate(zip(_cuts(self.length), self.tables)):
+            table.take(words[:, j : j + windows], axis=0, out=factor if i else energy, mode="clip")
+            if i:
+                energy *= factor
+        bin_at = self.first.bins[:windows]
+        onto = np.zeros((bins, windows))
+        onto[bin_at, np.arange(windows)] = 1
+        summed = np.matmul(onto, energy, out=self._space("summed", n, bins, self.both)).transpose(0, 2, 1)
+        energy *= np.tile(self.spats[:, bin_at].T, self.both // m)
+        one = _LETTERS.take(codes, axis=0, out=self._space("one", *codes.shape, 4), mode="clip")
+        written = self._space("written", n, windows, letters)
+        np.copyto(written, np.lib.stride_tricks.as_strided(one, written.shape, one.strides))
+        strands = np.matmul(energy.transpose(0, 2, 1), written, out=self._space("strands", n, self.both, letters))
+        if self.both > m:  # the second strand has the letters of the first from its end, as their complements
+            np.add(strands[:, :m], strands[:, m:, ::-1], out=d)
+            np.add(summed[:, :m], summed[:, m:], out=by_bin)
+        else:
+            d[:], by_bin[:] = strands, summed
+
+    def _by_words(self, codes: np.ndarray, windows: int, d: np.ndarray, by_bin: np.ndarray) -> None:
+        n, bins = len(codes), self.spats.shape[1]
+        own = Words(codes).of(self.length, self.first.bidirect)
+        bin_at = np.tile(self.first.bins[:windows], self.both // self.many)
+        onto = np.zeros((len(bin_at), bins))
+        onto[np.arange(len(bin_at)), bin_at] = 1
+        energy, factor = self._space("energy", n, len(bin_at)), self._space("factor", n, len(bin_at))
+        for c, spat in enumerate(self.spats):
+            for i, (table, (word, _)) in enumerate(zip(self.tables, own)):
+                table[:, c].take(word, out=factor if i else energy, mode="clip")
+                if i:
+                    energy *= factor
+            by_bin[:, c] = energy @ onto
+            energy *= spat[bin_at]
+            for (j, old), (_, cell) in zip(_cuts(self.length), own):
+                d[:, c, (j + old) * 4 : (j + WORD) * 4] = np.bincount(cell, energy.ravel(), n * (UNKNOWN + 1)).reshape(n, -1) @ _PLACES[:, old * 4 :]
+
+    def vectors(self) -> list[np.ndarray]:
+        """What ``add_up`` gives for each request."""
+        k, letters, bins = np.arange(self.length), 4 * self.length, self.spats.shape[1]
+        out: list = [[] for _ in range(self.many)]
+        for base, total in zip(self.bases, self.totals):
+            for c, t in enumerate(total):
+                d, s = t[:letters], t[letters:]
+                gram = d[:, :letters].reshape(self.length, 4, self.length, 4)[k, :, k]
+                own = slice(letters, letters + bins)
+                out[c] += [base, d[:, -1], gram.ravel(), d[:, letters + bins : -1].ravel(), s[:, -1], s[:, own].ravel(), s[:, letters + bins : -1].ravel()]
+        return [np.concatenate(v) for v in out]
+
+
+class Pass:
+    """The sums of some requests over slices of sequences, as one vector."""
+
+    def __init__(self, requests: list[Request]):
+        self.requests, self.found = requests, None
+        alike: dict[tuple, list[int]] = {}
+        for i, r in enumerate(requests):
+            if r.kind == "gram" and len(r.nuc) >= WORD and (r.nuc > 0).all():
+                alike.setdefault((len(r.nuc), len(r.spat), r.bins.tobytes(), r.bidirect, r.folds, r.part), []).append(i)
+        self.together = [(at, Grams([requests[i] for i in at])) for at in alike.values()]
+        self.single = sorted(set(range(len(requests))) - {i for at, _ in self.together for i in at})
+
+    def add(self, codes: np.ndarray, y: np.ndarray, fold: np.ndarray, parts: np.ndarray) -> None:
+        for _, grams in self.together:
+            grams.add(codes, y, fold, parts)
+        words = Words(codes)
+        own = [add_up(codes, y, fold, self.requests[i], parts, words) for i in self.single]  # not polynomial
+        self.found = own if self.found is None else [a + b for a, b in zip(self.found, own)]
+
+    def total(self) -> np.ndarray | None:
+        """None where there was no slice."""
+        if self.found is None:
+            return None
+        out: dict[int, np.ndarray] = dict(zip(self.single, self.found))
+        for at, grams in self.together:
+            out |= zip(at, grams.vectors())
+        return np.concatenate([out[i] for i in range(len(self.requests))])
+
+
 #: Bases of a task's sequences, where there are more than the cores can share.
 TASK_BASES = 1 << 26
 
@@ -418,12 +570,11 @@ class SparkSums:
         sizes = [r.size(self.responses) for r in requests]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            sums = Pass(shared.value)
             for batch in batches:
-                for codes, y, fold, parts in _slices(batch):
-                    words = Words.of(codes)
-                    part = np.concatenate([add_up(codes, y, fold, r, parts, words) for r in shared.value])
-                    total = part if total is None else total + part
+                for part in _slices(batch):
+                    sums.add(*part)
+            total = sums.total()
             if total is not None:
                 yield _vector(total)
 
