@@ -676,6 +676,22 @@ def r2_of(n: float, ex, ex2, exy, ey, ey2) -> np.ndarray:
     return r2.sum(1)
 
 
+#: What rounding moves a sum by, as a share of the sum of its absolute terms (with room for sums over many rows).
+ROUNDING = 1e-13
+
+
+def rounding_of(n: float, ex, ex2, exy, ey, ey2) -> np.ndarray:
+    """How far rounding may move ``r2_of``; 0 where there is no variance beyond it."""
+    with np.errstate(all="ignore"):
+        ex, ex2, exy = ex / n, ex2 / n, exy / n
+        ey, ey2 = ey / n, ey2 / n
+        var, var_off = (ex2 - ex * ex)[:, None], ROUNDING * (ex2 + ex * ex)[:, None]
+        cov = exy - ex[:, None] * ey[None, :]
+        cov_off = ROUNDING * (np.sqrt(ex2[:, None] * ey2[None, :]) + np.abs(ex[:, None] * ey[None, :]))
+        off = (2 * np.abs(cov) * cov_off + cov * cov * var_off / var) / (var * (ey2 - ey * ey)[None, :])
+        return np.where(np.isfinite(off) & (var > 2 * var_off), off, 0.0).sum(1)
+
+
 def ks_of(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     """One-sided distance, class 1 high, by candidate."""
     up = np.cumsum(ones[:, ::-1], axis=1) / max(1.0, ones[0].sum())
@@ -776,6 +792,10 @@ def search(start: np.ndarray, o: Options, length: int, responses: int, spat_star
                 best = int(rank.argmax())
                 if not np.isfinite(rank[best]):
                     break
+                if o.folds <= 1:
+                    # Moves that only rounding tells apart are equal: the first is made, in whatever order rows are added up.
+                    off = _candidate_rounding(request.kind, whole, q)
+                    best = int(np.flatnonzero(rank + off >= rank[best] - off[best])[0])
                 k, m = divmod(best, len(neighbours))
                 row = np.maximum(nuc[k] + neighbours[m], np.where(neighbours[m] != 0, o.min_nuc_prob, 0))
                 nuc[k] = row / row.sum()
@@ -809,6 +829,16 @@ def _candidate_scores(kind: str, parts: list, q: np.ndarray, spats: np.ndarray)
     return flat[: rows * many].reshape(rows, many), flat[rows * many :]
 
 
+def _candidate_rounding(kind: str, parts: list, q: np.ndarray) -> np.ndarray:
+    """How far rounding may move the score of each move of the matrix; counts are exact."""
+    n, ey, ey2 = parts[:3]
+    rows, many = q.shape[:2]
+    if kind == "gram":
+        m, g, c = parts[3:6]
+        return np.concatenate([rounding_of(n, q[k] @ m[k], np.einsum("ma,ab,mb->m", q[k], g[k], q[k]), q[k] @ c[k], ey, ey2) for k in range(rows)])
+    return rounding_of(n, *(v[: rows * many] for v in parts[3:6]), ey, ey2) if kind == "moments" else np.zeros(rows * many)
+
+
 # --- entry points --------------------------------------------------------------------
 
 
